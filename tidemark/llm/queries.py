@@ -8,18 +8,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import rans, simhash
+from . import langid, packing, quality, rans, simhash
 from .common import shared_dir, table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 4096 ids."""
+    return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY, end_id=2)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents by SimHash and Golay keys."""
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weights and the Gumbel top-k selection of all documents."""
+    return quality.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[2]
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, written and read back."""
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
@@ -27,9 +37,18 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read_tokens(spark, path)
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from those not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES = {
+    "op1_packing": op1_packing,
     "op7_simhash": op7_simhash,
+    "op8_quality": op8_quality,
     "op9_token_files": op9_token_files,
+    "op10_language": op10_language,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import partitions
-from .tokens import encoder
+from .tokens import encoder, whole_rows
 
 MAGIC = b"TMR1"
 SCALE_BITS, LANES, BLOCK_IDS = 20, 2048, 1 << 18
@@ -163,7 +163,7 @@ def _segments(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int) -
 
     for batch in batches:
         docs = np.asarray(batch.column("doc_id"))
-        for row, ids, lengths in _whole(enc.encode(batch.column("text"))):
+        for row, ids, lengths in whole_rows(enc.encode(batch.column("text"))):
             with_end = np.insert(ids, np.cumsum(lengths), end_id)
             held.append((docs[row : row + len(lengths)], lengths + 1, with_end))
             task_doc = int(docs[row]) if task_doc is None else task_doc
@@ -175,26 +175,6 @@ def _segments(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int) -
         yield flush()
 
 
-def _whole(parts: Iterator[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Puts one-row blocks of the same row together."""
-    held: tuple[int, list[np.ndarray]] | None = None
-    for row, ids, lengths in parts:
-        if held and row != held[0]:
-            one = np.concatenate(held[1])
-            yield held[0], one, np.array([len(one)])
-            held = None
-        if len(lengths) == 1:
-            if held:
-                held[1].append(ids)
-            else:
-                held = (row, [ids])
-        else:
-            yield row, ids, lengths
-    if held:
-        one = np.concatenate(held[1])
-        yield held[0], one, np.array([len(one)])
-
-
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> None:
     """Writes the token ids of every text, ``end_id`` after each, in ascending doc_id order to ``path``.
 

@@ -145,6 +145,26 @@ class TextEncoder:
             yield row, np.concatenate(parts).astype(np.int32), lengths
 
 
+def whole_rows(parts: Iterator[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Puts one-row blocks of the same row together."""
+    held: tuple[int, list[np.ndarray]] | None = None
+    for row, ids, lengths in parts:
+        if held and row != held[0]:
+            one = np.concatenate(held[1])
+            yield held[0], one, np.array([len(one)])
+            held = None
+        if len(lengths) == 1:
+            if held:
+                held[1].append(ids)
+            else:
+                held = (row, [ids])
+        else:
+            yield row, ids, lengths
+    if held:
+        one = np.concatenate(held[1])
+        yield held[0], one, np.array([len(one)])
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> TextEncoder:
     """The worker's encoder for a vocabulary file, kept between tasks."""
