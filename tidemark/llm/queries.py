@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, quality, rans, simhash
+from . import covertree, langid, packing, quality, rans, simhash, threshold
 from .common import shared_dir, table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -19,6 +19,16 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY, end_id=2)
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of all embeddings for every embedding whose id is divisible by 20."""
+    return threshold.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate links and groups of all embeddings."""
+    return covertree.near_vectors(table(spark, sf_dir, "embeddings"), 0.95)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents by SimHash and Golay keys."""
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"))
@@ -45,6 +55,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op3_top_k": op3_top_k,
+    "op5_near_vectors": op5_near_vectors,
     "op7_simhash": op7_simhash,
     "op8_quality": op8_quality,
     "op9_token_files": op9_token_files,
