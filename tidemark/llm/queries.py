@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, langid, packing, quality, rans, simhash, threshold
+from . import covertree, langid, licenses, packing, quality, rans, simhash, threshold, urls
 from .common import shared_dir, table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -19,11 +19,31 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY, end_id=2)
 
 
+# The rules of the URL query.
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL."""
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best of all embeddings for every embedding whose id is divisible by 20."""
     return threshold.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License labels of all documents."""
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("licenses")
+
+
 def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate links and groups of all embeddings."""
     return covertree.near_vectors(table(spark, sf_dir, "embeddings"), 0.95)
@@ -55,7 +75,9 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_urls": op2_urls,
     "op3_top_k": op3_top_k,
+    "op4_licenses": op4_licenses,
     "op5_near_vectors": op5_near_vectors,
     "op7_simhash": op7_simhash,
     "op8_quality": op8_quality,
