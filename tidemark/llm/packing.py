@@ -25,7 +25,7 @@ from .common import written
 from .tokens import encoder, whole_rows
 
 SEQUENCE, UNIT, CLASSES, TOLERANCE = 4096, 8, 160, 0.001
-RANK_GROUP = 50_000
+RANK_GROUP = 2_000
 """Documents of one class that one task ranks, on average at most."""
 
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"

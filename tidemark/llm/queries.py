@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, langid, licenses, packing, quality, rans, simhash, threshold, urls
+from . import covertree, langid, licenses, mixing, packing, quality, rans, simhash, threshold, urls
 from .common import shared_dir, table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -49,6 +49,12 @@ def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_vectors(table(spark, sf_dir, "embeddings"), 0.95)
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of all documents that bring the languages' tokens to tempered weights."""
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, docs.select("doc_id", F.col("lang").alias("domain")))[1].drop("posterior")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents by SimHash and Golay keys."""
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"))
@@ -79,6 +85,7 @@ QUERIES = {
     "op3_top_k": op3_top_k,
     "op4_licenses": op4_licenses,
     "op5_near_vectors": op5_near_vectors,
+    "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
     "op8_quality": op8_quality,
     "op9_token_files": op9_token_files,
