@@ -1,0 +1 @@
+"""Time-series networks, states and regimes as Spark DataFrame operations."""
