@@ -31,13 +31,13 @@ def on_series(name: str, which: str, build: Callable[[DataFrame], DataFrame], sq
     query(name, None if sql is None else sql.replace("{s}", src.SQL[which]))(lambda spark, sf_dir: build(SERIES[which](spark, sf_dir)))
 
 
-def r6(c: str | Column, alias: str | None = None, digits: int = 6) -> Column:
+def r6(c: str | Column, alias: str | None = None, digits: int = 9) -> Column:
     """A double rounded for comparison; adding zero turns -0.0 into 0.0."""
     col = F.col(c) if isinstance(c, str) else c
     out = F.round(col.cast("double"), digits) + F.lit(0.0)
     return out.alias(alias or c) if alias or isinstance(c, str) else out
 
 
-def q6(expression: str, alias: str, digits: int = 6) -> str:
+def q6(expression: str, alias: str, digits: int = 9) -> str:
     """The same rounding in SQL."""
     return f"round(CAST({expression} AS DOUBLE), {digits}) + 0.0 AS {alias}"
