@@ -22,7 +22,7 @@ from .common import written
 from .components import connected_components
 from .vectors import is_finite_vector, matrix, numbered
 
-BLOCK = 4096
+BLOCK, _WIDE = 4096, 1 << 17
 _SLACK = 1e-4  # more than single precision loses; the final comparison is in double
 
 
@@ -51,60 +51,96 @@ def cover(x: np.ndarray, radius: float, batch: int = 256) -> tuple[np.ndarray, n
     return np.array(centres, np.int64), owner
 
 
-class Node:
-    """A centre, its covering radius, and either child nodes or a leaf's members."""
+class CoverTree:
+    """Nodes as arrays: a node's children are numbered one after another, the root is 0.
 
-    __slots__ = ("centre", "radius", "children", "members", "centres", "radii")
+    A node has a centre (a vector's position), its covering radius, and either children
+    or, as a leaf, a range of ``members``.
+    """
+
+    def __init__(self, unit: np.ndarray, leaf: float):
+        self.centre, self.radius = [0], []
+        self.first, self.count, self.begin, self.end = [], [], [], []
+        held, self.members, order = [(np.arange(len(unit)), 4.0)], [], 0
+        while order < len(held):
+            (members, level), centre = held[order], self.centre[order]
+            radius = float(np.sqrt(max(0.0, 2 - 2 * float((unit[members] @ unit[centre]).min())))) if len(members) > 1 else 0.0
+            self.radius.append(radius)
+            self.first.append(len(held))
+            self.begin.append(len(self.members))
+            if radius > leaf:
+                centres = np.zeros(0)
+                while len(centres) < 2:
+                    level /= 2
+                    centres, owner = cover(unit[members], level)
+                by_owner = np.argsort(owner, kind="stable")
+                for g in np.split(by_owner, np.flatnonzero(np.diff(owner[by_owner])) + 1):
+                    held.append((members[g], level))
+                    self.centre.append(int(members[owner[g[0]]]))
+            else:
+                self.members += members.tolist()
+            self.count.append(len(held) - self.first[-1])
+            self.end.append(len(self.members))
+            held[order] = None
+            order += 1
+        for name, kind in (("centre", np.int32), ("radius", np.float32), ("first", np.int32), ("count", np.int32), ("begin", np.int32), ("end", np.int32), ("members", np.int32)):
+            setattr(self, name, np.array(getattr(self, name), kind))
+
+    def below(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First child and number of children; a leaf stands for itself."""
+        inner = self.count[nodes] > 0
+        return np.where(inner, self.first[nodes], nodes), np.where(inner, self.count[nodes], 1)
+
+
+def unit_vectors(raw: np.ndarray) -> np.ndarray:
+    """Rows over their norms, in single precision."""
+    return (raw / np.linalg.norm(raw, axis=1, keepdims=True)).astype(np.float32)
+
+
+def build_tree(raw: np.ndarray, threshold: float) -> CoverTree:
+    """The cover tree of non-zero vectors; leaves cover at most half of the threshold distance."""
+    return CoverTree(unit_vectors(raw), np.sqrt(2 - 2 * threshold) / 2)
 
-    def __init__(self, x: np.ndarray, members: np.ndarray, centre: int, level: float, leaf: float):
-        self.centre, self.children, self.members = centre, [], members
-        dots = np.clip(x[members] @ x[centre], -1, 1)
-        self.radius = float(np.sqrt(2 - 2 * dots.min())) if len(members) > 1 else 0.0
-        if self.radius > leaf:
-            while not self.children:
-                level /= 2
-                centres, owner = cover(x[members], level)
-                if len(centres) > 1:
-                    order = np.argsort(owner, kind="stable")
-                    groups = np.split(order, np.flatnonzero(np.diff(owner[order])) + 1)
-                    self.children = [Node(x, members[g], int(members[owner[g[0]]]), level, leaf) for g in groups]
-            self.members = None
-            self.centres = x[[c.centre for c in self.children]]
-            self.radii = np.array([c.radius for c in self.children], np.float32)
 
+def leaf_pairs(a: CoverTree, ca: np.ndarray, b: CoverTree, cb: np.ndarray, reach: float):
+    """Pairs of leaves (arrays) that may hold vectors within ``reach``, by dual traversal level by level.
 
-def build_tree(raw: np.ndarray, threshold: float) -> Node:
-    """The cover tree of non-zero vectors; leaves cover at most half of the threshold distance."""
-    x = (raw / np.linalg.norm(raw, axis=1, keepdims=True)).astype(np.float32)
-    return Node(x, np.arange(len(x)), 0, 4.0, np.sqrt(2 - 2 * threshold) / 2)
-
-
-def leaf_pairs(a: Node, b: Node, reach: float):
-    """Pairs of leaves that may hold vectors within ``reach``; a tree with itself gives each pair once."""
-    stack = [(a, b)]
-    while stack:
-        u, v = stack.pop()
-        if u.members is not None and v.members is not None:
-            yield u, v
-            continue
-        (us, cu, ru), (vs, cv, rv) = _below(u), _below(v)
-        for lo in range(0, len(us), 512):
-            far = np.float32(reach + _SLACK) + ru[lo : lo + 512, None] + rv[None, :]
-            close = cu[lo : lo + 512] @ cv.T >= 1 - far * far / 2
-            i, j = np.nonzero(close)
-            for p, q in zip((i + lo).tolist(), j.tolist()):
-                if u is not v or p <= q:
-                    stack.append((us[p], vs[q]))
-
-
-def _below(node: Node) -> tuple[list[Node], np.ndarray, np.ndarray]:
-    """A node's children, their centres and radii; a leaf stands for itself."""
-    if node.members is None:
-        return node.children, node.centres, node.radii
-    return [node], node.centres, np.array([node.radius], np.float32)
-
-
-def links_of_trees(a: tuple[np.ndarray, Node], b: tuple[np.ndarray, Node], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ``ca`` and ``cb`` are the nodes' unit centres.  A tree with itself gives each pair once.
+    """
+    u = v = np.zeros(1, np.int64)
+    bound = np.float32(reach + _SLACK)
+    while len(u):
+        leaf = (a.count[u] == 0) & (b.count[v] == 0)
+        yield u[leaf], v[leaf]
+        u, v = u[~leaf], v[~leaf]
+        (fu, nu), (fv, nv) = a.below(u), b.below(v)
+        size = nu.astype(np.int64) * nv
+        found = []
+        for k in np.flatnonzero(size > _WIDE):  # two wide nodes: their children's centres as a matrix product
+            cv, rv = cb[fv[k] : fv[k] + nv[k]], b.radius[fv[k] : fv[k] + nv[k]]
+            for lo in range(0, nu[k], 512):
+                hi = min(lo + 512, nu[k])
+                dots, far = ca[fu[k] + lo : fu[k] + hi] @ cv.T, bound + a.radius[fu[k] + lo : fu[k] + hi]
+                # First by one bound a row, for the widest node opposite; what is left by both radii.
+                i, j = np.divmod(np.flatnonzero(dots >= (1 - (far + rv.max()) ** 2 / 2)[:, None]), nv[k])
+                near = dots[i, j] >= 1 - (far[i] + rv[j]) ** 2 / 2
+                found.append((fu[k] + lo + i[near], fv[k] + j[near], np.full(int(near.sum()), k)))
+        small = np.flatnonzero(size <= _WIDE)
+        part = np.cumsum(size[small]) // _WIDE
+        for group in np.split(small, np.flatnonzero(np.diff(part)) + 1) if len(small) else ():
+            pair = np.repeat(group, size[group])
+            within = np.arange(len(pair)) - np.repeat(np.cumsum(size[group]) - size[group], size[group])
+            x, y = fu[pair] + within // nv[pair], fv[pair] + within % nv[pair]
+            near = np.einsum("ij,ij->i", ca[x], cb[y]) >= 1 - (bound + a.radius[x] + b.radius[y]) ** 2 / 2
+            found.append((x[near], y[near], pair[near]))
+        if not found:
+            return
+        x, y, pair = (np.concatenate(z).astype(np.int64) for z in zip(*found))
+        once = (u[pair] != v[pair]) | (x <= y) if a is b else slice(None)
+        u, v = x[once], y[once]
+
+
+def links_of_trees(a: tuple[np.ndarray, CoverTree], b: tuple[np.ndarray, CoverTree], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links of each vector of ``a`` and ``b`` (the same object: within one block), and a forest of links.
 
     The forest's positions in ``b`` come after those in ``a``, but for a block with itself.
@@ -122,18 +158,22 @@ def links_of_trees(a: tuple[np.ndarray, Node], b: tuple[np.ndarray, Node], thres
             i = root[i]
         return i
 
-    for u, v in leaf_pairs(ta, tb, float(np.sqrt(2 - 2 * threshold))):
-        for lo in range(0, len(u.members), 1024):
-            mu = u.members[lo : lo + 1024]
-            for lo2 in range(0, len(v.members), 1024):
-                mv = v.members[lo2 : lo2 + 1024]
+    ua = unit_vectors(xa)[ta.centre]
+    ub = ua if same else unit_vectors(xb)[tb.centre]
+    pairs = ((u, v) for us, vs in leaf_pairs(ta, ua, tb, ub, float(np.sqrt(2 - 2 * threshold))) for u, v in zip(us.tolist(), vs.tolist()))
+    for u, v in pairs:
+        every_u, every_v = ta.members[ta.begin[u] : ta.end[u]], tb.members[tb.begin[v] : tb.end[v]]
+        for lo in range(0, len(every_u), 1024):
+            mu = every_u[lo : lo + 1024]
+            for lo2 in range(0, len(every_v), 1024):
+                mv = every_v[lo2 : lo2 + 1024]
                 link = (xa[mu] @ xb[mv].T) / (na[mu][:, None] * nb[mv][None, :]) >= threshold
-                if same and u is v:
+                if same and u == v:
                     link &= mu[:, None] != mv[None, :]
                 if not link.any():
                     continue
                 count_a[mu] += link.sum(axis=1)
-                if not (same and u is v):
+                if not (same and u == v):
                     (count_a if same else count_b)[mv] += link.sum(axis=0)
                 for i, j in _spanning(link):
                     p, q = find(int(mu[i])), find(int(mv[j]) + shift)
@@ -184,7 +224,6 @@ def near_vectors(rows: DataFrame, threshold: float = 0.95, vec_id: str = "vec_id
         small = raw.astype(np.float32)
         raw = small if (small == raw).all() else raw  # as stored, in half the bytes
         tree = build_tree(raw.astype(np.float64), threshold)
-        _share_leaf_centres(tree, raw)
         data = pickle.dumps((t.column("uid").to_numpy(), raw, tree), protocol=5)
         return pa.table({"dim": t.column("dim")[:1], "block": t.column("block")[:1].cast(pa.int64()), "tree": pa.array([data], pa.large_binary()).cast(pa.binary())})
 
@@ -222,18 +261,3 @@ def near_vectors(rows: DataFrame, threshold: float = 0.95, vec_id: str = "vec_id
     linked = known.join(least, "root").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id")
     others = rows.where(~whole | F.col(vec_id).isNull()).select(F.col(vec_id).alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col(vec_id).alias("component_id"))
     return linked.unionByName(others).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
-
-
-def _share_leaf_centres(tree: Node, raw: np.ndarray) -> None:
-    """Gives leaves their centre's unit vector, for comparisons with nodes of other trees."""
-    stack = [tree]
-    while stack:
-        node = stack.pop()
-        if node.members is None:
-            stack += node.children
-            for child, c in zip(node.children, node.centres):
-                if child.members is not None:
-                    child.centres = c[None, :]
-        elif node is tree:
-            v = raw[node.centre].astype(np.float64)
-            node.centres = (v / np.linalg.norm(v)).astype(np.float32)[None, :]
