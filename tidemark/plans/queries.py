@@ -1,6 +1,6 @@
 """All registered queries of the library's own operators."""
 
-from . import rolling_regime, scaling_states
+from . import proximity_networks, rolling_regime, scaling_states, visibility_graphs
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "rolling_regime", "scaling_states"]
+__all__ = ["ORACLE_SQL", "QUERIES", "proximity_networks", "rolling_regime", "scaling_states", "visibility_graphs"]

@@ -53,7 +53,7 @@ on_series(
 
 REGION_SQL = """SELECT day, t, max(CASE WHEN r = 'ASIA' THEN v END) AS asia, max(CASE WHEN r = 'EUROPE' THEN v END) AS europe, max(CASE WHEN r = 'AFRICA' THEN v END) AS africa
     FROM (SELECT day, dense_rank() OVER (ORDER BY day) AS t, r, v FROM (
-        SELECT cast(o_orderdate AS DATE) AS day, r_name AS r, round(sum(o_totalprice) / 100000, 6) AS v FROM orders
+        SELECT cast(o_orderdate AS DATE) AS day, r_name AS r, round(sum(o_totalprice) / 100000, 8) AS v FROM orders
         JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2))
     GROUP BY day, t"""
 
@@ -63,7 +63,7 @@ def region_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, customer, nation, region = (src.read(spark, sf_dir, n) for n in ("orders", "customer", "nation", "region"))
     named = nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey)  # 25 rows by definition
     joined = orders.join(customer, orders.o_custkey == customer.c_custkey).join(F.broadcast(named), F.col("c_nationkey") == F.col("n_nationkey"))
-    daily = joined.groupBy(F.to_date("o_orderdate").alias("day")).pivot("r_name", ["ASIA", "EUROPE", "AFRICA", "AMERICA", "MIDDLE EAST"]).agg(F.round(F.sum("o_totalprice") / 100000, 6))
+    daily = joined.groupBy(F.to_date("o_orderdate").alias("day")).pivot("r_name", ["ASIA", "EUROPE", "AFRICA", "AMERICA", "MIDDLE EAST"]).agg(F.round(F.sum("o_totalprice") / 100000, 8))
     numbered = daily.withColumn("series_id", F.lit("regions"))
     return src.add_time(numbered, "series_id", ["day"]).select("series_id", "t", F.col("ASIA").alias("asia"), F.col("EUROPE").alias("europe"), F.col("AFRICA").alias("africa"))
 
@@ -146,12 +146,18 @@ def changes_sql(method: str) -> str:
         {kind} AS change_type, coalesce({size}, 0) AS change_magnitude, CAST({sure} AS DOUBLE) AS confidence, least_n AS min_size, i FROM z)"""
 
 
-FOUND = ["series_id", "t", "regime_change", "regime_id", "change_type", r6("change_magnitude"), r6("confidence")]
+
+
+def shown(found: DataFrame) -> DataFrame:
+    """The compared columns of detected changes."""
+    return found.select("series_id", "t", "regime_change", "regime_id", "change_type", r6("change_magnitude"), r6("confidence"))
+
+
 FOUND_SQL = f"SELECT series_id, t, regime_change, regime_id, change_type, {q6('change_magnitude', 'change_magnitude')}, {q6('confidence', 'confidence')} FROM found"
 SHORT = {"cumulative_peaks": "peaks", "variance_shift": "variance"}
 for _m in (*METHODS, "smart", "all"):
-    on_series(f"regime_{SHORT.get(_m, _m)}", "s1", lambda s, m=_m: regime.detect_changes(s, m).select(*FOUND), f"{changes_sql(_m)} {FOUND_SQL}")
-on_series("regime_smart_orders", "s2", lambda s: regime.detect_changes(s, "smart").select(*FOUND), f"{changes_sql('smart')} {FOUND_SQL}")
+    on_series(f"regime_{SHORT.get(_m, _m)}", "s1", lambda s, m=_m: shown(regime.detect_changes(s, m)), f"{changes_sql(_m)} {FOUND_SQL}")
+on_series("regime_smart_orders", "s2", lambda s: shown(regime.detect_changes(s, "smart")), f"{changes_sql('smart')} {FOUND_SQL}")
 
 STABILITY = """, st AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY series_id) = 1 THEN 0.5 ELSE least(1, count(*) OVER (PARTITION BY series_id, regime_id) / (min_size * 2.0)) END AS score FROM found)"""
 on_series(

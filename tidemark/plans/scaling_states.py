@@ -122,11 +122,11 @@ DISC = {
         SELECT series_id, t, CAST(CASE WHEN ok THEN CASE WHEN bins = {K} THEN greatest(1, least({K}, ceil(round((x - a) / w, 9)))) ELSE {BIN} END END AS INT) AS state FROM d"""),
 }
 for _m, (_which, _sql) in DISC.items():
-    on_series({"percentile_magnitude": "disc_pct_magnitude", "adaptive_magnitude": "disc_adaptive"}.get(_m, f"disc_{_m}"), _which, lambda s, m=_m: discretize.discretize(s, m, K).select("series_id", "t", "state"), _sql)
+    on_series({"percentile_magnitude": "disc_pct_magnitude", "adaptive_magnitude": "disc_adaptive"}.get(_m, f"disc_{_m}"), _which, lambda s, m=_m: discretize.discretize(s, m, K).where("state IS NOT NULL").select("series_id", "t", "state"), f"SELECT * FROM ({_sql}) WHERE state IS NOT NULL")
 on_series("disc_kmeans", "s1", lambda s: discretize.discretize(s, "kmeans", 3).select("series_id", "t", "state"))
 on_series(
     "qstates", "s1", lambda s: discretize.quantile_states(s, 4).select("series_id", "t", "state"),
-    f"""{S}, q AS (SELECT series_id, {quantile_list("value")} AS b FROM s GROUP BY 1)
+    f"""{S}, q AS (SELECT series_id, {quantile_list("value", 4)} AS b FROM s GROUP BY 1)
     SELECT series_id, t, CASE WHEN len(list_distinct(b)) = len(b) THEN 'Q' || (1 + len(list_filter(b[2:4], lambda c: value >= c))) END AS state FROM s JOIN q USING (series_id)""",
 )
 on_series(
@@ -199,6 +199,6 @@ on_series(
 )
 on_series(
     "stna_edges", "s1", lambda s: markov.state_network(s, 4, "quantile", "user")["edges"].select("series_id", "from_state", "to_state", r6("weight")),
-    f"""WITH s AS ({{s}}), q AS (SELECT series_id, {quantile_list("value")} AS b FROM s GROUP BY 1), x AS (SELECT series_id, t, CASE WHEN len(list_distinct(b)) = len(b) THEN 1 + len(list_filter(b[2:4], lambda c: value > c)) END AS state FROM s JOIN q USING (series_id))"""
+    f"""WITH s AS ({{s}}), q AS (SELECT series_id, {quantile_list("value", 4)} AS b FROM s GROUP BY 1), x AS (SELECT series_id, t, CASE WHEN len(list_distinct(b)) = len(b) THEN 1 + len(list_filter(b[2:4], lambda c: value > c)) END AS state FROM s JOIN q USING (series_id))"""
     + GRID.replace("{counts}", LEVELS["user"].replace("FROM x)", "FROM x WHERE state IS NOT NULL)")) + f", p AS (SELECT *, n / (sum(n) OVER (PARTITION BY from_state) + 1e-10) AS prob FROM f) SELECT series_id, from_state, to_state, {q6('prob', 'weight')} FROM p WHERE prob > 0",
 )

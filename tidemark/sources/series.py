@@ -106,7 +106,7 @@ def events_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 def orders_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One series: total order price a day, in 100,000."""
     daily = read(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.sum("o_totalprice").alias("v"))
-    return to_series(daily, F.round(F.col("v") / 100000, 6), ["day"], F.lit("orders"))
+    return to_series(daily, F.round(F.col("v") / 100000, 8), ["day"], F.lit("orders"))
 
 
 def ships_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +128,7 @@ def events_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The same series for DuckDB, as bodies of common table expressions.
 SQL = {
     "s1": "SELECT cast(user_id AS VARCHAR) AS series_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t, value FROM events",
-    "s2": """SELECT 'orders' AS series_id, row_number() OVER (ORDER BY day) AS t, round(v / 100000, 6) AS value
+    "s2": """SELECT 'orders' AS series_id, row_number() OVER (ORDER BY day) AS t, round(v / 100000, 8) AS value
         FROM (SELECT cast(o_orderdate AS DATE) AS day, sum(o_totalprice) AS v FROM orders GROUP BY 1)""",
     "s3": """SELECT l_returnflag AS series_id, row_number() OVER (PARTITION BY l_returnflag ORDER BY day) AS t, v AS value
         FROM (SELECT l_returnflag, cast(l_shipdate AS DATE) AS day, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2)""",
