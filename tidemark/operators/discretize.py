@@ -78,7 +78,7 @@ def by_width(series: DataFrame, k: int) -> DataFrame:
 def by_symbol(series: DataFrame, k: int) -> DataFrame:
     """Bins of the z-score between normal quantiles."""
     df = _with(series, m=F.avg("value"), s=F.stddev_samp("value"))
-    z = (F.col("value") - F.col("_m")) / F.col("_s")
+    z = F.try_divide(F.col("value") - F.col("_m"), F.col("_s"))
     cuts = [NormalDist().inv_cdf(i / k) for i in range(1, k)]
     return _done(df, series, F.when((F.col("_s") > 0) & z.isNotNull(), reduce(lambda a, b: a + b, [(z > c).cast("int") for c in cuts]) + 1))
 
@@ -105,7 +105,7 @@ def by_adaptive_magnitude(series: DataFrame, k: int, window: int = 10) -> DataFr
     """Quantile bins of the z-score against the last ``window`` values."""
     by = Window.partitionBy("series_id").orderBy("t")
     frame = by.rowsBetween(-(window - 1), 0)
-    z = F.round((F.col("value") - F.avg("value").over(frame)) / F.stddev_samp("value").over(frame), 9)
+    z = F.round(F.try_divide(F.col("value") - F.avg("value").over(frame), F.stddev_samp("value").over(frame)), 9)
     full = F.row_number().over(by) >= window
     df = _with(series.withColumn("_z", F.when(full & ~F.isnan(z), z)), breaks=quantiles("_z", _even(k)))
     return _done(df, series, F.when(_distinct_breaks(F.col("_breaks")), bin_of(F.col("_z"), F.col("_breaks"))))
@@ -132,8 +132,8 @@ def by_entropy(series: DataFrame, k: int, candidates: int = 20) -> DataFrame:
     width = r / (2 * k) + (r / k - r / (2 * k)) * F.col("_c") / (candidates - 1)
     start, stop = F.col("_lo") - 0.001 * r, F.col("_hi") + 0.001 * r
     # Breaks run from start by width as far as they fit; the last is moved up to the maximum.
-    n_bins = F.greatest(F.lit(1), F.floor(F.round((stop - start) / width, 9)))
-    at = F.greatest(F.lit(1), F.least(n_bins, F.ceil(F.round((F.col("value") - start) / width, 9))))
+    n_bins = F.greatest(F.lit(1), F.floor(F.round(F.try_divide(stop - start, width), 9)))
+    at = F.greatest(F.lit(1), F.least(n_bins, F.ceil(F.round(F.try_divide(F.col("value") - start, width), 9))))
     binned = tried.where("value IS NOT NULL").select("series_id", "_c", n_bins.alias("_bins"), at.alias("_b"))
     counts = binned.groupBy("series_id", "_c", "_bins", "_b").agg(F.count("*").alias("_n"))
     total = F.sum("_n").over(Window.partitionBy("series_id", "_c"))
@@ -141,7 +141,7 @@ def by_entropy(series: DataFrame, k: int, candidates: int = 20) -> DataFrame:
     entropy = counts.withColumn("_total", total).groupBy("series_id", "_c", "_bins").agg(F.round(-F.sum(p * F.log(p)), 9).alias("_e"))
     best = entropy.groupBy("series_id").agg(F.max(F.struct("_e", (-F.col("_c")).alias("c"), "_bins")).alias("x")).select("series_id", (-F.col("x.c")).alias("_c"), F.col("x._bins").alias("_bins"))
     df = df.join(best, "series_id")
-    own = F.greatest(F.lit(1), F.least(F.lit(k), F.ceil(F.round((F.col("value") - start) / width, 9))))
+    own = F.greatest(F.lit(1), F.least(F.lit(k), F.ceil(F.round(F.try_divide(F.col("value") - start, width), 9))))
     even = F.array(*[F.round(F.col("_lo") + r * (i / k), 10) for i in range(k + 1)])
     state = F.when(F.col("_bins") == k, own).otherwise(bin_of(F.col("value"), even))
     return _done(df, series, F.when((F.col("_u") >= k) & F.col("value").isNotNull(), state))

@@ -79,8 +79,8 @@ def _raw(p: Parameters) -> dict[str, Column]:
     inside = (n >= 2 * w) & (i > w) & (i <= n - w)
     spread = F.sqrt((F.col("_s0") + F.col("_s1")) / 2)
     # A two-sided normal test at level p.
-    z = F.abs(F.col("_m0") - F.col("_m1")) / (spread * math.sqrt(2 / w))
-    ratio = F.greatest("_s0", "_s1") / F.least("_s0", "_s1")
+    z = F.try_divide(F.abs(F.col("_m0") - F.col("_m1")), spread * math.sqrt(2 / w))
+    ratio = F.try_divide(F.greatest("_s0", "_s1"), F.least("_s0", "_s1"))
     bend = F.abs(F.col("_lead") - 2 * x + F.col("_lag"))
     return {
         "cumulative_peaks": (n >= w) & (x > F.col("_lag")) & (x > F.col("_lead")),
@@ -98,7 +98,7 @@ def _magnitudes() -> dict[str, Column]:
     step = F.abs(x - F.coalesce("_lag", F.lit(0.0)))
     first_rv = F.when(F.col("_i") == 1, F.abs("_rv")).otherwise(F.col("_rd"))
     at = lambda m, c: F.when(F.col(m), c).otherwise(0.0)
-    ratio = F.greatest("_s0", "_s1") / F.least("_s0", "_s1")
+    ratio = F.try_divide(F.greatest("_s0", "_s1"), F.least("_s0", "_s1"))
     fine = (F.col("_n") >= 2 * F.col("_w")) & (F.col("_i") > F.col("_w")) & (F.col("_i") <= F.col("_n") - F.col("_w")) & (F.col("_s0") > 1e-9) & (F.col("_s1") > 1e-9)
     return {
         "cumulative_peaks": at("_c_cumulative_peaks", step),

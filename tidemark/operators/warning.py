@@ -41,14 +41,22 @@ def _with_spectrum(df: DataFrame, n: int = 100) -> DataFrame:
     return df.withColumn("_long", F.lit(float(n)) / F.array_position("_power", F.array_max("_power")) > 20)
 
 
+def _minus(column: str):
+    return lambda v: v - F.col(column)
+
+
+def _times_later(column: str, lag: int):
+    return lambda v, i: v * F.coalesce(F.get(F.col(column), i + lag), F.lit(0.0))
+
+
 def _with_memory(df: DataFrame) -> DataFrame:
     """Adds ``_grown``: whether the mean autocorrelation at lags 1 to 5 of the last 50 values exceeds that of the 50 before by 0.2."""
     for name, start in (("_new50", 51), ("_old50", 1)):
         df = df.withColumn(name, F.when(F.size("_last") == 100, F.slice("_last", start, 50)))
         df = df.withColumn(f"{name}_m", _total(F.col(name)) / 50)
-        df = df.withColumn(f"{name}_d", F.transform(name, lambda v, m=f"{name}_m": v - F.col(m)))
+        df = df.withColumn(f"{name}_d", F.transform(name, _minus(f"{name}_m")))
         d = f"{name}_d"
-        lagged = [_total(F.transform(d, lambda v, i, k=k, d=d: v * F.coalesce(F.get(F.col(d), i + k), F.lit(0.0)))) for k in range(1, 6)]
+        lagged = [_total(F.transform(d, _times_later(d, k))) for k in range(1, 6)]
         bottom = _total(F.transform(d, lambda v: v * v))
         df = df.withColumn(f"{name}_a", F.when(bottom > 0, sum(lagged[1:], lagged[0]) / bottom / 5))
     return df.withColumn("_grown", F.col("_new50_a") > F.col("_old50_a") + 0.2)
@@ -93,7 +101,7 @@ def indicators(rows: DataFrame, extremes: tuple[float, float] = (0.05, 0.95), tr
         step = lambda k: F.col("value") - F.lag("value", k).over(by)
         out = out.withColumns({f"_d{k}": step(k) for k in (1, 2, 4)})
         out = out.withColumns({f"_v{k}": F.var_samp(f"_d{k}").over(frame(60 - k)) / k for k in (1, 2, 4)})
-        off = lambda k: F.abs(F.col(f"_v{k}") / F.col("_v1") - 1) > 0.5
+        off = lambda k: F.abs(F.try_divide(F.col(f"_v{k}"), F.col("_v1")) - 1) > 0.5
         out = out.withColumns({"_last": F.collect_list("value").over(frame(100)), "_new": F.col("_moved") + F.when(F.col("_old").isNull(), 1).otherwise(0)})
         out = out.withColumn("_run", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
         out = out.withColumn("_len", F.count("*").over(Window.partitionBy("series_id", "_run")))
