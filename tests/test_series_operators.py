@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import distances
-from tidemark.operators import discretize, hurst, markov, proximity, regime, rolling, scaling, visibility, warning
+from tidemark.operators import clustering, discretize, hurst, markov, proximity, regime, rolling, scaling, visibility, warning
 from tidemark.plans.queries import ORACLE_SQL, QUERIES
 from tidemark.sources import series as src
 
@@ -134,7 +134,7 @@ def test_discretisers(spark, method):
     out = discretize.discretize(s, method, 3).collect()
     known = {r.state for r in out if r.series_id == "a" and r.state is not None}
     assert len(out) == 73 and known <= {1, 2, 3, 4} and len(known) >= 2
-    if method not in ("change_points", "magnitude"):
+    if method not in ("change_points", "magnitude", "proxy_windowed"):
         assert all(r.state is None for r in out if r.series_id == "flat")
 
 
@@ -143,6 +143,25 @@ def test_kmeans_separates(spark):
     assert [r.state for r in discretize.discretize(s, "kmeans", 3).orderBy("t").collect()] == [1] * 3 + [2] * 3 + [3] * 3
 
 
+@pytest.mark.parametrize("method", ["mixture", "hierarchical"])
+def test_clusters_separate(spark, method):
+    s = frame(spark, [1, 1.1, 0.9, 5, 5.1, 4.9, 9, 9.2, 8.8])
+    assert [r.state for r in discretize.discretize(s, method, 3).orderBy("t").collect()] == [1] * 3 + [2] * 3 + [3] * 3
+
+
+def test_linkage_matches_brute_force():
+    rng = np.random.default_rng(7)
+    for _ in range(20):
+        v = np.unique(rng.normal(size=15))
+        groups = [[x] for x in v]
+        while len(groups) > 4:
+            i = min(range(len(groups) - 1), key=lambda i: groups[i + 1][-1] - groups[i][0])
+            groups[i : i + 2] = [groups[i] + groups[i + 1]]
+        assert clustering.complete_linkage_cuts(v, 4).tolist() == [g[-1] for g in groups[:-1]]
+    x = np.concatenate([rng.normal(0, 0.1, (6, 3)), rng.normal(5, 0.1, (4, 3)), rng.normal(9, 0.1, (5, 3))])
+    assert clustering.ward_labels(x, 3).tolist() == [1] * 6 + [2] * 4 + [3] * 5
+
+
 def test_quantile_states_and_maps(spark):
     s = frame(spark, [1, 2, 3, 4, None])
     assert [r.state for r in discretize.quantile_states(s, 2, na_label="NA").orderBy("t").collect()] == ["Q1", "Q1", "Q2", "Q2", "NA"]

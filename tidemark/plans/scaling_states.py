@@ -6,7 +6,7 @@ from statistics import NormalDist
 
 from pyspark.sql import functions as F
 
-from ..operators import discretize, markov, scaling
+from ..operators import clustering, discretize, markov, scaling
 from ..sources import series as src
 from .registry import on_series, q6, r6
 
@@ -124,6 +124,9 @@ DISC = {
 for _m, (_which, _sql) in DISC.items():
     on_series({"percentile_magnitude": "disc_pct_magnitude", "adaptive_magnitude": "disc_adaptive"}.get(_m, f"disc_{_m}"), _which, lambda s, m=_m: discretize.discretize(s, m, K).where("state IS NOT NULL").select("series_id", "t", "state"), f"SELECT * FROM ({_sql}) WHERE state IS NOT NULL")
 on_series("disc_kmeans", "s1", lambda s: discretize.discretize(s, "kmeans", 3).select("series_id", "t", "state"))
+on_series("disc_mixture", "s1", lambda s: discretize.discretize(s, "mixture", 3).select("series_id", "t", "state"))
+on_series("disc_hierarchical", "s1", lambda s: clustering.by_linkage(s, 3).select("series_id", "t", "state"))
+on_series("disc_proxy_windowed", "s1", lambda s: discretize.discretize(s, "proxy_windowed", 3, window=8, step=2).select("series_id", "t", "state"))
 on_series(
     "qstates", "s1", lambda s: discretize.quantile_states(s, 4).select("series_id", "t", "state"),
     f"""{S}, q AS (SELECT series_id, {quantile_list("value", 4)} AS b FROM s GROUP BY 1)
