@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textbytes import blocks
+from .textbytes import blocks, emit
 
 DIMENSION = 1024
 SYMBOLS = 256
@@ -101,11 +101,12 @@ def fit(labelled: DataFrame, dimension: int = DIMENSION) -> dict[str, np.ndarray
         for batch in batches:
             names = np.array(batch.column("lang").to_pylist(), object)
             kinds, which = np.unique(names.astype(str), return_inverse=True)
-            counts: dict[int, dict] = {}
             for row, offsets, buf in blocks(batch.column("text"), _BLOCK):
                 code, doc, _ = trigrams(buf, offsets)
                 uniq, at = np.unique(code, return_inverse=True)
-                table = np.bincount(which[row + doc] * len(uniq) + at, minlength=len(kinds) * len(uniq)).reshape(len(kinds), -1)
+                # A text weighs the same whatever its length, so that no long one makes a profile alone.
+                weight = 1 / np.maximum(np.bincount(doc, minlength=len(offsets) - 1), 1)
+                table = np.bincount(which[row + doc] * len(uniq) + at, weight[doc], len(kinds) * len(uniq)).reshape(len(kinds), -1)
                 vectors = table.astype(np.float64) @ trigram_vectors(uniq, dimension)
                 for name, v in zip(kinds.tolist(), vectors):
                     sums[name] = sums.get(name, 0) + v
@@ -117,7 +118,7 @@ def fit(labelled: DataFrame, dimension: int = DIMENSION) -> dict[str, np.ndarray
         )
 
     rows = labelled.select("text", F.col("lang").cast("string").alias("lang")).dropna()
-    # Whole numbers add exactly in any order; a row a language and axis reaches the driver.
+    # A row a language and axis reaches the driver.
     found = rows.mapInArrow(bundle, "lang string, axis long, x double").groupBy("lang", "axis").agg(F.sum("x").alias("x")).collect()
     out: dict[str, np.ndarray] = {}
     for lang, axis, x in sorted(found):
@@ -125,19 +126,19 @@ def fit(labelled: DataFrame, dimension: int = DIMENSION) -> dict[str, np.ndarray
     return out
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``, the cosine (0 if negative) with the chosen profile.
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (default all) of ``docs`` with ``lang_pred`` and ``score``, the cosine (0 if negative) with the chosen profile.
 
     A text that is null or has no letter is ``und`` with score 0, as is every text if
     no language was learned.  Columns of these names are replaced.
     """
-    docs = docs.drop("lang_pred", "score")
+    keep = [c for c in keep or docs.columns if c not in ("lang_pred", "score")]
     names = [*prototypes] or [UNDETERMINED]
     matrix = np.array([prototypes[k] for k in prototypes] or [np.ones(DIMENSION)])
     unit = (matrix / np.linalg.norm(matrix, axis=1, keepdims=True)).astype(np.float32)
     shared = docs.sparkSession.sparkContext.broadcast(unit)
     learned = bool(prototypes)
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,8 +157,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
             score = np.clip(dots[np.arange(len(best)), best] / np.maximum(norms, 1e-9), 0, 1)
             known = (letters > 0) & learned
             pred = np.where(known, np.array(names, object)[best], UNDETERMINED)
-            cols = [pa.array(pred.tolist(), pa.string()), pa.array(np.where(known, score, 0.0))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, "lang_pred", "score"])
+            yield from emit(batch, keep, {"lang_pred": pa.array(pred.tolist(), pa.string()), "score": pa.array(np.where(known, score, 0.0))})
 
     return docs.mapInArrow(run, schema)
 
@@ -167,10 +167,11 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def identify(docs: DataFrame) -> DataFrame:
-    """``docs`` with held_out, lang_pred and score, learned from its own labelled rows that are not held out."""
+def identify(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (default all) of ``docs`` with held_out, lang_pred and score, learned from its own labelled rows that are not held out."""
     model = fit(docs.where(~held_out()).select("text", "lang"))
-    return predict(docs.drop("held_out").withColumn("held_out", held_out()), model)
+    keep = [c for c in keep or docs.columns if c != "held_out"]
+    return predict(docs.drop("held_out").withColumn("held_out", held_out()), model, [*keep, "held_out"])
 
 
 def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 from .common import written
 from .features import ngram_slots
 from .quality import bounded_labels
+from .textbytes import emit
 
 SLOTS, EVIDENCE, PRIOR, RIDGE, STEPS, CLOSE = 4096, 30, 1.0, 0.01, 60, 1e-4
 MAX_LABELS = 20_000
@@ -87,11 +88,11 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, most: int = MAX_LABELS, sl
     return Mixture(domains, np.log(model) - np.log(common))
 
 
-def membership(docs: DataFrame, mixture: Mixture) -> DataFrame:
-    """``docs`` with n_tokens and posterior (one probability a domain); a text without tokens is spread evenly."""
-    docs = docs.drop("n_tokens", "posterior")
+def membership(docs: DataFrame, mixture: Mixture, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (default all) of ``docs`` with n_tokens and posterior (one probability a domain); a text without tokens is spread evenly."""
+    keep = [c for c in keep or docs.columns if c not in ("n_tokens", "posterior")]
     shared = docs.sparkSession.sparkContext.broadcast(mixture.log_likelihood)
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("posterior", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("n_tokens", T.LongType()), T.StructField("posterior", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -104,8 +105,7 @@ def membership(docs: DataFrame, mixture: Mixture) -> DataFrame:
                 grams[row : row + len(n)] += np.bincount(doc, minlength=len(n))
             p = mixture.posteriors(sums, grams)
             offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * p.shape[1])
-            cols = [pa.array(tokens), pa.ListArray.from_arrays(offsets, pa.array(p.ravel()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, "n_tokens", "posterior"])
+            yield from emit(batch, keep, {"n_tokens": pa.array(tokens), "posterior": pa.ListArray.from_arrays(offsets, pa.array(p.ravel()))})
 
     return docs.mapInArrow(run, schema)
 
@@ -166,8 +166,8 @@ def with_rates(docs: DataFrame, mixture: Mixture, seed: int = 11) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 p = _posteriors(batch)
-                cols = [pa.array([mixture.domains[k] for k in p.argmax(axis=1)], pa.string()), pa.array(mixture.replay(p)[0])]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, "domain", "rate"])
+                domain = pa.array([mixture.domains[k] for k in p.argmax(axis=1)], pa.string())
+                yield from emit(batch, batch.schema.names, {"domain": domain, "rate": pa.array(mixture.replay(p)[0])})
 
     uniform = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / float(1 << 53)
     return docs.mapInArrow(run, schema).withColumn("copies", F.floor(F.col("rate") + uniform))
@@ -180,7 +180,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None =
     one.  Null and empty texts have no tokens and a rate by an even posterior.
     """
     mixture = fit_domains(docs, labelled)
-    members = written(membership(docs.select("doc_id", "text"), mixture).drop("text"), "members")
+    members = written(membership(docs.select("doc_id", "text"), mixture, ["doc_id"]), "members")
     fit_rates(members, mixture, targets, temper)
     return mixture, with_rates(members, mixture)
 

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from .common import top_k_threshold, written
 from .features import ngram_slots
+from .textbytes import emit
 
 SLOTS, EVIDENCE, PRIOR, LEAST_CHANCE = 10_000, 50, 4, 0.01
 MAX_LABELS = 20_000
@@ -77,14 +78,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", slots: int =
     return RatioModel(np.log(target) - np.log(expected), share)
 
 
-def weigh(docs: DataFrame, model: RatioModel) -> DataFrame:
-    """``docs`` with ``log_weight``; null where a text (null, empty, blank) has no token.
+def weigh(docs: DataFrame, model: RatioModel, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (default all) of ``docs`` with ``log_weight``; null where a text (null, empty, blank) has no token.
 
     A clashing column of that name is replaced.
     """
     slots, ratio = len(model.log_ratio), docs.sparkSession.sparkContext.broadcast(model.log_ratio)
-    docs = docs.drop("log_weight")
-    schema = T.StructType([*docs.schema.fields, T.StructField("log_weight", T.DoubleType())])
+    keep = [c for c in keep or docs.columns if c != "log_weight"]
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("log_weight", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,7 +95,7 @@ def weigh(docs: DataFrame, model: RatioModel) -> DataFrame:
                 tokens[row : row + len(n)] += n
                 grams[row : row + len(n)] += np.bincount(doc, minlength=len(n))
             weight = pa.array(total * np.minimum(1, EVIDENCE / np.maximum(grams, 1)), mask=tokens == 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, weight], names=[*batch.schema.names, "log_weight"])
+            yield from emit(batch, keep, {"log_weight": weight})
 
     return docs.mapInArrow(run, schema)
 
@@ -113,7 +114,7 @@ def importance_resample(docs: DataFrame, labels: DataFrame, k: int | None = None
     are selected together; with fewer than ``k`` weighed rows all of these are.
     """
     model = fit(docs, labels, label)
-    scores = written(with_key(weigh(docs.select("doc_id", "text"), model).drop("text"), seed), "weights")
+    scores = written(with_key(weigh(docs.select("doc_id", "text"), model, ["doc_id"]), seed), "weights")
     if k is None:
         k = scores.where(F.col("log_weight") + float(np.log(model.share)) >= float(np.log(LEAST_CHANCE))).count()
     least = top_k_threshold(scores, "gumbel_key", k)

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from .common import partitions, written
 from .components import connected_components
-from .textbytes import blocks, lower_ascii, runs
+from .textbytes import blocks, emit, lower_ascii, runs
 
 MAX_BITS = 4
 _BLANK = np.zeros(256, bool)
@@ -85,14 +85,14 @@ def fingerprints_of(column: pa.Array, size: int) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, text: str = "text", size: int = 4, name: str = "fp") -> DataFrame:
-    """``docs`` with a BIGINT column of fingerprints (the unsigned value's bits)."""
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
+def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", size: int = 4, name: str = "fp") -> DataFrame:
+    """The columns ``keep`` of ``docs`` and a BIGINT fingerprint (the unsigned value's bits)."""
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(name, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = fingerprints_of(batch.column(text), size).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp)], names=[*batch.schema.names, name])
+            yield from emit(batch, keep, {name: pa.array(fp)})
 
     return docs.mapInArrow(run, schema)
 
@@ -254,7 +254,7 @@ def simhash_groups(docs: DataFrame, bits: int = MAX_BITS, size: int = 4, doc_id:
     link like any other; rows of one fingerprint are one node, so repeated rows and
     large groups of copies cost one row each; other columns of ``docs`` are not read.
     """
-    prints = written(fingerprints(docs.select(doc_id, text), text, size).select(F.col(doc_id).alias("doc_id"), "fp"), "prints")
+    prints = written(fingerprints(docs.select(doc_id, text), [doc_id], text, size).select(F.col(doc_id).alias("doc_id"), "fp"), "prints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connected_components(near_fingerprints(distinct, bits))
     nodes = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -67,6 +67,16 @@ def _next_space(buf: np.ndarray, at: int, end: int) -> int:
     return end
 
 
+SLICE_ROWS = 1024
+
+
+def emit(batch: pa.RecordBatch, keep: list[str], new: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
+    """The kept columns of a batch and new ones, in slices that bound what is in flight on both sides."""
+    out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *new.values()], names=[*keep, *new])
+    for at in range(0, batch.num_rows, SLICE_ROWS):
+        yield out.slice(at, SLICE_ROWS)
+
+
 def lower_ascii(buf: np.ndarray) -> np.ndarray:
     """The bytes with A-Z, and nothing else, lower-cased."""
     return np.where((buf >= 65) & (buf <= 90), buf + 32, buf).astype(np.uint8)
