@@ -24,7 +24,7 @@ DIMENSION = 1024
 SYMBOLS = 256
 """Blank, the letters a to z, and hashed classes of all other letters."""
 UNDETERMINED = "und"
-_BLOCK = 1 << 20
+_BLOCK = 1 << 19
 
 
 @lru_cache(maxsize=1)

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -75,6 +75,8 @@ def emit(batch: pa.RecordBatch, keep: list[str], new: dict[str, pa.Array]) -> It
     out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *new.values()], names=[*keep, *new])
     for at in range(0, batch.num_rows, SLICE_ROWS):
         yield out.slice(at, SLICE_ROWS)
+    del out
+    pa.default_memory_pool().release_unused()  # an executor's workers share its memory with the JVM
 
 
 def lower_ascii(buf: np.ndarray) -> np.ndarray:
