@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..sources import series as src
 
+NUDGE = 1.3e-11
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 SERIES = {"s1": src.events_by_user, "s2": src.orders_daily, "s3": src.ships_daily, "s4": src.events_hourly}
@@ -32,12 +34,16 @@ def on_series(name: str, which: str, build: Callable[[DataFrame], DataFrame], sq
 
 
 def r6(c: str | Column, alias: str | None = None, digits: int = 9) -> Column:
-    """A double rounded for comparison; adding zero turns -0.0 into 0.0."""
+    """A double rounded for comparison.
+
+    Engines differ on exact halves (short binary fractions have many), so all values are
+    moved off them by a little first; adding zero turns -0.0 into 0.0.
+    """
     col = F.col(c) if isinstance(c, str) else c
-    out = F.round(col.cast("double"), digits) + F.lit(0.0)
+    out = F.round(col.cast("double") + F.lit(NUDGE), digits) + F.lit(0.0)
     return out.alias(alias or c) if alias or isinstance(c, str) else out
 
 
 def q6(expression: str, alias: str, digits: int = 9) -> str:
     """The same rounding in SQL."""
-    return f"round(CAST({expression} AS DOUBLE), {digits}) + 0.0 AS {alias}"
+    return f"round(CAST({expression} AS DOUBLE) + {NUDGE}, {digits}) + 0.0 AS {alias}"
