@@ -97,6 +97,12 @@ def test_groups_match_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in brute_groups(rows)})
 
 
+def test_rows_without_id_stay(spark):
+    df = spark.createDataFrame([(None, "a b c d", "x", 1), (None, None, "x", 1), (3, "a b c d", "x", 1), (4, "a b c d", "x", 1)], ROWS)
+    assert sorted(str(r.doc_id) for r in simhash.deduplicate(df).collect()) == ["3", "None", "None"]
+    assert simhash.simhash_groups(df).count() == 4
+
+
 def test_empty_table(spark):
     assert simhash.simhash_groups(spark.createDataFrame([], ROWS)).collect() == []
     assert simhash.deduplicate(spark.createDataFrame([], ROWS)).collect() == []

@@ -267,9 +267,10 @@ def simhash_groups(docs: DataFrame, bits: int = MAX_BITS, size: int = 4, doc_id:
 def deduplicate(docs: DataFrame, bits: int = MAX_BITS, size: int = 4) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that of its smallest doc_id.
 
-    Of repeated rows with that doc_id one stays (the least fingerprint, then text).
+    Of several rows with that doc_id any one stays.  Rows without doc_id cannot be told
+    apart and all stay.
     """
-    groups = simhash_groups(docs, bits, size)
+    groups = simhash_groups(docs.where("doc_id IS NOT NULL"), bits, size)
     keep = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
