@@ -46,12 +46,12 @@ for _m, _e in METRIC_SQL.items():
         f"{PAIRS} SELECT series_id, src, dst, {q6(_e, 'distance', 7)} FROM p",
     )
 on_series(
-    "dist_spearman", "s2", lambda s: proximity.pairwise(win(s.where("t <= 500")), "spearman").select("series_id", "src", "dst", r6("distance", digits=7)),
+    "dist_spearman", "s2", lambda s: proximity.pairwise(win(s), "spearman").select("series_id", "src", "dst", r6("distance", digits=7)),
     PAIRS.replace("({s})", "(SELECT * FROM ({s}) WHERE t <= 500)").replace("SELECT a.series_id", f"SELECT a.series_id, {RANKED.format(v='a.x')} AS rx, {RANKED.format(v='b.x')} AS ry") + f" SELECT series_id, src, dst, {q6(corr_sql('rx', 'ry'), 'distance', 7)} FROM p",
 )
-on_series("dist_kendall", "s2", lambda s: proximity.pairwise(win(s.where("t <= 300")), "kendall").select("series_id", "src", "dst", r6("distance", digits=7)))
-on_series("dist_dtw", "s2", lambda s: proximity.pairwise(proximity.windows(s.where("t <= 600"), 20, 60), "dtw").select("series_id", "src", "dst", r6("distance", digits=7)))
-on_series("dist_dtw_symmetric2", "s2", lambda s: proximity.pairwise(proximity.windows(s.where("t <= 600"), 20, 60), "dtw_symmetric2").select("series_id", "src", "dst", r6("distance", digits=7)))
+on_series("dist_kendall", "s2", lambda s: proximity.pairwise(win(s), "kendall").select("series_id", "src", "dst", r6("distance", digits=7)))
+on_series("dist_dtw", "s2", lambda s: proximity.pairwise(proximity.windows(s, 20), "dtw").select("series_id", "src", "dst", r6("distance", digits=7)))
+on_series("dist_dtw_symmetric2", "s2", lambda s: proximity.pairwise(proximity.windows(s, 20), "dtw_symmetric2").select("series_id", "src", "dst", r6("distance", digits=7)))
 on_series(
     "dist_consecutive", "s3", lambda s: proximity.pairwise(win(s), "euclidean", consecutive=True).select("series_id", "src", "dst", r6("distance", digits=7)),
     f"{PAIRS} SELECT series_id, src, dst, {q6(METRIC_SQL['euclidean'], 'distance', 7)} FROM p WHERE dst = src + 1",
