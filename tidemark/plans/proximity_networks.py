@@ -73,8 +73,8 @@ on_series(
     round(sqrt(list_sum(list_transform(range(1, 65), lambda i: (CAST(a.x[i] AS DOUBLE) - b.x[i]) * (CAST(a.x[i] AS DOUBLE) - b.x[i])))), 7) + 0.0 AS distance FROM e a JOIN e b ON a.vec_id < b.vec_id""",
 )
 def dist_embeddings(spark, sf_dir):
-    """Pairs of the embeddings of one label: a label is the group that pairs form in."""
-    e = src.read(spark, sf_dir, "embeddings").where("label = 3")
+    """Pairs of the embeddings of each label: a label is the group that pairs form in."""
+    e = src.read(spark, sf_dir, "embeddings")
     v = e.select(F.col("label").cast("string").alias("series_id"), F.col("vec_id").alias("window_id"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
     return proximity.pairwise(v, "euclidean").select("src", "dst", r6("distance", digits=7))
 
