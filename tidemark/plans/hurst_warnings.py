@@ -101,4 +101,4 @@ on_series(
     EWS + f""", n AS (SELECT series_id, level, row_number() OVER (PARTITION BY series_id ORDER BY t DESC) AS b FROM lv), m AS (SELECT series_id, max(CASE WHEN b = 1 THEN level END) AS current, avg(CASE WHEN b <= 20 THEN level END) AS recent, avg(CASE WHEN b > 20 AND b <= 40 THEN level END) AS previous FROM n GROUP BY 1)
     SELECT series_id, current, {q6("recent", "recent")}, {q6("previous", "previous")}, CASE WHEN recent > previous THEN 'increasing' WHEN recent < previous THEN 'decreasing' ELSE 'stable' END AS trend FROM m""",
 )
-on_series("ews_full", "s2", lambda s: warning.detect_warnings(stated(s).where("t <= 400"), full=True).select("series_id", "t", *warning.WEIGHTS, r6("score"), "level"))
+on_series("ews_full", "s2", lambda s: warning.detect_warnings(stated(s), full=True).select("series_id", "t", *warning.WEIGHTS, r6("score"), "level"))
