@@ -7,15 +7,17 @@ number of copies) such that the rates' expected domain token totals match target
     minimise  1/2 |A r - b|^2 + RIDGE/2 sum_i w_i (r_i - 1)^2   over r >= 0
 
 with w_i a document's share of all tokens, A_di = w_i times its posterior of domain d,
-and b the target totals in the same unit.  In the metric of w this has gradient
-``posterior . (A z - b) + RIDGE (z - 1)`` and a step of 1 / (1 + RIDGE) always
-converges.  Accelerated projected gradient runs as one Spark aggregation a step, which
-returns one number a domain; a document's rate is replayed from these few vectors, so
-no rate is ever stored or moved.
+and b the target totals in the same unit.  The solution is ``r = max(0, 1 + posterior . m)``
+with one multiplier a domain, m = (b - A r) / RIDGE: Newton's method on the (concave,
+piecewise quadratic) dual finds m.  The ridge starts at RIDGE times the smallest domain
+and falls tenfold until totals are within CLOSE of every target.  A step is one Spark
+aggregation, which returns a vector and a matrix over domains; a document's rate follows
+from its posterior and m, so no rate is ever stored or moved.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,18 +33,25 @@ from .quality import bounded_labels
 from .textbytes import emit
 
 SLOTS, EVIDENCE, PRIOR, RIDGE, STEPS, CLOSE = 4096, 30, 1.0, 0.01, 60, 1e-4
+LEAST_RIDGE = 1e-6
+"""Of the smallest domain: where the ridge stops falling; targets not met by then are out of reach."""
 MAX_LABELS = 20_000
 """Labelled rows that the classifier learns from (those of least hashed id)."""
 
 
 @dataclass
 class Mixture:
-    """Domains, their n-gram models, the targets (shares of today's tokens) and the fit's residuals."""
+    """Domains, their n-gram models, the targets (shares of today's tokens), what the fit reaches and its multipliers.
+
+    ``residuals`` are those of first-order steps, which need no multipliers.
+    """
 
     domains: list[str]
     log_likelihood: np.ndarray
     target: np.ndarray = field(default_factory=lambda: np.zeros(0))
     residuals: list[np.ndarray] = field(default_factory=list)
+    reached: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    multiplier: np.ndarray | None = None
 
     def posteriors(self, sums: np.ndarray, grams: np.ndarray) -> np.ndarray:
         """Soft membership from summed log likelihoods; n-grams count as at most EVIDENCE independent ones."""
@@ -50,8 +59,16 @@ class Mixture:
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
+    def unmet(self) -> dict[str, tuple[float, float]]:
+        """(target, reached) of the domains that are not within CLOSE of their target (of all tokens where that is 0)."""
+        off = np.abs(self.reached - self.target) > CLOSE * np.where(self.target > 0, self.target, 1)
+        return {d: (float(b), float(a)) for d, b, a, x in zip(self.domains, self.target, self.reached, off) if x}
+
     def replay(self, posterior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rates and extrapolated rates after the steps so far."""
+        """Rates by the multipliers; without these, rates and extrapolated rates after the first-order steps so far."""
+        if self.multiplier is not None:
+            r = np.maximum(0, 1 + posterior @ self.multiplier)
+            return r, r
         r = z = np.ones(len(posterior))
         t = 1.0
         for residual in self.residuals:
@@ -115,41 +132,68 @@ def _posteriors(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def fit_rates(members: DataFrame, mixture: Mixture, targets: dict[str, float] | None, temper: float, steps: int = STEPS) -> Mixture:
-    """Runs the projected gradient over (n_tokens, posterior) until totals are within CLOSE of the targets.
+    """Finds the multipliers over (n_tokens, posterior) by Newton's method until totals are within CLOSE of every target.
 
     ``targets`` are domain weights (scaled to today's number of tokens; a domain left
-    out gets none); by default today's shares to the power ``temper``.
+    out gets none); by default today's shares to the power ``temper``.  Targets that
+    stay open (out of reach, or after ``steps`` aggregations) are logged and in ``unmet``.
     """
-
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(len(mixture.domains))
-        for batch in batches:
-            if batch.num_rows:
-                p = _posteriors(batch)
-                sums += (np.asarray(batch.column("n_tokens")) * mixture.replay(p)[1]) @ p
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int64()), pa.array(sums)], names=["domain", "tokens"])
-
-    def total() -> np.ndarray:
-        got = members.select("n_tokens", "posterior").mapInArrow(totals, "domain long, tokens double").groupBy("domain").agg(F.sum("tokens").alias("tokens"))
-        out = np.zeros(len(mixture.domains))
-        for r in got.collect():
-            out[r["domain"]] = r["tokens"]
-        return out
-
-    now = total()
+    k = len(mixture.domains)
+
+    def sums_at(m: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Over tokens: half the squared rates, the domains' totals, and the matrix of the rows of positive rate."""
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros(1 + k + k * k)
+            for batch in batches:
+                if batch.num_rows:
+                    p, n = _posteriors(batch), np.asarray(batch.column("n_tokens"))
+                    r = np.maximum(0, 1 + p @ m)
+                    out[0] += n @ (r * r) / 2
+                    out[1 : k + 1] += (n * r) @ p
+                    out[k + 1 :] += ((p * (n * (r > 0))[:, None]).T @ p).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(out)), pa.int64()), pa.array(out)], names=["at", "x"])
+
+        got = np.zeros(1 + k + k * k)
+        for row in members.select("n_tokens", "posterior").mapInArrow(part, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
+            got[row["at"]] = row["x"]
+        return got[0], got[1 : k + 1], got[k + 1 :].reshape(k, k)
+
+    m = np.zeros(k)
+    square, now, matrix = sums_at(m)
     all_tokens = now.sum()
     if not all_tokens:
         return mixture
-    share = np.array([targets.get(d, 0.0) for d in mixture.domains]) if targets is not None else (now / all_tokens) ** temper
+    square, now, matrix = square / all_tokens, now / all_tokens, matrix / all_tokens
+    share = np.array([targets.get(d, 0.0) for d in mixture.domains]) if targets is not None else now**temper
     if share.sum() <= 0:
         raise ValueError("targets give no domain a positive weight")
-    mixture.target = share / share.sum()
-    for _ in range(steps):
-        residual = now / all_tokens - mixture.target
-        if mixture.residuals and np.abs(residual).max() < CLOSE:
-            break
-        mixture.residuals.append(residual)
-        now = total()
+    b = mixture.target = share / share.sum()
+    smallest = min(now[now > 0].min(), b[b > 0].min())
+    ridge, least = RIDGE * smallest, LEAST_RIDGE * smallest
+    mixture.multiplier, mixture.reached = m, now
+    used = 1
+    while mixture.unmet() and used < steps:
+        slope = b - now - ridge * m
+        if np.abs(slope).max() < CLOSE * smallest / 10:  # this ridge is done
+            if ridge <= least:
+                break
+            ridge /= 10
+            continue
+        step = np.linalg.solve(matrix + ridge * np.eye(k), slope)
+        value = b @ m - square - ridge * (m @ m) / 2
+        size = 1.0
+        while used < steps:
+            new = m + size * step
+            square, now, matrix = (x / all_tokens for x in sums_at(new))
+            used += 1
+            if b @ new - square - ridge * (new @ new) / 2 >= value + 1e-4 * size * (slope @ step) - 1e-12 or size < 1e-6:
+                m = new
+                mixture.multiplier, mixture.reached = m, now
+                break
+            size /= 2
+    for d, (wanted, got) in mixture.unmet().items():
+        logging.getLogger(__name__).warning("domain %s: target %.6f of the tokens, reached %.6f", d, wanted, got)
     return mixture
 
 
