@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import bin_of, quantiles
+from ..sources.tables import written
 
 _REGISTRY: dict[str, Callable[..., DataFrame]] = {}
 
@@ -148,28 +149,35 @@ def by_entropy(series: DataFrame, k: int, candidates: int = 20) -> DataFrame:
 
 
 @register("kmeans")
-def by_kmeans(series: DataFrame, k: int, steps: int = 8) -> DataFrame:
-    """One-dimensional k-means from evenly spaced quantiles; states ascend with their centres.
+def by_kmeans(series: DataFrame, k: int) -> DataFrame:
+    """One-dimensional k-means from evenly spaced quantiles, until it settles; states ascend with their centres.
 
-    Each step is one grouped aggregation: in one dimension a value's nearest centre is
-    found by counting the midpoints below it.
+    Each step is one grouped aggregation that ends in a written table: in one dimension
+    a value's nearest centre is found by counting the midpoints below it.  A series is
+    done when no cluster's number of values changes: clusters are runs of the sorted
+    values, so equal numbers are equal clusters.
     """
     start = quantiles("value", [(i + 0.5) / k for i in range(k)])
-    centres = series.groupBy("series_id").agg(start.alias("_centres"), F.count_distinct("value").alias("_u"))
-    for _ in range(steps):
-        # Centres ride along as grouping keys, so a step refers to the one before only once.
-        placed = series.where("value IS NOT NULL").join(centres, "series_id").withColumn("_s", _nearest(F.col("value"), F.col("_centres")))
-        means = placed.groupBy("series_id", "_centres", "_u", "_s").agg(F.avg("value").alias("_m"))
-        found = means.groupBy("series_id", "_centres", "_u").agg(F.map_from_entries(F.collect_list(F.struct("_s", "_m"))).alias("_means"))
-        moved = F.array_sort(F.transform("_centres", lambda c, i: F.coalesce(F.element_at("_means", (i + 1).cast("int")), c)))
-        centres = found.select("series_id", moved.alias("_centres"), "_u")
-    df = series.join(centres, "series_id", "left")
-    return _done(df, series, F.when(F.col("_u") >= k, _nearest(F.col("value"), F.col("_centres"))))
+    first = series.groupBy("series_id").agg(start.alias("_centres"), F.count_distinct("value").alias("_u")).where(F.col("_u") >= k)
+    points = written(series.where("value IS NOT NULL").groupBy("series_id", "value").agg(F.count("*").alias("_n")), "points")
+    moving = written(first.select("series_id", "_centres", F.array(*[F.lit(-1).cast("long")] * k).alias("_sizes")), "centres")
+    settled = []
+    while not moving.isEmpty():
+        placed = points.join(moving, "series_id").withColumn("_s", _nearest(F.col("value"), F.col("_centres")))
+        means = placed.groupBy("series_id", "_s").agg(F.first("_centres").alias("_centres"), F.first("_sizes").alias("_sizes"), F.sum("_n").alias("_c"), (F.sum(F.col("value") * F.col("_n")) / F.sum("_n")).alias("_m"))
+        found = means.groupBy("series_id").agg(F.first("_centres").alias("_centres"), F.first("_sizes").alias("_sizes"), *[F.map_from_entries(F.collect_list(F.struct("_s", c))).alias(f"{c}s") for c in ("_c", "_m")])
+        moved = F.array_sort(F.transform("_centres", lambda c, i: F.coalesce(F.element_at("_ms", (i + 1).cast("int")), c)))
+        sizes = F.array(*[F.coalesce(F.element_at("_cs", F.lit(j + 1)), F.lit(0)) for j in range(k)])
+        step = written(found.select("series_id", moved.alias("_centres"), sizes.alias("_sizes"), (F.col("_sizes") == sizes).alias("_same")), "centres")
+        settled.append(step.where("_same").select("series_id", "_centres"))
+        moving = step.where("NOT _same").drop("_same")
+    centres = reduce(DataFrame.unionByName, settled, first.where("false").select("series_id", "_centres"))
+    return _done(series.join(centres, "series_id", "left"), series, _nearest(F.col("value"), F.col("_centres")))
 
 
 def _nearest(x: Column, centres: Column) -> Column:
     between = F.zip_with(F.slice(centres, 1, F.size(centres) - 1), F.slice(centres, 2, F.size(centres) - 1), lambda a, b: (a + b) / 2)
-    return F.when(x.isNotNull(), F.size(F.filter(between, lambda b: x > b)) + 1)
+    return F.when(x.isNotNull() & centres.isNotNull(), F.size(F.filter(between, lambda b: x > b)) + 1)
 
 
 def discretize_pair(a: DataFrame, b: DataFrame, k: int, method: str = "quantile") -> DataFrame:
