@@ -161,8 +161,9 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, sequence: int = SEQUENCE
     """One row per piece of a document with its place in a sequence of at most ``sequence`` ids.
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.  A null
-    text is empty (one piece, the end id alone); repeated rows are packed each; a null
-    doc_id stays null; other columns of ``docs`` are not read; no rows give no rows.
+    text is empty (one piece, the end id alone); texts of any length are encoded whole;
+    repeated rows are packed each; a null doc_id stays null; other columns of ``docs``
+    are not read; no rows give no rows.
     """
     spark, capacity = docs.sparkSession, sequence // unit
     pieces = cut_documents(docs, vocabulary, end_id, sequence).withColumn("uid", F.monotonically_increasing_id())
@@ -174,13 +175,15 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, sequence: int = SEQUENCE
     plan = plan_sequences(histogram, capacity)
 
     # Slots of a class, in the order of the plan: a range of ranks for each pattern that uses it.
-    runs, base, taken = [], 0, dict.fromkeys(histogram, 0)
+    # A class's ranges fill it from rank 0 on, so the range of a rank is the last that starts at or before it.
+    ranges: dict[int, list[tuple[int, int, int]]] = {size: [] for size in histogram}
+    base, taken = 0, dict.fromkeys(histogram, 0)
     for content, uses in plan:
         for size, each in content.items():
-            runs.append((size, taken[size], taken[size] + each * uses, each, base))
+            ranges[size].append((taken[size], each, base))
             taken[size] += each * uses
         base += uses
-    slots = spark.createDataFrame(runs, "class int, lo long, hi long, each int, base long")
+    slots = spark.createDataFrame([*ranges.items()], "class int, ranges array<struct<lo: long, each: int, base: long>>")
     classes = spark.createDataFrame([*class_of.items()], "size int, class int")
 
     # Rank within a class: groups of bounded size are counted, then ranked each by itself.
@@ -193,8 +196,10 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, sequence: int = SEQUENCE
     within = F.row_number().over(Window.partitionBy("class", "part").orderBy("uid")) - 1
     ranked = keyed.withColumn("within", within).join(before, ["class", "part"])
     ranked = ranked.withColumn("rank", F.col("before") + F.col("within"))
-    placed = ranked.join(F.broadcast(slots), "class").where((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-    placed = placed.withColumn("sequence_id", F.col("base") + F.floor((F.col("rank") - F.col("lo")) / F.col("each")))
+    # One row a class, at most CLASSES with as many ranges as there are patterns.
+    found = F.element_at(F.filter("ranges", lambda r: r["lo"] <= F.col("rank")), -1)
+    placed = ranked.join(F.broadcast(slots), "class").withColumn("slot", found).drop("ranges")
+    placed = placed.withColumn("sequence_id", F.col("slot.base") + F.floor((F.col("rank") - F.col("slot.lo")) / F.col("slot.each")))
     inside = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "uid")
     offset = F.sum("length").over(inside) - F.col("length")
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", offset.alias("offset"))

@@ -3,7 +3,7 @@
 Documents are dealt in ascending id order to segments.  A segment is one byte string,
 stored as one row of a Parquet file (so Spark commits, splits and recovers it), with
 
-    magic "TMR1", header length, header, frequency table, document table, blocks
+    magic "TMR2", sizes, frequency table, document table, block table, blocks
 
 * the frequency table counts the segment's own ids, scaled to 2**SCALE_BITS, and is
   shared by all of its blocks;
@@ -12,6 +12,8 @@ stored as one row of a Parquet file (so Spark commits, splits and recovers it),
 * the block table has, per block, a checkpoint (first id, number of ids, byte offset)
   and a CRC-32 of its bytes, so that any block can be decoded alone and in parallel.
 
+Documents without id come first; a bit of the document table marks them.
+
 All integers are little-endian.
 """
 
@@ -29,9 +31,11 @@ from pyspark.sql import functions as F
 from .common import partitions
 from .tokens import encoder, whole_rows
 
-MAGIC = b"TMR1"
+MAGIC = b"TMR2"
 SCALE_BITS, LANES, BLOCK_IDS = 20, 2048, 1 << 18
 SEGMENT_IDS = 1 << 21
+NO_ID = -(1 << 63)
+"""Stands in the document table, and for a task's first document, where there is no id."""
 _LOW = np.uint64(1) << np.uint64(32)  # states stay in [2**32, 2**64)
 _WORD = np.uint64(32)
 
@@ -94,8 +98,9 @@ def decode_block(data: bytes, n: int, lookup: np.ndarray, freq: np.ndarray, star
     return out
 
 
-def encode_segment(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    """One segment: documents (ids and lengths in ids) and all their token ids."""
+def encode_segment(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, null: np.ndarray | None = None) -> bytes:
+    """One segment: documents (ids, lengths in ids, and which have no id) and all their token ids."""
+    null = np.zeros(len(doc_ids), bool) if null is None else null
     symbols, freq = scaled_counts(ids)
     start = np.cumsum(freq) - freq
     at = np.searchsorted(symbols, ids)
@@ -105,8 +110,8 @@ def encode_segment(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) ->
     for k, b in enumerate(blocks):
         points[k] = (k * BLOCK_IDS, min(BLOCK_IDS, len(ids) - k * BLOCK_IDS), offsets[k], zlib.crc32(b))
     pack = lambda a, kind: zlib.compress(np.ascontiguousarray(a, kind).tobytes(), 6)
-    parts = [pack(np.diff(symbols, prepend=0), "<u4"), pack(freq, "<u4"), pack(doc_ids, "<i8"), pack(lengths, "<i8"), points.tobytes()]
-    head = struct.pack("<4sIQQ5Q", MAGIC, len(doc_ids), len(ids), len(symbols), *map(len, parts))
+    parts = [pack(np.diff(symbols, prepend=0), "<u4"), pack(freq, "<u4"), pack(doc_ids, "<i8"), pack(lengths, "<i8"), pack(np.packbits(null), "u1"), points.tobytes()]
+    head = struct.pack("<4sIQQ6Q", MAGIC, len(doc_ids), len(ids), len(symbols), *map(len, parts))
     return head + struct.pack("<I", zlib.crc32(head + b"".join(parts))) + b"".join(parts) + b"".join(blocks)
 
 
@@ -114,7 +119,7 @@ class Segment:
     """A reader of one segment; ``block(k)`` decodes any block by itself."""
 
     def __init__(self, data: bytes):
-        shape = "<4sIQQ5Q"
+        shape = "<4sIQQ6Q"
         size = struct.calcsize(shape)
         magic, docs, self.n_ids, n_symbols, *sizes = struct.unpack_from(shape, data)
         if magic != MAGIC:
@@ -130,7 +135,8 @@ class Segment:
         self.lookup = np.repeat(np.arange(n_symbols), self.freq).astype(np.int32)
         self.doc_ids = np.frombuffer(zlib.decompress(parts[2]), "<i8")
         self.lengths = np.frombuffer(zlib.decompress(parts[3]), "<i8")
-        self.points = np.frombuffer(parts[4], "<i8,<i8,<i8,<u4")
+        self.null = np.unpackbits(np.frombuffer(zlib.decompress(parts[4]), np.uint8), count=docs).astype(bool)
+        self.points = np.frombuffer(parts[5], "<i8,<i8,<i8,<u4")
         self.data, self.body = data, int(ends[-1])
 
     def block(self, k: int) -> np.ndarray:
@@ -153,19 +159,20 @@ _SEGMENT_ROW = pa.schema([("task_doc", pa.int64()), ("before", pa.int64()), ("n_
 def _segments(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int) -> Iterator[pa.RecordBatch]:
     """Segments of one task; each row names the task by its first document and counts the task's ids before it."""
     enc = encoder(vocabulary)
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
     task_doc, before, n_held = None, 0, 0
 
     def flush() -> pa.RecordBatch:
-        docs, lengths, ids = (np.concatenate(x) for x in zip(*held))
-        row = [[task_doc], [before], [len(ids)], [encode_segment(docs, lengths, ids)]]
+        docs, lengths, ids, null = (np.concatenate(x) for x in zip(*held))
+        row = [[task_doc], [before], [len(ids)], [encode_segment(docs, lengths, ids, null)]]
         return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, _SEGMENT_ROW)], schema=_SEGMENT_ROW)
 
     for batch in batches:
-        docs = np.asarray(batch.column("doc_id"))
+        docs, null = np.asarray(batch.column("doc_id").fill_null(NO_ID)), np.asarray(batch.column("doc_id").is_null())
         for row, ids, lengths in whole_rows(enc.encode(batch.column("text"))):
             with_end = np.insert(ids, np.cumsum(lengths), end_id)
-            held.append((docs[row : row + len(lengths)], lengths + 1, with_end))
+            mine = slice(row, row + len(lengths))
+            held.append((docs[mine], lengths + 1, with_end, null[mine]))
             task_doc = int(docs[row]) if task_doc is None else task_doc
             n_held += len(with_end)
             if n_held >= SEGMENT_IDS:
@@ -178,13 +185,15 @@ def _segments(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int) -
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> None:
     """Writes the token ids of every text, ``end_id`` after each, in ascending doc_id order to ``path``.
 
-    A null text is empty and gives ``end_id`` alone; rows of one doc_id follow each
-    other in text order; a null doc_id is refused.  Other columns are not read.
+    A null text is empty and gives ``end_id`` alone; texts of any length are encoded whole;
+    rows of one doc_id (repeated ones too) follow each other in text order; rows without
+    doc_id come before all others; an empty table gives files without segments.  Other
+    columns are not read.  A hot doc_id is not split: its rows are written by one task,
+    segment by segment.
     """
     spark = docs.sparkSession
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    checked = named.withColumn("doc_id", F.coalesce("doc_id", F.raise_error(F.lit("doc_id is null")).cast("long")))
-    placed = checked.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    placed = named.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _segments(batches, vocabulary, end_id)
@@ -211,8 +220,9 @@ def read_tokens(spark, path: str) -> DataFrame:
                 raw = seg.ids().astype("<u4")
                 ends = np.cumsum(seg.lengths)
                 crc = [zlib.crc32(raw[e - n : e]) for e, n in zip(ends.tolist(), seg.lengths.tolist())]
-                cols = [seg.doc_ids, first + ends - seg.lengths, seg.lengths, np.array(crc, np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                cols = [pa.array(seg.doc_ids, pa.int64(), mask=seg.null)]
+                cols += [pa.array(c, pa.int64()) for c in (first + ends - seg.lengths, seg.lengths, np.array(crc, np.int64))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     keyed = files.join(F.broadcast(base), "task_doc").select((F.col("base") + F.col("before")).alias("first"), "segment")
     return keyed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

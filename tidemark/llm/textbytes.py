@@ -28,12 +28,14 @@ def column_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return buf[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def blocks(column: pa.Array, limit: int = BLOCK_BYTES, cut: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def blocks(column: pa.Array, limit: int | None = None, cut: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, offsets of the block's texts from 0, bytes) of consecutive blocks.
 
-    A text over ``limit`` bytes comes as several blocks with the same first row,
-    or with ``cut=False`` as one larger block.
+    A text over ``limit`` (default ``BLOCK_BYTES``) bytes comes as several blocks with the
+    same first row, or with ``cut=False`` as one larger block.  Callers carry what
+    reaches over a cut, so that results do not depend on the limit.
     """
+    limit = limit or BLOCK_BYTES
     buf, offsets = column_bytes(column)
     n, i = len(offsets) - 1, 0
     while i < n:
@@ -104,6 +106,14 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.array([pow(0xD6E8FEB86659FD93, i, 1 << 64) for i in range(1 << 12)], np.uint64)
 
 
+def _powers(where: np.ndarray) -> np.ndarray:
+    """The base to the power of each place."""
+    far, near = where >> 12, _POWERS[where & 0xFFF]
+    if not far.any():
+        return near
+    return near * np.array([pow(0xD6E8FEB86659FD93, i << 12, 1 << 64) for i in range(int(far.max()) + 1)], np.uint64)[far]
+
+
 def hash_runs(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte run, by position within the run and its length."""
     if not len(starts):
@@ -112,8 +122,7 @@ def hash_runs(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     marks = np.zeros(len(buf) + 1, np.int64)
     marks[starts] = starts
     base = np.maximum.accumulate(marks[:-1])
-    where = (np.arange(len(buf)) - base) & (len(_POWERS) - 1)
-    terms = _MIX[buf] * _POWERS[where]
+    terms = _MIX[buf] * _powers(np.arange(len(buf)) - base)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)))
     h = sums[ends] - sums[starts]
     h ^= lengths.astype(np.uint64) * _P

@@ -4,7 +4,9 @@ The ``tokenizers`` library spends most of its time on offset tracking.  Its
 normaliser and pre-tokeniser cut a text into pieces that the BPE model treats
 independently, so a worker can cut plain texts itself (vectorised over UTF-8
 bytes), hand each *distinct* piece to the library's own model once and look
-repeated pieces up.  Plain means: ASCII and Latin letters from À to ÿ, without
+repeated pieces up.  A piece is found by a hash and then compared byte by byte; one
+whose hash belongs to another piece, and every piece over ``LONG_PIECE`` bytes, goes to
+the model itself.  Plain means: ASCII and Latin letters from À to ÿ, without
 apostrophes.  Every other text goes through ``Tokenizer.encode`` as it is.
 """
 
@@ -38,7 +40,9 @@ _ODD = np.zeros(256, bool)
 _ODD[[39, 28, 29, 30, 31, *range(0xC0, 0xC3), *range(0xC4, 256)]] = True
 
 CACHE_PIECES = 1_000_000
-"""Distinct pieces that one worker keeps (some 50 MB); a fuller cache starts afresh."""
+"""Distinct pieces that one worker keeps (some 60 MB); a fuller cache starts afresh."""
+LONG_PIECE = 64
+"""Bytes from which a piece is not kept."""
 
 
 class TextEncoder:
@@ -62,8 +66,12 @@ class TextEncoder:
         self.start = np.zeros(0, np.int64)
         self.length = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
+        self.raw = np.zeros(0, np.uint8)
+        self.raw_start = np.zeros(0, np.int64)
+        self.raw_length = np.zeros(0, np.int64)
 
-    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
+    def _model_ids(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The model's ids of all pieces, and how many each has."""
         ids: list[int] = []
         length = np.zeros(len(pieces), np.int64)
         tokenize = self.model.tokenize
@@ -72,12 +80,30 @@ class TextEncoder:
             got = [t.id for t in tokenize(chars)]
             length[k] = len(got)
             ids += got
-        start = len(self.flat) + np.concatenate(([0], np.cumsum(length)[:-1]))
-        self.flat = np.concatenate((self.flat, np.asarray(ids, np.int32)))
+        return np.asarray(ids, np.int32), length
+
+    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
+        ids, length = self._model_ids(pieces)
+        raw_length = np.array([len(p) for p in pieces], np.int64)
         at = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, at, keys)
-        self.start = np.insert(self.start, at, start)
+        self.start = np.insert(self.start, at, len(self.flat) + np.cumsum(length) - length)
         self.length = np.insert(self.length, at, length)
+        self.raw_start = np.insert(self.raw_start, at, len(self.raw) + np.cumsum(raw_length) - raw_length)
+        self.raw_length = np.insert(self.raw_length, at, raw_length)
+        self.flat = np.concatenate((self.flat, ids))
+        self.raw = np.concatenate((self.raw, np.frombuffer(b"".join(pieces), np.uint8)))
+
+    def _differs(self, low: np.ndarray, at: np.ndarray, size: np.ndarray, kept: np.ndarray) -> np.ndarray:
+        """Which pieces (starts and sizes in ``low``) are not, byte by byte, the kept ones at these positions."""
+        other = self.raw_length[kept] != size
+        same = np.flatnonzero(~other)
+        size = size[same]
+        ends = np.cumsum(size)
+        within = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size)
+        unlike = low[np.repeat(at[same], size) + within] != self.raw[np.repeat(self.raw_start[kept[same]], size) + within]
+        other[same[np.searchsorted(ends, np.flatnonzero(unlike), side="right")]] = True
+        return other
 
     def _encode_plain(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids and lengths of plain texts."""
@@ -95,19 +121,30 @@ class TextEncoder:
         ends = np.append(at[1:], len(low))
         keep = kind[at] != _SPACE
         at, ends = at[keep], ends[keep]
-        h = hash_runs(low, at, ends)
-        uniq, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        size, h = ends - at, hash_runs(low, at, ends)
+        short = np.flatnonzero(size <= LONG_PIECE)
+        uniq, first, inverse = np.unique(h[short], return_index=True, return_inverse=True)
         pos = np.searchsorted(self.keys, uniq)
         known = pos < len(self.keys)
         known[known] = self.keys[pos[known]] == uniq[known]
+        raw = low.tobytes()
         if not known.all():
-            fresh, raw = first[~known], low.tobytes()
+            fresh = short[first[~known]]
             self._learn(uniq[~known], [raw[at[i] : ends[i]] for i in fresh.tolist()])
             pos = np.searchsorted(self.keys, uniq)
         w = pos[inverse]
-        n = self.length[w]
+        start, n, flat = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), self.flat
+        start[short], n[short] = self.start[w], self.length[w]
+        single = np.ones(len(at), bool)
+        single[short] = self._differs(low, at[short], size[short], w)
+        if single.any():
+            alone = np.flatnonzero(single)
+            pieces, which = np.unique(np.array([raw[at[i] : ends[i]] for i in alone.tolist()], object), return_inverse=True)
+            ids, length = self._model_ids(pieces.tolist())
+            start[alone], n[alone] = (len(flat) + np.cumsum(length) - length)[which], length[which]
+            flat = np.concatenate((flat, ids))
         before = np.concatenate(([0], np.cumsum(n)))
-        ids = self.flat[np.repeat(self.start[w] - before[:-1], n) + np.arange(before[-1])]
+        ids = flat[np.repeat(start - before[:-1], n) + np.arange(before[-1])]
         return ids, np.diff(before[np.searchsorted(at, offsets)])
 
     def encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
