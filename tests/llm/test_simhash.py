@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tidemark.llm import simhash
+from tidemark.llm import common, components, simhash
 
 ROWS = "doc_id long, text string, fp string, a long"
 
@@ -106,3 +106,22 @@ def test_rows_without_id_stay(spark):
 def test_empty_table(spark):
     assert simhash.simhash_groups(spark.createDataFrame([], ROWS)).collect() == []
     assert simhash.deduplicate(spark.createDataFrame([], ROWS)).collect() == []
+
+
+def test_rows_of_one_id_and_different_texts(spark):
+    df = spark.createDataFrame([(1, "a b c d e", "x", 1), (2, "a b c d e", "x", 1), (2, "p q r s t u v", "x", 1), (2, "p q r s t u v", "x", 1)], ROWS)
+    assert sorted((r.doc_id, r.text) for r in simhash.deduplicate(df).collect()) == [(1, "a b c d e"), (2, "p q r s t u v")]
+
+
+def test_heavy_keys_change_nothing(spark, monkeypatch):
+    """Copies, stars and chains with every key of more than two rows joined by broadcast."""
+    monkeypatch.setattr(common, "HEAVY_ROWS", 2)
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 40, 300)) for _ in range(4)]
+    rows = [(i, texts[i % 4] + (" end" if i % 7 == 0 else "") if i % 5 else None) for i in range(120)]
+    got = simhash.simhash_groups(spark.createDataFrame([(a, b, "x", 1) for a, b in rows], ROWS)).collect()
+    assert sorted((r.doc_id, f"{r.fp & (1 << 64) - 1:016x}", r.component_id) for r in got) == brute_groups(rows)
+    edges = [(0, i) for i in range(1, 60)] + [(100 + i, 101 + i) for i in range(80)] + [(300, 300), (None, 5)]
+    roots = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert set(roots) == {*range(60), *range(100, 181)}
+    assert len({roots[i] for i in range(60)}) == 1 and len({roots[i] for i in range(100, 181)}) == 1 and roots[0] != roots[100]

@@ -1,10 +1,14 @@
+import math
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import langid, mixing, packing, quality
+from tidemark.llm import common, features, langid, mixing, packing, quality, textbytes
 from tidemark.llm.common import top_k_threshold
 from tidemark.llm.queries import VOCABULARY
 
@@ -168,3 +172,142 @@ def test_pipeline_stages_keep_columns(spark, docs, labels, tmp_path):
         assert d.columns == plain.columns, name
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert 0 < out.select("doc_id").distinct().count() < plain.count()
+
+
+def test_no_long_text_leads_the_quality_models(docs, labels):
+    """Document 305 has more words than all others together."""
+    got = {r.doc_id: r for r in quality.importance_resample(docs, labels)[2].collect()}
+    assert all(got[i].selected == (i % 10 != 9) for i in range(240))
+
+
+def brute_weights(rows, labelled):
+    """Log weights from formulas alone: per-document n-gram lists, dictionaries, floats."""
+    grams = {}
+    for d, text in rows:
+        kinds = [[*m.groups()] for m in re.finditer(r"([0-9A-Za-z\u0080-\U0010ffff]+)|([^\s0-9A-Za-z\u0080-\U0010ffff]+)", text or "")]
+        tokens = [a or b for a, b in kinds]
+        grams[d] = tokens + [("pair", a, b) if a != b else "repeat" for a, b in zip(tokens, tokens[1:])]
+    kept = [d for d, v, held in labelled if v == 1 and not held]
+    bound, slots = quality.EVIDENCE, quality.SLOTS
+    raw, target = {}, {}
+    for d, g in grams.items():
+        for x in g:
+            raw[x] = raw.get(x, 0) + bound / max(len(g), bound)
+            if d in kept:
+                target[x] = target.get(x, 0) + bound / max(len(g), bound)
+    total, mine = sum(raw.values()) + slots, sum(target.values())
+    out = {}
+    for d, g in grams.items():
+        e = {x: (raw[x] + 1) / total for x in g}
+        s = sum(math.log((target.get(x, 0) + quality.PRIOR * slots * e[x]) / (mine + quality.PRIOR * slots) / e[x]) for x in g)
+        out[d] = s * min(1, bound / len(g)) if g else None
+    return out
+
+
+def test_weights_match_brute_force(spark):
+    """Few enough n-grams that hardly any two share a slot (those that do are left out)."""
+    rng = np.random.default_rng(6)
+    names = ["ab", "Cd", "é", "x1", "--", "zz", "qq"]
+    rows = [(i, " ".join(rng.choice(names, rng.integers(1, 90)))) for i in range(40)] + [(90, None), (91, " ")]
+    df = spark.createDataFrame([(d, t, 7.0) for d, t in rows], "doc_id long, text string, log_weight double")
+    model, _, out = quality.importance_resample(df, spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int"))
+    want = brute_weights(rows, model.labelled.select("key", "value", "held").collect())
+    got = {r.doc_id: r.log_weight for r in out.collect()}
+    assert got[90] is None and got[91] is None
+    assert all(got[d] == pytest.approx(want[d], abs=0.35) for d, _ in rows[:40])
+    assert np.corrcoef([got[d] for d in range(40)], [want[d] for d in range(40)])[0, 1] > 0.995
+
+
+def test_cut_tells_labelled_weights_apart():
+    good, bad = np.array([-3.0, 0.0, 1.0, 2.0]), np.array([-40.0, -35.0, -20.0])
+    cut = quality.cut_between(np.concatenate((good, bad)), np.array([True] * 4 + [False] * 3))
+    assert -17 < cut < -5
+    assert quality.cut_between(good, np.ones(4, bool)) == float("-inf")
+
+
+@pytest.mark.parametrize("block", [64, 700])
+def test_blocks_do_not_change_results(spark, docs, labels, monkeypatch, block):
+    """Texts cut at any size give what whole texts give (executors see the patched module: local mode)."""
+    texts = [r.text for r in docs.orderBy("doc_id").collect()]
+    column = pa.array([t for t in texts if t is None or len(t) < 3000], pa.string())
+
+    def grams(slots):
+        out = {}
+        for row, slot, doc, _ in features.ngram_slots(column, slots):
+            for s, d in zip(slot.tolist(), doc.tolist()):
+                out.setdefault(row + d, []).append(s)
+        return {d: sorted(s) for d, s in out.items()}
+
+    def bounded():
+        out = np.zeros((len(column), 500))
+        for row, slot, doc, weight in features.bounded_counts(column, 500, 50, 1 << 26):
+            np.add.at(out, (row + doc, slot), weight)
+        return out
+
+    def letters():
+        out = {}
+        for row, h, k in langid.profiles(column, 64):
+            for i in range(len(k)):
+                out[row + i] = (h[i].tolist(), int(k[i]))
+        return out
+
+    whole = grams(1 << 40), bounded(), letters()
+    monkeypatch.setattr(textbytes, "BLOCK_BYTES", block)
+    cut = grams(1 << 40), bounded(), letters()
+    assert whole[0] == cut[0] and (whole[1] == cut[1]).all() and whole[2] == cut[2]
+
+
+def test_operators_do_not_depend_on_blocks(spark, docs, labels):
+    """Whole runs with long texts, in workers whose blocks are small and in ones whose blocks are not."""
+    rows = docs.select("doc_id", "text", "lang")
+
+    def small(batches):
+        textbytes.BLOCK_BYTES = 300
+        yield from batches
+
+    def run(d):
+        model = langid.fit(d)
+        weights = {r.doc_id: r.log_weight for r in quality.importance_resample(d, labels)[2].collect()}
+        mixture, mixed = mixing.mix(d, d.selectExpr("doc_id", "lang AS domain"))
+        return model, weights, {r.doc_id: r.rate for r in mixed.collect()}
+
+    whole = run(rows)
+    cut = run(rows.mapInArrow(small, rows.schema))  # the same worker then runs the operator on these rows
+    for k in whole[0]:
+        assert np.allclose(whole[0][k], cut[0][k])
+    assert whole[1].keys() == cut[1].keys() and whole[2].keys() == cut[2].keys()
+    assert all(a == b or a == pytest.approx(b) for a, b in zip(whole[1].values(), cut[1].values()))
+    assert all(a == pytest.approx(b, rel=1e-5) for a, b in zip(whole[2].values(), cut[2].values()))
+
+
+CLASH = ["Score", "held_out", "LANG_PRED", "log_weight", "gumbel_key", "selected", "_copy", "copy", "copies", "rate", "domain", "posterior", "n_tokens", "_0", "_1", "c0", "c1", "c2", "fp", "mark", "least", "root", "n"]
+
+
+def test_stages_keep_values_of_clashing_columns(spark, docs, labels, tmp_path):
+    """All stages but the last return rows as they came, whatever their columns are called."""
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars", *[F.concat(F.lit(f"{c}:"), "doc_id").alias(c) for c in CLASH])
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    d = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        d = common.written(stage(spark, d, str(tmp_path)), "stage")
+        assert d.columns == rows.columns, name
+        assert d.distinct().exceptAll(rows.distinct()).isEmpty(), name
+    assert corpus_pipeline.STAGES[-1][1](spark, d, str(tmp_path)).count() > 0
+
+
+def test_pipeline_of_nothing_and_of_repeated_ids(spark, labels, tmp_path):
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+    rng = np.random.default_rng(3)
+    a, b = words(rng, "abcde", 60), words(rng, "uvwxyz", 60)
+    rows = [(1, a, "aa", "s", 1), (2, a, "aa", "s", 1), (2, b, "bb", "s", 1), (3, b, None, "s", 1), (None, b, "bb", "s", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"{tmp_path}/twice/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/twice/labels.parquet")
+    d = spark.read.parquet(f"{tmp_path}/twice/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        d = common.written(stage(spark, d, f"{tmp_path}/twice"), "stage")
+    assert {(r.doc_id, r.text) for r in d.collect()} == {(1, a), (2, b), (None, b)}  # row 3 repeats row 2's text
+    assert {r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/twice").collect()} <= {1, 2, None}

@@ -12,12 +12,18 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    A temporary folder is set only where the session names none, as in local tests.
+    In local mode, where all run on one machine, a temporary folder is set if the session
+    names none; on a cluster that is an error.
     """
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
         context_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        known = context_dir.get() if context_dir.isDefined() else tempfile.mkdtemp(prefix="tidemark-")
+        if context_dir.isDefined():
+            known = context_dir.get()
+        elif spark.sparkContext.master.partition("[")[0] == "local":
+            known = tempfile.mkdtemp(prefix="tidemark-")
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")
 
@@ -40,6 +46,34 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def masked(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns named c0, c1, ... (which no added name can meet), and the new name of each."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def unmasked(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns that ``masked`` renamed, under their own names; what was added is left out."""
+    return df.select(*[F.col(new).alias(old) for old, new in names.items()])
+
+
+HEAVY_SHARE, HEAVY_ROWS = 10_000, 1_000
+
+
+def join_uneven(rows: DataFrame, table: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row a ``key`` and in ``size`` that key's number of ``rows``.
+
+    Keys of more than a HEAVY_SHARE-th of the ``total`` rows (so fewer than HEAVY_SHARE
+    keys, however much data there is) are joined by broadcast, so that no task gets them
+    whole; all others are shuffled.  Rows whose key ``table`` lacks are dropped.
+    """
+    heavy = table.where(F.col(size) > max(HEAVY_ROWS, total // HEAVY_SHARE))
+    if heavy.isEmpty():
+        return rows.join(table.drop(size), key)
+    light = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(table.drop(size), key)
+    return rows.join(F.broadcast(heavy.drop(size)), key).unionByName(light)
+
+
 def top_k_threshold(scores: DataFrame, column: str, k: int, bins: int = 2048, few: int = 20_000) -> float | None:
     """The ``k``-th largest value of a double column, exactly, in a few histogram passes.
 

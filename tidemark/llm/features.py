@@ -22,8 +22,10 @@ def ngram_slots(column: pa.Array, slots: int) -> Iterator[tuple[int, np.ndarray,
 
     Tokens are runs of word characters or of symbols, case kept; n-grams are tokens and
     pairs of neighbouring tokens.  A token after itself counts as one and the same
-    pair, whatever the token.  Texts over a block's size come in several blocks.
+    pair, whatever the token.  Texts over a block's size come in several blocks, cut
+    between tokens; the pair over a cut comes with the later block.
     """
+    tail: tuple[int, np.ndarray] | None = None  # row and last token of a block of one text, which may go on
     for row, offsets, buf in blocks(column):
         n = len(offsets) - 1
         if not len(buf):
@@ -39,9 +41,39 @@ def ngram_slots(column: pa.Array, slots: int) -> Iterator[tuple[int, np.ndarray,
         at, ends = at[keep], ends[keep]
         h = hash_runs(buf, at, ends)
         bound = np.searchsorted(at, offsets)
-        doc = np.repeat(np.arange(n), np.diff(bound))
-        pair = mix64(h[:-1] * _STEP + h[1:])
-        pair = np.where(h[:-1] == h[1:], _REPEAT, pair)
+        doc, tokens = np.repeat(np.arange(n), np.diff(bound)), np.diff(bound)
+        left, right, of = h[:-1], h[1:], doc[1:]
         same = doc[1:] == doc[:-1]
-        grams = np.concatenate((h, pair[same]))
-        yield row, (grams % np.uint64(slots)).astype(np.int64), np.concatenate((doc, doc[1:][same])), np.diff(bound)
+        left, right, of = left[same], right[same], of[same]
+        if n == 1 and len(h):
+            if tail and tail[0] == row:
+                left, right, of = (np.concatenate(x) for x in ((tail[1], left), (h[:1], right), (doc[:1], of)))
+            tail = (row, h[-1:])
+        pair = np.where(left == right, _REPEAT, mix64(left * _STEP + right))
+        grams = np.concatenate((h, pair))
+        yield row, (grams % np.uint64(slots)).astype(np.int64), np.concatenate((doc, of)), tokens
+
+
+def bounded_counts(column: pa.Array, slots: int, most: int, unit: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, slots, row within the block of each, whole-number weight of each), of whole texts.
+
+    A text of at most ``most`` n-grams adds ``unit`` for each of them; a longer one adds
+    as much as ``most`` do, evenly, so that no text outweighs others by its length.
+    """
+    held, size, at = np.zeros(slots, np.int64), 0, -1  # a block of one text may go on: it is weighed at its end
+
+    def text() -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        some = np.flatnonzero(held)
+        return at, some, np.zeros(len(some), np.int64), held[some] * (unit * most // max(size, most))
+
+    for row, slot, doc, tokens in ngram_slots(column, slots):
+        if size and row != at:
+            yield text()
+            held, size = np.zeros(slots, np.int64), 0
+        if len(tokens) == 1:
+            held, size, at = held + np.bincount(slot, minlength=slots), size + len(slot), row
+        else:
+            grams = np.bincount(doc, minlength=len(tokens))
+            yield row, slot, doc, (unit * most // np.maximum(grams, most))[doc]
+    if size:
+        yield text()

@@ -18,13 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import masked, unmasked
 from .textbytes import blocks, emit
 
 DIMENSION = 1024
 SYMBOLS = 256
 """Blank, the letters a to z, and hashed classes of all other letters."""
 UNDETERMINED = "und"
-_BLOCK = 1 << 19
 
 
 @lru_cache(maxsize=1)
@@ -48,8 +48,12 @@ def letter_vectors(dimension: int = DIMENSION) -> tuple[np.ndarray, np.ndarray,
     return np.roll(base, 2, axis=1), np.roll(base, 1, axis=1), base
 
 
-def trigrams(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of all trigrams of a block of texts, the text of each, and the letters of each text."""
+def trigrams(buf: np.ndarray, offsets: np.ndarray, last: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Codes of all trigrams of a block of texts, the text of each, the letters of each text, and the last letter.
+
+    ``last`` is the last letter's symbol of the text's blocks before this one, if the
+    block goes on with a text; it closes the trigram over the cut, whose middle is a blank.
+    """
     n = len(offsets) - 1
     codes = np.frombuffer(buf.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
     lead = (buf & 0xC0) != 0x80
@@ -65,10 +69,22 @@ def trigrams(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     keep[1:] = (s[1:] > 0) | (s[:-1] > 0) | (doc[1:] != doc[:-1])
     s, doc = s[keep], doc[keep]
     if len(s) < 3:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), letters
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), letters, last
+    if last:  # s starts with the blank that the cut left
+        s, doc = np.concatenate(([last], s)), np.concatenate((doc[:1], doc))
     code = (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
     one = doc[:-2] == doc[2:]
-    return code[one], doc[:-2][one], letters
+    return code[one], doc[:-2][one], letters, int(s[-2])
+
+
+def text_blocks(column: pa.Array) -> Iterator[tuple[int, bool, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, whether the block goes on with the last one's text, trigram codes, text of each, letters) by blocks."""
+    before: tuple[int, int] | None = None  # row and last letter of a block of one text, which may go on
+    for row, offsets, buf in blocks(column):
+        again = before is not None and before[0] == row
+        code, doc, letters, last = trigrams(buf, offsets, before[1] if again else 0)
+        before = (row, last) if len(letters) == 1 else None
+        yield row, again, code, doc, letters
 
 
 def trigram_vectors(codes: np.ndarray, dimension: int) -> np.ndarray:
@@ -78,39 +94,60 @@ def trigram_vectors(codes: np.ndarray, dimension: int) -> np.ndarray:
 
 
 def profiles(column: pa.Array, dimension: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, profiles, letters) of consecutive blocks of rows; a long text comes in several."""
-    for row, offsets, buf in blocks(column, _BLOCK):
-        code, doc, letters = trigrams(buf, offsets)
+    """(first row, profiles, letters) of consecutive blocks of rows.
+
+    A long text comes in several, each with all of the text so far, so the last one counts.
+    """
+    tail = seen = np.zeros(0)
+    for row, again, code, doc, letters in text_blocks(column):
         n = len(letters)
         uniq, at = np.unique(code, return_inverse=True)
-        out = np.zeros((n, dimension), np.float32)
         for lo in range(0, n, 256):  # bounds the dense counts
             part = (doc >= lo) & (doc < lo + 256) if n > 256 else slice(None)
             m = min(256, n - lo)
+            out, k = np.zeros((m, dimension)), letters[lo : lo + m]
             if len(uniq):
                 counts = np.bincount((doc[part] - lo) * len(uniq) + at[part], minlength=m * len(uniq))
-                out[lo : lo + m] = counts.reshape(m, len(uniq)).astype(np.float32) @ trigram_vectors(uniq, dimension)
-        yield row, out, letters
+                out = (counts.reshape(m, len(uniq)).astype(np.float32) @ trigram_vectors(uniq, dimension)).astype(np.float64)
+            if again:
+                out, k = out + tail, k + seen
+            tail, seen = out, k
+            yield row + lo, out, k
 
 
 def fit(labelled: DataFrame, dimension: int = DIMENSION) -> dict[str, np.ndarray]:
-    """Language profiles from all rows of ``labelled`` (text, lang); null languages or texts are left out."""
+    """Language profiles from all rows of ``labelled`` (text, lang); null languages or texts are left out.
+
+    A text weighs the same whatever its length, so that no long one makes a profile alone.
+    """
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             names = np.array(batch.column("lang").to_pylist(), object)
             kinds, which = np.unique(names.astype(str), return_inverse=True)
-            for row, offsets, buf in blocks(batch.column("text"), _BLOCK):
-                code, doc, _ = trigrams(buf, offsets)
+            held, size, at_row = np.zeros(dimension), 0, -1  # a block of one text may go on: it is weighed at its end
+
+            def add(name: str, v: np.ndarray) -> None:
+                sums[name] = sums.get(name, 0) + v
+
+            for row, again, code, doc, letters in text_blocks(batch.column("text")):
                 uniq, at = np.unique(code, return_inverse=True)
-                # A text weighs the same whatever its length, so that no long one makes a profile alone.
-                weight = 1 / np.maximum(np.bincount(doc, minlength=len(offsets) - 1), 1)
+                if not again and size:
+                    add(kinds[which[at_row]], held / size)
+                    held, size = np.zeros(dimension), 0
+                if len(letters) == 1:
+                    if len(uniq):
+                        held = held + np.bincount(at).astype(np.float64) @ trigram_vectors(uniq, dimension)
+                    size, at_row = size + len(code), row
+                    continue
+                weight = 1 / np.maximum(np.bincount(doc, minlength=len(letters)), 1)
                 table = np.bincount(which[row + doc] * len(uniq) + at, weight[doc], len(kinds) * len(uniq)).reshape(len(kinds), -1)
-                vectors = table.astype(np.float64) @ trigram_vectors(uniq, dimension)
-                for name, v in zip(kinds.tolist(), vectors):
-                    sums[name] = sums.get(name, 0) + v
-        names = [k for k, v in sums.items() if np.any(v)]
+                for name, v in zip(kinds, table.astype(np.float64) @ trigram_vectors(uniq, dimension)):
+                    add(name, v)
+            if size:
+                add(kinds[which[at_row]], held / size)
+        names = [str(k) for k, v in sums.items() if np.any(v)]
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.repeat(names, dimension).tolist(), pa.string()), pa.array(np.tile(np.arange(dimension), len(names)), pa.int64()),
              pa.array(np.concatenate([sums[k] for k in names] or [np.zeros(0)]), pa.float64())],
@@ -126,16 +163,17 @@ def fit(labelled: DataFrame, dimension: int = DIMENSION) -> dict[str, np.ndarray
     return out
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str] | None = None) -> DataFrame:
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """The columns ``keep`` (default all) of ``docs`` with ``lang_pred`` and ``score``, the cosine (0 if negative) with the chosen profile.
 
     A text that is null or has no letter is ``und`` with score 0, as is every text if
-    no language was learned.  Columns of these names are replaced.
+    no language was learned; of equal cosines the first language by name wins.  A text of
+    any length is one text.  Columns of these two names (in any case) are replaced.
     """
-    keep = [c for c in keep or docs.columns if c not in ("lang_pred", "score")]
+    keep = [c for c in keep or docs.columns if c.lower() not in ("lang_pred", "score")]
     names = [*prototypes] or [UNDETERMINED]
     matrix = np.array([prototypes[k] for k in prototypes] or [np.ones(DIMENSION)])
-    unit = (matrix / np.linalg.norm(matrix, axis=1, keepdims=True)).astype(np.float32)
+    unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
     shared = docs.sparkSession.sparkContext.broadcast(unit)
     learned = bool(prototypes)
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -145,13 +183,9 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str]
             dots = np.zeros((batch.num_rows, len(names)))
             letters = np.zeros(batch.num_rows, np.int64)
             norms = np.zeros(batch.num_rows)
-            tail: tuple[int, np.ndarray] | None = None  # the profile so far of a text in several blocks
-            for row, h, k in profiles(batch.column("text"), shared.value.shape[1]):
-                if tail and tail[0] == row:
-                    h[0] += tail[1]
-                tail = (row, h[0].copy()) if len(k) == 1 else None
-                letters[row : row + len(k)] += k
-                norms[row : row + len(k)] = np.linalg.norm(h.astype(np.float64), axis=1)
+            for row, h, k in profiles(batch.column(text), shared.value.shape[1]):
+                letters[row : row + len(k)] = k
+                norms[row : row + len(k)] = np.linalg.norm(h, axis=1)
                 dots[row : row + len(k)] = h @ shared.value.T
             best = np.argmax(dots, axis=1)
             score = np.clip(dots[np.arange(len(best)), best] / np.maximum(norms, 1e-9), 0, 1)
@@ -163,17 +197,29 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str]
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
-    """Whether a row is kept from training: CRC-32 of its id's text is 2 modulo 4."""
+    """Whether a row is kept from training: CRC-32 of its id's text is 2 modulo 4; false for a null id."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
 def identify(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (default all) of ``docs`` with held_out, lang_pred and score, learned from its own labelled rows that are not held out."""
+    """The columns ``keep`` (default all) of ``docs`` with held_out, lang_pred and score, learned from its own labelled rows that are not held out.
+
+    Null and empty texts, very long ones and ties are as ``predict`` and ``fit`` state;
+    repeated rows are judged each (and learned from each); an empty table gives an empty
+    one; columns of the three added names are replaced.
+    """
     model = fit(docs.where(~held_out()).select("text", "lang"))
-    keep = [c for c in keep or docs.columns if c != "held_out"]
+    keep = [c for c in keep or docs.columns if c.lower() != "held_out"]
     return predict(docs.drop("held_out").withColumn("held_out", held_out()), model, [*keep, "held_out"])
 
 
 def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """The rows of ``docs`` whose language is determined with a cosine over ``least``."""
-    return identify(docs).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") > least)).select(*docs.columns)
+    """The rows of ``docs`` whose language is determined with a cosine over ``least``; columns and values stay as they are.
+
+    Null, empty and letterless texts go (as do all rows where no language can be
+    learned); repeated rows stay or go together; an empty table stays empty.
+    """
+    model = fit(docs.where(~held_out()).select("text", "lang"))
+    inner, names = masked(docs)
+    judged = predict(inner, model, text=names["text"])
+    return unmasked(judged.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") > least)), names)

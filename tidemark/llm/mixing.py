@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
-from .features import ngram_slots
-from .quality import bounded_labels
+from .common import masked, unmasked, written
+from .features import bounded_counts, ngram_slots
+from .quality import UNIT, bounded_labels
 from .textbytes import emit
 
 SLOTS, EVIDENCE, PRIOR, RIDGE, STEPS, CLOSE = 4096, 30, 1.0, 0.01, 60, 1e-4
@@ -79,7 +79,10 @@ class Mixture:
 
 
 def fit_domains(docs: DataFrame, labelled: DataFrame, most: int = MAX_LABELS, slots: int = SLOTS) -> Mixture:
-    """The classifier: n-gram counts by domain over a bounded sample of ``labelled`` (doc_id, domain)."""
+    """The classifier: n-gram counts by domain over a bounded sample of ``labelled`` (doc_id, domain).
+
+    A text's n-grams count as at most EVIDENCE ones, so that no long text leads a domain.
+    """
     sample = written(bounded_labels(labelled.withColumn("domain", F.col("domain").cast("string")), "doc_id", "domain", most), "domains")
     marked = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("key")).select("text", "value")
 
@@ -87,9 +90,9 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, most: int = MAX_LABELS, sl
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
             names, which = np.unique(np.array(batch.column("value").to_pylist(), str), return_inverse=True)
-            for row, slot, doc, _ in ngram_slots(batch.column("text"), slots):
-                table = np.bincount(which[row + doc] * slots + slot, minlength=len(names) * slots).reshape(len(names), slots)
-                for name, c in zip(names.tolist(), table):
+            for row, slot, doc, weight in bounded_counts(batch.column("text"), slots, EVIDENCE, UNIT):
+                table = np.bincount(which[row + doc] * slots + slot, weight, len(names) * slots).astype(np.int64)
+                for name, c in zip(names.tolist(), table.reshape(len(names), slots)):
                     counts[name] = counts.get(name, 0) + c
         for name, c in counts.items():
             some = np.flatnonzero(c)
@@ -99,15 +102,18 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, most: int = MAX_LABELS, sl
     domains = sorted({r["domain"] for r in found}) or ["all"]
     counts = np.zeros((len(domains), slots))
     for r in found:
-        counts[domains.index(r["domain"]), r["slot"]] = r["n"]
+        counts[domains.index(r["domain"]), r["slot"]] = r["n"] / UNIT
     common = (counts.sum(axis=0) + PRIOR) / (counts.sum() + PRIOR * slots)
     model = (counts + PRIOR * slots * common) / (counts.sum(axis=1, keepdims=True) + PRIOR * slots)
     return Mixture(domains, np.log(model) - np.log(common))
 
 
-def membership(docs: DataFrame, mixture: Mixture, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (default all) of ``docs`` with n_tokens and posterior (one probability a domain); a text without tokens is spread evenly."""
-    keep = [c for c in keep or docs.columns if c not in ("n_tokens", "posterior")]
+def membership(docs: DataFrame, mixture: Mixture, keep: list[str] | None = None, text: str = "text") -> DataFrame:
+    """The columns ``keep`` (default all) of ``docs`` with n_tokens and posterior (one probability a domain); a text without tokens is spread evenly.
+
+    Columns of these two names (in any case) are replaced.
+    """
+    keep = [c for c in keep or docs.columns if c.lower() not in ("n_tokens", "posterior")]
     shared = docs.sparkSession.sparkContext.broadcast(mixture.log_likelihood)
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("n_tokens", T.LongType()), T.StructField("posterior", T.ArrayType(T.DoubleType()))])
 
@@ -115,7 +121,7 @@ def membership(docs: DataFrame, mixture: Mixture, keep: list[str] | None = None)
         table = shared.value
         for batch in batches:
             sums, tokens, grams = np.zeros((batch.num_rows, len(table))), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for row, slot, doc, n in ngram_slots(batch.column("text"), table.shape[1]):
+            for row, slot, doc, n in ngram_slots(batch.column(text), table.shape[1]):
                 for d, weights in enumerate(table):
                     sums[row : row + len(n), d] += np.bincount(doc, weights[slot], len(n))
                 tokens[row : row + len(n)] += n
@@ -197,7 +203,7 @@ def fit_rates(members: DataFrame, mixture: Mixture, targets: dict[str, float] |
     return mixture
 
 
-def with_rates(docs: DataFrame, mixture: Mixture, seed: int = 11) -> DataFrame:
+def with_rates(docs: DataFrame, mixture: Mixture, seed: int = 11, doc_id: str = "doc_id") -> DataFrame:
     """``docs`` (with posterior) and domain (the likeliest), rate and copies.
 
     copies is the rate rounded up or down at random, as a function of doc_id and seed,
@@ -213,7 +219,7 @@ def with_rates(docs: DataFrame, mixture: Mixture, seed: int = 11) -> DataFrame:
                 domain = pa.array([mixture.domains[k] for k in p.argmax(axis=1)], pa.string())
                 yield from emit(batch, batch.schema.names, {"domain": domain, "rate": pa.array(mixture.replay(p)[0])})
 
-    uniform = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / float(1 << 53)
+    uniform = F.shiftrightunsigned(F.xxhash64(doc_id, F.lit(seed)), 11) / float(1 << 53)
     return docs.mapInArrow(run, schema).withColumn("copies", F.floor(F.col("rate") + uniform))
 
 
@@ -221,7 +227,9 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None =
     """The fitted mixture and (doc_id, n_tokens, posterior, domain, rate, copies) of every row of ``docs``.
 
     Null labels are left out; without any label there is one domain and every rate is
-    one.  Null and empty texts have no tokens and a rate by an even posterior.
+    one.  Null and empty texts have no tokens and a rate by an even posterior; texts of any
+    length count whole; repeated rows get the same rate and copies each; other columns
+    are not read; an empty table gives an empty one.
     """
     mixture = fit_domains(docs, labelled)
     members = written(membership(docs.select("doc_id", "text"), mixture, ["doc_id"]), "members")
@@ -230,10 +238,11 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None =
 
 
 def mixed_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, temper: float = 0.7) -> DataFrame:
-    """Every row of ``docs`` as many times as its copies, with the columns of ``docs``."""
+    """Every row of ``docs`` as many times as its copies; columns and values stay as they are.
+
+    Null and empty texts, repeated rows and empty tables are as ``mix`` states.
+    """
     mixture, _ = mix(docs, labelled, targets, temper)
-    extra = ("n_tokens", "posterior", "domain", "rate", "copies")
-    inner = docs.select([F.col(c).alias(f"_{i}" if c in extra else c) for i, c in enumerate(docs.columns)])
-    rated = with_rates(membership(inner, mixture), mixture).where("copies > 0")
-    repeated = rated.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return repeated.select([F.col(f"_{i}" if c in extra else c).alias(c) for i, c in enumerate(docs.columns)])
+    inner, names = masked(docs)
+    rated = with_rates(membership(inner, mixture, text=names["text"]), mixture, doc_id=names["doc_id"]).where("copies > 0")
+    return unmasked(rated.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))), names)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, written
+from .common import join_uneven, masked, partitions, unmasked, written
 from .components import connected_components
 from .textbytes import blocks, emit, lower_ascii, runs
 
@@ -246,31 +246,48 @@ def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | N
     yield None
 
 
+def _with_roots(prints: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """Every distinct fingerprint with its number of rows and its component's root; (root, fingerprints of it).
+
+    ``prints`` has fp and a column ``least``, of which each fingerprint's minimum is kept.
+    """
+    distinct = written(prints.groupBy("fp").agg(F.min("least").alias("least"), F.count("*").alias("n")), "distinct")
+    roots = connected_components(near_fingerprints(distinct, bits))
+    nodes = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    nodes = written(nodes, "nodes")
+    return nodes, written(nodes.groupBy("root").agg(F.min("least").alias("least"), F.count("*").alias("size")), "components")
+
+
 def simhash_groups(docs: DataFrame, bits: int = MAX_BITS, size: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) of every row of ``docs``: near-duplicate groups.
 
     component_id is the smallest doc_id reachable over links of at most ``bits``
     differing bits.  Texts without words (null, empty, blank) have fingerprint zero and
-    link like any other; rows of one fingerprint are one node, so repeated rows and
-    large groups of copies cost one row each; other columns of ``docs`` are not read.
+    link like any other; texts of any length count whole; rows of one fingerprint are one
+    node, so repeated rows and large groups of copies cost one row each; other columns of
+    ``docs`` are not read; an empty table gives an empty one.
     """
     prints = written(fingerprints(docs.select(doc_id, text), [doc_id], text, size).select(F.col(doc_id).alias("doc_id"), "fp"), "prints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(near_fingerprints(distinct, bits))
-    nodes = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    nodes = written(nodes, "nodes")
-    least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = written(nodes.join(least, "root").select("fp", "component_id"), "named")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    nodes, components = _with_roots(prints.withColumn("least", F.col("doc_id")), bits)
+    named = join_uneven(nodes.drop("least"), components.withColumnRenamed("least", "component_id"), "root", "size", nodes.count())
+    named = written(named.select("fp", "n", "component_id"), "named")
+    return join_uneven(prints, named, "fp", "n", prints.count()).select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, bits: int = MAX_BITS, size: int = 4) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: that of its smallest doc_id.
+    """``docs`` with one row of each near-duplicate group, all columns and values as they are.
 
-    Of several rows with that doc_id any one stays.  Rows without doc_id cannot be told
-    apart and all stay.
+    The row of the smallest doc_id stays; of several with that id one that a hash of all
+    columns chooses, so the same at every run.  Groups are of rows: rows of one doc_id
+    and different texts may be in different groups and then both stay.  Texts without
+    words (null, empty, blank) are copies of each other.  Rows without doc_id all stay.
+    An empty table stays empty.
     """
-    groups = simhash_groups(docs.where("doc_id IS NOT NULL"), bits, size)
-    keep = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    inner, names = masked(docs)
+    doc_id, text = names["doc_id"], names["text"]
+    plain = [c for c, kind in inner.dtypes if "map<" not in kind and kind not in ("void", "variant")]
+    marked = inner.where(F.col(doc_id).isNotNull()).withColumn("mark", F.xxhash64(*plain))
+    prints = written(fingerprints(marked.select(doc_id, "mark", text), [doc_id, "mark"], text, size), "prints")
+    _, components = _with_roots(prints.withColumn("least", F.struct(doc_id, "mark")), bits)
+    kept = marked.join(components.select(F.col("least")[doc_id].alias(doc_id), "least.mark"), [doc_id, "mark"], "left_semi").dropDuplicates([doc_id, "mark"])
+    return unmasked(kept.select(*inner.columns).unionByName(inner.where(F.col(doc_id).isNull())), names)
