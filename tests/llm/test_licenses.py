@@ -53,3 +53,68 @@ def test_specific_reading_wins():
 
 def test_empty_table(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_every_rule_needs_its_keyword():
+    """Each alternative of each expression holds its keyword as words of their own, outside optional parts."""
+    rows = licenses.rules()
+    assert len(licenses.TEXTS) > 180 and len({e for _, _, e in licenses.TEXTS}) == len(licenses.TEXTS)
+    for _, keyword, expression, _, _ in rows:
+        body = expression.removeprefix("(?<= )").removesuffix("(?= )")
+        while body.startswith("(?:") and body.endswith(")") and _closes_last(body):
+            body = body[3:-1]
+        for part in _alternatives(body):
+            fixed = part
+            while fixed != (fixed := re.sub(r"\((?:\?:)?[^()]*\)(?:\?|\*|\{[^}]*\})", "", fixed)):
+                pass
+            options = re.findall(r"\(\?:([^()]*)\)", fixed)
+            words = f" {re.sub(r'[^a-z0-9 ]', ' ', fixed)} "
+            assert f" {keyword} " in words or any(all(f" {keyword} " in f" {x} " for x in o.split("|")) for o in options), (keyword, part)
+
+
+def _closes_last(body):
+    depth = 0
+    for i, c in enumerate(body):
+        depth += (c == "(") - (c == ")")
+        if depth == 0:
+            return i == len(body) - 1
+
+
+def _alternatives(body):
+    parts, depth = [""], 0
+    for c in body:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            parts.append("")
+        else:
+            parts[-1] += c
+    return parts
+
+
+GRANTS = {
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software": "mit",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:": "bsd",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "gpl,gpl-3-or-later",
+    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.": "apache,apache-2.0",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "mpl-2.0",
+    "See https://creativecommons.org/licenses/by-sa/4.0/ for terms": "cc-by-sa-4.0",
+    "SPDX-License-Identifier: MIT OR Apache-2.0": "apache-2.0,mit",
+    "SPDX-License-Identifier: GPL-2.0 OR BSD-3-Clause": "bsd-3-clause,gpl-2",
+    "He read the mitten library; all the general public came.": "",
+}
+
+
+def test_texts_of_licenses(spark):
+    rows = [(i, t) for i, t in enumerate(GRANTS)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        assert got[i].labels == brute(t)[5] == GRANTS[t], t
+        spans = sorted((d.first_word, d.n_words, d.label) for d in got[i].licenses)
+        assert spans == brute(t)[7]
+
+
+def test_plain_and_full_branch_count_words_alike(spark):
+    texts = ["", "a", ".a.", "a b", " a,b ", "é—è", "\u2014", "a\u00a0b", "1.2.3", "\t\n"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, f"{t} mit") for i, t in enumerate(texts)]
+    got = {r.doc_id: r.n_words for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == brute(t)[0] for i, t in rows)
