@@ -23,20 +23,27 @@ BLOCK_NAMES = (
     "cheap-pills casino-win free-bets spam-farm ads-track adult-x online-poker win-lottery fast-loans buy-replica "
     "hot-singles torrent-hub click-bonus xxx-cams viagra-shop crypto-doubler fake-watches pharma-deal sex-chat "
     "slot-jackpot bet-bonus casino-slots cheap-meds pills-shop spam-mailer link-farm ads-server track-pixel "
-    "adult-video adult-dating free-casino payday-cash malware-drop phishing-login popup-ads earn-money-fast"
+    "adult-video adult-dating free-casino payday-cash malware-drop phishing-login popup-ads earn-money-fast "
+    "poker-bonus free-pills sexy-cams fast-cash lottery-cash replica-watches click-ads porn-video xxx-dating cheap-replica"
 ).split()
 ALLOW_NAMES = (
     "news library university museum recipes weather science garden travel history open-data city-council python-docs "
-    "maps bookshop music theatre school research archive journal health sports kitchen photos mountain river there "
-    "nation station other thinking ending herself landing storing ration interest notes forum wiki project people "
-    "my-garden book-club local-news home-repair bike-tours math-notes bird-watch old-maps"
+    "maps bookshop music theatre school research archive journal health sports kitchen photos mountain river "
+    "notes forum wiki project people my-garden book-club local-news home-repair bike-tours math-notes bird-watch old-maps "
+    "town-library school-news river-trail music-archive city-museum weather-maps garden-club science-journal"
 ).split()
+HELD_OUT = 5
+"""Every so many names of the built-in table are left out when its accuracy is measured."""
 
 
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The built-in labelled table (url, label): every name under a few subdomains, domains and paths."""
+def labelled_urls(spark: SparkSession, held_out: bool | None = None) -> DataFrame:
+    """The built-in labelled table (url, label): every name under a few subdomains, domains and paths.
+
+    ``held_out`` takes only the names that are left out for measuring, or only the others.
+    """
     rows = []
     for label, names in ((1, BLOCK_NAMES), (0, ALLOW_NAMES)):
+        names = [n for k, n in enumerate(names) if held_out is None or (k % HELD_OUT == HELD_OUT - 1) == held_out]
         for k, (name, zone) in enumerate(product(names, ("example.com", "example.net", "example.org"))):
             sub = ("", "www.", "m.", "blog.")[k % 4]
             path = ("/en/{}", "/de/{}.html", "/fr/{}/", "/es/{}?page=2")[k * 7 // 3 % 4].format(k * 7919 % 50_000)
@@ -133,8 +140,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], labelled: DataFrame |
 
     The verdict is the longest fitting rule's, else ``block`` where the model's
     probability ``score`` is at least one half.  A null URL, or one without ``://``, has
-    empty parts and is judged on these.  Repeated rows are judged each; other columns
-    are not read.
+    empty parts and is judged on these; URLs of any length are read whole.  Repeated rows
+    are judged each; other columns are not read; an empty table gives an empty one.
     """
     weights, bias = train(labelled_urls(pages.sparkSession) if labelled is None else labelled)
     parts = with_parts(pages.select(F.col(page_id).alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("_url")), "_url")
