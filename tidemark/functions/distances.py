@@ -1,11 +1,14 @@
-"""Distances between two arrays of doubles, as higher-order functions (no Python at run time)."""
+"""Distances between two arrays of doubles: higher-order functions, and for rank counts and warping Arrow batches in NumPy."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _sum(a: Column) -> Column:
@@ -70,38 +73,70 @@ def spearman(a: Column, b: Column) -> Column:
     return _from_correlation(correlation(ranks(a), ranks(b)), F.size(a))
 
 
-def kendall(a: Column, b: Column) -> Column:
-    """One minus the absolute tau-b."""
+def _by_length(a: pd.Series, b: pd.Series, f: Callable[[np.ndarray, np.ndarray], np.ndarray], cells: Callable[[int, int], int]) -> pd.Series:
+    """``f`` of all pairs of arrays as matrices, pairs of equal lengths together and at most some four million cells at a time."""
+    out = np.full(len(a), np.nan)
+    null = a.isna().to_numpy() | b.isna().to_numpy()
+    sizes = [(-1, -1) if bad else (len(x), len(y)) for x, y, bad in zip(a, b, null)]
+    for n, m in sorted(set(sizes) - {(-1, -1)}):
+        rows = np.flatnonzero([s == (n, m) for s in sizes])
+        step = max(1, 4_000_000 // max(1, cells(n, m)))
+        for lo in range(0, len(rows), step):
+            part = rows[lo : lo + step]
+            x, y = (np.array([np.asarray(v.iloc[i], float) for i in part]).reshape(len(part), k) for v, k in ((a, n), (b, m)))
+            out[part] = f(x, y)
+    return pd.Series(out)
 
-    def signs(f: Callable[[Column, Column], Column]) -> Column:
-        return _sum(F.transform(a, lambda p, i: _sum(F.transform(a, lambda q, j: F.when(j > i, f(F.signum(p - q), F.signum(F.get(b, i) - F.get(b, j)))).otherwise(0.0)))))
 
-    both, left, right = signs(lambda x, y: x * y), signs(lambda x, y: x * x), signs(lambda x, y: y * y)
-    return _from_correlation(F.when((left > 0) & (right > 0), both / F.sqrt(left * right)), F.size(a))
+def _tau(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Tau-b of the rows of two matrices: pairs of places, one distance of places after another."""
+    both, left, right = (np.zeros(len(x)) for _ in range(3))
+    for d in range(1, x.shape[1]):
+        p, q = np.sign(x[:, d:] - x[:, :-d]), np.sign(y[:, d:] - y[:, :-d])
+        both += (p * q).sum(axis=1)
+        left += (p * p).sum(axis=1)
+        right += (q * q).sum(axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where((left > 0) & (right > 0), both / np.sqrt(left * right), np.nan)
 
 
-def dtw(a: Column, b: Column, diagonal: float = 1.0) -> Column:
-    """Dynamic time warping with absolute costs, all moves at cost one (``diagonal`` 2: symmetric2 steps).
+@F.pandas_udf(DoubleType())
+def _kendall_tau(a: pd.Series, b: pd.Series) -> pd.Series:
+    return _by_length(a, b, _tau, lambda n, _: n)
+
+
+def kendall(a: Column, b: Column) -> Column:
+    """One minus the absolute tau-b; 1 if undefined, null below three values."""
+    tau = _kendall_tau(a, b)
+    return _from_correlation(F.when(~F.isnan(tau), tau), F.size(a))
 
-    A fold over ``a`` carries one row of the cost table as an array.
-    """
-    big = F.lit(float("inf"))
-    cost = lambda p, q: F.abs(p - q)
 
-    def row(prev: Column, p: Column, first: Column) -> Column:
-        def cell(acc: Column, j: Column) -> Column:
-            c = cost(p, F.get(b, j))
-            left = F.coalesce(F.try_element_at(acc, F.lit(-1)), big)
-            up = F.coalesce(F.get(prev, j), big)
-            corner = F.when(j > 0, F.coalesce(F.get(prev, j - 1), big)).otherwise(big)
-            best = F.least(left + c, up + c, corner + diagonal * c)
-            start = F.when(first & (j == 0), c)
-            return F.concat(F.when(F.size(acc) > 0, acc).otherwise(F.array().cast("array<double>")), F.array(F.coalesce(start, best)))
+def _warped(x: np.ndarray, y: np.ndarray, diagonal: float) -> np.ndarray:
+    """Warping distances of the rows of two matrices, by columns of the cost table."""
+    if not x.shape[1] or not y.shape[1]:
+        return np.full(len(x), np.nan)
+    column = np.full((y.shape[1] + 1, len(x)), np.inf)
+    for i in range(x.shape[1]):
+        cost = np.abs(y.T - x[:, i])
+        new = np.full_like(column, np.inf)
+        for j in range(1, len(column)):
+            c = cost[j - 1]
+            best = np.minimum(np.minimum(column[j] + c, new[j - 1] + c), column[j - 1] + diagonal * c)
+            new[j] = c if i == 0 and j == 1 else best
+        column = new
+    return column[-1]
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(b) - 1), F.array().cast("array<double>"), cell)
 
-    folded = F.aggregate(a, F.array().cast("array<double>"), lambda prev, p: row(prev, p, F.size(prev) == 0))
-    return F.try_element_at(folded, F.lit(-1))
+@F.pandas_udf(DoubleType())
+def _warping(a: pd.Series, b: pd.Series, diagonal: pd.Series) -> pd.Series:
+    weight = float(diagonal.iloc[0]) if len(diagonal) else 1.0
+    return _by_length(a, b, lambda x, y: _warped(x, y, weight), lambda n, m: n + 2 * m)
+
+
+def dtw(a: Column, b: Column, diagonal: float = 1.0) -> Column:
+    """Dynamic time warping with absolute costs, all moves at cost one (``diagonal`` 2: symmetric2 steps); null if an array is empty."""
+    found = _warping(a, b, F.lit(float(diagonal)))
+    return F.when(~F.isnan(found), found)
 
 
 METRICS: dict[str, Callable[..., Column]] = {
@@ -124,6 +159,11 @@ def metric(name: str, **options) -> Callable[[Column, Column], Column]:
     return lambda a, b: METRICS[key](a, b, **options)
 
 
+def methods() -> list[str]:
+    """The names of all metrics, with their other spellings."""
+    return sorted({*METRICS, *ALIASES})
+
+
 def register_metric(name: str, f: Callable[..., Column]) -> None:
     """Adds a metric: a function of two array columns."""
     METRICS[name.lower()] = f

@@ -47,11 +47,40 @@ for _m, _e in METRIC_SQL.items():
     )
 on_series(
     "dist_spearman", "s2", lambda s: proximity.pairwise(win(s), "spearman").select("series_id", "src", "dst", r6("distance", digits=7)),
-    PAIRS.replace("({s})", "(SELECT * FROM ({s}) WHERE t <= 500)").replace("SELECT a.series_id", f"SELECT a.series_id, {RANKED.format(v='a.x')} AS rx, {RANKED.format(v='b.x')} AS ry") + f" SELECT series_id, src, dst, {q6(corr_sql('rx', 'ry'), 'distance', 7)} FROM p",
+    PAIRS.replace("), p AS (SELECT a.series_id", f"), k AS (SELECT *, {RANKED.format(v='x')} AS r FROM w), p AS (SELECT a.series_id, a.r AS rx, b.r AS ry").replace("FROM w a JOIN w b", "FROM k a JOIN k b")
+    + f" SELECT series_id, src, dst, {q6(corr_sql('rx', 'ry'), 'distance', 7)} FROM p",
 )
-on_series("dist_kendall", "s2", lambda s: proximity.pairwise(win(s), "kendall").select("series_id", "src", "dst", r6("distance", digits=7)))
-on_series("dist_dtw", "s2", lambda s: proximity.pairwise(proximity.windows(s, 20), "dtw").select("series_id", "src", "dst", r6("distance", digits=7)))
-on_series("dist_dtw_symmetric2", "s2", lambda s: proximity.pairwise(proximity.windows(s, 20), "dtw_symmetric2").select("series_id", "src", "dst", r6("distance", digits=7)))
+
+
+def tau_sql(size: int) -> str:
+    """One minus the absolute tau-b of two lists of one size."""
+    places = f"range(1, {size}), lambda i: list_sum(list_transform(range(i + 1, {size + 1}), lambda j: {{e}}))"
+    total = lambda e: f"list_sum(list_transform({places.format(e=e)}))"
+    dx, dy = "sign(x[i] - x[j])", "sign(y[i] - y[j])"
+    return f"1 - abs({total(f'{dx} * {dy}')} / sqrt({total(f'{dx} * {dx}')} * {total(f'{dy} * {dy}')}))"
+
+
+on_series(
+    "dist_kendall", "s2", lambda s: proximity.pairwise(win(s), "kendall").select("series_id", "src", "dst", r6("distance", digits=7)),
+    f"{PAIRS} SELECT series_id, src, dst, {q6(tau_sql(SIZE), 'distance', 7)} FROM p",
+)
+SHORT = 20
+
+
+def warp_sql(diagonal: int) -> str:
+    """Warping of windows of SHORT rows: a step of the recursion is a diagonal of the cost table, held by its rows."""
+    infinite = f"list_transform(range({SHORT}), lambda i: CAST('inf' AS DOUBLE))"
+    cost, at = "abs(x[i] - y[k + 1 - i])", lambda v, i: f"coalesce({v}[{i}], CAST('inf' AS DOUBLE))"
+    cell = f"least({at('p1', 'i - 1')} + {cost}, {at('p1', 'i')} + {cost}, {at('p2', 'i - 1')} + {diagonal} * {cost})"
+    return f"""WITH RECURSIVE s AS ({{s}}), w AS (SELECT series_id, (t - 1) // {SHORT} + 1 AS window_id, list(value ORDER BY t) AS x FROM s GROUP BY 1, 2 HAVING count(*) = {SHORT}),
+        d(series_id, src, dst, x, y, k, p1, p2) AS (SELECT a.series_id, a.window_id, b.window_id, a.x, b.x, 2, list_transform(range(1, {SHORT + 1}), lambda i: CASE WHEN i = 1 THEN abs(a.x[1] - b.x[1]) ELSE CAST('inf' AS DOUBLE) END), {infinite}
+            FROM w a JOIN w b ON a.series_id = b.series_id AND a.window_id < b.window_id
+            UNION ALL SELECT series_id, src, dst, x, y, k + 1, list_transform(range(1, {SHORT + 1}), lambda i: CASE WHEN k + 1 - i BETWEEN 1 AND {SHORT} THEN {cell} ELSE CAST('inf' AS DOUBLE) END), p1 FROM d WHERE k < {2 * SHORT})
+        SELECT series_id, src, dst, {q6(f"p1[{SHORT}]", "distance", 7)} FROM d WHERE k = {2 * SHORT}"""
+
+
+for _m, _diagonal in (("dtw", 1), ("dtw_symmetric2", 2)):
+    on_series(f"dist_{_m}", "s2", lambda s, m=_m: proximity.pairwise(proximity.windows(s, SHORT), m).select("series_id", "src", "dst", r6("distance", digits=7)), warp_sql(_diagonal))
 on_series(
     "dist_consecutive", "s3", lambda s: proximity.pairwise(win(s), "euclidean", consecutive=True).select("series_id", "src", "dst", r6("distance", digits=7)),
     f"{PAIRS} SELECT series_id, src, dst, {q6(METRIC_SQL['euclidean'], 'distance', 7)} FROM p WHERE dst = src + 1",
@@ -69,8 +98,8 @@ on_series(
 
 @query(
     "dist_embeddings",
-    """WITH e AS (SELECT vec_id, embedding AS x FROM embeddings WHERE label = 3) SELECT a.vec_id AS src, b.vec_id AS dst,
-    round(sqrt(list_sum(list_transform(range(1, 65), lambda i: (CAST(a.x[i] AS DOUBLE) - b.x[i]) * (CAST(a.x[i] AS DOUBLE) - b.x[i])))), 7) + 0.0 AS distance FROM e a JOIN e b ON a.vec_id < b.vec_id""",
+    f"""WITH e AS (SELECT vec_id, label, embedding AS x FROM embeddings) SELECT a.vec_id AS src, b.vec_id AS dst,
+    {q6("sqrt(list_sum(list_transform(range(1, 65), lambda i: (CAST(a.x[i] AS DOUBLE) - b.x[i]) * (CAST(a.x[i] AS DOUBLE) - b.x[i]))))", "distance", 7)} FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id""",
 )
 def dist_embeddings(spark, sf_dir):
     """Pairs of the embeddings of each label: a label is the group that pairs form in."""

@@ -39,7 +39,7 @@ on_series(
 )
 on_series(
     "vg_value", "s3", lambda s: visibility.by_value(visibility.visibility_edges(s, "hvg"), s, "count").select("series_id", F.col("from_state").cast("double").alias("from_value"), F.col("to_state").cast("double").alias("to_value"), "weight"),
-    HVG.replace("({s})", "(SELECT * FROM ({s}) WHERE t <= 400)") + """ SELECT e.series_id, a.value AS from_value, b.value AS to_value, CAST(count(*) AS DOUBLE) AS weight FROM e
+    HVG + """ SELECT e.series_id, a.value AS from_value, b.value AS to_value, CAST(count(*) AS DOUBLE) AS weight FROM e
     JOIN s a ON a.series_id = e.series_id AND a.t = src JOIN s b ON b.series_id = e.series_id AND b.t = dst GROUP BY 1, 2, 3""",
 )
 on_series(
