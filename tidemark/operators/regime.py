@@ -121,6 +121,16 @@ _NAMES = {
 }
 
 
+# Change type of every row of a series below the detector's least length, in windows.
+_SHORT = {
+    "cumulative_peaks": ("peaks_insufficient_data", 1),
+    "changepoint": ("cp_insufficient_data", 2),
+    "variance_shift": ("var_insufficient_data", 2),
+    "gradient": ("grad_insufficient_data", 2),
+    "entropy": ("ent_insufficient_data", 1),
+}
+
+
 def detect_changes(series: DataFrame, method: str = "smart", sensitivity: str = "medium", window: int = 10, min_size: int | None = None) -> DataFrame:
     """(series_id, t, complexity, regime_change, regime_id, change_type, change_magnitude, confidence, min_size).
 
@@ -140,6 +150,10 @@ def detect_changes(series: DataFrame, method: str = "smart", sensitivity: str =
         name, at, elsewhere = _NAMES[method]
         change = F.col(f"_c_{method}")
         kind, size, sure = F.when(change, name).otherwise("none"), magnitude[method], F.when(change, at).otherwise(elsewhere)
+        if method in _SHORT:
+            label, least = _SHORT[method]
+            short = F.col("_n") < least * p.window
+            kind, size, sure = F.when(short, label).otherwise(kind), F.when(short, 0.0).otherwise(size), F.when(short, 0.0).otherwise(sure)
         out = out.withColumn("_change", change)
     else:
         flags = [F.col(f"_c_{m}").cast("int") for m in used]

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 # The indicators' weights.
 WEIGHTS = {
@@ -15,51 +18,45 @@ WEIGHTS = {
 LEVELS = ("none", "low", "moderate", "high", "critical")
 
 
-def _total(x: Column) -> Column:
-    return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+def _rows_of(lists: pd.Series, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The lists of exactly ``n`` values as a matrix, and their places."""
+    at = np.flatnonzero([v is not None and len(v) == n for v in lists])
+    return np.array([np.asarray(lists.iloc[i], float) for i in at]).reshape(len(at), n), at
 
 
-def _with_spectrum(df: DataFrame, n: int = 100) -> DataFrame:
-    """Adds ``_long``: whether the periodogram of the last ``n`` values peaks beyond a period of 20.
+@F.pandas_udf(BooleanType())
+def _long_period(last: pd.Series) -> pd.Series:
+    """Whether the periodogram of a list of 100 values peaks beyond a period of 20; null for other lists.
 
-    The values' line is removed and a tenth of each end tapered first.  Each step is a
-    column of its own, so that nothing is computed again inside a lambda.
+    The values' line is removed and a tenth of each end tapered first.
     """
-    mid, m = (n - 1) / 2, n // 10
-    edge = [min(i, n - 1 - i) for i in range(n)]
-    taper = F.array(*[F.lit(0.5 * (1 - math.cos(math.pi * (2 * e + 1) / (2 * m))) if e < m else 1.0) for e in edge])
-    df = df.withColumn("_x", F.when(F.size("_last") == n, F.col("_last")))
-    df = df.withColumns({"_pm": _total(F.col("_x")) / n, "_ps": _total(F.transform("_x", lambda v, i: v * (i - mid))) / sum((i - mid) ** 2 for i in range(n))})
-    df = df.withColumn("_y", F.transform("_x", lambda v, i: (v - F.col("_pm") - F.col("_ps") * (i - mid)) * F.get(taper, i)))
-
-    def power(k: Column) -> Column:
-        c = _total(F.transform("_y", lambda v, i: v * F.cos(2 * math.pi * k * i / n)))
-        s = _total(F.transform("_y", lambda v, i: v * F.sin(2 * math.pi * k * i / n)))
-        return c * c + s * s
-
-    df = df.withColumn("_power", F.when(F.col("_y").isNotNull(), F.transform(F.sequence(F.lit(1), F.lit(n // 2)), power)))
-    return df.withColumn("_long", F.lit(float(n)) / F.array_position("_power", F.array_max("_power")) > 20)
-
-
-def _minus(column: str):
-    return lambda v: v - F.col(column)
-
-
-def _times_later(column: str, lag: int):
-    return lambda v, i: v * F.coalesce(F.get(F.col(column), i + lag), F.lit(0.0))
-
-
-def _with_memory(df: DataFrame) -> DataFrame:
-    """Adds ``_grown``: whether the mean autocorrelation at lags 1 to 5 of the last 50 values exceeds that of the 50 before by 0.2."""
-    for name, start in (("_new50", 51), ("_old50", 1)):
-        df = df.withColumn(name, F.when(F.size("_last") == 100, F.slice("_last", start, 50)))
-        df = df.withColumn(f"{name}_m", _total(F.col(name)) / 50)
-        df = df.withColumn(f"{name}_d", F.transform(name, _minus(f"{name}_m")))
-        d = f"{name}_d"
-        lagged = [_total(F.transform(d, _times_later(d, k))) for k in range(1, 6)]
-        bottom = _total(F.transform(d, lambda v: v * v))
-        df = df.withColumn(f"{name}_a", F.when(bottom > 0, sum(lagged[1:], lagged[0]) / bottom / 5))
-    return df.withColumn("_grown", F.col("_new50_a") > F.col("_old50_a") + 0.2)
+    n = 100
+    x, at = _rows_of(last, n)
+    place, edge = np.arange(n) - (n - 1) / 2, np.minimum(np.arange(n), np.arange(n)[::-1])
+    taper = np.where(edge < n // 10, 0.5 * (1 - np.cos(math.pi * (2 * edge + 1) / (2 * (n // 10)))), 1.0)
+    slope = x @ place / (place @ place)
+    power = np.abs(np.fft.rfft((x - x.mean(axis=1, keepdims=True) - slope[:, None] * place) * taper, axis=1)[:, 1:]) ** 2
+    out = pd.Series([None] * len(last), dtype="object")
+    out.iloc[at] = n / (1 + power.argmax(axis=1)) > 20
+    return out
+
+
+@F.pandas_udf(BooleanType())
+def _memory_grown(last: pd.Series) -> pd.Series:
+    """Whether the mean autocorrelation at lags 1 to 5 of the last 50 values exceeds that of the 50 before by 0.2; null if unknown."""
+    x, at = _rows_of(last, 100)
+
+    def memory(part: np.ndarray) -> np.ndarray:
+        d = part - part.mean(axis=1, keepdims=True)
+        bottom = (d * d).sum(axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(bottom > 0, sum((d[:, k:] * d[:, :-k]).sum(axis=1) for k in range(1, 6)) / bottom / 5, np.nan)
+
+    new, old = memory(x[:, 50:]), memory(x[:, :50])
+    known = ~np.isnan(new) & ~np.isnan(old)
+    out = pd.Series([None] * len(last), dtype="object")
+    out.iloc[at[known]] = (new > old + 0.2)[known]
+    return out
 
 
 def indicators(rows: DataFrame, extremes: tuple[float, float] = (0.05, 0.95), trend_q: float = 0.9, volatility_q: float = 0.9, trend: int = 30, volatility: int = 30, flicker: int = 20, full: bool = False) -> DataFrame:
@@ -106,7 +103,7 @@ def indicators(rows: DataFrame, extremes: tuple[float, float] = (0.05, 0.95), tr
         out = out.withColumn("_run", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
         out = out.withColumn("_len", F.count("*").over(Window.partitionBy("series_id", "_run")))
         runs = out.groupBy("series_id", "_run").agg(F.first("_len").alias("l")).groupBy("series_id").agg(F.percentile("l", 0.9).alias("_lenq"))
-        out = _with_memory(_with_spectrum(out.join(runs, "series_id")))
+        out = out.join(runs, "series_id").withColumns({"_long": _long_period("_last"), "_grown": _memory_grown("_last")})
         made |= {
             "variance_ratio": yes((F.col("_i") >= 60) & (F.col("_v1") > 0) & (off(2) | off(4))),
             "spectral_shift": yes(F.col("_long")),

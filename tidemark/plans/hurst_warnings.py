@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,7 +65,17 @@ on_series(
     GLOBAL + GRID + MF + f""" SELECT series_id, {q6("arg_min(h, abs(q - 2))", "hurst", 7)}, {q6("max(alpha) - min(alpha)", "mf_width", 7)},
     CASE WHEN max(alpha) - min(alpha) < 0.1 THEN 'monofractal' WHEN max(alpha) - min(alpha) < 0.3 THEN 'weak_multifractal' WHEN max(alpha) - min(alpha) < 0.5 THEN 'moderate_multifractal' ELSE 'strong_multifractal' END AS mf_category FROM d GROUP BY 1""",
 )
-on_series("hurst_rolling_filled", "s2", lambda s: hurst.rolling_hurst(s, "dfa", 50, 10).select("series_id", "t", r6("hurst", digits=8), "state", "transition"))
+RANKS = "list_position(list_sort(list_distinct(list(code) OVER (PARTITION BY series_id))), code)"
+on_series(
+    "hurst_rolling_filled", "s2", lambda s: hurst.rolling_hurst(s, "dfa", 50, 10).select("series_id", "t", r6("hurst", digits=8), "state", F.coalesce("transition", F.lit(0)).alias("transition")),
+    WINDOWED.replace(f"k * {ROLL_STEP}", "k * 10") + DFA + f""", g AS (SELECT s.series_id, t, hurst AS v FROM s LEFT JOIN h ON h.series_id = s.series_id AND h.win = t),
+    fl AS (SELECT *, last_value(v IGNORE NULLS) OVER b AS v0, last_value(CASE WHEN v IS NOT NULL THEN t END IGNORE NULLS) OVER b AS t0, first_value(v IGNORE NULLS) OVER a AS v1, first_value(CASE WHEN v IS NOT NULL THEN t END IGNORE NULLS) OVER a AS t1
+        FROM g WINDOW b AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+    n AS (SELECT series_id, t, coalesce(v, CASE WHEN t1 > t0 THEN v0 + (v1 - v0) * (t - t0) / (t1 - t0) END, v0, v1) AS hurst FROM fl),
+    c AS (SELECT *, {CATEGORY} AS state, CASE WHEN hurst < 0.4 THEN 0 WHEN hurst < 0.5 THEN 1 WHEN hurst < 0.6 THEN 2 WHEN hurst < 0.7 THEN 3 ELSE 4 END AS code FROM n),
+    r2 AS (SELECT *, {RANKS} AS rank FROM c)
+    SELECT series_id, t, {q6("hurst", "hurst", 8)}, state, CAST(coalesce(rank - lag(rank) OVER (PARTITION BY series_id ORDER BY t), 0) AS INT) AS transition FROM r2""",
+)
 
 # Early warnings on the daily orders themselves, with value bands as states.
 STATE = "CASE WHEN value < 300 THEN 'a' WHEN value < 330 THEN 'b' WHEN value < 360 THEN 'c' ELSE 'd' END"
@@ -101,4 +113,39 @@ on_series(
     EWS + f""", n AS (SELECT series_id, level, row_number() OVER (PARTITION BY series_id ORDER BY t DESC) AS b FROM lv), m AS (SELECT series_id, max(CASE WHEN b = 1 THEN level END) AS current, avg(CASE WHEN b <= 20 THEN level END) AS recent, avg(CASE WHEN b > 20 AND b <= 40 THEN level END) AS previous FROM n GROUP BY 1)
     SELECT series_id, current, {q6("recent", "recent")}, {q6("previous", "previous")}, CASE WHEN recent > previous THEN 'increasing' WHEN recent < previous THEN 'decreasing' ELSE 'stable' END AS trend FROM m""",
 )
-on_series("ews_full", "s2", lambda s: warning.detect_warnings(stated(s), full=True).select("series_id", "t", *warning.WEIGHTS, r6("score"), "level"))
+TEN = [c for c in warning.WEIGHTS if c != "high_volatility"]
+# The four further indicators and the boost.  A list holds the last 100 values; mid-points are 49.5.
+_TAPER = "[" + ", ".join(repr(0.5 * (1 - math.cos(math.pi * (2 * e + 1) / 20)) if e < 10 else 1.0) for e in (min(i, 99 - i) for i in range(100))) + "]"
+_WAVE = {f: [[round(g(2 * math.pi * k * i / 100), 15) + 0.0 for i in range(100)] for k in range(1, 51)] for f, g in (("cos", math.cos), ("sin", math.sin))}
+_SQUARES = sum((i - 49.5) ** 2 for i in range(100))
+
+
+def _memory(d: str) -> str:
+    """The mean autocorrelation at lags 1 to 5 of a list of 50 deviations."""
+    return f"({' + '.join(f'list_inner_product({d}[1:{50 - k}], {d}[{k + 1}:50])' for k in range(1, 6))}) / list_inner_product({d}, {d}) / 5"
+
+
+EWS_FULL = EWS.split(",\n    g AS (SELECT *, 2 * extreme_low")[0] + f""",
+    f1 AS (SELECT *, value - lag(value, 1) OVER o AS d1, value - lag(value, 2) OVER o AS d2, value - lag(value, 4) OVER o AS d4, list(value) OVER h AS last, moved + CASE WHEN old IS NULL THEN 1 ELSE 0 END AS fresh
+        FROM e WINDOW o AS (PARTITION BY series_id ORDER BY t), h AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)),
+    f2 AS (SELECT *, var_samp(d1) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN 58 PRECEDING AND CURRENT ROW) AS v1, var_samp(d2) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN 57 PRECEDING AND CURRENT ROW) / 2 AS v2,
+        var_samp(d4) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN 55 PRECEDING AND CURRENT ROW) / 4 AS v4, sum(fresh) OVER (PARTITION BY series_id ORDER BY t) AS run FROM f1),
+    f3 AS (SELECT *, count(*) OVER (PARTITION BY series_id, run) AS len FROM f2), rl AS (SELECT series_id, quantile_cont(len, 0.9) AS lenq FROM (SELECT DISTINCT series_id, run, len FROM f3) GROUP BY 1),
+    f4 AS (SELECT series_id, t, last AS x, list_avg(last) AS pm, list_inner_product(last, ft) / {_SQUARES} AS ps, list_avg(last[51:100]) AS m1, list_avg(last[1:50]) AS m0, ft, tp
+        FROM f3, (SELECT {[i - 49.5 for i in range(100)]}::DOUBLE[] AS ft, {_TAPER}::DOUBLE[] AS tp) WHERE len(last) = 100),
+    f5 AS (SELECT series_id, t, list_transform(x[51:100], lambda v: v - m1) AS e1, list_transform(x[1:50], lambda v: v - m0) AS e0, list_transform(range(1, 101), lambda i: (x[i] - pm - ps * ft[i]) * tp[i]) AS y FROM f4),
+    f6 AS (SELECT series_id, t, y, {_memory("e1")} AS a1, {_memory("e0")} AS a0 FROM f5),
+    wv AS (SELECT unnest(range(1, 51)) AS k, unnest({_WAVE["cos"]}::DOUBLE[][]) AS c, unnest({_WAVE["sin"]}::DOUBLE[][]) AS s),
+    f7 AS (SELECT series_id, t, k, pow(list_inner_product(y, c), 2) + pow(list_inner_product(y, s), 2) AS power FROM f6, wv),
+    f8 AS (SELECT series_id, t, arg_max(k, power) AS peak FROM f7 GROUP BY 1, 2),
+    f9 AS (SELECT f3.*, CAST(coalesce(i >= 60 AND v1 > 0 AND (abs(v2 / nullif(v1, 0) - 1) > 0.5 OR abs(v4 / nullif(v1, 0) - 1) > 0.5), false) AS INT) AS variance_ratio, CAST(coalesce(100.0 / peak > 20, false) AS INT) AS spectral_shift,
+        CAST(coalesce(a1 > a0 + 0.2, false) AS INT) AS autocorr_increase, CAST(len > lenq AS INT) AS state_persistence
+        FROM f3 JOIN rl USING (series_id) LEFT JOIN f6 ON f6.series_id = f3.series_id AND f6.t = f3.t LEFT JOIN f8 ON f8.series_id = f3.series_id AND f8.t = f3.t),
+    g0 AS (SELECT *, 2 * extreme_low + 2 * extreme_high + 1.5 * trend_up + 1.5 * trend_down + 1.5 * high_volatility + 2 * flickering + variance_ratio + spectral_shift + 1.5 * autocorr_increase + state_persistence AS raw, count(*) OVER (PARTITION BY series_id) AS rows FROM f9),
+    g1 AS (SELECT *, avg(CASE WHEN raw > 0 THEN 1.0 WHEN raw <= 0 THEN 0.0 END) OVER b AS share, count(raw) OVER b AS known FROM g0 WINDOW b AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)),
+    g AS (SELECT *, CASE WHEN i > 10 AND i <= rows - 10 THEN CASE WHEN known = 21 THEN raw * (1 + share) END ELSE raw END AS score FROM g1),
+    l AS""" + EWS.split("\n    l AS", 1)[1]
+on_series(
+    "ews_full", "s2", lambda s: warning.detect_warnings(stated(s), full=True).select("series_id", "t", *TEN, r6("score"), "level"),
+    EWS_FULL + f" SELECT series_id, t, {', '.join(TEN)}, {q6('score', 'score')}, level FROM lv",
+)

@@ -119,6 +119,7 @@ MAGNITUDE = {
     "entropy": "CASE WHEN c_entropy THEN rd ELSE 0 END",
 }
 TYPES = {"cumulative_peaks": ("peak_detected", 0.5, 0.5), "changepoint": ("changepoint", 0.7, 0), "threshold": ("threshold_change", 0.7, 0.7), "variance_shift": ("variance_shift", 0.6, 0), "gradient": ("gradient_change", 0.6, 0), "entropy": ("entropy_change", 0.5, 0)}
+SHORT_TYPES = {"cumulative_peaks": ("peaks_insufficient_data", 1), "changepoint": ("cp_insufficient_data", 2), "variance_shift": ("var_insufficient_data", 2), "gradient": ("grad_insufficient_data", 2), "entropy": ("ent_insufficient_data", 1)}
 IDS = "1 + sum(CASE WHEN chg AND i > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY series_id ORDER BY t)"
 ALL_ACCEPTED = "".join(_accept(f"r_{m}", f"c_{m}", "p3" if k == 0 else f"a{k - 1}", f"a{k}") for k, m in enumerate(METHODS))
 
@@ -129,6 +130,9 @@ def changes_sql(method: str) -> str:
     if method in METHODS:
         name, at, other = TYPES[method]
         kind, size, sure = f"CASE WHEN c_{method} THEN '{name}' ELSE 'none' END", MAGNITUDE[method], f"CASE WHEN c_{method} THEN {at} ELSE {other} END"
+        if method in SHORT_TYPES:
+            label, least = SHORT_TYPES[method]
+            kind, size, sure = (f"CASE WHEN n < {least * WINDOW} THEN {v} ELSE {e} END" for v, e in ((f"'{label}'", kind), (0, size), (0, sure)))
         tail = f", z AS (SELECT *, c_{method} AS chg FROM {last})"
     elif method == "smart":
         used = {"gradient": "gradient", "cumulative_peaks": "peaks", "changepoint": "changepoint"}
@@ -157,6 +161,8 @@ FOUND_SQL = f"SELECT series_id, t, regime_change, regime_id, change_type, {q6('c
 SHORT = {"cumulative_peaks": "peaks", "variance_shift": "variance"}
 for _m in (*METHODS, "smart", "all"):
     on_series(f"regime_{SHORT.get(_m, _m)}", "s1", lambda s, m=_m: shown(regime.detect_changes(s, m)), f"{changes_sql(_m)} {FOUND_SQL}")
+    if _m in SHORT_TYPES:
+        on_series(f"regime_short_{SHORT.get(_m, _m)}", "s5", lambda s, m=_m: shown(regime.detect_changes(s, m)), f"{changes_sql(_m)} {FOUND_SQL}")
 on_series("regime_smart_orders", "s2", lambda s: shown(regime.detect_changes(s, "smart")), f"{changes_sql('smart')} {FOUND_SQL}")
 
 STABILITY = """, st AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY series_id) = 1 THEN 0.5 ELSE least(1, count(*) OVER (PARTITION BY series_id, regime_id) / (min_size * 2.0)) END AS score FROM found)"""

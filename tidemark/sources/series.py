@@ -125,8 +125,14 @@ def events_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_series(grid.join(mean, ["event_type", "hour"], "left"), "value", ["hour"], "event_type")
 
 
+def events_by_user_and_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A (short) series a user and event type: event values in time order."""
+    return to_series(read(spark, sf_dir, "events"), "value", ["ts", "event_id"], F.concat_ws("/", "user_id", "event_type"))
+
+
 # The same series for DuckDB, as bodies of common table expressions.
 SQL = {
+    "s5": "SELECT concat_ws('/', user_id, event_type) AS series_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS t, value FROM events",
     "s1": "SELECT cast(user_id AS VARCHAR) AS series_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t, value FROM events",
     "s2": """SELECT 'orders' AS series_id, row_number() OVER (ORDER BY day) AS t, round(v / 100000, 8) AS value
         FROM (SELECT cast(o_orderdate AS DATE) AS day, sum(o_totalprice) AS v FROM orders GROUP BY 1)""",
