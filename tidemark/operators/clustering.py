@@ -1,8 +1,9 @@
-"""Discretisers by clustering: Gaussian mixture, complete linkage, linkage of windows."""
+"""Discretisers by clustering: Gaussian mixture, complete linkage, linkage and medoids of windows."""
 
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,47 +11,102 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import quantiles
+from ..sources.tables import written
 from .discretize import register
-from .proximity import windows
+from .proximity import components, mirrored, pairwise, windows
 
-MAX_WINDOWS = 3_000
-"""Windows of one series that linkage takes (it needs their square); more raise an error."""
+SMALL = 50_000
+"""Distinct values of a series up to which one task fits its mixture; longer series are fitted by Spark, step by step."""
+MAX_WINDOWS = 2_000
+"""Windows of one series up to which one task links them (it needs their square); longer series are linked by Spark, round by round."""
+CLOSE, MOST_STEPS = 1e-8, 2_000
+"""A mixture has settled when its mean log likelihood grows by less than CLOSE a step; one that has not after MOST_STEPS stays as it is."""
+
+
+def mixture_step(values: np.ndarray, n: np.ndarray, m: np.ndarray, v: np.ndarray, w: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """New means, variances and weights after one step of expectation maximisation, and the old ones' mean log likelihood."""
+    logs = np.log(w + 1e-300) - np.log(v) / 2 - (values[:, None] - m) ** 2 / (2 * v)
+    top = logs.max(axis=1, keepdims=True)
+    r = np.exp(logs - top)
+    total = r.sum(axis=1, keepdims=True)
+    likelihood = float((n * (np.log(total[:, 0]) + top[:, 0])).sum() / n.sum())
+    r = r / total * n[:, None]
+    s = r.sum(axis=0)
+    some = s > 0
+    safe = np.where(some, s, 1)
+    mean = np.where(some, (r * values[:, None]).sum(axis=0) / safe, m)
+    around = np.where(some, (r * (values[:, None] - m) ** 2).sum(axis=0) / safe - (mean - m) ** 2, 0)
+    return mean, np.maximum(around, floor), s / n.sum(), likelihood
+
+
+def mixture_fit(values: np.ndarray, n: np.ndarray, m: np.ndarray, v: np.ndarray, w: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The settled mixture of values with counts."""
+    before = -np.inf
+    for _ in range(MOST_STEPS):
+        *new, likelihood = mixture_step(values, n, m, v, w, floor)
+        if likelihood - before < CLOSE:
+            break
+        m, v, w, before = *new, likelihood
+    return m, v, w
 
 
 @register("mixture")
-def by_mixture(series: DataFrame, k: int, steps: int = 10) -> DataFrame:
-    """A Gaussian mixture fitted by expectation maximisation; states ascend with the means.
+def by_mixture(series: DataFrame, k: int) -> DataFrame:
+    """A Gaussian mixture fitted by expectation maximisation until it settles; states ascend with the means.
 
-    Every step is one grouped aggregation over all rows of a series; parameters ride
-    along as grouping keys, so a step refers to the one before only once.
+    A series of few distinct values is fitted in one task from its values' counts.  For
+    longer ones every step is one grouped aggregation that ends in a written table, which
+    settled series leave.
     """
     start = series.where("value IS NOT NULL").groupBy("series_id").agg(
         quantiles("value", [(i + 0.5) / k for i in range(k)]).alias("m"), F.coalesce(F.var_pop("value"), F.lit(0.0)).alias("all_v"), F.count_distinct("value").alias("u")
     )
     spread = F.greatest(F.col("all_v") / (k * k), F.lit(1e-12))
-    p = start.select("series_id", "u", (F.col("all_v") * 1e-4 + 1e-12).alias("floor"), "m", F.transform("m", lambda _: spread).alias("v"), F.transform("m", lambda _: F.lit(1.0 / k)).alias("w"))
-    keys = ["series_id", "u", "floor"]
-
-    def weighed(df: DataFrame) -> DataFrame:
-        logs = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.log(F.get("w", j) + 1e-300) - F.log(F.get("v", j)) / 2 - F.pow(F.col("value") - F.get("m", j), 2) / (2 * F.get("v", j)))
-        df = df.withColumn("_l", logs).withColumn("_e", F.transform("_l", lambda x: F.exp(x - F.array_max("_l"))))
-        return df.withColumn("_s", F.aggregate("_e", F.lit(0.0), lambda a, x: a + x)).withColumn("_r", F.transform("_e", lambda x: x / F.col("_s")))
-
-    for _ in range(steps):
-        rows = weighed(series.where("value IS NOT NULL").join(p, "series_id"))
-        sums = rows.groupBy(*keys, "m", "v", "w").agg(
-            F.count("*").alias("n"),
-            *[F.sum(F.get("_r", F.lit(j))).alias(f"s{j}") for j in range(k)],
-            *[F.sum(F.get("_r", F.lit(j)) * F.col("value")).alias(f"a{j}") for j in range(k)],
-            *[F.sum(F.get("_r", F.lit(j)) * F.pow(F.col("value") - F.get("m", F.lit(j)), 2)).alias(f"b{j}") for j in range(k)],
+    first = start.where(F.col("u") >= k).select("series_id", "u", (F.col("all_v") * 1e-4 + 1e-12).alias("floor"), "m", F.transform("m", lambda _: spread).alias("v"), F.transform("m", lambda _: F.lit(1.0 / k)).alias("w"))
+    first = written(first, "mixture")
+    points = written(series.where("value IS NOT NULL").groupBy("series_id", "value").agg(F.count("*").alias("n")), "points")
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        one = pdf.iloc[0]
+        pdf = pdf.sort_values("value")
+        m, v, w = mixture_fit(pdf["value"].to_numpy(float), pdf["n"].to_numpy(float), *(np.asarray(one[c], float) for c in "mvw"), float(one["floor"]))
+        return pd.DataFrame({"series_id": [one["series_id"]], "m": [m.tolist()], "v": [v.tolist()], "w": [w.tolist()]})
+
+    shape = "series_id string, m array<double>, v array<double>, w array<double>"
+    done = [points.join(first.where(F.col("u") <= SMALL), "series_id").groupBy("series_id").applyInPandas(fit, shape)]
+    moving = first.where(F.col("u") > SMALL).select("series_id", "floor", "m", "v", "w", F.lit(float("-inf")).alias("before"))
+    for _ in range(MOST_STEPS):
+        if moving.isEmpty():
+            break
+        rows = _weighed(points.join(moving, "series_id"), k)
+        share = lambda j: F.get("_r", F.lit(j)) * F.col("n")
+        sums = rows.groupBy("series_id").agg(
+            *[F.first(c).alias(c) for c in ("floor", "m", "v", "w", "before")], F.sum("n").alias("all"), F.sum(F.col("n") * (F.log("_s") + F.array_max("_l"))).alias("l"),
+            *[F.sum(share(j)).alias(f"s{j}") for j in range(k)], *[F.sum(share(j) * F.col("value")).alias(f"a{j}") for j in range(k)],
+            *[F.sum(share(j) * F.pow(F.col("value") - F.get("m", F.lit(j)), 2)).alias(f"b{j}") for j in range(k)],
         )
         mean = [F.coalesce(F.try_divide(F.col(f"a{j}"), F.col(f"s{j}")), F.get("m", F.lit(j))) for j in range(k)]
         around = [F.coalesce(F.try_divide(F.col(f"b{j}"), F.col(f"s{j}")) - F.pow(mean[j] - F.get("m", F.lit(j)), 2), F.lit(0.0)) for j in range(k)]
-        p = sums.select(*keys, F.array(*mean).alias("m"), F.array(*[F.greatest(a, F.col("floor")) for a in around]).alias("v"), F.array(*[F.col(f"s{j}") / F.col("n") for j in range(k)]).alias("w"))
-    placed = weighed(series.join(p, "series_id", "left"))
+        still = F.col("l") / F.col("all") - F.col("before") < CLOSE
+        step = written(sums.select(
+            "series_id", "floor", "m", "v", "w", still.alias("_still"), (F.col("l") / F.col("all")).alias("_l"), F.array(*mean).alias("_m"),
+            F.array(*[F.greatest(a, F.col("floor")) for a in around]).alias("_v"), F.array(*[F.col(f"s{j}") / F.col("all") for j in range(k)]).alias("_w"),
+        ), "mixture")
+        done.append(step.where("_still").select("series_id", "m", "v", "w"))
+        moving = step.where("NOT _still").select("series_id", "floor", F.col("_m").alias("m"), F.col("_v").alias("v"), F.col("_w").alias("w"), F.col("_l").alias("before"))
+    done.append(moving.select("series_id", "m", "v", "w"))
+    fitted = reduce(DataFrame.unionByName, done)
+    placed = _weighed(series.join(fitted, "series_id", "left"), k)
     best = F.get("m", (F.array_position("_r", F.array_max("_r")) - 1).cast("int"))
     rank = F.size(F.filter("m", lambda m: m < best)) + 1
-    return placed.withColumn("state", F.when((F.col("u") >= k) & F.col("value").isNotNull(), rank).cast("int")).select(*series.columns, "state")
+    return placed.withColumn("state", F.when(F.col("m").isNotNull() & F.col("value").isNotNull(), rank).cast("int")).select(*series.columns, "state")
+
+
+def _weighed(df: DataFrame, k: int) -> DataFrame:
+    """Adds the log terms ``_l``, their exponentials' sum ``_s`` and the components' shares ``_r`` of each value."""
+    logs = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.log(F.get("w", j) + 1e-300) - F.log(F.get("v", j)) / 2 - F.pow(F.col("value") - F.get("m", j), 2) / (2 * F.get("v", j)))
+    df = df.withColumn("_l", logs).withColumn("_e", F.transform("_l", lambda x: F.exp(x - F.array_max("_l"))))
+    return df.withColumn("_s", F.aggregate("_e", F.lit(0.0), lambda a, x: a + x)).withColumn("_r", F.transform("_e", lambda x: x / F.col("_s")))
 
 
 def complete_linkage_cuts(values: np.ndarray, k: int) -> np.ndarray:
@@ -122,20 +178,102 @@ def ward_labels(x: np.ndarray, k: int) -> np.ndarray:
     return np.argsort(np.argsort(first))[inverse] + 1
 
 
+def ward_rounds(vectors: DataFrame, k: int) -> DataFrame:
+    """(series_id, window_id, label) by Ward's criterion for series of any length, by rounds of Spark joins.
+
+    A round merges all pairs of clusters that are each other's nearest (ties to smaller
+    ids); Ward's merges are the same in any such order, and never cheaper than those
+    below them, so cutting the tree at ``k`` drops the k - 1 dearest merges.  Clusters are
+    rows (size, mean) in written tables; a round compares the clusters of a series in
+    pairs, each cluster a row.
+    """
+    spark = vectors.sparkSession
+    clusters = written(vectors.select("series_id", F.col("window_id").alias("c"), F.lit(1).cast("long").alias("n"), F.col("x").alias("mean")), "clusters")
+    merges, steps = spark.createDataFrame([], "series_id string, a long, b long, cost double"), []
+    while True:
+        one = clusters.select("series_id", F.col("c").alias("a"), F.col("n").alias("na"), F.col("mean").alias("ma"))
+        two = clusters.select("series_id", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("mean").alias("mb"))
+        gap = F.aggregate(F.zip_with("ma", "mb", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
+        cost = gap * (F.col("na") * F.col("nb")) / (F.col("na") + F.col("nb"))  # the same from both sides
+        nearest = one.join(two, "series_id").where("a <> b").groupBy("series_id", "a").agg(F.min(F.struct(cost.alias("cost"), F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))).alias("x"))
+        pairs = nearest.groupBy("series_id", "x").agg(F.count("*").alias("both")).where("both = 2").select("series_id", F.col("x.lo").alias("a"), F.col("x.hi").alias("b"), F.col("x.cost").alias("cost"))
+        pairs = written(pairs, "pairs")
+        if pairs.isEmpty():
+            break
+        steps.append(pairs)
+        into = pairs.select("series_id", F.col("b").alias("c"), F.col("a").alias("to"))
+        moved = clusters.join(into, ["series_id", "c"], "left").withColumn("c", F.coalesce("to", "c"))
+        merged = moved.groupBy("series_id", "c").agg(F.sum("n").alias("n_"), F.collect_list(F.struct("n", "mean")).alias("means")).withColumnRenamed("n_", "n")  # one or two rows each
+        mean = F.when(F.size("means") == 1, F.col("means")[0]["mean"]).otherwise(
+            F.zip_with(F.col("means")[0]["mean"], F.col("means")[1]["mean"], lambda p, q: (p * F.col("means")[0]["n"] + q * F.col("means")[1]["n"]) / F.col("n"))
+        )
+        clusters = written(merged.select("series_id", "c", "n", mean.alias("mean")), "clusters")
+    merges = reduce(DataFrame.unionByName, steps, merges)
+    cheap = F.row_number().over(Window.partitionBy("series_id").orderBy(F.desc("cost"), "a", "b")) >= k
+    links = merges.withColumn("keep", cheap).where("keep").select("series_id", F.col("a").alias("src"), F.col("b").alias("dst"))
+    found = components(vectors.select("series_id", "window_id"), links)
+    first = found.groupBy("series_id", "component").agg(F.min("window_id").alias("first"), F.count("*").alias("size"))
+    label = F.row_number().over(Window.partitionBy("series_id").orderBy("first"))
+    return found.join(first.withColumn("label", label).drop("first", "size"), ["series_id", "component"]).select("series_id", "window_id", F.col("label").cast("int").alias("label"))
+
+
+def _most_frequent(series: DataFrame, found: DataFrame) -> DataFrame:
+    """``series`` with the most frequent label of the windows that hold each row (ties: the smallest)."""
+    votes = found.where("label IS NOT NULL").select("series_id", F.explode(F.sequence("start_t", "end_t")).alias("t"), "label").groupBy("series_id", "t", "label").agg(F.count("*").alias("n"))
+    first = Window.partitionBy("series_id", "t").orderBy(F.desc("n"), "label")
+    chosen = votes.withColumn("r", F.row_number().over(first)).where("r = 1").select("series_id", "t", F.col("label").alias("state"))
+    return series.join(chosen, ["series_id", "t"], "left").select(*series.columns, "state")
+
+
 @register("proxy_windowed")
 def by_windows(series: DataFrame, k: int, window: int = 10, step: int = 1) -> DataFrame:
     """Windows clustered by Ward linkage; a point takes the most frequent label of its windows (ties: the smallest)."""
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MAX_WINDOWS:
-            raise ValueError(f"{len(pdf)} windows in one series; linkage takes {MAX_WINDOWS}: use a larger step")
         pdf = pdf.sort_values("window_id")
         labels = ward_labels(np.array(pdf["x"].tolist(), float), k) if len(pdf) >= k else [None] * len(pdf)
-        return pd.DataFrame({"series_id": pdf["series_id"], "start_t": pdf["start_t"], "end_t": pdf["end_t"], "label": pd.array(labels, "Int32")})
+        return pd.DataFrame({"series_id": pdf["series_id"], "window_id": pdf["window_id"], "label": pd.array(labels, "Int32")})
 
-    full = windows(series, window, step).where(~F.exists("x", lambda v: v.isNull()) & (F.size("x") == window))
-    found = full.select("series_id", "window_id", "start_t", "end_t", "x").groupBy("series_id").applyInPandas(cluster, "series_id string, start_t long, end_t long, label int")
-    votes = found.where("label IS NOT NULL").select("series_id", F.explode(F.sequence("start_t", "end_t")).alias("t"), "label").groupBy("series_id", "t", "label").agg(F.count("*").alias("n"))
-    first = Window.partitionBy("series_id", "t").orderBy(F.desc("n"), "label")
-    chosen = votes.withColumn("r", F.row_number().over(first)).where("r = 1").select("series_id", "t", F.col("label").alias("state"))
-    return series.join(chosen, ["series_id", "t"], "left").select(*series.columns, "state")
+    full = written(windows(series, window, step).where(~F.exists("x", lambda v: v.isNull()) & (F.size("x") == window)), "windows")
+    sizes = written(full.groupBy("series_id").agg(F.count("*").alias("n")), "sizes")
+    one = full.select("series_id", "window_id", "x")
+    small = one.join(sizes.where(F.col("n") <= MAX_WINDOWS), "series_id", "left_semi").groupBy("series_id").applyInPandas(cluster, "series_id string, window_id long, label int")
+    large = one.join(sizes.where((F.col("n") > MAX_WINDOWS) & (F.col("n") >= k)), "series_id", "left_semi")
+    found = small if large.isEmpty() else small.unionByName(ward_rounds(large, k))
+    return _most_frequent(series, full.drop("x").join(found, ["series_id", "window_id"]))
+
+
+@register("dtw")
+def by_warping(series: DataFrame, k: int, window: int = 10, step: int | None = None) -> DataFrame:
+    """Windows clustered around medoids by warping distance; a point takes the most frequent label of its windows.
+
+    Medoids start evenly spaced in time; windows go to the nearest (ties to the earlier),
+    and the member with the least sum of distances becomes the medoid, until none
+    changes.  Labels ascend with the medoids' places.  Every pair of a series' windows is
+    compared: choose a step that keeps them few.
+    """
+    full = written(windows(series, window, step).where(~F.exists("x", lambda v: v.isNull())), "windows")
+    numbered = full.select("series_id", "window_id", F.row_number().over(Window.partitionBy("series_id").orderBy("window_id")).alias("i"), F.count("*").over(Window.partitionBy("series_id")).alias("n")).where(F.col("n") >= k)
+    gaps = written(pairwise(full.select("series_id", "window_id", "x"), "dtw"), "gaps")
+    own = full.select("series_id", F.col("window_id").alias("src"), F.col("window_id").alias("dst"), F.lit(0.0).alias("distance"))
+    gaps = mirrored(gaps).unionByName(own)
+    places = F.array(*[F.floor((F.col("n") - 1) * F.lit((j + 0.5) / k)) + 1 for j in range(k)])
+    medoids = written(numbered.where(F.array_contains(places, F.col("i").cast("long"))).select("series_id", F.col("window_id").alias("medoid")), "medoids")
+    seen = [medoids]
+    while True:
+        near = Window.partitionBy("series_id", "src").orderBy("distance", "dst")
+        placed = gaps.join(medoids.withColumnRenamed("medoid", "dst"), ["series_id", "dst"]).withColumn("r", F.row_number().over(near)).where("r = 1").select("series_id", "src", F.col("dst").alias("medoid"))
+        placed = written(placed, "placed")
+        others = placed.select("series_id", F.col("src").alias("dst"), F.col("medoid").alias("m2"))
+        within = gaps.join(placed, ["series_id", "src"]).join(others, ["series_id", "dst"]).where("medoid = m2").groupBy("series_id", "medoid", "src").agg(F.sum("distance").alias("total"))
+        # Sums are rounded, so that their order of addition decides nothing; costs only fall, so no set of medoids returns.
+        new = within.groupBy("series_id", "medoid").agg(F.min(F.struct(F.round("total", 9).alias("total"), "src")).alias("x")).select("series_id", F.col("x.src").alias("medoid"))
+        new = written(new, "medoids")
+        if any(new.exceptAll(old).isEmpty() and old.exceptAll(new).isEmpty() for old in seen[-2:]):
+            break
+        medoids = new
+        seen.append(new)
+    order = F.dense_rank().over(Window.partitionBy("series_id").orderBy("medoid"))
+    names = medoids.distinct().withColumn("label", order.cast("int"))
+    found = placed.join(names, ["series_id", "medoid"]).select("series_id", F.col("src").alias("window_id"), "label")
+    return _most_frequent(series, full.drop("x").join(found, ["series_id", "window_id"]))

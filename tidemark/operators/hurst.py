@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.series import fill_gaps
+from .markov import run_lengths
+from .scaling import apply_scaling
 
 METHODS = ("dfa", "rs", "mfdfa")
 # Upper bounds of the categories of an exponent, and their names.
@@ -139,6 +141,78 @@ def category(x: Column) -> Column:
     return ladder(x, CATEGORIES)
 
 
+# What an exponent of each category says.
+INTERPRETATIONS = {
+    "strong_antipersistent": "Strong anti-persistence (mean-reverting)", "antipersistent": "Anti-persistent (mean-reverting)", "random_walk": "Random walk (no memory)",
+    "persistent": "Persistent (trending)", "strong_persistent": "Strong persistence (trending)",
+}
+SCALINGS = ("none", "center", "standardize", "minmax", "iqr")
+
+
+def interpretation(x: Column) -> Column:
+    """What an exponent says, as text."""
+    out = F.lit(None).cast("string")
+    for name, text in INTERPRETATIONS.items():
+        out = F.when(category(x) == name, text).otherwise(out)
+    return out
+
+
+def calculate_hurst(series: DataFrame, method: str = "dfa", scaling: str = "none", window: int | None = None, step: int = 1, min_scale: int = 4, max_scale: int | None = None, n_scales: int = 10, q_values: list[float] | None = None) -> DataFrame:
+    """Exponents of whole series (series_id, win 0), or in rolling windows of every row.
+
+    ``scaling`` is applied first (a spread of zero only centres); scales run from
+    ``min_scale`` to ``max_scale``; ``q_values`` are those of the multifractal method,
+    whose exponent is h at the q nearest 2.
+    """
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method}")
+    if scaling not in SCALINGS:
+        raise ValueError(f"unknown scaling {scaling}")
+    if scaling != "none":
+        series = apply_scaling(series, scaling).select(*[c for c in series.columns if c != "value"], F.col("scaled").alias("value")).select(*series.columns)
+    if window is not None:
+        return rolling_hurst(series, method, window, step)
+    rows, grid = whole_series(series), scale_grid(F.col("n"), min_scale, max_scale, n_scales)
+    if method == "mfdfa":
+        found = mfdfa_summary(mfdfa(rows, q_values, grid))
+    else:
+        found = {"dfa": dfa, "rs": rescaled_range}[method](rows, grid)
+    return found.withColumn("state", category(F.col("hurst"))).withColumn("interpretation", interpretation(F.col("hurst")))
+
+
+def scaling_points(series: DataFrame, grid: Column | None = None) -> DataFrame:
+    """(series_id, s, f, log_s, log_f): the fluctuation of every scale, for a log-log chart."""
+    rows = whole_series(series)
+    f2 = segment_residuals(rows, scale_grid(F.col("n")) if grid is None else grid)
+    f = f2.groupBy("series_id", "s").agg(F.sqrt(F.avg("f2")).alias("f")).where("f > 0")
+    return f.withColumns({"log_s": F.log("s"), "log_f": F.log("f")})
+
+
+def hurst_summary(found: DataFrame) -> DataFrame:
+    """One row a series of ``rolling_hurst``: statistics of exponents, run durations, number of changes."""
+    stats = found.groupBy("series_id").agg(
+        F.avg("hurst").alias("mean"), F.stddev_samp("hurst").alias("sd"), F.min("hurst").alias("min"), F.max("hurst").alias("max"), F.percentile("hurst", 0.5).alias("median"),
+    )
+    runs = run_lengths(found).groupBy("series_id").agg(
+        F.avg("duration").alias("mean_duration"), F.max("duration").alias("max_duration"), F.min("duration").alias("min_duration"), (F.count("*") - 1).alias("n_transitions"),
+    )
+    return stats.join(runs, "series_id")
+
+
+def state_durations(found: DataFrame) -> DataFrame:
+    """(series_id, state, n, share, mean_duration) of every category that occurs."""
+    states = run_lengths(found).where("state IS NOT NULL").groupBy("series_id", "state").agg(F.sum("duration").alias("n"), F.avg("duration").alias("mean_duration"))
+    return states.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("series_id")))
+
+
+def state_transitions(found: DataFrame) -> DataFrame:
+    """(series_id, from_state, to_state, n, probability) of neighbouring rows' categories."""
+    later = F.lead("state").over(Window.partitionBy("series_id").orderBy("t"))
+    moves = found.select("series_id", F.col("state").alias("from_state"), later.alias("to_state")).dropna()
+    counts = moves.groupBy("series_id", "from_state", "to_state").agg(F.count("*").alias("n"))
+    return counts.withColumn("probability", F.col("n") / F.sum("n").over(Window.partitionBy("series_id", "from_state")))
+
+
 def rolling_hurst(series: DataFrame, method: str = "dfa", window: int = 50, step: int = 1) -> DataFrame:
     """(series_id, t, value, hurst, state, transition) of every row: windowed exponents, ends extended, gaps interpolated.
 

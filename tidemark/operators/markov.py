@@ -120,14 +120,21 @@ def change_points(states: DataFrame) -> DataFrame:
     return states.withColumn("_p", F.lag("state").over(by)).where("_p IS NOT NULL AND state <> _p").drop("_p")
 
 
-def node_layout(states: DataFrame) -> DataFrame:
-    """A row a state on a unit circle: x, y, share of points and mean run length."""
+def node_layout(states: DataFrame, kind: str = "circle") -> DataFrame:
+    """A row a state with x and y (on a unit circle, a square grid or the levels of a tree), share of points and mean run length."""
     runs = run_lengths(states).where("state IS NOT NULL").groupBy("state").agg(F.sum("duration").alias("n"), F.avg("duration").alias("mean_run"))
-    i = F.row_number().over(Window.orderBy("state")) - 1
+    i = F.row_number().over(Window.orderBy("state")) - 1  # a row a state
     n = F.count("*").over(Window.partitionBy(F.lit(1)))
-    angle = 2 * 3.141592653589793 * F.col("_i") / F.col("_k")
     out = runs.withColumns({"_i": i, "_k": n, "frequency": F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1)))})
-    return out.select("state", F.cos(angle).alias("x"), F.sin(angle).alias("y"), "frequency", "mean_run")
+    angle = 2 * 3.141592653589793 * F.col("_i") / F.col("_k")
+    wide = F.ceil(F.sqrt("_k"))
+    row = F.ceil(F.col("_k") / F.ceil(F.log2((F.col("_k") + 1).cast("double"))))
+    grid = lambda w: (F.col("_i") % w + 1.0, F.floor(F.col("_i") / w) + 1.0)
+    kinds = {"circle": lambda: (F.cos(angle), F.sin(angle)), "grid": lambda: grid(wide), "tree": lambda: grid(row)}
+    if kind not in kinds:
+        raise ValueError(f"unknown layout {kind}")
+    x, y = kinds[kind]()
+    return out.select("state", x.cast("double").alias("x"), y.cast("double").alias("y"), "frequency", "mean_run")
 
 
 def state_network(series: DataFrame, k: int = 5, method: str = "quantile", level: str = "series", transform: str = "none", rank: bool = True, **options) -> dict[str, DataFrame]:

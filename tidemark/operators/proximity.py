@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distances import metric, ranks
+from ..sources.tables import written
 
 SIMILARITIES = ("normalized_inverse", "inverse", "negative_exp", "max_minus", "gaussian", "reciprocal")
 NETWORKS = ("full", "epsilon", "knn", "threshold", "percentile", "gaussian")
@@ -59,6 +60,23 @@ def pairwise(vectors: DataFrame, name: str = "euclidean", consecutive: bool = Fa
     return out.select("series_id", "src", "dst", d(F.col("x"), F.col("y")).alias("distance"))
 
 
+def ts_distance(series: DataFrame, method: str = "euclidean", window: int | None = None, step: int | None = None, consecutive: bool = False, symmetric: bool = True, **options) -> DataFrame:
+    """Distances of all windows of each series, or without ``window`` of all series, one vector each.
+
+    Symmetric distances have src < dst; otherwise both directions are rows.
+    """
+    vectors = segments(series) if window is None else windows(series, window, step)
+    edges = pairwise(vectors, method, consecutive, **options)
+    return edges if symmetric else mirrored(edges)
+
+
+def distance_pair(a: DataFrame, b: DataFrame, method: str = "euclidean", **options) -> DataFrame:
+    """(series_id, distance) of the series of equal id in ``a`` and ``b``."""
+    vector = lambda s, name: s.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("t", "value")))["value"].alias(name))
+    both = vector(a, "x").join(vector(b, "y"), "series_id")
+    return both.select("series_id", metric(method, **options)(F.col("x"), F.col("y")).alias("distance"))
+
+
 def mirrored(edges: DataFrame) -> DataFrame:
     """Both directions of every edge."""
     return edges.unionByName(edges.withColumns({"src": F.col("dst"), "dst": F.col("src")}))
@@ -202,6 +220,16 @@ def recommend(edges: DataFrame) -> DataFrame:
     return s.select("series_id", F.lit("full").alias("method"), F.when(m > 1000, "knn").when(m > 100, "percentile").otherwise("threshold").alias("alternative"), F.when(m > 1000, 5.0).when(m > 100, 0.2).otherwise(F.col("q")).alias("value"))
 
 
+def auto_network(edges: DataFrame, select: bool = True) -> DataFrame:
+    """The network that ``recommend`` suggests for each series; without ``select`` the full one."""
+    if not select:
+        return build_network(edges, "full")
+    advice = recommend(edges).select("series_id", F.col("alternative").alias("_method"))
+    chosen = edges.join(advice, "series_id")
+    own = lambda m: chosen.where(F.col("_method") == m).drop("_method")
+    return build_network(own("knn"), "knn", k=5).unionByName(build_network(own("percentile"), "percentile", percentile=0.2)).unionByName(build_network(own("threshold"), "threshold"))
+
+
 def network_stats(nodes: DataFrame, network: DataFrame) -> DataFrame:
     """One row a series: nodes, edges, density, components and whether there is only one."""
     counts = nodes.groupBy("series_id").agg(F.count("*").alias("n_nodes")).join(network.groupBy("series_id").agg(F.count("*").alias("n_edges")), "series_id", "left")
@@ -210,31 +238,22 @@ def network_stats(nodes: DataFrame, network: DataFrame) -> DataFrame:
     return counts.join(groups, "series_id").select("series_id", n, e.cast("long").alias("n_edges"), F.when(n > 1, 2 * e / (n * (n - 1))).alias("density"), "n_components", (F.col("n_components") == 1).alias("connected"))
 
 
-def components(nodes: DataFrame, network: DataFrame, rounds: int = 50) -> DataFrame:
+def components(nodes: DataFrame, network: DataFrame) -> DataFrame:
     """(series_id, window_id, component): the smallest node reachable, by spreading least labels.
 
-    Each round ends in a reliable checkpoint; it stops when no label changes.
+    Each round ends in a written table; rounds go on until no label changes.
     """
-    spark = nodes.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-    elif not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    links = mirrored(network.select("series_id", "src", "dst")).checkpoint()
-    labels = nodes.select("series_id", "window_id", F.col("window_id").alias("component")).checkpoint()
-    for _ in range(rounds):
+    links = written(mirrored(network.select("series_id", "src", "dst")), "links")
+    labels = written(nodes.select("series_id", "window_id", F.col("window_id").alias("component")), "labels")
+    while True:
         heard = links.join(labels.withColumnRenamed("window_id", "src"), ["series_id", "src"]).groupBy("series_id", F.col("dst").alias("window_id")).agg(F.min("component").alias("c"))
         spread = labels.join(heard, ["series_id", "window_id"], "left").withColumn("component", F.least("component", F.coalesce("c", "component"))).drop("c")
         # Then each label takes its own node's label: paths halve.
         roots = spread.select("series_id", F.col("window_id").alias("component"), F.col("component").alias("root"))
-        jumped = spread.join(roots, ["series_id", "component"], "left").select("series_id", "window_id", F.coalesce("root", "component").alias("component")).checkpoint()
-        changed = jumped.withColumnRenamed("component", "new").join(labels, ["series_id", "window_id"]).where("new <> component").isEmpty()
+        jumped = written(spread.join(roots, ["series_id", "component"], "left").select("series_id", "window_id", F.coalesce("root", "component").alias("component")), "labels")
+        if jumped.withColumnRenamed("component", "new").join(labels, ["series_id", "window_id"]).where("new <> component").isEmpty():
+            return jumped
         labels = jumped
-        if changed:
-            break
-    return labels
 
 
 def cross_correlation(a: DataFrame, b: DataFrame, max_lag: int | None = None, pick: str = "max_abs") -> DataFrame:
@@ -286,6 +305,52 @@ def event_synchronisation(a: DataFrame, b: DataFrame, tau: float) -> DataFrame:
     return both.select("series_id", ((F.col("p") + F.col("q")) / 2).alias("es"))
 
 
+def jittered(events: DataFrame, reach: float, surrogates: int, length: float | None = None) -> DataFrame:
+    """``events`` (series_id, at) moved by up to ``reach`` either way, once for each of ``surrogates``; clamped to 0..length if given.
+
+    Moves come from a sequence that fills the square of events and surrogates evenly, so
+    they are the same at every run.
+    """
+    numbered = events.withColumn("_k", F.row_number().over(Window.partitionBy("series_id").orderBy("at")))
+    many = numbered.withColumn("surrogate", F.explode(F.sequence(F.lit(1), F.lit(surrogates))))
+    at = F.col("_k") * 0.7548776662466927 + F.col("surrogate") * 0.5698402909980532
+    moved = F.col("at") + ((at - F.floor(at)) * 2 - 1) * reach
+    moved = moved if length is None else F.greatest(F.lit(0.0), F.least(F.lit(float(length)), moved))
+    return many.select("series_id", "surrogate", moved.alias("at"))
+
+
+def synchronisation_significance(a: DataFrame, b: DataFrame, tau: float, surrogates: int = 100, reach: float | None = None) -> DataFrame:
+    """(series_id, es, p_value): the share of jittered copies of ``a`` that are at least as synchronous with ``b``."""
+    group = F.struct("series_id", "surrogate")
+    copies = jittered(a, 5 * tau if reach is None else reach, surrogates).select(group.alias("series_id"), "at")
+    numbers = a.sparkSession.range(1, surrogates + 1).select(F.col("id").cast("int").alias("surrogate"))
+    others = b.join(F.broadcast(numbers)).select(group.alias("series_id"), "at")  # a row a surrogate: a documented number
+    found = event_synchronisation(copies, others, tau).select(F.col("series_id.series_id").alias("series_id"), F.round("es", 12).alias("copy"))
+    seen = event_synchronisation(a, b, tau)
+    joined = found.join(seen, "series_id").groupBy("series_id").agg(F.first("es").alias("es"), F.avg((F.col("copy") >= F.round("es", 12)).cast("double")).alias("p_value"))
+    return joined
+
+
+def maximal_information(a: DataFrame, b: DataFrame, power: float = 0.6) -> DataFrame:
+    """(series_id, mic): the largest normalised mutual information over grids of at most n ** ``power`` cells.
+
+    An approximation: both axes are cut at equal frequencies (equal values share a cell).
+    Null below four common values.
+    """
+    both = a.select("series_id", "t", F.col("value").alias("x")).join(b.select("series_id", "t", F.col("value").alias("y")), ["series_id", "t"]).where("x IS NOT NULL AND y IS NOT NULL")
+    whole = Window.partitionBy("series_id")
+    ranked = both.select("series_id", (F.rank().over(whole.orderBy("x")) - 1).alias("rx"), (F.rank().over(whole.orderBy("y")) - 1).alias("ry"), F.count("*").over(whole).alias("n"))
+    cells = F.greatest(F.lit(4), F.floor(F.pow(F.col("n").cast("double"), F.lit(power))).cast("int"))
+    sized = ranked.where("n >= 4").withColumn("p", F.explode(F.sequence(F.lit(2), F.floor(cells / 2).cast("int"))))
+    sized = sized.withColumn("q", F.explode(F.sequence(F.lit(2), F.floor(cells / F.col("p")).cast("int"))))
+    placed = sized.select("series_id", "n", "p", "q", F.floor(F.col("rx") * F.col("p") / F.col("n")).alias("u"), F.floor(F.col("ry") * F.col("q") / F.col("n")).alias("v"))
+    joint = placed.groupBy("series_id", "n", "p", "q", "u", "v").agg(F.count("*").alias("c"))
+    part = joint.withColumns({"cu": F.sum("c").over(Window.partitionBy("series_id", "p", "q", "u")), "cv": F.sum("c").over(Window.partitionBy("series_id", "p", "q", "v"))})
+    term = F.col("c") / F.col("n") * F.log(F.col("c") * F.col("n") / (F.col("cu") * F.col("cv")))
+    of_grid = part.groupBy("series_id", "p", "q").agg((F.sum(term) / F.log(F.least("p", "q").cast("double"))).alias("i"))
+    return of_grid.groupBy("series_id").agg(F.max("i").alias("mic"))
+
+
 def van_rossum(a: DataFrame, b: DataFrame, tau: float) -> DataFrame:
     """(series_id, distance) of two spike trains (series_id, at), filtered by exp(-t/tau) on a grid of tau/10 to 5 tau past the last."""
     both = a.withColumn("s", F.lit(1.0)).unionByName(b.withColumn("s", F.lit(-1.0)))

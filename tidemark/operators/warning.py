@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from .markov import run_lengths
+
 # The indicators' weights.
 WEIGHTS = {
     "extreme_low": 2.0, "extreme_high": 2.0, "trend_up": 1.5, "trend_down": 1.5, "high_volatility": 1.5, "flickering": 2.0,
@@ -153,3 +155,8 @@ def recent_trend(levels: DataFrame, rows: int = 20) -> DataFrame:
     out = d.groupBy("series_id").agg(F.max(F.when(F.col("_b") == 1, F.col("level"))).alias("current"), F.avg(F.when(F.col("_b") <= rows, F.col("level"))).alias("recent"), F.avg(F.when(F.col("_b") > rows, F.col("level"))).alias("previous"))
     trend = F.when(F.col("recent") > F.col("previous"), "increasing").when(F.col("recent") < F.col("previous"), "decreasing").otherwise("stable")
     return out.withColumn("trend", trend)
+
+
+def level_islands(levels: DataFrame) -> DataFrame:
+    """Runs of equal warning levels: (series_id, run, level, start, end, duration)."""
+    return run_lengths(levels.select("series_id", "t", F.col("level").alias("state"))).withColumnRenamed("state", "level")

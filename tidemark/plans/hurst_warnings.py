@@ -113,7 +113,7 @@ on_series(
     EWS + f""", n AS (SELECT series_id, level, row_number() OVER (PARTITION BY series_id ORDER BY t DESC) AS b FROM lv), m AS (SELECT series_id, max(CASE WHEN b = 1 THEN level END) AS current, avg(CASE WHEN b <= 20 THEN level END) AS recent, avg(CASE WHEN b > 20 AND b <= 40 THEN level END) AS previous FROM n GROUP BY 1)
     SELECT series_id, current, {q6("recent", "recent")}, {q6("previous", "previous")}, CASE WHEN recent > previous THEN 'increasing' WHEN recent < previous THEN 'decreasing' ELSE 'stable' END AS trend FROM m""",
 )
-TEN = [c for c in warning.WEIGHTS if c != "high_volatility"]
+TEN = [*warning.WEIGHTS]
 # The four further indicators and the boost.  A list holds the last 100 values; mid-points are 49.5.
 _TAPER = "[" + ", ".join(repr(0.5 * (1 - math.cos(math.pi * (2 * e + 1) / 20)) if e < 10 else 1.0) for e in (min(i, 99 - i) for i in range(100))) + "]"
 _WAVE = {f: [[round(g(2 * math.pi * k * i / 100), 15) + 0.0 for i in range(100)] for k in range(1, 51)] for f, g in (("cos", math.cos), ("sin", math.sin))}
@@ -146,6 +146,6 @@ EWS_FULL = EWS.split(",\n    g AS (SELECT *, 2 * extreme_low")[0] + f""",
     g AS (SELECT *, CASE WHEN i > 10 AND i <= rows - 10 THEN CASE WHEN known = 21 THEN raw * (1 + share) END ELSE raw END AS score FROM g1),
     l AS""" + EWS.split("\n    l AS", 1)[1]
 on_series(
-    "ews_full", "s2", lambda s: warning.detect_warnings(stated(s), full=True).select("series_id", "t", *TEN, r6("score"), "level"),
-    EWS_FULL + f" SELECT series_id, t, {', '.join(TEN)}, {q6('score', 'score')}, level FROM lv",
+    "ews_full", "s2", lambda s: warning.detect_warnings(stated(s), full=True).select("series_id", "t", *[F.coalesce(c, F.lit(0)).alias(c) for c in TEN], r6("score"), "level"),
+    EWS_FULL + f" SELECT series_id, t, {', '.join(f'coalesce({c}, 0) AS {c}' for c in TEN)}, {q6('score', 'score')}, level FROM lv",
 )

@@ -126,6 +126,7 @@ for _m, (_which, _sql) in DISC.items():
 on_series("disc_kmeans", "s1", lambda s: discretize.discretize(s, "kmeans", 3).select("series_id", "t", "state"))
 on_series("disc_mixture", "s1", lambda s: discretize.discretize(s, "mixture", 3).select("series_id", "t", "state"))
 on_series("disc_hierarchical", "s1", lambda s: clustering.by_linkage(s, 3).select("series_id", "t", "state"))
+on_series("disc_dtw", "s1", lambda s: discretize.discretize(s, "dtw", 3, window=8).select("series_id", "t", "state"))
 on_series("disc_proxy_windowed", "s1", lambda s: discretize.discretize(s, "proxy_windowed", 3, window=8, step=2).select("series_id", "t", "state"))
 on_series(
     "qstates", "s1", lambda s: discretize.quantile_states(s, 4).select("series_id", "t", "state"),
