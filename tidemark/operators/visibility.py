@@ -1,59 +1,111 @@
 """Visibility graphs: natural and horizontal, with penetration limits, decay weights, state and value views.
 
-Pairs of one series meet in a self-join bounded by ``limit``; what blocks a pair is found
-with one window over the pairs of each left point: j is visible from i if the slope to
-it exceeds all slopes (or all but ``penetrable``) to the points between, or in the
-horizontal case if the points between all lie below both ends.  A touching point
-blocks.
+j is visible from i if the slope to it exceeds all slopes (or all but ``penetrable``) to
+the points between, or in the horizontal case if the points between all lie below both
+ends.  A touching point blocks.  A series is cut into blocks of bounded size; a block's
+points look at once over all later rows, which stream past in order, and keep only their
+highest slopes so far: pairs are never formed as rows, only edges are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("nvg", "hvg")
-
-
-def _pairs(series: DataFrame, limit: int | None) -> DataFrame:
-    """Pairs src < dst of known values; with a limit each point meets only the buckets it can reach."""
-    known = series.where("value IS NOT NULL").select("series_id", "t", "value")
-    a = known.select("series_id", F.col("t").alias("src"), F.col("value").alias("x"))
-    b = known.select("series_id", F.col("t").alias("dst"), F.col("value").alias("y"))
-    if limit is None:
-        return a.join(b, "series_id").where("src < dst")
-    bucket = F.floor(F.col("src") / limit)
-    a = a.withColumn("k", F.explode(F.array(bucket, bucket + 1)))
-    b = b.withColumn("k", F.floor(F.col("dst") / limit))
-    return a.join(b, ["series_id", "k"]).where((F.col("src") < F.col("dst")) & (F.col("dst") - F.col("src") <= limit)).drop("k")
+BLOCK, CHUNK = 512, 256
+"""Points that look together, and rows that pass them at a time."""
+
+
+class Watch:
+    """A block's points and the ``penetrable`` + 1 highest slopes (or values) each has met so far."""
+
+    def __init__(self, t: np.ndarray, x: np.ndarray, kind: str, limit: int | None, penetrable: int):
+        self.t, self.x, self.kind, self.limit = t, x, kind, limit
+        self.top = np.full((penetrable + 1, len(t)), -np.inf)
+
+    def pass_by(self, t: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Edges (src, dst) to rows that come after all rows before."""
+        gap = t[:, None] - self.t
+        later = gap > 0
+        if self.kind == "nvg":
+            h = np.where(later, (y[:, None] - self.x) / np.where(later, gap, 1), -np.inf)
+            level = h
+        else:
+            h = np.where(later, y[:, None], -np.inf)
+            level = np.minimum(self.x, y[:, None])
+        if len(self.top) == 1:
+            highest = np.maximum.accumulate(np.vstack((self.top, h)), axis=0)
+            self.top, before = highest[-1:], highest[:-1]
+        else:
+            before = np.empty_like(h)
+            for k in range(len(h)):
+                before[k] = self.top[0]
+                self.top[0] = np.maximum(self.top[0], h[k])  # the least of the highest goes if the new one is higher
+                self.top.sort(axis=0)
+        seen = later & (before < level)
+        if self.limit is not None:
+            seen &= gap <= self.limit
+        j, i = np.nonzero(seen)
+        return self.t[i], t[j]
+
+
+def _look(batches: Iterator[pa.RecordBatch], kind: str, limit: int | None, penetrable: int) -> Iterator[pa.RecordBatch]:
+    """Edges of a task's blocks; rows come by (series_id, block), a block's points before the rows that pass, both by t."""
+    group, watch, points = None, None, []
+    for batch in batches:
+        names = batch.column("series_id").to_pylist()
+        block, passing, t, v = (np.asarray(batch.column(c)) for c in ("block", "passing", "t", "value"))
+        name = np.array(names, object)
+        new = np.flatnonzero((name[1:] != name[:-1]) | (block[1:] != block[:-1]) | (passing[1:] != passing[:-1])) + 1
+        for lo, hi in zip([0, *new], [*new, len(names)]):
+            if hi == lo:
+                continue
+            now = names[lo], int(block[lo])
+            if now != group:
+                group, watch, points = now, None, []
+            if not passing[lo]:
+                points.append((t[lo:hi], v[lo:hi]))
+                continue
+            if not points:  # a gap in t: nothing to look from
+                continue
+            if watch is None:
+                watch = Watch(*(np.concatenate(x) for x in zip(*points)), kind, limit, penetrable)
+            for at in range(lo, hi, CHUNK):
+                end = min(hi, at + CHUNK)
+                src, dst = watch.pass_by(t[at:end], v[at:end])
+                if len(src):
+                    yield pa.RecordBatch.from_arrays([pa.array([group[0]] * len(src), pa.string()), pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["series_id", "src", "dst"])
 
 
 def visibility_edges(series: DataFrame, kind: str = "nvg", limit: int | None = None, penetrable: int = 0, decay: float = 0.0) -> DataFrame:
     """(series_id, src, dst, weight) with src < dst; weight is exp(-decay (dst - src)).
 
-    Nulls are no nodes and block nothing; neighbours in t always see each other.
+    Nulls are no nodes and block nothing; neighbours in t always see each other.  ``t``
+    is not negative.  With a limit a row passes only blocks within it.
     """
     if kind not in KINDS:
         raise ValueError(f"unknown kind {kind}")
     if penetrable < 0:
         raise ValueError("penetrable is 0 or more")
-    between = Window.partitionBy("series_id", "src").orderBy("dst").rowsBetween(Window.unboundedPreceding, -1)
-    pairs = _pairs(series, limit)
-    if kind == "nvg":
-        pairs = pairs.withColumn("h", (F.col("y") - F.col("x")) / (F.col("dst") - F.col("src")))
-        level = F.col("h")
-    else:
-        pairs = pairs.withColumn("h", F.col("y"))
-        level = F.least("x", "y")
-    if penetrable == 0:
-        highest = F.max("h").over(between)
-        seen = pairs.withColumn("m", highest).where(F.col("m").isNull() | (F.col("m") < level))
-    else:
-        blocking = F.size(F.filter(F.collect_list("h").over(between), lambda v: v >= level))
-        seen = pairs.withColumn("m", blocking).where(F.col("m") <= penetrable)
+    known = series.where("value IS NOT NULL").select(F.col("series_id").cast("string").alias("series_id"), F.col("t").cast("long").alias("t"), F.col("value").cast("double").alias("value"))
+    own = F.floor(F.col("t") / BLOCK)
+    first = F.lit(0).cast("long") if limit is None else F.greatest(F.lit(0).cast("long"), F.floor((F.col("t") - limit) / BLOCK))
+    points = known.select("series_id", own.alias("block"), F.lit(0).alias("passing"), "t", "value")
+    passing = known.select("series_id", F.explode(F.sequence(first, own)).alias("block"), F.lit(1).alias("passing"), "t", "value")
+    dealt = points.unionByName(passing).repartition("series_id", "block").sortWithinPartitions("series_id", "block", "passing", "t")
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _look(batches, kind, limit, penetrable)
+
+    edges = dealt.mapInArrow(look, "series_id string, src long, dst long")
     gap = (F.col("dst") - F.col("src")).cast("double")
     weight = F.lit(1.0) if decay == 0 else F.exp(-F.lit(float(decay)) * gap)
-    return seen.select("series_id", "src", "dst", weight.alias("weight"))
+    return edges.select("series_id", "src", "dst", weight.alias("weight"))
 
 
 def by_state(edges: DataFrame, states: DataFrame, how: str = "sum", directed: bool = True) -> DataFrame:

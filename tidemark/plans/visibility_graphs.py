@@ -20,6 +20,10 @@ on_series(
     "vg_lpvg", "s1", lambda s: visibility.visibility_edges(s, penetrable=1),
     f"{PAIRS}, v AS (SELECT *, len(list_filter(coalesce(list(slope) {BETWEEN}, []), lambda h: h >= slope)) AS m FROM p), e AS (SELECT series_id, src, dst, 1.0 AS weight FROM v WHERE m <= 1) {EDGES}",
 )
+on_series(
+    "vg_lphvg", "s1", lambda s: visibility.visibility_edges(s, "hvg", penetrable=2),
+    f"{PAIRS}, v AS (SELECT *, len(list_filter(coalesce(list(y) {BETWEEN}, []), lambda h: h >= least(x, y))) AS m FROM p), e AS (SELECT series_id, src, dst, 1.0 AS weight FROM v WHERE m <= 2) {EDGES}",
+)
 on_series(
     "vg_decay", "s1", lambda s: visibility.visibility_edges(s, decay=0.1).select("series_id", "src", "dst", r6("weight")),
     f"{NVG} SELECT series_id, src, dst, {q6('exp(-0.1 * (dst - src))', 'weight')} FROM e",
