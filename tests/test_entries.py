@@ -110,3 +110,16 @@ def test_written_tables_need_a_shared_folder_on_a_cluster(spark):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         tables.written(Frame(), "x")
+
+
+@pytest.mark.parametrize("method", ["dfa", "rs"])
+def test_rolling_exponents_match_grouped_regressions(spark, method):
+    x = np.cumsum(np.random.default_rng(3).normal(size=130))
+    rows = [("a", i + 1, float(v)) for i, v in enumerate(x)] + [("b", i + 1, None if i == 30 else float(v)) for i, v in enumerate(x[:70])] + [("c", 1, 1.0)] + [("d", i + 1, 5.0) for i in range(60)]
+    s = spark.createDataFrame(rows, S)
+    grid = F.array(*[F.lit(v).cast("long") for v in (4, 6, 8, 10)])
+    want = {(r.series_id, r.win): r for r in {"dfa": hurst.dfa, "rs": hurst.rescaled_range}[method](hurst.rolling_windows(s, 40, 3), grid).collect()}
+    got = {(r.series_id, r.win): r for r in hurst.rolling_exponents(s, method, 40, 3, [4, 6, 8, 10]).collect()}
+    assert set(got) == set(want) and len(got) > 30
+    for k, r in want.items():
+        assert (got[k].hurst, got[k].r2, got[k].n_scales) == (pytest.approx(r.hurst, abs=1e-9), pytest.approx(r.r2, abs=1e-9), r.n_scales), k

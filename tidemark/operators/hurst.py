@@ -2,13 +2,17 @@
 
 A window's rows are numbered i = 1..n; its profile is the running sum of deviations from
 its mean.  Every scale cuts it into segments from the front and from the back; detrending
-a segment is one grouped regression (``regr_*``), so there is no row-wise Python.
+a segment is one grouped regression (``regr_*``).  Rolling windows are lists, analysed as
+matrices in Arrow batches.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.series import fill_gaps
 from .markov import run_lengths
@@ -96,6 +100,83 @@ def rescaled_range(rows: DataFrame, grid: Column | None = None) -> DataFrame:
     return _fit(points, ["series_id", "win"]).withColumn("hurst", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("hurst"))))
 
 
+def _line(points: np.ndarray, scales: np.ndarray) -> pd.DataFrame:
+    """Slope, r squared and number of scales of each row's log-log line; nulls below three scales."""
+    known = points > 0
+    n = known.sum(axis=1)
+    x = np.where(known, np.log(scales), 0.0)
+    y = np.where(known, np.log(np.where(known, points, 1.0)), 0.0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        dx = np.where(known, x - (x.sum(axis=1) / n)[:, None], 0)
+        dy = np.where(known, y - (y.sum(axis=1) / n)[:, None], 0)
+        xx, xy, yy = (dx * dx).sum(axis=1), (dx * dy).sum(axis=1), (dy * dy).sum(axis=1)
+        slope, r2 = xy / xx, np.where(yy > 0, xy * xy / (xx * yy), 1.0)
+    fine = n >= 3
+    return pd.DataFrame({"hurst": np.where(fine, slope, np.nan), "r2": np.where(fine, r2, np.nan), "n_scales": n.astype(np.int64)})
+
+
+def _segments(p: np.ndarray, s: int, back: bool) -> np.ndarray:
+    """The rows' whole segments of ``s`` places, from the front or the back."""
+    k = p.shape[1] // s
+    return (p[:, p.shape[1] - k * s :] if back else p[:, : k * s]).reshape(len(p), k, s)
+
+
+def fluctuations(x: np.ndarray, scales: list[int]) -> np.ndarray:
+    """Detrended fluctuation of the rows of a matrix at every scale that has two segments; 0 at others."""
+    p, out = np.cumsum(x - x.mean(axis=1, keepdims=True), axis=1), np.zeros((len(x), len(scales)))
+    for k, s in enumerate(scales):
+        if x.shape[1] // s >= 2:
+            seg = np.concatenate([_segments(p, s, back) for back in (False, True)], axis=1)
+            i = np.arange(s) - (s - 1) / 2
+            d = seg - seg.mean(axis=2, keepdims=True)
+            f2 = ((d * d).sum(axis=2) - (d @ i) ** 2 / (i @ i)) / s
+            out[:, k] = np.sqrt(np.maximum(f2, 0).mean(axis=1))
+    return out
+
+
+def ranges(x: np.ndarray, scales: list[int]) -> np.ndarray:
+    """Mean rescaled range of the rows of a matrix at every scale; 0 where no segment varies."""
+    out = np.zeros((len(x), len(scales)))
+    for k, s in enumerate(scales):
+        if x.shape[1] // s >= 1:
+            seg = _segments(x, s, False)
+            c = np.cumsum(seg - seg.mean(axis=2, keepdims=True), axis=2)
+            r, sd = c.max(axis=2) - c.min(axis=2), seg.std(axis=2)
+            fine = (sd > 0) & (r > 0)
+            ratio = np.where(fine, r / np.where(fine, sd, 1), 0)
+            out[:, k] = ratio.sum(axis=1) / np.maximum(fine.sum(axis=1), 1)
+    return out
+
+
+def rolling_exponents(series: DataFrame, method: str = "dfa", window: int = 50, step: int = 1, scales: list[int] | None = None) -> DataFrame:
+    """(series_id, win, hurst, r2, n_scales) of ``rolling_windows`` by dfa or rs: a window is a list, not rows of its own.
+
+    One sort of each series makes the lists; Arrow batches of them are analysed as
+    matrices.  Windows with a null are left out, as are those of fewer than three scales.
+    """
+    if window < 8:
+        raise ValueError("a window has 8 rows or more")
+    h = window // 2
+    if scales is None:
+        least, most = 4.0, float(window // 4)
+        scales = sorted({int(np.rint(np.exp(np.log(least) + (np.log(most) - np.log(least)) * k / 4))) for k in range(5)}) if most > least else []
+    use = [int(s) for s in scales]
+    measure = {"dfa": fluctuations, "rs": ranges}[method]
+
+    @F.pandas_udf(T.StructType([T.StructField("hurst", T.DoubleType()), T.StructField("r2", T.DoubleType()), T.StructField("n_scales", T.LongType())]))
+    def fit(lists: pd.Series) -> pd.DataFrame:
+        parts = [np.array([np.asarray(v, float) for v in lists.iloc[lo : lo + 4096]]).reshape(-1, 2 * h) for lo in range(0, len(lists), 4096)]
+        found = [_line(measure(x, use), np.array(use, float)) for x in parts]
+        return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"hurst": [], "r2": [], "n_scales": []})
+
+    by = Window.partitionBy("series_id").orderBy("t")
+    rows = series.withColumns({"_x": F.collect_list("value").over(by.rowsBetween(-h, h - 1)), "_inside": F.lead("t", h).over(by).isNotNull()})
+    # t numbers the rows of a series from 1.
+    full = rows.where((F.size("_x") == 2 * h) & (F.col("t") > h) & F.col("_inside") & ((F.col("t") - h - 1) % step == 0))
+    out = full.select("series_id", F.col("t").alias("win"), fit("_x").alias("f")).select("series_id", "win", "f.*").where("hurst IS NOT NULL AND NOT isnan(hurst)")
+    return out if method == "dfa" else out.withColumn("hurst", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("hurst"))))
+
+
 def expected_rescaled_range(scale: Column) -> Column:
     """The rescaled range expected of white noise at a scale."""
     root = F.sqrt(scale * 3.141592653589793 / 2)
@@ -221,8 +302,11 @@ def rolling_hurst(series: DataFrame, method: str = "dfa", window: int = 50, step
     """
     if method not in METHODS:
         raise ValueError(f"unknown method {method}")
-    rows, grid = rolling_windows(series, window, step), scale_grid(F.lit(2 * (window // 2)), 4, window // 4, 5)
-    found = {"dfa": lambda: dfa(rows, grid), "rs": lambda: rescaled_range(rows, grid), "mfdfa": lambda: mfdfa_summary(mfdfa(rows, grid=grid))}[method]()
+    if method == "mfdfa":
+        grid = scale_grid(F.lit(2 * (window // 2)), 4, window // 4, 5)
+        found = mfdfa_summary(mfdfa(rolling_windows(series, window, step), grid=grid))
+    else:
+        found = rolling_exponents(series, method, window, step)
     at = found.select("series_id", F.col("win").alias("t"), F.col("hurst").alias("h"))
     filled = fill_gaps(series.select("series_id", "t").join(at, ["series_id", "t"], "left").select("series_id", "t", F.col("h").alias("value")))
     out = series.join(filled.withColumnRenamed("value", "hurst"), ["series_id", "t"]).withColumn("state", category(F.col("hurst")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import catalogue
 from ..operators import hurst, markov, proximity, warning
 from ..sources import generators, validate
-from .hurst_warnings import CATEGORY, DFA, EWS, GLOBAL, WINDOWED, grid, stated
+from .hurst_warnings import CATEGORY, DFA, EWS, GLOBAL, WINDOWED, rolled, stated
 from .proximity_networks import EDGES, METRIC_SQL, SPIKES, edges, lagged, spikes
 from .registry import on_series, q6, query, r6
 from .scaling_states import RUNS, banded
@@ -108,9 +108,8 @@ on_series(
 
 
 def _windowed(s: DataFrame) -> DataFrame:
-    """Exponents of windows 25 rows apart as rows (t is the window) with their categories."""
-    found = hurst.dfa(hurst.rolling_windows(s, 50, 25), grid())
-    return found.select("series_id", F.col("win").alias("t"), F.round("hurst", 9).alias("hurst")).withColumn("state", hurst.category(F.col("hurst")))
+    """Exponents of every window as rows (t is the window) with their categories."""
+    return rolled(s).select("series_id", F.col("win").alias("t"), F.round("hurst", 9).alias("hurst")).withColumn("state", hurst.category(F.col("hurst")))
 
 
 STATED_H = WINDOWED + DFA + f""", w AS (SELECT series_id, win AS t, round(hurst, 9) AS hurst FROM h), x AS (SELECT *, {CATEGORY} AS state FROM w),

@@ -12,9 +12,9 @@ from .registry import on_series, q6, r6
 
 GLOBAL = """WITH s AS ({s}), r AS (SELECT series_id, CAST(0 AS BIGINT) AS win, row_number() OVER (PARTITION BY series_id ORDER BY t) AS i, count(*) OVER (PARTITION BY series_id) AS n, value AS x FROM s)"""
 GRID = """, sc AS (SELECT DISTINCT series_id, CAST(round_even(exp(ln(4.0) + (ln(CAST(n // 4 AS DOUBLE)) - ln(4.0)) * k / 9.0), 0) AS BIGINT) AS s FROM (SELECT DISTINCT series_id, n FROM r), range(10) g(k))"""
-ROLL_STEP, ROLL = 25, 50
+ROLL_STEP, ROLL = 1, 50
 WINDOWED = f"""WITH s AS ({{s}}), z AS (SELECT series_id, max(t) AS top FROM s GROUP BY 1), r AS (SELECT s.series_id, w.win, t - win + {ROLL // 2} + 1 AS i, CAST({ROLL} AS BIGINT) AS n, value AS x
-    FROM z JOIN (SELECT {ROLL // 2 + 1} + k * {ROLL_STEP} AS win FROM range(1000) g(k)) w ON w.win <= z.top - {ROLL // 2} JOIN s ON s.series_id = z.series_id AND t BETWEEN win - {ROLL // 2} AND win + {ROLL // 2} - 1),
+    FROM z JOIN (SELECT {ROLL // 2 + 1} + k * {ROLL_STEP} AS win FROM range(4000) g(k)) w ON w.win <= z.top - {ROLL // 2} JOIN s ON s.series_id = z.series_id AND t BETWEEN win - {ROLL // 2} AND win + {ROLL // 2} - 1),
     sc AS (SELECT series_id, s FROM z, (SELECT unnest([4, 5, 7, 9, 12]) AS s))"""
 RESIDUALS = """, p AS (SELECT *, sum(d) OVER (PARTITION BY series_id, win ORDER BY i) AS p FROM (SELECT *, x - avg(x) OVER (PARTITION BY series_id, win) AS d FROM r)),
     b AS (SELECT p.series_id, win, i, p, n, s, 0 AS back, (i - 1) // s AS seg FROM p JOIN sc USING (series_id) UNION ALL SELECT p.series_id, win, i, p, n, s, 1, (n - i) // s FROM p JOIN sc USING (series_id)),
@@ -39,17 +39,17 @@ on_series("hurst_rs", "s3", lambda s: shown(hurst.rescaled_range(hurst.whole_ser
 ROLL_GRID = [4, 5, 7, 9, 12]
 
 
-def grid():
-    """The scales of a 50-row window."""
-    return F.array(*[F.lit(v).cast("long") for v in ROLL_GRID])
+def rolled(s: DataFrame, method: str = "dfa") -> DataFrame:
+    """Exponents of every 50-row window."""
+    return hurst.rolling_exponents(s, method, ROLL, ROLL_STEP, ROLL_GRID)
 
 
-on_series("hurst_roll_dfa", "s3", lambda s: shown(hurst.dfa(hurst.rolling_windows(s, ROLL, ROLL_STEP), grid())), WINDOWED + DFA + " " + SHOWN)
-on_series("hurst_roll_rs", "s3", lambda s: shown(hurst.rescaled_range(hurst.rolling_windows(s, ROLL, ROLL_STEP), grid())), WINDOWED + RS + " " + SHOWN)
+on_series("hurst_roll_dfa", "s3", lambda s: shown(rolled(s)), WINDOWED + DFA + " " + SHOWN)
+on_series("hurst_roll_rs", "s3", lambda s: shown(rolled(s, "rs")), WINDOWED + RS + " " + SHOWN)
 CATEGORY = "CASE WHEN hurst < 0.4 THEN 'strong_antipersistent' WHEN hurst < 0.5 THEN 'antipersistent' WHEN hurst < 0.6 THEN 'random_walk' WHEN hurst < 0.7 THEN 'persistent' ELSE 'strong_persistent' END"
 on_series(
     "hurst_category", "s3",
-    lambda s: hurst.dfa(hurst.rolling_windows(s, ROLL, ROLL_STEP), grid()).withColumn("state", hurst.category(F.round("hurst", 9))).groupBy("series_id", "state").agg(F.count("*").alias("n")),
+    lambda s: rolled(s).withColumn("state", hurst.category(F.round("hurst", 9))).groupBy("series_id", "state").agg(F.count("*").alias("n")),
     WINDOWED + DFA + f" SELECT series_id, {CATEGORY.replace('hurst', 'round(hurst, 9)')} AS state, count(*) AS n FROM h GROUP BY 1, 2",
 )
 MF = RESIDUALS + """, f AS (SELECT series_id, win, s, q, CASE WHEN q > 0 THEN pow(avg(pow(f2, q / 2)), 1 / q) ELSE exp(avg(ln(f2)) / 2) END AS f FROM f2, (SELECT unnest([-3.0, -1.0, 1.0, 2.0, 3.0])::DOUBLE AS q) WHERE f2 > 0 GROUP BY 1, 2, 3, 4),
