@@ -79,18 +79,18 @@ def rolling_measures(
         lo, hi = F.col("_lo"), F.col("_hi")
     df = df.withColumn("_full", F.row_number().over(whole.orderBy(order)) >= width)
     df = df.withColumns({f"_x{i}": F.collect_list(c).over(frame) for i, c in enumerate(columns)})
-    df = df.withColumns({f"_v{i}": F.var_samp(c).over(frame) for i, c in enumerate(columns)}) if "variance" in measures else df
+    # What window aggregates can do needs no list, and what the complexity is made of is computed once.
+    plain = {"variance": F.var_samp, "max": F.max, "min": F.min}
+    df = df.withColumns({f"_{m}{i}": plain[m](c).over(frame) for m in plain if m in measures for i, c in enumerate(columns)})
+    parts = {"fluctuation": fluctuation, "distribution": distribution}
+    df = df.withColumns({f"_{m}{i}": F.when(F.col("_full"), parts[m](F.col(f"_x{i}"), lo, hi)) for m in parts if {m, "complexity"} & set(measures) for i in range(len(columns))})
     made: dict[str, Column] = {}
     for i, c in enumerate(columns):
         x = F.col(f"_x{i}")
         kinds = {
-            "fluctuation": lambda x=x: fluctuation(x, lo, hi),
-            "distribution": lambda x=x: distribution(x, lo, hi),
-            "complexity": lambda x=x: fluctuation(x, lo, hi) * distribution(x, lo, hi),
+            "complexity": lambda i=i: F.col(f"_fluctuation{i}") * F.col(f"_distribution{i}"),
             "autocorrelation": lambda x=x: autocorrelation(x),
-            "max": lambda x=x: F.array_max(x),
-            "min": lambda x=x: F.array_min(x),
-            "variance": lambda i=i: F.col(f"_v{i}"),
+            **{m: lambda m=m, i=i: F.col(f"_{m}{i}") for m in (*plain, *parts)},
         }
         made |= {f"{c}_{m}": F.when(F.col("_full"), kinds[m]()) for m in measures}
     out = df.withColumns(made)
