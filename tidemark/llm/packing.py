@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import partitions, written
 from .tokens import encoder, whole_rows
 
 SEQUENCE, UNIT, CLASSES, TOLERANCE = 4096, 8, 160, 0.001
-RANK_GROUP = 2_000
-"""Documents of one class that one task ranks, on average at most."""
+GROUPS_A_PARTITION = 4
+"""Groups of documents to be ranked, of one class each, for every shuffle partition."""
 
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -184,12 +184,12 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, sequence: int = SEQUENCE
             taken[size] += each * uses
         base += uses
     slots = spark.createDataFrame([*ranges.items()], "class int, ranges array<struct<lo: long, each: int, base: long>>")
-    classes = spark.createDataFrame([*class_of.items()], "size int, class int")
-
-    # Rank within a class: groups of bounded size are counted, then ranked each by itself.
-    # Classes, ranges and groups' counts are small tables, whatever the number of documents.
-    groups = 1 + max(histogram.values(), default=0) // RANK_GROUP
-    keyed = pieces.join(F.broadcast(classes), "size").withColumn("part", F.pmod(F.xxhash64("uid"), F.lit(groups)))
+    # Rank within a class: its groups, as many as go with its share of all documents, are counted,
+    # then ranked each by itself.  Classes, ranges and groups' counts are small tables, whatever
+    # the number of documents.
+    share = GROUPS_A_PARTITION * partitions(spark) / max(sum(histogram.values()), 1)
+    classes = spark.createDataFrame([(s, c, 1 + int(histogram[c] * share)) for s, c in class_of.items()], "size int, class int, groups int")
+    keyed = pieces.join(F.broadcast(classes), "size").withColumn("part", F.pmod(F.xxhash64("uid"), F.col("groups"))).drop("groups")
     counts = keyed.groupBy("class", "part").agg(F.count("*").alias("n"))
     order = Window.partitionBy("class").orderBy("part")
     before = counts.select("class", "part", (F.sum("n").over(order) - F.col("n")).alias("before"))
