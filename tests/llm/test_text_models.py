@@ -257,27 +257,20 @@ def test_blocks_do_not_change_results(spark, docs, labels, monkeypatch, block):
     assert whole[0] == cut[0] and (whole[1] == cut[1]).all() and whole[2] == cut[2]
 
 
-def test_operators_do_not_depend_on_blocks(spark, docs, labels):
-    """Whole runs with long texts, in workers whose blocks are small and in ones whose blocks are not."""
-    rows = docs.select("doc_id", "text", "lang")
-
-    def small(batches):
-        textbytes.BLOCK_BYTES = 300
-        yield from batches
-
-    def run(d):
-        model = langid.fit(d)
-        weights = {r.doc_id: r.log_weight for r in quality.importance_resample(d, labels)[2].collect()}
-        mixture, mixed = mixing.mix(d, d.selectExpr("doc_id", "lang AS domain"))
-        return model, weights, {r.doc_id: r.rate for r in mixed.collect()}
-
-    whole = run(rows)
-    cut = run(rows.mapInArrow(small, rows.schema))  # the same worker then runs the operator on these rows
-    for k in whole[0]:
-        assert np.allclose(whole[0][k], cut[0][k])
-    assert whole[1].keys() == cut[1].keys() and whole[2].keys() == cut[2].keys()
-    assert all(a == b or a == pytest.approx(b) for a, b in zip(whole[1].values(), cut[1].values()))
-    assert all(a == pytest.approx(b, rel=1e-5) for a, b in zip(whole[2].values(), cut[2].values()))
+@pytest.mark.parametrize("block", [64, 300])
+def test_language_profiles_do_not_depend_on_blocks(docs, monkeypatch, block):
+    rows = [r for r in docs.where("doc_id < 80 OR doc_id = 305").orderBy("doc_id").collect() if r.lang and r.text]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r.text[:40_000] for r in part]), pa.array([r.lang for r in part])], names=["text", "lang"]) for part in (rows[:30], rows[30:])]
+    whole = langid.bundled(batches, 64)
+    monkeypatch.setattr(textbytes, "BLOCK_BYTES", block)
+    cut = langid.bundled(batches, 64)
+    assert whole.keys() == cut.keys() == {"aa", "bb"} and all(np.allclose(whole[k], cut[k], atol=1e-9) for k in whole)
+    # Every text weighs one: the profiles are sums of the texts' own ones over their trigrams.
+    texts = {"aa": 0, "bb": 0}
+    for r in rows:
+        (_, h, _), *_ = [x for x in langid.profiles(pa.array([r.text[:40_000]]), 64)][-1:]
+        texts[r.lang] = texts[r.lang] + h[0] / sum(len(c) for _, _, c, _, _ in langid.text_blocks(pa.array([r.text[:40_000]])))
+    assert all(np.allclose(whole[k], texts[k], rtol=1e-4, atol=1e-3) for k in whole)
 
 
 CLASH = ["Score", "held_out", "LANG_PRED", "log_weight", "gumbel_key", "selected", "_copy", "copy", "copies", "rate", "domain", "posterior", "n_tokens", "_0", "_1", "c0", "c1", "c2", "fp", "mark", "least", "root", "n"]

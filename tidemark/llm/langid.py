@@ -115,6 +115,36 @@ def profiles(column: pa.Array, dimension: int) -> Iterator[tuple[int, np.ndarray
             yield row + lo, out, k
 
 
+def bundled(batches: Iterator[pa.RecordBatch], dimension: int) -> dict[str, np.ndarray]:
+    """Sums of the profiles of all texts (text, lang), each divided by its number of trigrams, by language."""
+    sums: dict[str, np.ndarray] = {}
+
+    def add(name: str, v: np.ndarray) -> None:
+        sums[name] = sums.get(name, 0) + v
+
+    for batch in batches:
+        names = np.array(batch.column("lang").to_pylist(), object)
+        kinds, which = np.unique(names.astype(str), return_inverse=True)
+        held, size, at_row = np.zeros(dimension), 0, -1  # a block of one text may go on: it is weighed at its end
+        for row, again, code, doc, letters in text_blocks(batch.column("text")):
+            uniq, at = np.unique(code, return_inverse=True)
+            if not again and size:
+                add(str(kinds[which[at_row]]), held / size)
+                held, size = np.zeros(dimension), 0
+            if len(letters) == 1:
+                if len(uniq):
+                    held = held + np.bincount(at).astype(np.float64) @ trigram_vectors(uniq, dimension)
+                size, at_row = size + len(code), row
+                continue
+            weight = 1 / np.maximum(np.bincount(doc, minlength=len(letters)), 1)
+            table = np.bincount(which[row + doc] * len(uniq) + at, weight[doc], len(kinds) * len(uniq)).reshape(len(kinds), -1)
+            for name, v in zip(kinds, table.astype(np.float64) @ trigram_vectors(uniq, dimension)):
+                add(str(name), v)
+        if size:
+            add(str(kinds[which[at_row]]), held / size)
+    return {k: v for k, v in sums.items() if np.any(v)}
+
+
 def fit(labelled: DataFrame, dimension: int = DIMENSION) -> dict[str, np.ndarray]:
     """Language profiles from all rows of ``labelled`` (text, lang); null languages or texts are left out.
 
@@ -122,35 +152,10 @@ def fit(labelled: DataFrame, dimension: int = DIMENSION) -> dict[str, np.ndarray
     """
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
-        for batch in batches:
-            names = np.array(batch.column("lang").to_pylist(), object)
-            kinds, which = np.unique(names.astype(str), return_inverse=True)
-            held, size, at_row = np.zeros(dimension), 0, -1  # a block of one text may go on: it is weighed at its end
-
-            def add(name: str, v: np.ndarray) -> None:
-                sums[name] = sums.get(name, 0) + v
-
-            for row, again, code, doc, letters in text_blocks(batch.column("text")):
-                uniq, at = np.unique(code, return_inverse=True)
-                if not again and size:
-                    add(kinds[which[at_row]], held / size)
-                    held, size = np.zeros(dimension), 0
-                if len(letters) == 1:
-                    if len(uniq):
-                        held = held + np.bincount(at).astype(np.float64) @ trigram_vectors(uniq, dimension)
-                    size, at_row = size + len(code), row
-                    continue
-                weight = 1 / np.maximum(np.bincount(doc, minlength=len(letters)), 1)
-                table = np.bincount(which[row + doc] * len(uniq) + at, weight[doc], len(kinds) * len(uniq)).reshape(len(kinds), -1)
-                for name, v in zip(kinds, table.astype(np.float64) @ trigram_vectors(uniq, dimension)):
-                    add(name, v)
-            if size:
-                add(kinds[which[at_row]], held / size)
-        names = [str(k) for k, v in sums.items() if np.any(v)]
+        sums = bundled(batches, dimension)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(names, dimension).tolist(), pa.string()), pa.array(np.tile(np.arange(dimension), len(names)), pa.int64()),
-             pa.array(np.concatenate([sums[k] for k in names] or [np.zeros(0)]), pa.float64())],
+            [pa.array(np.repeat([*sums], dimension).tolist(), pa.string()), pa.array(np.tile(np.arange(dimension), len(sums)), pa.int64()),
+             pa.array(np.concatenate([*sums.values()] or [np.zeros(0)]), pa.float64())],
             names=["lang", "axis", "x"],
         )
 
