@@ -2,7 +2,7 @@
 
 A text becomes words separated by one blank.  Rules are regular expressions over that
 form, ordered by priority: first sentences of license texts, written out by hand, then
-names of license families in four forms of notice, with versions before plain names.
+names of license families in five forms of notice, with versions before plain names.
 Each rule has a keyword, words of their own in the text, without which its expression is
 not tried.  Every match is an interval; an interval contained in another detection's is
 suppressed if that one is longer or of better priority, so the most specific reading of
