@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, langid, licenses, mixing, packing, quality, rans, simhash, threshold, urls
+from . import codebooks, covertree, langid, licenses, mixing, packing, quality, rans, simhash, threshold, urls
 from .common import shared_dir, table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -79,6 +79,12 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, ["doc_id"])
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all embeddings and the digest of the codebooks."""
+    books, codes = codebooks.compress(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+    return codes.withColumn("codebooks_sha256", F.lit(codebooks.digest(books)))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_urls": op2_urls,
@@ -90,6 +96,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_token_files": op9_token_files,
     "op10_language": op10_language,
+    "op11_codes": op11_codes,
 }
 
 _FINE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
@@ -108,3 +115,28 @@ ORACLE_SQL: dict[str, str] = {
         SELECT e.vec_id, coalesce(k.n, 0) AS n_links, coalesce(c.m, e.vec_id) AS component_id, coalesce(c.m, e.vec_id) = e.vec_id AS kept
         FROM embeddings e LEFT JOIN k ON k.a = e.vec_id LEFT JOIN c ON c.a = e.vec_id""",
 }
+
+
+def _codes_sql(rounds: int = 6) -> str:
+    """Plain Lloyd rounds, one after another; a part's key puts the distance before the index."""
+    near = """(SELECT p.vec_id, p.part, p.x, min(CAST(list_sum(list_transform(range(1, 9), lambda i: (p.x[i] - b.x[i]) * (p.x[i] - b.x[i]))) AS BIGINT) * 16 + b.entry) AS best
+        FROM p JOIN {book} b USING (part) GROUP BY ALL)"""
+    mean = """SELECT part, entry, list(m ORDER BY i) AS x FROM (SELECT part, best % 16 AS entry, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS m
+        FROM {near}, range(1, 9) t(i) GROUP BY ALL) GROUP BY ALL"""
+    steps = [
+        f"""v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE {_FINE})""",
+        "p AS MATERIALIZED (SELECT vec_id, part, x[8 * part + 1 : 8 * part + 8] AS x FROM v, range(0, 8) t(part))",
+        """b0 AS MATERIALIZED (SELECT part, entry, x FROM p JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v ORDER BY vec_id LIMIT 16) USING (vec_id))""",
+    ]
+    for r in range(rounds):
+        new = mean.format(near=near.format(book=f"b{r}"))
+        steps.append(f"m{r} AS MATERIALIZED ({new})")
+        steps.append(f"b{r + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM b{r} b LEFT JOIN m{r} m USING (part, entry))")
+    return f"""WITH {", ".join(steps)},
+        n AS MATERIALIZED {near.format(book=f"b{rounds}")},
+        c AS (SELECT vec_id, string_agg(printf('%02x', best % 16), '' ORDER BY part) AS code, CAST(sum(best // 16) AS BIGINT) AS error FROM n GROUP BY vec_id),
+        d AS (SELECT sha256(string_agg(CAST(x[i] AS VARCHAR), ',' ORDER BY part, entry, i)) AS codebooks_sha256 FROM b{rounds}, range(1, 9) t(i))
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c JOIN v USING (vec_id), d"""
+
+
+ORACLE_SQL["op11_codes"] = _codes_sql()
