@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codebooks, covertree, langid, licenses, mixing, packing, quality, rans, simhash, threshold, urls
+from . import codebooks, covertree, langid, licenses, mixing, packing, quality, rans, resample, simhash, threshold, urls
 from .common import shared_dir, table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -85,6 +85,11 @@ def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.withColumn("codebooks_sha256", F.lit(codebooks.digest(books)))
 
 
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weights of all documents towards the benchmark texts, and the drawn twentieth."""
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, least_words=20, seed=42)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_urls": op2_urls,
@@ -97,6 +102,7 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_language": op10_language,
     "op11_codes": op11_codes,
+    "op12_resample": op12_resample,
 }
 
 _FINE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
@@ -140,3 +146,21 @@ def _codes_sql(rounds: int = 6) -> str:
 
 
 ORACLE_SQL["op11_codes"] = _codes_sql()
+
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+# The CRC-32 of every distinct feature, byte by byte over its table k, is computed in SQL too.
+ORACLE_SQL["op12_resample"] = f"""WITH w AS (SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), '{_CAPITALS}', '{_CAPITALS.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+          FROM (SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark)),
+        f AS MATERIALIZED (SELECT kind, id, array_to_string(w[i : i + n - 1], ' ') AS f, count(*) AS c FROM w, range(1, 4) s(n), unnest(range(1, len(w) + 2 - n)) u(i) GROUP BY ALL),
+        k AS MATERIALIZED (SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, (c & 1) * 3988292384)) ORDER BY b) AS k FROM range(0, 256) t(b)),
+        h AS MATERIALIZED (SELECT f, xor(list_reduce(list_concat([4294967295], list_transform(range(0, octet_length(encode(f))), lambda i: CAST('0x' || substr(hex(encode(f)), 2 * i + 1, 2) AS BIGINT))),
+            lambda c, b: xor(k[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 10000 AS bucket FROM (SELECT DISTINCT f FROM f), k),
+        g AS MATERIALIZED (SELECT * FROM f JOIN h USING (f)),
+        n AS (SELECT bucket, coalesce(sum(c) FILTER (kind = 0), 0) AS s, coalesce(sum(c) FILTER (kind = 1), 0) AS t FROM g GROUP BY bucket),
+        a AS (SELECT sum(s) AS s, sum(t) AS t FROM n),
+        gain AS (SELECT bucket, floor(1000 * ln((CAST(n.t AS DOUBLE) + 1) * (CAST(a.s AS DOUBLE) + 10000) / ((CAST(n.s AS DOUBLE) + 1) * (CAST(a.t AS DOUBLE) + 10000)))) AS gain FROM n, a),
+        d AS (SELECT id, CAST(sum(c) AS BIGINT) AS n_features, CAST(sum(c * gain) AS BIGINT) AS weight FROM g JOIN gain USING (bucket) WHERE kind = 0 GROUP BY id),
+        e AS (SELECT w.id AS doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+            coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || w.id), 1, 8) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score FROM w LEFT JOIN d USING (id) WHERE kind = 0),
+        r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM e WHERE n_words >= 20)
+        SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) * 5 // 100 FROM r) THEN rank END AS rank FROM e LEFT JOIN r USING (doc_id)"""

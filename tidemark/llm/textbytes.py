@@ -28,12 +28,13 @@ def column_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return buf[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def blocks(column: pa.Array, limit: int | None = None, cut: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def blocks(column: pa.Array, limit: int | None = None, cut: bool = True, gap: np.ndarray = _SPACE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, offsets of the block's texts from 0, bytes) of consecutive blocks.
 
     A text over ``limit`` (default ``BLOCK_BYTES``) bytes comes as several blocks with the
-    same first row, or with ``cut=False`` as one larger block.  Callers carry what
-    reaches over a cut, so that results do not depend on the limit.
+    same first row, or with ``cut=False`` as one larger block.  Texts are cut after bytes
+    that the table ``gap`` marks.  Callers carry what reaches over a cut, so that results
+    do not depend on the limit.
     """
     limit = limit or BLOCK_BYTES
     buf, offsets = column_bytes(column)
@@ -51,18 +52,18 @@ def blocks(column: pa.Array, limit: int | None = None, cut: bool = True) -> Iter
         while at < end:
             stop = min(end, at + limit)
             if stop < end:
-                spaces = np.flatnonzero(_SPACE[buf[at:stop]])
-                stop = at + int(spaces[-1]) + 1 if len(spaces) else _next_space(buf, stop, end)
+                spaces = np.flatnonzero(gap[buf[at:stop]])
+                stop = at + int(spaces[-1]) + 1 if len(spaces) else _next_gap(buf, stop, end, gap)
             yield i, np.array([0, stop - at], np.int64), buf[at:stop]
             at = stop
         i += 1
 
 
-def _next_space(buf: np.ndarray, at: int, end: int) -> int:
-    """Just after the first white-space byte from ``at``, or ``end``."""
+def _next_gap(buf: np.ndarray, at: int, end: int, gap: np.ndarray) -> int:
+    """Just after the first byte from ``at`` that ``gap`` marks, or ``end``."""
     step = 1 << 16
     while at < end:
-        found = np.flatnonzero(_SPACE[buf[at : min(end, at + step)]])
+        found = np.flatnonzero(gap[buf[at : min(end, at + step)]])
         if len(found):
             return at + int(found[0]) + 1
         at += step
