@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codebooks, covertree, langid, licenses, mixing, packing, quality, rans, resample, simhash, threshold, urls
+from . import codebooks, covertree, langid, licenses, mixing, packing, quality, rans, resample, simhash, suffixes, threshold, urls
 from .common import shared_dir, table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -90,6 +90,12 @@ def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, least_words=20, seed=42)
 
 
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words that earlier equal windows of 20 words cover."""
+    out = suffixes.remove_repeats(table(spark, sf_dir, "documents"), 20)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_urls": op2_urls,
@@ -103,6 +109,7 @@ QUERIES = {
     "op10_language": op10_language,
     "op11_codes": op11_codes,
     "op12_resample": op12_resample,
+    "op13_repeats": op13_repeats,
 }
 
 _FINE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
@@ -164,3 +171,11 @@ ORACLE_SQL["op12_resample"] = f"""WITH w AS (SELECT kind, id, regexp_extract_all
             coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || w.id), 1, 8) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score FROM w LEFT JOIN d USING (id) WHERE kind = 0),
         r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM e WHERE n_words >= 20)
         SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) * 5 // 100 FROM r) THEN rank END AS rank FROM e LEFT JOIN r USING (doc_id)"""
+
+ORACLE_SQL["op13_repeats"] = """WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, i, list_aggregate(w[i : i + 19], 'string_agg', ' ') AS x FROM w, unnest(range(1, len(w) - 18)) t(i)),
+        r AS MATERIALIZED (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY x ORDER BY doc_id, i) AS n FROM s) WHERE n > 1),
+        c AS MATERIALIZED (SELECT DISTINCT doc_id, i + j AS i FROM r, range(0, 20) t(j)),
+        u AS (SELECT w.doc_id, i, w[i] AS x, c.i IS NOT NULL AS gone FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w) w LEFT JOIN c USING (doc_id, i)),
+        t AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(x, ' ' ORDER BY i) FILTER (NOT gone), '') AS kept FROM u GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN t USING (doc_id)"""
