@@ -144,6 +144,22 @@ def _is_in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
+def later_windows(prefix: np.ndarray, lost: np.ndarray, doc: np.ndarray, start: np.ndarray, count: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of suffixes of any prefixes: the bits of each one's windows that start later than their node's first, and the windows that do not."""
+    suffix = np.repeat(np.arange(len(prefix)), count)
+    which = np.arange(len(name)) - np.repeat(np.cumsum(count) - count, count)
+    where = start[suffix] + which
+    order = np.lexsort((where, doc[suffix], lost[suffix], name, prefix[suffix]))
+    s, place = suffix[order], where[order]
+    node = np.ones(len(s), bool)  # the first leaf of a node
+    node[1:] = (prefix[s[1:]] != prefix[s[:-1]]) | (name[order[1:]] != name[order[:-1]])
+    head = np.maximum.accumulate(np.where(node, np.arange(len(s)), 0))
+    later = (place != place[head]) | (doc[s] != doc[s[head]]) | (lost[s] != lost[s[head]])
+    bits = np.zeros(len(prefix), np.int64)
+    np.bitwise_or.at(bits, s[later], np.int64(1) << which[order[later]])
+    return bits, order[~later]
+
+
 def _light_groups(docs: DataFrame, heavy: np.ndarray, window: int) -> DataFrame:
     """(doc_id, tag, start, bits): for each suffix the windows from ``start`` on that occur earlier, of prefixes not in ``heavy``."""
     wide = np.dtype((np.void, NAME_BYTES))
@@ -177,17 +193,7 @@ def _light_groups(docs: DataFrame, heavy: np.ndarray, window: int) -> DataFrame:
             name = np.zeros((len(raw) // NAME_BYTES, 8), np.uint8)
             name[:, :NAME_BYTES] = raw.reshape(-1, NAME_BYTES)
             name = name.view(np.uint64).ravel()
-            suffix = np.repeat(np.arange(len(prefix)), count)
-            which = np.arange(len(name)) - np.repeat(ends[:-1] // NAME_BYTES, count)
-            where = start[suffix] + which
-            order = np.lexsort((where, doc[suffix], lost[suffix], name, prefix[suffix]))
-            s, place = suffix[order], where[order]
-            node = np.ones(len(s), bool)  # the first leaf of a node
-            node[1:] = (prefix[s[1:]] != prefix[s[:-1]]) | (name[order[1:]] != name[order[:-1]])
-            head = np.maximum.accumulate(np.where(node, np.arange(len(s)), 0))
-            later = (place != place[head]) | (doc[s] != doc[s[head]]) | (lost[s] != lost[s[head]])
-            bits = np.zeros(len(prefix), np.int64)
-            np.bitwise_or.at(bits, s[later], np.int64(1) << which[order[later]])
+            bits, _ = later_windows(prefix, lost, doc, start, count, name)
             some = bits != 0
             kept = table.select(["doc_id", "tag", "start"]).filter(pa.array(some)).combine_chunks()
             columns = [c.combine_chunks() for c in kept.columns]
@@ -215,23 +221,49 @@ def _light_groups(docs: DataFrame, heavy: np.ndarray, window: int) -> DataFrame:
 
 
 def _heavy_groups(docs: DataFrame, heavy: np.ndarray, window: int) -> DataFrame:
-    """The same for the prefixes in ``heavy``, prolonged to whole windows."""
+    """The same for the prefixes in ``heavy``, prolonged to whole windows.
+
+    A task marks what starts later among its own texts; only a node's first window in each
+    of them goes on, to be compared with the node's first of all.
+    """
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, tags, text, prefix, start, count, name in _suffix_batches(batches, window):
-            mine = np.repeat(_is_in(prefix, heavy), count)
-            suffix = np.repeat(np.arange(len(text)), count)
-            where = start[suffix] + np.arange(len(name)) - np.repeat(np.cumsum(count) - count, count)
-            suffix, where, name = suffix[mine], where[mine], name[mine]
-            at = pa.array(text[suffix])
-            columns = [ids.take(at), tags.take(at), pa.array(where.astype(np.int32)), pa.array(prefix[suffix].view(np.int64)), pa.array(name.view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tag", "start", "prefix", "name"])
-
-    found = written(docs.mapInArrow(windows, "doc_id long, tag int, start int, prefix long, name long"), "windows")
-    rows = found.select("doc_id", "tag", "start", F.struct("prefix", "name").alias("node"), F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "start").alias("place"))
+        def marked(ids: pa.Array, tags: pa.Array, held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            text, prefix, start, count, name = (np.concatenate(x) for x in zip(*held))
+            lost = np.asarray(ids.is_null())[text]
+            doc = ids.fill_null(0).to_numpy(zero_copy_only=False)[text]
+            bits, first = later_windows(prefix, lost, doc, start, count, name)
+            some = np.flatnonzero(bits)
+            suffix = np.repeat(np.arange(len(text)), count)[first]
+            where = start[suffix] + first - (np.cumsum(count) - count)[suffix]
+            at = pa.array(text[np.concatenate((some, suffix))])
+            none = np.zeros(len(some), np.int64)
+            columns = [
+                ids.take(at), tags.take(at), pa.array(np.concatenate((start[some], where)).astype(np.int32)), pa.array(np.concatenate((bits[some], np.zeros(len(first), np.int64)))),
+                pa.array(np.concatenate((none, prefix[suffix].view(np.int64)))), pa.array(np.concatenate((none, name[first].view(np.int64)))),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "tag", "start", "bits", "prefix", "name"])
+
+        for batch in batches:
+            ids, tags = batch.column("doc_id"), batch.column("tag")
+            held, size = [], 0
+            for _, _, text, prefix, start, count, name in _suffix_batches(iter([batch]), window):
+                mine = _is_in(prefix, heavy)
+                held.append((text[mine], prefix[mine], start[mine], count[mine], name[np.repeat(mine, count)]))
+                size += len(held[-1][-1])
+                if size > 8 * CHUNK:
+                    yield marked(ids, tags, held)
+                    held, size = [], 0
+            if size:
+                yield marked(ids, tags, held)
+
+    found = written(docs.mapInArrow(windows, "doc_id long, tag int, start int, bits long, prefix long, name long"), "windows")
+    place = F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "start").alias("place")
+    rows = found.where("bits = 0").select("doc_id", "tag", "start", F.struct("prefix", "name").alias("node"), place)
     nodes = written(rows.groupBy("node").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1"), "nodes")
-    joined = join_uneven(rows, nodes, "node", "n", found.count())
-    return joined.where(F.col("place") > F.col("first")).select("doc_id", "tag", "start", F.lit(1).cast("long").alias("bits"))
+    joined = join_uneven(rows, nodes, "node", "n", rows.count())
+    marks = joined.where(F.col("place") > F.col("first")).select("doc_id", "tag", "start", F.lit(1).cast("long").alias("bits"))
+    return found.where("bits <> 0").select("doc_id", "tag", "start", "bits").unionByName(marks)
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
