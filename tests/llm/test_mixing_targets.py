@@ -24,7 +24,7 @@ def test_rare_domains_reach_their_targets(spark, soft):
     t = rng.integers(50, 150, 2000)
     for targets in ({"d0": 0.8, "d1": 0.15, "d2": 0.05}, {"d0": 0.98, "d1": 0.005, "d2": 0.015}, None):
         m = fitted(spark, p, t, targets)
-        r = m.replay(p)[0]
+        r = m.rates(p)
         assert (r >= 0).all() and not m.unmet()
         assert np.allclose((t * r) @ p / t.sum(), m.target, rtol=2e-4, atol=0)
         # Of all rates that meet the targets these are nearest to one: r - 1 is linear in the posterior where positive.
@@ -38,4 +38,19 @@ def test_targets_out_of_reach_are_reported(spark, caplog):
     with caplog.at_level(logging.WARNING):
         m = fitted(spark, p, np.full(50, 10), {"d0": 0.5, "d1": 0.5})
     assert set(m.unmet()) == {"d0", "d1"} and "d1" in caplog.text
-    assert np.isfinite(m.replay(p)[0]).all()
+    assert np.isfinite(m.rates(p)).all()
+
+
+def test_twelve_domains_with_halving_targets(spark):
+    rng = np.random.default_rng(12)
+    p = 0.997 * np.eye(12)[rng.integers(0, 12, 1200)] + 0.003 * rng.dirichlet(np.ones(12), 1200)
+    t = rng.integers(50, 150, 1200)
+    m = fitted(spark, p, t, {f"d{i}": 0.5**i for i in range(12)})
+    assert not m.unmet() and m.distance() <= 1e-4
+
+
+def test_number_of_domains_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_DOMAINS", 2)
+    docs = spark.createDataFrame([(i, "some text") for i in range(3)], "doc_id long, text string")
+    with pytest.raises(ValueError, match="domains"):
+        mixing.mix(docs, docs.selectExpr("doc_id", "CAST(doc_id AS STRING) AS domain"))

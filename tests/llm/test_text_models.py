@@ -111,18 +111,30 @@ def test_rates_reach_the_targets(docs):
     assert mixed.columns == docs.columns and mixed.count() == sum(x.copies for x in rows)
 
 
-def test_rates_match_dense_least_squares():
-    """Against a dense projected gradient with rates kept as one vector."""
+def dense_rates(p, t, target, steps=40_000, ridge=1e-6):
+    """Projected gradient with the rates as one vector; the slight ridge makes those nearest to one the only solution."""
+    w, r = t / t.sum(), np.ones(len(p))
+    for _ in range(steps):
+        r = np.maximum(0, r - (p @ ((w * r) @ p - target) + ridge * (r - 1)) / (1 + ridge))
+    return r
+
+
+def test_rates_match_dense_projected_gradient(docs):
+    """The rates that ``mix`` returns, with rates at zero among them."""
+    out = mixing.mix(docs, docs.selectExpr("doc_id", "lang AS domain"), {"aa": 1.0, "bb": 20.0})[1].collect()
+    p, t = np.array([x.posterior for x in out]), np.array([x.n_tokens for x in out])
+    assert {(x.domain_target, x.domain) for x in out} <= {(1 / 21, "aa"), (20 / 21, "bb")}
+    assert all(abs(x.domain_reached / x.domain_target - 1) <= 1e-4 for x in out)
+    assert np.allclose([x.rate for x in out], dense_rates(p, t, np.array([1, 20]) / 21), rtol=1e-3, atol=1e-3)
+
+
+def test_soft_rates_match_dense_projected_gradient(docs):
     rng = np.random.default_rng(2)
     p, t = rng.dirichlet([0.3, 0.3, 0.3], 300), rng.integers(1, 100, 300)
-    target, w = np.array([0.7, 0.2, 0.1]), t / t.sum()
-    m = mixing.Mixture(["a", "b", "c"], np.zeros((3, 4)), target)
-    for _ in range(400):
-        m.residuals.append((w * m.replay(p)[1]) @ p - target)
-    dense = np.ones(300)
-    for _ in range(20_000):
-        dense = np.maximum(0, dense - (p @ ((w * dense) @ p - target) + mixing.RIDGE * (dense - 1)) / (1 + mixing.RIDGE))
-    assert np.allclose(m.replay(p)[0], dense, atol=1e-4)
+    rows = docs.sparkSession.createDataFrame([(int(n), q.tolist()) for n, q in zip(t, p)], "n_tokens long, posterior array<double>")
+    m = mixing.fit_rates(rows, mixing.Mixture(["a", "b", "c"], np.zeros((3, 4))), {"a": 0.7, "b": 0.2, "c": 0.1}, 0.7)
+    assert not m.unmet() and (m.rates(p) == 0).any()
+    assert np.allclose(m.rates(p), dense_rates(p, t, np.array([0.7, 0.2, 0.1])), atol=5e-3)
 
 
 def test_packing_places_every_id_once(docs):

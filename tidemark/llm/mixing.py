@@ -4,15 +4,18 @@ A multinomial model over hashed n-grams, learned from a labelled table, gives ev
 document a posterior over domains.  Each document gets a nonnegative rate (its expected
 number of copies) such that the rates' expected domain token totals match targets:
 
-    minimise  1/2 |A r - b|^2 + RIDGE/2 sum_i w_i (r_i - 1)^2   over r >= 0
-
-with w_i a document's share of all tokens, A_di = w_i times its posterior of domain d,
-and b the target totals in the same unit.  The solution is ``r = max(0, 1 + posterior . m)``
-with one multiplier a domain, m = (b - A r) / RIDGE: Newton's method on the (concave,
-piecewise quadratic) dual finds m.  The ridge starts at RIDGE times the smallest domain
-and falls tenfold until totals are within CLOSE of every target.  A step is one Spark
-aggregation, which returns a vector and a matrix over domains; a document's rate follows
-from its posterior and m, so no rate is ever stored or moved.
+    minimise  1/2 |A r - b|^2   over r >= 0
+
+with A_di a document's share w_i of all tokens times its posterior of domain d, and b the
+target totals in the same unit.  A step goes against the gradient ``posterior . (A r - b)``,
+each domain's part of it divided by the tokens that the domain has in documents of positive
+rate (a bound on its curvature there; a step that leads too far is taken back and made with more
+of the domain's whole share, which is always safe), and projects on r >= 0.  Projections are
+lazy: gradients add up in one multiplier a domain, and the rate is the projection
+``max(0, 1 + posterior . m)`` of the start moved by their sum.  So no rate is ever stored or moved, a
+step is one Spark aggregation of two numbers a domain, and of all rates that meet the
+targets those nearest to one are found.  Steps carry on from one another (Nesterov, begun
+anew when a step turns back) until the totals are within CLOSE of every target.
 """
 
 from __future__ import annotations
@@ -32,26 +35,23 @@ from .features import bounded_counts, ngram_slots
 from .quality import UNIT, bounded_labels
 from .textbytes import emit
 
-SLOTS, EVIDENCE, PRIOR, RIDGE, STEPS, CLOSE = 4096, 30, 1.0, 0.01, 60, 1e-4
-LEAST_RIDGE = 1e-6
-"""Of the smallest domain: where the ridge stops falling; targets not met by then are out of reach."""
+SLOTS, EVIDENCE, PRIOR, CLOSE = 4096, 30, 1.0, 1e-4
+PATIENCE, GAIN = 200, 0.99
+"""Targets are out of reach if PATIENCE steps bring the farthest one not even to GAIN of its distance."""
+MAX_DOMAINS = 1_000
 MAX_LABELS = 20_000
 """Labelled rows that the classifier learns from (those of least hashed id)."""
 
 
 @dataclass
 class Mixture:
-    """Domains, their n-gram models, the targets (shares of today's tokens), what the fit reaches and its multipliers.
-
-    ``residuals`` are those of first-order steps, which need no multipliers.
-    """
+    """Domains, their n-gram models, the targets (shares of today's tokens), what the fit reaches and its multipliers."""
 
     domains: list[str]
     log_likelihood: np.ndarray
     target: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    residuals: list[np.ndarray] = field(default_factory=list)
     reached: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    multiplier: np.ndarray | None = None
+    multiplier: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def posteriors(self, sums: np.ndarray, grams: np.ndarray) -> np.ndarray:
         """Soft membership from summed log likelihoods; n-grams count as at most EVIDENCE independent ones."""
@@ -59,23 +59,18 @@ class Mixture:
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
+    def distance(self) -> float:
+        """The largest distance to a target, in targets (in all tokens where that is 0)."""
+        return float((np.abs(self.reached - self.target) / np.where(self.target > 0, self.target, 1)).max())
+
     def unmet(self) -> dict[str, tuple[float, float]]:
         """(target, reached) of the domains that are not within CLOSE of their target (of all tokens where that is 0)."""
         off = np.abs(self.reached - self.target) > CLOSE * np.where(self.target > 0, self.target, 1)
         return {d: (float(b), float(a)) for d, b, a, x in zip(self.domains, self.target, self.reached, off) if x}
 
-    def replay(self, posterior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rates by the multipliers; without these, rates and extrapolated rates after the first-order steps so far."""
-        if self.multiplier is not None:
-            r = np.maximum(0, 1 + posterior @ self.multiplier)
-            return r, r
-        r = z = np.ones(len(posterior))
-        t = 1.0
-        for residual in self.residuals:
-            new = np.maximum(0, z - (posterior @ residual + RIDGE * (z - 1)) / (1 + RIDGE))
-            t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-            z, r, t = new + (t - 1) / t_new * (new - r), new, t_new
-        return r, z
+    def rates(self, posterior: np.ndarray) -> np.ndarray:
+        """Rates by the multipliers; one each before the fit."""
+        return np.maximum(0, 1 + posterior @ self.multiplier) if len(self.multiplier) else np.ones(len(posterior))
 
 
 def fit_domains(docs: DataFrame, labelled: DataFrame, most: int = MAX_LABELS, slots: int = SLOTS) -> Mixture:
@@ -98,6 +93,8 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, most: int = MAX_LABELS, sl
             some = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some), pa.array(c[some])], names=["domain", "slot", "n"])
 
+    if sample.select("value").distinct().count() > MAX_DOMAINS:
+        raise ValueError(f"more than {MAX_DOMAINS} domains")
     found = marked.mapInArrow(count, "domain string, slot long, n long").groupBy("domain", "slot").agg(F.sum("n").alias("n")).collect()
     domains = sorted({r["domain"] for r in found}) or ["all"]
     counts = np.zeros((len(domains), slots))
@@ -137,67 +134,73 @@ def _posteriors(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("posterior").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
 
 
-def fit_rates(members: DataFrame, mixture: Mixture, targets: dict[str, float] | None, temper: float, steps: int = STEPS) -> Mixture:
-    """Finds the multipliers over (n_tokens, posterior) by Newton's method until totals are within CLOSE of every target.
+def fit_rates(members: DataFrame, mixture: Mixture, targets: dict[str, float] | None, temper: float) -> Mixture:
+    """Finds the multipliers over (n_tokens, posterior) by projected gradient until totals are within CLOSE of every target.
 
     ``targets`` are domain weights (scaled to today's number of tokens; a domain left
-    out gets none); by default today's shares to the power ``temper``.  Targets that
-    stay open (out of reach, or after ``steps`` aggregations) are logged and in ``unmet``.
+    out gets none); by default today's shares to the power ``temper``.  Targets out of
+    reach are logged and in ``unmet``.
     """
     k = len(mixture.domains)
 
-    def sums_at(m: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """Over tokens: half the squared rates, the domains' totals, and the matrix of the rows of positive rate."""
+    def pass_over(m: np.ndarray) -> np.ndarray:
+        """Half the squared rates over tokens, the domains' tokens under these rates, and those of rows with a positive rate."""
 
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(1 + k + k * k)
+            out = np.zeros((2, k))
+            square = 0.0
             for batch in batches:
                 if batch.num_rows:
                     p, n = _posteriors(batch), np.asarray(batch.column("n_tokens"))
                     r = np.maximum(0, 1 + p @ m)
-                    out[0] += n @ (r * r) / 2
-                    out[1 : k + 1] += (n * r) @ p
-                    out[k + 1 :] += ((p * (n * (r > 0))[:, None]).T @ p).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(out)), pa.int64()), pa.array(out)], names=["at", "x"])
+                    square += n @ (r * r) / 2
+                    out += np.stack((n * r, n * (r > 0))) @ p
+            x = np.append(square, out.ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(x)), pa.int64()), pa.array(x)], names=["at", "x"])
 
-        got = np.zeros(1 + k + k * k)
+        got = np.zeros(1 + 2 * k)
         for row in members.select("n_tokens", "posterior").mapInArrow(part, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
             got[row["at"]] = row["x"]
-        return got[0], got[1 : k + 1], got[k + 1 :].reshape(k, k)
+        return got
 
     m = np.zeros(k)
-    square, now, matrix = sums_at(m)
-    all_tokens = now.sum()
+    got = pass_over(m)
+    all_tokens = got[1 : k + 1].sum()
     if not all_tokens:
         return mixture
-    square, now, matrix = square / all_tokens, now / all_tokens, matrix / all_tokens
+    got /= all_tokens
+    now = got[1 : k + 1]
     share = np.array([targets.get(d, 0.0) for d in mixture.domains]) if targets is not None else now**temper
     if share.sum() <= 0:
         raise ValueError("targets give no domain a positive weight")
     b = mixture.target = share / share.sum()
-    smallest = min(now[now > 0].min(), b[b > 0].min())
-    ridge, least = RIDGE * smallest, LEAST_RIDGE * smallest
+    safe = np.where(now > 0, now, 1)
     mixture.multiplier, mixture.reached = m, now
-    used = 1
-    while mixture.unmet() and used < steps:
-        slope = b - now - ridge * m
-        if np.abs(slope).max() < CLOSE * smallest / 10:  # this ridge is done
-            if ridge <= least:
-                break
-            ridge /= 10
-            continue
-        step = np.linalg.solve(matrix + ridge * np.eye(k), slope)
-        value = b @ m - square - ridge * (m @ m) / 2
-        size = 1.0
-        while used < steps:
-            new = m + size * step
-            square, now, matrix = (x / all_tokens for x in sums_at(new))
-            used += 1
-            if b @ new - square - ridge * (new @ new) / 2 >= value + 1e-4 * size * (slope @ step) - 1e-12 or size < 1e-6:
-                m = new
-                mixture.multiplier, mixture.reached = m, now
-                break
-            size /= 2
+    ahead, pace, caution = m, 1.0, 0.0  # ahead: where gradients are taken
+    top = (-got[0], m, got)  # the best of these so far: dual value, multipliers, sums
+    least, best, since = mixture.distance(), (m, now), 0
+    while mixture.unmet() and since < PATIENCE:
+        curve = np.maximum(got[k + 1 :], max(caution, 1e-9) * safe)
+        step = (b - got[1 : k + 1]) / curve
+        new = ahead + step
+        if (curve * step) @ (new - m) < 0:
+            pace = 1.0
+        quick = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
+        ahead, m, pace = new + (pace - 1) / quick * (new - m), new, quick
+        got = pass_over(ahead) / all_tokens
+        mixture.multiplier, mixture.reached = ahead, got[1 : k + 1]
+        value = b @ ahead - got[0]
+        since += 1
+        if mixture.distance() < GAIN * least:
+            least, best, since = mixture.distance(), (ahead, got[1 : k + 1]), 0
+        if value >= top[0] - 1e-13:
+            top, caution = (value, ahead, got), caution / 2
+        elif mixture.unmet():  # too far: back to the best place, with more care
+            caution, pace = min(1.0, max(4 * caution, 1 / 64)), 1.0
+            _, ahead, got = top
+            m = ahead
+    if mixture.unmet():
+        mixture.multiplier, mixture.reached = best
     for d, (wanted, got) in mixture.unmet().items():
         logging.getLogger(__name__).warning("domain %s: target %.6f of the tokens, reached %.6f", d, wanted, got)
     return mixture
@@ -217,14 +220,16 @@ def with_rates(docs: DataFrame, mixture: Mixture, seed: int = 11, doc_id: str =
             if batch.num_rows:
                 p = _posteriors(batch)
                 domain = pa.array([mixture.domains[k] for k in p.argmax(axis=1)], pa.string())
-                yield from emit(batch, batch.schema.names, {"domain": domain, "rate": pa.array(mixture.replay(p)[0])})
+                yield from emit(batch, batch.schema.names, {"domain": domain, "rate": pa.array(mixture.rates(p))})
 
     uniform = F.shiftrightunsigned(F.xxhash64(doc_id, F.lit(seed)), 11) / float(1 << 53)
     return docs.mapInArrow(run, schema).withColumn("copies", F.floor(F.col("rate") + uniform))
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, temper: float = 0.7) -> tuple[Mixture, DataFrame]:
-    """The fitted mixture and (doc_id, n_tokens, posterior, domain, rate, copies) of every row of ``docs``.
+    """The fitted mixture and (doc_id, n_tokens, posterior, domain, rate, copies, domain_target, domain_reached) of every row of ``docs``.
+
+    The last two are shares of today's tokens: what the likeliest domain was to get, and gets.
 
     Null labels are left out; without any label there is one domain and every rate is
     one.  Null and empty texts have no tokens and a rate by an even posterior; texts of any
@@ -234,7 +239,10 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None =
     mixture = fit_domains(docs, labelled)
     members = written(membership(docs.select("doc_id", "text"), mixture, ["doc_id"]), "members")
     fit_rates(members, mixture, targets, temper)
-    return mixture, with_rates(members, mixture)
+    at = F.array_position(F.array(*map(F.lit, mixture.domains)), F.col("domain")).cast("int")
+    shares = {"domain_target": mixture.target, "domain_reached": mixture.reached}
+    found = {c: F.get(F.array(*map(F.lit, x.tolist())).cast("array<double>"), at - 1) for c, x in shares.items()}
+    return mixture, with_rates(members, mixture).withColumns(found)
 
 
 def mixed_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, temper: float = 0.7) -> DataFrame:
