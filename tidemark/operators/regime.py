@@ -1,7 +1,8 @@
 """Regime detection: change detectors, ensembles, regime numbers, stability and trend patterns.
 
 Every detector is a set of window expressions over one partitioning (series_id) and
-order (t); a query with all of them sorts each series once.
+order (t); a query with all of them sorts each series once.  With ``block`` a long series
+is cut into ranges (see ``sources.ranges``) and no task holds it.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.ranges import Whole, scope
 from ..sources.series import fill_gaps
 
 METHODS = ("cumulative_peaks", "changepoint", "threshold", "variance_shift", "gradient", "entropy")
@@ -43,35 +45,36 @@ def _by() -> Window:
     return Window.partitionBy("series_id").orderBy("t")
 
 
-def _gap_filtered(flag: Column, least: Column) -> Column:
-    """A candidate stays unless the candidate before it, kept or not, is nearer than ``least`` rows."""
-    before = F.max(F.when(flag, F.col("_i"))).over(_by().rowsBetween(Window.unboundedPreceding, -1))
-    return flag & F.coalesce(F.col("_i") - before >= least, F.lit(True))
+def _gap_filtered(within: Whole, df: DataFrame, flags: dict[str, str], least: str) -> DataFrame:
+    """Adds each flag's kept ones: a candidate stays unless the candidate before it, kept or not, is nearer than ``least`` rows."""
+    df = within.before(df, {f"_at_{kept}": F.when(F.col(flag), F.col("_i")) for kept, flag in flags.items()})
+    far = lambda kept: F.coalesce(F.col("_i") - F.col(f"_at_{kept}") >= F.col(least), F.lit(True))
+    return df.withColumns({kept: F.col(flag) & far(kept) for kept, flag in flags.items()}).drop(*[f"_at_{kept}" for kept in flags])
 
 
-def _regime_ids(flag: Column) -> Column:
-    """One more than the changes so far; the first row never counts."""
-    counted = F.when(flag & (F.col("_i") > 1), 1).otherwise(0)
-    return (1 + F.sum(counted).over(_by().rowsBetween(Window.unboundedPreceding, 0))).cast("long")
+def _with_regime_ids(within: Whole, df: DataFrame, flag: str, name: str) -> DataFrame:
+    """Adds one more than the changes so far; the first row never counts."""
+    counted = F.when(F.col(flag) & (F.col("_i") > 1), 1).otherwise(0)
+    df = within.before(df, {"_so_far": counted}, "sum")
+    return df.withColumn(name, (1 + F.coalesce("_so_far", F.lit(0)) + counted).cast("long")).drop("_so_far")
 
 
-def _prepared(series: DataFrame, p: Parameters, min_size: int | None) -> DataFrame:
-    whole, h = Window.partitionBy("series_id"), p.window // 2
-    left, right = _by().rowsBetween(-p.window, -1), _by().rowsBetween(1, p.window)
+def _prepared(within: Whole, series: DataFrame, p: Parameters, min_size: int | None) -> DataFrame:
+    by, h = within.by(), p.window // 2
+    left, right = by.rowsBetween(-p.window, -1), by.rowsBetween(1, p.window)
     x = F.col("value")
-    out = series.withColumns({
-        "_i": F.row_number().over(_by()), "_n": F.count("*").over(whole),
-        "_lag": F.lag("value").over(_by()), "_lead": F.lead("value").over(_by()),
+    out = within.rows(series, p.window + 1, p.window + 1).withColumns({
+        "_lag": F.lag("value").over(by), "_lead": F.lead("value").over(by),
         "_m0": F.avg(x).over(left), "_m1": F.avg(x).over(right),
         "_s0": F.var_samp(x).over(left), "_s1": F.var_samp(x).over(right),
-        "_rv": F.var_samp(x).over(_by().rowsBetween(-h, h)),
-        "_q": F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).over(whole),
+        "_rv": F.var_samp(x).over(by.rowsBetween(-h, h)),
     })
-    out = out.withColumn("_rd", F.abs(F.col("_rv") - F.lag("_rv").over(_by())))
+    out = within.own(out.withColumn("_rd", F.abs(F.col("_rv") - F.lag("_rv").over(by))))
+    out = within.totals(out, {"_n": F.count("*")})
+    out = within.quantiles(within.quantiles(out, "_q", "value", [0.25, 0.75]), "_rq", "_rd", [0.9])
     least = F.lit(min_size) if min_size is not None else F.greatest(F.lit(10), F.floor(F.col("_n") * 0.1))
-    out = out.withColumns({"_least": least, "_rq": F.percentile("_rd", F.lit(0.9)).over(whole)})
-    label = F.when(x >= F.col("_q")[1], 3).when(x <= F.col("_q")[0], 1).otherwise(2)
-    return out.withColumn("_label", label).withColumn("_label0", F.lag("_label").over(_by()))
+    label = lambda v: F.when(v >= F.col("_q")[1], 3).when(v <= F.col("_q")[0], 1).otherwise(2)
+    return out.withColumns({"_least": least, "_rq": F.col("_rq")[0], "_label": label(x), "_label0": F.when(F.col("_i") > 1, label(F.col("_lag")))})
 
 
 def _raw(p: Parameters) -> dict[str, Column]:
@@ -131,20 +134,26 @@ _SHORT = {
 }
 
 
-def detect_changes(series: DataFrame, method: str = "smart", sensitivity: str = "medium", window: int = 10, min_size: int | None = None) -> DataFrame:
+def detect_changes(series: DataFrame, method: str = "smart", sensitivity: str = "medium", window: int = 10, min_size: int | None = None, block: int | None = None) -> DataFrame:
     """(series_id, t, complexity, regime_change, regime_id, change_type, change_magnitude, confidence, min_size).
 
     ``method`` is one of METHODS, ``smart`` (gradient, peaks or changepoint) or ``all``
     (votes of the six).  ``min_size`` defaults to a tenth of the series, 10 at least.
-    Nulls should be filled before.
+    Nulls should be filled before.  ``block`` cuts series into ranges of so many rows.
     """
+    out = _detected(scope(block), series, method, sensitivity, window, min_size)
+    return out.select("series_id", "t", "complexity", "regime_change", "regime_id", "change_type", "change_magnitude", "confidence", "min_size")
+
+
+def _detected(within: Whole, series: DataFrame, method: str, sensitivity: str, window: int, min_size: int | None) -> DataFrame:
+    """The columns of ``detect_changes``, and those that the scope's blocks are known by."""
     p = Parameters.of(sensitivity, window)
     if method not in (*METHODS, "smart", "all"):
         raise ValueError(f"unknown method {method}")
     used = {"smart": ("gradient", "cumulative_peaks", "changepoint"), "all": METHODS}.get(method, (method,))
-    raw, out = _raw(p), _prepared(series, p, min_size).withColumn("_w", F.lit(p.window))
+    raw, out = _raw(p), _prepared(within, series, p, min_size).withColumn("_w", F.lit(p.window))
     out = out.withColumns({f"_r_{m}": F.coalesce(raw[m], F.lit(False)) for m in used})
-    out = out.withColumns({f"_c_{m}": _gap_filtered(F.col(f"_r_{m}"), F.col("_least")) for m in used})
+    out = _gap_filtered(within, out, {f"_c_{m}": f"_r_{m}" for m in used}, "_least")
     magnitude = _magnitudes()
     if method in METHODS:
         name, at, elsewhere = _NAMES[method]
@@ -160,7 +169,7 @@ def detect_changes(series: DataFrame, method: str = "smart", sensitivity: str =
         votes = sum(flags[1:], flags[0])
         need = 1 if method == "smart" else max(1, math.floor(p.votes * len(used)))
         out = out.withColumn("_votes", votes).withColumn("_any", F.col("_votes") >= need)
-        out = out.withColumn("_change", _gap_filtered(F.col("_any"), F.col("_least")))
+        out = _gap_filtered(within, out, {"_change": "_any"}, "_least")
         change = F.col("_change")
         if method == "smart":
             short = {"gradient": "gradient", "cumulative_peaks": "peaks", "changepoint": "changepoint"}
@@ -173,8 +182,8 @@ def detect_changes(series: DataFrame, method: str = "smart", sensitivity: str =
             share = F.col("_votes") / len(used)
             kind = F.when(change, F.concat(F.lit("ensemble_vote_"), F.bround(share * 100).cast("int"), F.lit("%"))).otherwise("none")
             size = sure = share
-    return out.select(
-        "series_id", "t", F.col("value").alias("complexity"), F.col("_change").alias("regime_change"), _regime_ids(F.col("_change")).alias("regime_id"),
+    return _with_regime_ids(within, out, "_change", "_id").select(
+        *within.part, "t", "_i", F.col("value").alias("complexity"), F.col("_change").alias("regime_change"), F.col("_id").alias("regime_id"),
         kind.alias("change_type"), F.coalesce(size, F.lit(0.0)).alias("change_magnitude"), sure.cast("double").alias("confidence"), F.col("_least").cast("long").alias("min_size"),
     )
 
@@ -195,26 +204,29 @@ def consolidate(found: DataFrame, similarity: float = 0.6) -> DataFrame:
     dense = firsts.withColumn("new_id", F.row_number().over(Window.partitionBy("series_id").orderBy("t0")).cast("long"))
     names = mapped.select("series_id", "regime_id", "to").join(dense.select("series_id", "to", "new_id"), ["series_id", "to"])
     out = found.join(names.select("series_id", "regime_id", "new_id"), ["series_id", "regime_id"])
-    out = out.withColumn("_i", F.row_number().over(_by()))
-    out = out.withColumn("_raw", F.coalesce(F.col("new_id") != F.lag("new_id").over(_by()), F.lit(False)))
-    out = out.withColumn("regime_change", _gap_filtered(F.col("_raw"), F.col("min_size")))
-    return out.withColumn("regime_id", _regime_ids(F.col("regime_change"))).select(*found.columns)
+    within = Whole()
+    out = within.rows(out).withColumn("_raw", F.coalesce(F.col("new_id") != F.lag("new_id").over(within.by()), F.lit(False)))
+    out = _gap_filtered(within, out, {"regime_change": "_raw"}, "min_size")
+    return _with_regime_ids(within, out, "regime_change", "regime_id").select(*found.columns)
 
 
-def with_stability(found: DataFrame) -> DataFrame:
+def with_stability(found: DataFrame, within: Whole | None = None) -> DataFrame:
     """Adds stability_score (length over twice the least size, at most 1) and its class."""
-    whole = Window.partitionBy("series_id")
-    n = F.count("*").over(whole)
-    length = F.count("*").over(Window.partitionBy("series_id", "regime_id"))
+    within = within or Whole()
+    out = within.totals(within.totals(found, {"_n": F.count("*")}), {"_length": F.count("*")}, ["series_id", "regime_id"])
+    n, length = F.col("_n"), F.col("_length")
     score = F.when(n == 1, 0.5).otherwise(F.least(F.lit(1.0), length / (F.col("min_size") * 2)))
-    kind = F.when((F.col("stability_score") > 0.7) | F.col("_one"), "Stable").when(F.col("stability_score") > 0.3, "Transitional").otherwise("Unstable")
-    return found.withColumns({"stability_score": score, "_one": n == 1}).withColumn("regime_stability", kind).drop("_one")
+    kind = F.when((F.col("stability_score") > 0.7) | (n == 1), "Stable").when(F.col("stability_score") > 0.3, "Transitional").otherwise("Unstable")
+    return out.withColumn("stability_score", score).withColumn("regime_stability", kind).drop("_n", "_length")
 
 
-def regime_patterns(found: DataFrame) -> DataFrame:
+def regime_patterns(found: DataFrame, within: Whole | None = None) -> DataFrame:
     """One row a regime: its length, mean, slope and trend pattern."""
-    placed = found.withColumn("_p", F.row_number().over(Window.partitionBy("series_id", "regime_id").orderBy("t")).cast("double"))
-    stats = placed.groupBy("series_id", "regime_id").agg(
+    within = within or Whole()
+    numbered = found if "_i" in found.columns else within.rows(found)
+    keys = ["series_id", "regime_id"]
+    placed = within.totals(numbered, {"_i0": F.min("_i")}, keys).withColumn("_p", (F.col("_i") - F.col("_i0") + 1).cast("double"))
+    stats = placed.groupBy(*keys).agg(
         F.count("*").alias("n"), F.min("t").alias("start"), F.max("t").alias("end"), F.avg("complexity").alias("mean"),
         F.var_samp("complexity").alias("variance"), F.expr("regr_slope(complexity, _p)").alias("slope"),
     )
@@ -236,14 +248,21 @@ def regime_name(regime_id: Column, total: Column) -> Column:
     return F.when(total <= 26, F.concat(F.lit("Pattern "), letter(k))).when(total <= 260, one).otherwise(two)
 
 
-def detect_regime(series: DataFrame, method: str = "smart", sensitivity: str = "medium", window: int = 10, min_size: int | None = None, consolidate_similar: bool = False, similarity: float = 0.6) -> DataFrame:
+def detect_regime(series: DataFrame, method: str = "smart", sensitivity: str = "medium", window: int = 10, min_size: int | None = None, consolidate_similar: bool = False, similarity: float = 0.6, block: int | None = None) -> DataFrame:
     """Changes, regime numbers and names, stability and patterns of every row of (series_id, t, value).
 
     Nulls are filled first (see ``fill_gaps``); a series of one row is one stable regime.
+    ``block`` cuts series into ranges of so many rows (but not to consolidate regimes).
     """
-    found = detect_changes(fill_gaps(series), method, sensitivity, window, min_size)
+    if consolidate_similar and block is not None:
+        raise ValueError("regimes of ranges cannot be consolidated")
+    within = scope(block)
+    found = _detected(within, fill_gaps(series, block), method, sensitivity, window, min_size)
     if consolidate_similar:
         found = consolidate(found, similarity)
-    patterns = regime_patterns(found).select("series_id", "regime_id", "complexity_pattern")
-    total = F.max("regime_id").over(Window.partitionBy("series_id"))
-    return with_stability(found).join(patterns, ["series_id", "regime_id"]).withColumn("regime_name", regime_name(F.col("regime_id"), total))
+    found = within.own(found)
+    patterns = regime_patterns(found, within).select("series_id", "regime_id", "complexity_pattern")
+    out = within.totals(with_stability(found, within), {"_total": F.max("regime_id")})
+    out = within.brought(out, patterns, ["series_id", "regime_id"])
+    out = out.withColumn("regime_name", regime_name(F.col("regime_id"), F.col("_total")))
+    return out.drop("_total", "_i", *within.part[1:])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.ranges import scope
+
 MEASURES = ("complexity", "fluctuation", "distribution", "autocorrelation", "max", "min", "variance")
 
 
@@ -52,6 +54,7 @@ def rolling_measures(
     order: str = "t",
     scale: tuple[float, float] | None = None,
     rescale: bool = False,
+    block: int | None = None,
 ) -> DataFrame:
     """``df`` with ``<column>_<measure>`` for every column and measure.
 
@@ -59,7 +62,8 @@ def rolling_measures(
     null.  Nulls inside a frame are skipped.  The scale is the range of all columns in
     the series unless given; equal bounds give null.  With ``rescale`` each result is
     stretched to the scale within its series (a flat one to the midpoint).  With
-    several columns ``mean_<measure>`` and ``median_<measure>`` follow.
+    several columns ``mean_<measure>`` and ``median_<measure>`` follow.  ``block`` cuts
+    series of canonical names into ranges of so many rows, so that no task holds a series.
     """
     if width < 2 or width != int(width):
         raise ValueError("width is a whole number of 2 or more")
@@ -67,17 +71,24 @@ def rolling_measures(
         raise ValueError(f"unknown measures: {sorted(unknown)}")
     if scale is not None and not scale[0] < scale[1]:
         raise ValueError("the scale's minimum is below its maximum")
+    if block is not None and (series_id, order) != ("series_id", "t"):
+        raise ValueError("ranges are cut by series_id and t")
     columns, given = columns or ["value"], df.columns
-    whole = Window.partitionBy(series_id)
-    frame = whole.orderBy(order).rowsBetween(-(width - 1), 0)
+    within = scope(block)
+    keys = within.part if block is not None else [series_id]
+    frame = Window.partitionBy(*keys).orderBy(order).rowsBetween(-(width - 1), 0)
+    if block is None:
+        df = df.withColumn("_i", F.row_number().over(Window.partitionBy(series_id).orderBy(order)))
+    else:
+        df = within.rows(df, width - 1)
     if scale:
         lo, hi = F.lit(float(scale[0])), F.lit(float(scale[1]))
     else:
         least = F.least(*columns) if len(columns) > 1 else F.col(columns[0])
         most = F.greatest(*columns) if len(columns) > 1 else F.col(columns[0])
-        df = df.withColumns({"_lo": F.min(least).over(whole), "_hi": F.max(most).over(whole)})
+        df = within.totals(df, {"_lo": F.min(least), "_hi": F.max(most)}, [series_id])
         lo, hi = F.col("_lo"), F.col("_hi")
-    df = df.withColumn("_full", F.row_number().over(whole.orderBy(order)) >= width)
+    df = df.withColumn("_full", F.col("_i") >= width)
     df = df.withColumns({f"_x{i}": F.collect_list(c).over(frame) for i, c in enumerate(columns)})
     # What window aggregates can do needs no list, and what the complexity is made of is computed once.
     plain = {"variance": F.var_samp, "max": F.max, "min": F.min}
@@ -95,12 +106,15 @@ def rolling_measures(
         made |= {f"{c}_{m}": F.when(F.col("_full"), kinds[m]()) for m in measures}
     out = df.withColumns(made)
     if rescale:
-        out = out.withColumns({f"_a{k}": F.min(k).over(whole) for k in made} | {f"_b{k}": F.max(k).over(whole) for k in made})
+        out = within.own(out)
+        out = within.totals(out, {f"_a{k}": F.min(k) for k in made} | {f"_b{k}": F.max(k) for k in made}, [series_id])
         out = out.withColumns({
             k: F.when(F.col(k).isNotNull(), F.when(F.col(f"_b{k}") - F.col(f"_a{k}") < 1.5e-8, (lo + hi) / 2).otherwise(
                 (F.col(k) - F.col(f"_a{k}")) / (F.col(f"_b{k}") - F.col(f"_a{k}")) * (hi - lo) + lo))
             for k in made
         })
+    elif block is not None:
+        out = out.where("_block = _own")
     if len(columns) > 1:
         across: dict[str, Column] = {}
         for m in measures:

@@ -13,7 +13,7 @@ NUDGE = 1.3e-11
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-SERIES = {"s1": src.events_by_user, "s2": src.orders_daily, "s3": src.ships_daily, "s4": src.events_hourly, "s5": src.events_by_user_and_type}
+SERIES = {"s1": src.events_by_user, "s2": src.orders_daily, "s3": src.ships_daily, "s4": src.events_hourly, "s5": src.events_by_user_and_type, "s6": src.events_in_time}
 
 
 def query(name: str, sql: str | None = None) -> Callable:

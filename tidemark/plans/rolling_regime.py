@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import regime, rolling
+from ..sources import ranges
 from ..sources import series as src
-from .registry import on_series, q6, query, r6
+from .registry import ORACLE_SQL, on_series, q6, query, r6
 
 W = 7
 
@@ -227,3 +228,59 @@ on_series(
     CASE WHEN k <= 26 THEN 'Pattern ' || chr(CAST(64 + st.regime_id AS INT)) ELSE 'Pattern' || chr(CAST(65 + (st.regime_id - 1) // 10 AS INT)) || ((st.regime_id - 1) % 10 + 1) END AS regime_name
     FROM st JOIN pn ON st.series_id = pn.series_id AND st.regime_id = pn.regime_id JOIN tot ON tot.series_id = st.series_id""",
 )
+
+
+# One long series, cut into ranges of ROWS rows: all events in time order.
+ROWS = 1_000
+on_series(
+    "long_rolling",
+    "s6",
+    lambda s: rolling.rolling_measures(s, width=W, block=ROWS).select("series_id", "t", *[r6(f"value_{m}", m, 5) for m in rolling.MEASURES]),
+    src.on(ORACLE_SQL["roll_all"], "s1", "s6"),
+)
+on_series(
+    "long_rolling_rescaled",
+    "s6",
+    lambda s: rolling.rolling_measures(s, measures=("complexity",), width=W, rescale=True, block=ROWS).where("value_complexity IS NOT NULL").select("series_id", "t", r6("value_complexity", "measure", 5)),
+    src.on(ORACLE_SQL["roll_rescale"], "s1", "s6"),
+)
+for _m in ("smart", "all"):
+    on_series(f"long_regimes_{_m}", "s6", lambda s, m=_m: shown(regime.detect_changes(s, m, block=ROWS)), f"{changes_sql(_m)} {FOUND_SQL}")
+on_series(
+    "long_regimes_full",
+    "s6",
+    lambda s: regime.detect_regime(s, block=ROWS).select("series_id", "t", "regime_id", "regime_stability", "complexity_pattern", "regime_name"),
+    src.on(ORACLE_SQL["regime_full"], "s1", "s6"),
+)
+
+
+
+def punctured(s: DataFrame) -> DataFrame:
+    """The series with rows and values missing."""
+    return s.where("t % 3 <> 1 OR t > 1200").withColumn("value", F.when(F.col("t") % 5 != 0, F.col("value")))
+
+
+on_series(
+    "long_filled",
+    "s6",
+    lambda s: src.fill_gaps(punctured(s), ROWS).select("series_id", "t", r6("value")),
+    f"""WITH s AS (SELECT series_id, t, CASE WHEN t % 5 <> 0 THEN value END AS value FROM ({{s}}) WHERE t % 3 <> 1 OR t > 1200),
+    f AS (SELECT *, last_value(value IGNORE NULLS) OVER b AS v0, last_value(CASE WHEN value IS NOT NULL THEN t END IGNORE NULLS) OVER b AS t0,
+        first_value(value IGNORE NULLS) OVER a AS v1, first_value(CASE WHEN value IS NOT NULL THEN t END IGNORE NULLS) OVER a AS t1
+    FROM s WINDOW b AS (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+    SELECT series_id, t, {q6("coalesce(value, CASE WHEN t1 > t0 THEN v0 + (v1 - v0) * (t - t0) / (t1 - t0) END, v0, v1)", "value")} FROM f""",
+)
+
+PROBS = [0.05, 0.25, 0.5, 0.75, 0.9]
+
+
+@query(
+    "group_quantiles",
+    f"""SELECT event_type AS series_id, {", ".join(q6(f"quantile_cont(value, {p})", f"q{round(100 * p)}") for p in PROBS)} FROM events GROUP BY event_type
+    UNION ALL SELECT 'all', {", ".join(q6(f"quantile_cont(value, {p})", f"q{round(100 * p)}") for p in PROBS)} FROM events""",
+)
+def grouped_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of every event type and of all events, by rank places; one group holds every row."""
+    events = src.read(spark, sf_dir, "events").select(F.explode(F.array(F.col("event_type"), F.lit("all"))).alias("series_id"), "value")
+    found = ranges.group_quantiles(events, "value", PROBS)
+    return found.select("series_id", *[r6(F.col("q")[i], f"q{round(100 * p)}") for i, p in enumerate(PROBS)])

@@ -6,16 +6,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from .ranges import numbered, scope
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def to_series(df: DataFrame, value: str | Column, order: list[str | Column], series_id: str | Column | None = None) -> DataFrame:
+def to_series(df: DataFrame, value: str | Column, order: list[str | Column], series_id: str | Column | None = None, long: bool = False) -> DataFrame:
     """Numbers the rows of each series in order; NaN becomes null; without an id there is one series.
 
-    One series is one window partition: give long tables an id.
+    One series is one window partition, unless series are ``long``: then range
+    partitions number their own rows.
     """
     sid = F.lit("all") if series_id is None else (F.col(series_id) if isinstance(series_id, str) else series_id)
     v = (F.col(value) if isinstance(value, str) else value).cast("double")
@@ -23,6 +26,8 @@ def to_series(df: DataFrame, value: str | Column, order: list[str | Column], ser
         (F.col(o) if isinstance(o, str) else o).alias(f"_o{i}") for i, o in enumerate(order)
     ])
     keys = [f"_o{i}" for i in range(len(order))]
+    if long:
+        return numbered(named, ["series_id"], keys, "t").select("series_id", "t", "value")
     t = F.row_number().over(Window.partitionBy("series_id").orderBy(*keys)).cast("long")
     return named.select("series_id", t.alias("t"), "value")
 
@@ -66,15 +71,15 @@ def drop_missing(df: DataFrame, columns: list[str], action: str = "pass") -> Dat
     raise ValueError(f"unknown action {action}")
 
 
-def fill_gaps(series: DataFrame) -> DataFrame:
-    """Linear interpolation on t, then the last value forward, the first backward, then the mean."""
-    before = Window.partitionBy("series_id").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy("series_id").orderBy("t").rowsBetween(0, Window.unboundedFollowing)
-    known_t = F.when(F.col("value").isNotNull(), F.col("t"))
-    out = series.withColumns({
-        "_v0": F.last("value", ignorenulls=True).over(before), "_t0": F.last(known_t, ignorenulls=True).over(before),
-        "_v1": F.first("value", ignorenulls=True).over(after), "_t1": F.first(known_t, ignorenulls=True).over(after),
-    })
+def fill_gaps(series: DataFrame, block: int | None = None) -> DataFrame:
+    """Linear interpolation on t, then the last value forward, the first backward, then the mean.
+
+    ``block`` cuts series into ranges of so many rows, so that no task holds a series.
+    """
+    within = scope(block)
+    known = {"_t{}": F.when(F.col("value").isNotNull(), F.col("t")), "_v{}": F.col("value")}
+    out = within.before(within.rows(series), {k.format(0): v for k, v in known.items()}, "last")
+    out = within.before(out, {k.format(1): v for k, v in known.items()}, "last", backwards=True)
     share = (F.col("t") - F.col("_t0")) / (F.col("_t1") - F.col("_t0"))
     between = F.when(F.col("_t1") > F.col("_t0"), F.col("_v0") + (F.col("_v1") - F.col("_v0")) * share)
     return out.withColumn("value", F.coalesce("value", between, "_v0", "_v1")).select(*series.columns)
@@ -130,8 +135,14 @@ def events_by_user_and_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_series(read(spark, sf_dir, "events"), "value", ["ts", "event_id"], F.concat_ws("/", "user_id", "event_type"))
 
 
+def events_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One long series: all event values in time order."""
+    return to_series(read(spark, sf_dir, "events"), "value", ["ts", "event_id"], F.lit("events"), long=True)
+
+
 # The same series for DuckDB, as bodies of common table expressions.
 SQL = {
+    "s6": "SELECT 'events' AS series_id, row_number() OVER (ORDER BY ts, event_id) AS t, value FROM events",
     "s5": "SELECT concat_ws('/', user_id, event_type) AS series_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS t, value FROM events",
     "s1": "SELECT cast(user_id AS VARCHAR) AS series_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t, value FROM events",
     "s2": """SELECT 'orders' AS series_id, row_number() OVER (ORDER BY day) AS t, round(v / 100000, 8) AS value
@@ -143,3 +154,8 @@ SQL = {
         CROSS JOIN (SELECT unnest(generate_series(min(date_trunc('hour', ts)), max(date_trunc('hour', ts)), INTERVAL 1 HOUR)) AS hour FROM events)
         LEFT JOIN (SELECT event_type, date_trunc('hour', ts) AS hour, round(avg(value), 6) AS value FROM events GROUP BY 1, 2) USING (event_type, hour)""",
 }
+
+
+def on(sql: str, one: str, other: str) -> str:
+    """SQL over one series as the same SQL over another."""
+    return sql.replace(SQL[one], SQL[other])
