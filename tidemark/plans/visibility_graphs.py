@@ -51,3 +51,10 @@ on_series(
     f"""{NVG}, b AS (SELECT series_id, src AS t, exp(-0.1 * (dst - src)) AS w FROM e UNION ALL SELECT series_id, dst, exp(-0.1 * (dst - src)) FROM e)
     SELECT series_id, t, count(*) AS degree, {q6("sum(w)", "strength")} FROM b GROUP BY 1, 2""",
 )
+# A long series with times before and after zero: blocks that show each other outlines.
+LONG = "SELECT series_id, 3 * t - 1000 AS t, value FROM (%s)"
+for _name, _kind, _edges in (("vg_long", "nvg", NVG), ("vg_long_hvg", "hvg", HVG)):
+    on_series(
+        _name, "s2", lambda s, k=_kind: visibility.visibility_edges(s.withColumn("t", 3 * F.col("t") - 1000), k, long=True),
+        _edges.replace("({s})", "(" + LONG % "{s}" + ")") + f" {EDGES}",
+    )
