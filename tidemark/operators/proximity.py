@@ -6,6 +6,8 @@ metrics; a missing pair has no link.  Pairs are formed only within a series.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,7 +123,8 @@ def similarity(edges: DataFrame, method: str = "normalized_inverse", sigma: floa
     """``edges`` with ``similarity``; what is not finite becomes 0, sigma defaults to the median positive distance."""
     if method not in SIMILARITIES:
         raise ValueError(f"unknown method {method}")
-    out = _scalars(edges, _max=F.max("distance"), _sigma=F.percentile("distance", 0.5))
+    edges = written(edges, "pairs")  # pairs are read twice, never formed twice
+    out = _scalars(edges, _max=F.max("distance"), **({} if method != "gaussian" and method != "negative_exp" or sigma is not None else {"_sigma": F.percentile("distance", 0.5)}))
     d, s = F.col("distance"), (F.lit(float(sigma)) if sigma is not None else F.col("_sigma"))
     value = {
         "normalized_inverse": lambda: 1 - d / F.col("_max"),
@@ -132,7 +135,7 @@ def similarity(edges: DataFrame, method: str = "normalized_inverse", sigma: floa
         "reciprocal": lambda: F.when(d > 0, 1 / d).otherwise(0.0),
     }[method]()
     plain = F.when(F.col("_max").isNull(), d).otherwise(value)
-    return out.withColumn("similarity", F.when(_finite() & ~F.isnan(plain), plain).otherwise(0.0)).drop("_max", "_sigma")
+    return out.withColumn("similarity", F.when(_finite() & ~F.isnan(plain), plain).otherwise(0.0)).select(*edges.columns, "similarity")
 
 
 def normalize(edges: DataFrame, column: str = "similarity", method: str = "minmax", target: tuple[float, float] | None = (0.0, 1.0)) -> DataFrame:
@@ -160,8 +163,8 @@ def normalize(edges: DataFrame, column: str = "similarity", method: str = "minma
         raise ValueError(f"unknown method {method}")
     out = out.withColumn("normalized", F.when(x == 0, 0.0).otherwise(kinds[method]()))
     if target is not None and method not in ("zscore", "robust"):
-        w = Window.partitionBy("series_id")
-        out = out.withColumns({"_a": F.least(F.lit(0.0), F.min("normalized").over(w)), "_b": F.greatest(F.lit(0.0), F.max("normalized").over(w))})
+        ends = out.groupBy("series_id").agg(F.least(F.lit(0.0), F.min("normalized")).alias("_a"), F.greatest(F.lit(0.0), F.max("normalized")).alias("_b"))
+        out = out.join(ends, "series_id", "left")
         stretched = (F.col("normalized") - F.col("_a")) / (F.col("_b") - F.col("_a")) * (target[1] - target[0]) + target[0]
         out = out.withColumn("normalized", F.when(F.col("_b") > F.col("_a"), stretched).otherwise(F.col("normalized")))
     return out.select(*edges.columns, "normalized")
@@ -190,20 +193,23 @@ def build_network(edges: DataFrame, method: str = "full", k: int = 5, epsilon: f
         raise ValueError(f"unknown method {method}")
     if method == "full":
         return similarity(edges).where("similarity > 0").select("series_id", "src", "dst", F.col("similarity").alias("weight"))
-    big = _scalars(edges, _max=F.max("distance")).withColumn("distance", F.when(F.col("distance") == float("inf"), 10 * F.col("_max")).otherwise(F.col("distance")))
+    edges = written(edges, "pairs")  # pairs are read twice, never formed twice
+    endless = F.max((F.col("distance") == float("inf")).cast("int"))
+    found = edges.groupBy("series_id").agg(F.max(F.when(_finite() & (F.col("distance") > 0), F.col("distance"))).alias("_max"), endless.alias("_endless"))
+    big = edges.join(found, "series_id", "left").withColumn("distance", F.when(F.col("distance") == float("inf"), 10 * F.col("_max")).otherwise(F.col("distance")))
     if normalized:
-        big = big.withColumn("distance", F.col("distance") / F.max("distance").over(Window.partitionBy("series_id")))
-    cut = 0.25 if method == "threshold" else percentile
-    out = _scalars(big.drop("_max"), _q=F.percentile("distance", float(cut)), _med=F.percentile("distance", 0.5))
+        big = big.withColumn("distance", F.col("distance") / F.when(F.col("_endless") == 1, 10 * F.col("_max")).otherwise(F.col("_max")))
+    out = big.drop("_max", "_endless")
+    if method == "percentile" or method == "threshold" and threshold is None:
+        out = _scalars(out, _q=F.percentile("distance", 0.25 if method == "threshold" else float(percentile)))
+    elif method == "gaussian" and sigma is None:
+        out = _scalars(out, _med=F.percentile("distance", 0.5))
     d, positive = F.col("distance"), F.col("distance") > 0
     if method == "gaussian":
         s = F.lit(float(sigma)) if sigma is not None else F.col("_med")
         return out.select("series_id", "src", "dst", F.exp(-d * d / (2 * s * s)).alias("weight"))
     if method == "knn":
-        both = mirrored(out.where(positive).select("series_id", "src", "dst", "distance"))
-        near = both.withColumn("r", F.row_number().over(Window.partitionBy("series_id", "src").orderBy("distance", "dst"))).where(F.col("r") <= k)
-        kept = near.groupBy("series_id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.min("distance").alias("distance"))
-        return kept.select("series_id", "src", "dst", (1 / (1 + d)).alias("weight"))
+        return _nearest_union(mirrored(out.where(positive).select("series_id", "src", "dst", "distance")), k)
     if method == "epsilon":
         if epsilon is None:
             raise ValueError("epsilon is needed")
@@ -213,6 +219,79 @@ def build_network(edges: DataFrame, method: str = "full", k: int = 5, epsilon: f
     return out.where(positive & (d <= limit)).select("series_id", "src", "dst", (1 / (1 + d)).alias("weight"))
 
 
+def _nearest_union(both: DataFrame, k: int) -> DataFrame:
+    """The union of every node's ``k`` nearest (ties to smaller ids) from edges in both directions, weighted 1/(1 + d)."""
+    near = both.withColumn("r", F.row_number().over(Window.partitionBy("series_id", "src").orderBy("distance", "dst"))).where(F.col("r") <= k)
+    kept = near.groupBy("series_id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.min("distance").alias("distance"))
+    return kept.select("series_id", "src", "dst", (1 / (1 + F.col("distance"))).alias("weight"))
+
+
+PIECES = 4
+
+
+def indexed(vectors: DataFrame) -> DataFrame:
+    """(series_id, window_id, x, u) of vectors without nulls: u has the means of PIECES even pieces, each times the root of its length.
+
+    Two vectors are never nearer (by Euclidean distance) than their ``u`` are.
+    """
+    n = F.size("x")
+    ends = [F.floor(n * i / PIECES).cast("int") for i in range(PIECES + 1)]
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    mean = [F.when(b > a, total(F.slice("x", a + 1, F.greatest(b - a, F.lit(1)))) / F.sqrt((b - a).cast("double"))).otherwise(0.0) for a, b in zip(ends, ends[1:])]
+    whole = (n > 0) & ~F.exists("x", lambda v: v.isNull() | F.isnan(v))
+    return vectors.where(whole).select("series_id", "window_id", "x", F.array(*mean).alias("u"))
+
+
+def near_pairs(points: DataFrame, queries: DataFrame, radius: float) -> DataFrame:
+    """(series_id, src, dst, distance) of all ``points`` within ``radius`` of each of the ``queries`` (both ``indexed``), themselves left out.
+
+    The first two means make a grid of cells as wide as the radius.  A query looks in
+    nine cells; pairs whose means are too far apart go before their distance is taken.
+    """
+    cell = lambda i: F.floor(F.col("u")[i] / radius)
+    around = F.explode(F.array(*[F.struct((cell(0) + i).alias("c0"), (cell(1) + j).alias("c1")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    a = queries.select("series_id", F.col("window_id").alias("src"), "x", F.col("u").alias("ux"), around.alias("c")).select("series_id", "src", "x", "ux", "c.c0", "c.c1")
+    b = points.select("series_id", F.col("window_id").alias("dst"), F.col("x").alias("y"), F.col("u").alias("uy"), cell(0).alias("c0"), cell(1).alias("c1"))
+    least = F.aggregate(F.zip_with("ux", "uy", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
+    met = a.join(b, ["series_id", "c0", "c1"]).where((F.col("src") != F.col("dst")) & (least <= radius * radius * (1 + 1e-9)))
+    met = met.where(F.when(F.size("x") != F.size("y"), F.raise_error(F.lit("vectors differ in length")).cast("boolean")).otherwise(True))
+    return met.select("series_id", "src", "dst", metric("euclidean")(F.col("x"), F.col("y")).alias("distance")).where(F.col("distance") <= radius)
+
+
+def indexed_network(vectors: DataFrame, method: str = "knn", k: int = 5, epsilon: float | None = None) -> DataFrame:
+    """The ``epsilon`` or ``knn`` network of ``build_network`` over Euclidean distances, without comparing all pairs.
+
+    Nearest neighbours are sought within a radius that starts at a small share of the
+    vectors' spread and doubles for those that have not met ``k`` yet.
+    """
+    points = written(indexed(vectors), "indexed")
+    if method == "epsilon":
+        if epsilon is None or epsilon <= 0:
+            raise ValueError("a positive epsilon is needed")
+        near = near_pairs(points, points, float(epsilon)).where((F.col("src") < F.col("dst")) & (F.col("distance") > 0))
+        return near.select("series_id", "src", "dst", (1 / (1 + F.col("distance"))).alias("weight"))
+    if method != "knn":
+        raise ValueError("the index serves epsilon and knn networks")
+    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))
+    n, widest, spread = points.agg(F.count("*"), F.max(norm), F.stddev_pop(F.col("u")[0])).first()
+    parts, open_queries = [], points
+    radius = max(spread or 0.0, 1e-6 * (widest or 0.0)) / max(1.0, (n or 1) ** 0.5) * 4
+    while radius and not open_queries.isEmpty():
+        near = near_pairs(points, open_queries, radius).where("distance > 0")
+        best = near.withColumn("r", F.row_number().over(Window.partitionBy("series_id", "src").orderBy("distance", "dst"))).where(F.col("r") <= k)
+        met = written(best.drop("r"), "near")
+        enough = met.groupBy("series_id", F.col("src").alias("window_id")).agg(F.count("*").alias("n")).where(F.col("n") >= k)
+        last = radius > 2 * widest  # then everything has been met
+        parts.append(met if last else met.join(enough.select("series_id", F.col("window_id").alias("src")), ["series_id", "src"], "left_semi"))
+        if last:
+            break
+        open_queries = written(open_queries.join(enough, ["series_id", "window_id"], "left_anti"), "open")
+        radius *= 2
+    if not parts:
+        return build_network(pairwise(points.limit(0)), "knn", k)
+    return _nearest_union(reduce(DataFrame.unionByName, parts), k)
+
+
 def recommend(edges: DataFrame) -> DataFrame:
     """(series_id, method, alternative, value) by the largest distance: k, percentile or quartile threshold."""
     s = edges.where(_finite() & (F.col("distance") > 0)).groupBy("series_id").agg(F.max("distance").alias("m"), F.percentile("distance", 0.25).alias("q"))

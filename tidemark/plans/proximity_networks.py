@@ -156,6 +156,12 @@ NET_SQL = {
 }
 for _m, _e in NET_SQL.items():
     on_series(f"net_{_m}", "s2", lambda s, m=_m: proximity.build_network(edges(s), m, k=3, epsilon=300.0).select("src", "dst", r6("weight", digits=8)), EDGES + " " + _e)
+for _m in ("epsilon", "knn"):
+    on_series(f"net_{_m}_indexed", "s2", lambda s, m=_m: proximity.indexed_network(win(s), m, k=3, epsilon=300.0).select("src", "dst", r6("weight", digits=8)), EDGES + " " + NET_SQL[_m])
+on_series(
+    "net_gaussian_normalized", "s2", lambda s: proximity.build_network(edges(s), "gaussian", normalized=True).select("src", "dst", r6("weight", digits=8)),
+    EDGES + f""", d AS (SELECT src, dst, distance / (SELECT mx FROM m) AS v FROM e), g AS (SELECT quantile_cont(v, 0.5) AS sn FROM d WHERE v > 0) SELECT src, dst, {q6("exp(-v * v / (2 * sn * sn))", "weight", 8)} FROM d, g""",
+)
 on_series("net_recommend", "s2", lambda s: proximity.recommend(edges(s)).select("series_id", "method", "alternative", r6("value", digits=7)), f"""{EDGES} SELECT DISTINCT e.series_id, 'full' AS method,
     CASE WHEN mx > 1000 THEN 'knn' WHEN mx > 100 THEN 'percentile' ELSE 'threshold' END AS alternative, {q6("CASE WHEN mx > 1000 THEN 5.0 WHEN mx > 100 THEN 0.2 ELSE q25 END", "value", 7)} FROM e, m""")
 COMP = f"""{EDGES.replace("WITH s", "WITH RECURSIVE s")}, k AS (SELECT src, dst FROM e, m WHERE distance > 0 AND distance <= q20), l AS (SELECT src, dst FROM k UNION SELECT dst, src FROM k),
