@@ -234,7 +234,7 @@ def by_windows(series: DataFrame, k: int, window: int = 10, step: int = 1) -> Da
         labels = ward_labels(np.array(pdf["x"].tolist(), float), k) if len(pdf) >= k else [None] * len(pdf)
         return pd.DataFrame({"series_id": pdf["series_id"], "window_id": pdf["window_id"], "label": pd.array(labels, "Int32")})
 
-    full = written(windows(series, window, step).where(~F.exists("x", lambda v: v.isNull()) & (F.size("x") == window)), "windows")
+    full = written(windows(series, window, step, tail=True).where(~F.exists("x", lambda v: v.isNull()) & (F.size("x") == window)), "windows")
     sizes = written(full.groupBy("series_id").agg(F.count("*").alias("n")), "sizes")
     one = full.select("series_id", "window_id", "x")
     small = one.join(sizes.where(F.col("n") <= MAX_WINDOWS), "series_id", "left_semi").groupBy("series_id").applyInPandas(cluster, "series_id string, window_id long, label int")
@@ -252,7 +252,7 @@ def by_warping(series: DataFrame, k: int, window: int = 10, step: int | None = N
     changes.  Labels ascend with the medoids' places.  Every pair of a series' windows is
     compared: choose a step that keeps them few.
     """
-    full = written(windows(series, window, step).where(~F.exists("x", lambda v: v.isNull())), "windows")
+    full = written(windows(series, window, step, tail=True).where(~F.exists("x", lambda v: v.isNull())), "windows")
     numbered = full.select("series_id", "window_id", F.row_number().over(Window.partitionBy("series_id").orderBy("window_id")).alias("i"), F.count("*").over(Window.partitionBy("series_id")).alias("n")).where(F.col("n") >= k)
     gaps = written(pairwise(full.select("series_id", "window_id", "x"), "dtw"), "gaps")
     own = full.select("series_id", F.col("window_id").alias("src"), F.col("window_id").alias("dst"), F.lit(0.0).alias("distance"))

@@ -121,16 +121,41 @@ def _segments(p: np.ndarray, s: int, back: bool) -> np.ndarray:
     return (p[:, p.shape[1] - k * s :] if back else p[:, : k * s]).reshape(len(p), k, s)
 
 
+def residuals(p: np.ndarray, s: int) -> np.ndarray:
+    """Mean squared residuals of the line fits of each row's segments, from the front and from the back."""
+    seg = np.concatenate([_segments(p, s, back) for back in (False, True)], axis=1)
+    i = np.arange(s) - (s - 1) / 2
+    d = seg - seg.mean(axis=2, keepdims=True)
+    return np.maximum(0, ((d * d).sum(axis=2) - (d @ i) ** 2 / (i @ i)) / s)
+
+
 def fluctuations(x: np.ndarray, scales: list[int]) -> np.ndarray:
     """Detrended fluctuation of the rows of a matrix at every scale that has two segments; 0 at others."""
     p, out = np.cumsum(x - x.mean(axis=1, keepdims=True), axis=1), np.zeros((len(x), len(scales)))
     for k, s in enumerate(scales):
         if x.shape[1] // s >= 2:
-            seg = np.concatenate([_segments(p, s, back) for back in (False, True)], axis=1)
-            i = np.arange(s) - (s - 1) / 2
-            d = seg - seg.mean(axis=2, keepdims=True)
-            f2 = ((d * d).sum(axis=2) - (d @ i) ** 2 / (i @ i)) / s
-            out[:, k] = np.sqrt(np.maximum(f2, 0).mean(axis=1))
+            out[:, k] = np.sqrt(residuals(p, s).mean(axis=1))
+    return out
+
+
+def multifractal(x: np.ndarray, scales: list[int], q_values: list[float]) -> pd.DataFrame:
+    """h at the q nearest 2 with its fit, and the width of the spectrum, of the rows of a matrix (as ``mfdfa_summary``)."""
+    qs = np.array(sorted(float(q) for q in q_values if q != 0))
+    p, points = np.cumsum(x - x.mean(axis=1, keepdims=True), axis=1), np.zeros((len(qs), len(x), len(scales)))
+    for k, s in enumerate(scales):
+        if x.shape[1] // s >= 2:
+            f2 = residuals(p, s)
+            some = f2 > 0
+            n = np.maximum(some.sum(axis=1), 1)
+            safe = np.where(some, f2, 1.0)
+            middle = np.where(some.any(axis=1), np.exp(np.where(some, np.log(safe), 0).sum(axis=1) / n / 2), 0)
+            for j, q in enumerate(qs):
+                points[j, :, k] = (np.where(some, safe ** (q / 2), 0).sum(axis=1) / n) ** (1 / q) if q > 0 else middle
+    fits = [_line(f, np.array(scales, float)) for f in points]
+    tau = np.array([q * f["hurst"] - 1 for q, f in zip(qs, fits)])
+    alpha = (tau[2:] - tau[:-2]) / (qs[2:] - qs[:-2])[:, None]
+    out = fits[int(np.abs(qs - 2).argmin())]
+    out["mf_width"] = alpha.max(axis=0) - alpha.min(axis=0) if len(alpha) else np.nan
     return out
 
 
@@ -148,33 +173,54 @@ def ranges(x: np.ndarray, scales: list[int]) -> np.ndarray:
     return out
 
 
-def rolling_exponents(series: DataFrame, method: str = "dfa", window: int = 50, step: int = 1, scales: list[int] | None = None) -> DataFrame:
-    """(series_id, win, hurst, r2, n_scales) of ``rolling_windows`` by dfa or rs: a window is a list, not rows of its own.
+LEAST_KNOWN = 0.8
+"""Of a window's rows so many are known, or it is left out."""
+Q_VALUES = [q / 2 for q in range(-10, 11)]
+
+
+def window_scales(window: int, least: int = 4, most: int | None = None, count: int = 10) -> list[int]:
+    """The at most five scales of a window: log-spaced from ``least`` (4 at least) to ``most`` or a quarter of the window."""
+    low, high, k = max(4, least), min(window // 4 if most is None else most, window // 4), min(count, 5)
+    if high <= low or k < 2:
+        return []
+    return sorted({int(np.rint(np.exp(np.log(low) + (np.log(high) - np.log(low)) * i / (k - 1)))) for i in range(k)})
+
+
+def rolling_exponents(series: DataFrame, method: str = "dfa", window: int = 50, step: int = 1, scales: list[int] | None = None, q_values: list[float] | None = None) -> DataFrame:
+    """(series_id, win, hurst, r2, n_scales; mfdfa: mf_width) of ``rolling_windows``: a window is a list, not rows of its own.
 
     One sort of each series makes the lists; Arrow batches of them are analysed as
-    matrices.  Windows with a null are left out, as are those of fewer than three scales.
+    matrices.  Nulls leave a window shorter; windows of which less than LEAST_KNOWN is
+    known are left out, as are those of fewer than three scales.
     """
     if window < 8:
         raise ValueError("a window has 8 rows or more")
     h = window // 2
-    if scales is None:
-        least, most = 4.0, float(window // 4)
-        scales = sorted({int(np.rint(np.exp(np.log(least) + (np.log(most) - np.log(least)) * k / 4))) for k in range(5)}) if most > least else []
-    use = [int(s) for s in scales]
-    measure = {"dfa": fluctuations, "rs": ranges}[method]
-
-    @F.pandas_udf(T.StructType([T.StructField("hurst", T.DoubleType()), T.StructField("r2", T.DoubleType()), T.StructField("n_scales", T.LongType())]))
+    use = [int(s) for s in (window_scales(window) if scales is None else scales)]
+    qs = Q_VALUES if q_values is None else q_values
+    measure = {
+        "dfa": lambda x: _line(fluctuations(x, use), np.array(use, float)), "rs": lambda x: _line(ranges(x, use), np.array(use, float)),
+        "mfdfa": lambda x: multifractal(x, use, qs),
+    }[method]
+    fields = {"hurst": T.DoubleType(), "r2": T.DoubleType(), "n_scales": T.LongType()} | ({"mf_width": T.DoubleType()} if method == "mfdfa" else {})
+
+    @F.pandas_udf(T.StructType([T.StructField(k, v) for k, v in fields.items()]))
     def fit(lists: pd.Series) -> pd.DataFrame:
-        parts = [np.array([np.asarray(v, float) for v in lists.iloc[lo : lo + 4096]]).reshape(-1, 2 * h) for lo in range(0, len(lists), 4096)]
-        found = [_line(measure(x, use), np.array(use, float)) for x in parts]
-        return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"hurst": [], "r2": [], "n_scales": []})
+        sizes = lists.map(len).to_numpy() if len(lists) else np.zeros(0, int)
+        parts = []
+        for n in np.unique(sizes):
+            at = np.flatnonzero(sizes == n)
+            for lo in range(0, len(at), 2048):
+                some = at[lo : lo + 2048]
+                parts.append(measure(np.array([np.asarray(v, float) for v in lists.iloc[some]]).reshape(-1, n)).set_index(some))
+        return pd.concat(parts).sort_index()[list(fields)] if parts else pd.DataFrame({k: [] for k in fields})
 
     by = Window.partitionBy("series_id").orderBy("t")
     rows = series.withColumns({"_x": F.collect_list("value").over(by.rowsBetween(-h, h - 1)), "_inside": F.lead("t", h).over(by).isNotNull()})
     # t numbers the rows of a series from 1.
-    full = rows.where((F.size("_x") == 2 * h) & (F.col("t") > h) & F.col("_inside") & ((F.col("t") - h - 1) % step == 0))
+    full = rows.where((F.size("_x") >= max(8, LEAST_KNOWN * window)) & (F.col("t") > h) & F.col("_inside") & ((F.col("t") - h - 1) % step == 0))
     out = full.select("series_id", F.col("t").alias("win"), fit("_x").alias("f")).select("series_id", "win", "f.*").where("hurst IS NOT NULL AND NOT isnan(hurst)")
-    return out if method == "dfa" else out.withColumn("hurst", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("hurst"))))
+    return out.withColumn("hurst", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("hurst")))) if method == "rs" else out
 
 
 def expected_rescaled_range(scale: Column) -> Column:
@@ -189,7 +235,7 @@ def mfdfa(rows: DataFrame, q_values: list[float] | None = None, grid: Column | N
     q = 0 is left out.  Every negative q uses the geometric mean unless ``strict``.
     alpha is the central difference of tau over q; d = q alpha - tau.
     """
-    q_values = [q / 2 for q in range(-10, 11)] if q_values is None else q_values
+    q_values = Q_VALUES if q_values is None else q_values
     f2 = segment_residuals(rows, scale_grid(F.col("n")) if grid is None else grid).where("f2 > 0")
     qs = F.array(*[F.lit(float(q)) for q in q_values if q != 0])
     powers = f2.withColumn("q", F.explode(qs))
@@ -242,8 +288,9 @@ def calculate_hurst(series: DataFrame, method: str = "dfa", scaling: str = "none
     """Exponents of whole series (series_id, win 0), or in rolling windows of every row.
 
     ``scaling`` is applied first (a spread of zero only centres); scales run from
-    ``min_scale`` to ``max_scale``; ``q_values`` are those of the multifractal method,
-    whose exponent is h at the q nearest 2.
+    ``min_scale`` to ``max_scale``, in a window at most five up to its quarter;
+    ``q_values`` are those of the multifractal method, whose exponent is h at the q
+    nearest 2.
     """
     if method not in METHODS:
         raise ValueError(f"unknown method {method}")
@@ -252,7 +299,7 @@ def calculate_hurst(series: DataFrame, method: str = "dfa", scaling: str = "none
     if scaling != "none":
         series = apply_scaling(series, scaling).select(*[c for c in series.columns if c != "value"], F.col("scaled").alias("value")).select(*series.columns)
     if window is not None:
-        return rolling_hurst(series, method, window, step)
+        return rolling_hurst(series, method, window, step, min_scale, max_scale, n_scales, q_values)
     rows, grid = whole_series(series), scale_grid(F.col("n"), min_scale, max_scale, n_scales)
     if method == "mfdfa":
         found = mfdfa_summary(mfdfa(rows, q_values, grid))
@@ -294,7 +341,9 @@ def state_transitions(found: DataFrame) -> DataFrame:
     return counts.withColumn("probability", F.col("n") / F.sum("n").over(Window.partitionBy("series_id", "from_state")))
 
 
-def rolling_hurst(series: DataFrame, method: str = "dfa", window: int = 50, step: int = 1) -> DataFrame:
+def rolling_hurst(
+    series: DataFrame, method: str = "dfa", window: int = 50, step: int = 1, min_scale: int = 4, max_scale: int | None = None, n_scales: int = 10, q_values: list[float] | None = None,
+) -> DataFrame:
     """(series_id, t, value, hurst, state, transition) of every row: windowed exponents, ends extended, gaps interpolated.
 
     Windows below 24 rows have fewer than three scales, so nothing is known there.
@@ -302,11 +351,7 @@ def rolling_hurst(series: DataFrame, method: str = "dfa", window: int = 50, step
     """
     if method not in METHODS:
         raise ValueError(f"unknown method {method}")
-    if method == "mfdfa":
-        grid = scale_grid(F.lit(2 * (window // 2)), 4, window // 4, 5)
-        found = mfdfa_summary(mfdfa(rolling_windows(series, window, step), grid=grid))
-    else:
-        found = rolling_exponents(series, method, window, step)
+    found = rolling_exponents(series, method, window, step, window_scales(window, min_scale, max_scale, n_scales), q_values)
     at = found.select("series_id", F.col("win").alias("t"), F.col("hurst").alias("h"))
     filled = fill_gaps(series.select("series_id", "t").join(at, ["series_id", "t"], "left").select("series_id", "t", F.col("h").alias("value")))
     out = series.join(filled.withColumnRenamed("value", "hurst"), ["series_id", "t"]).withColumn("state", category(F.col("hurst")))

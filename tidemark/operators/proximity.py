@@ -18,11 +18,12 @@ SIMILARITIES = ("normalized_inverse", "inverse", "negative_exp", "max_minus", "g
 NETWORKS = ("full", "epsilon", "knn", "threshold", "percentile", "gaussian")
 
 
-def windows(series: DataFrame, size: int, step: int | None = None) -> DataFrame:
+def windows(series: DataFrame, size: int, step: int | None = None, tail: bool = False) -> DataFrame:
     """(series_id, window_id, start_t, end_t, x): full windows of ``size`` rows, ``step`` (default ``size``) apart.
 
     Each row goes to the at most size/step windows that hold it, so a long series is
-    not gathered in one place.
+    not gathered in one place.  With ``tail`` a last window ends at the last row, where
+    the others leave rows over.
     """
     step = step or size
     if size < 1 or step < 1:
@@ -32,7 +33,14 @@ def windows(series: DataFrame, size: int, step: int | None = None) -> DataFrame:
     placed = series.where(F.lit(True)).withColumn("w", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
     grouped = placed.groupBy("series_id", "w").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("t", "value"))).alias("rows"))
     full = grouped.where(F.col("n") == size)
-    return full.select("series_id", (F.col("w") + 1).alias("window_id"), (F.col("w") * step + 1).alias("start_t"), (F.col("w") * step + size).alias("end_t"), F.col("rows.value").alias("x"))
+    out = full.select("series_id", (F.col("w") + 1).alias("window_id"), (F.col("w") * step + 1).alias("start_t"), (F.col("w") * step + size).alias("end_t"), F.col("rows.value").alias("x"))
+    if not tail:
+        return out
+    ends = series.groupBy("series_id").agg(F.max("t").alias("end_t")).where((F.col("end_t") > size) & ((F.col("end_t") - size) % step != 0))
+    last = series.join(ends, "series_id").where(F.col("t") > F.col("end_t") - size).groupBy("series_id", "end_t").agg(F.array_sort(F.collect_list(F.struct("t", "value"))).alias("rows"))
+    number = F.floor((F.col("end_t") - size) / step) + 2
+    over = last.where(F.size("rows") == size).select("series_id", number.alias("window_id"), (F.col("end_t") - size + 1).alias("start_t"), "end_t", F.col("rows.value").alias("x"))
+    return out.unionByName(over)
 
 
 def segments(series: DataFrame) -> DataFrame:

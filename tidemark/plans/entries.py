@@ -5,36 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import catalogue
 from ..operators import hurst, markov, proximity, warning
-from ..sources import generators, validate
+from ..sources import validate
 from .hurst_warnings import CATEGORY, DFA, EWS, GLOBAL, WINDOWED, rolled, stated
 from .proximity_networks import EDGES, METRIC_SQL, SPIKES, edges, lagged, spikes
 from .registry import on_series, q6, query, r6
 from .scaling_states import RUNS, banded
 
-on_series("gen_steps", "s2", lambda s: generators.daily_steps(s.sparkSession).select("series_id", "t", r6("value", digits=6)),
-          f"SELECT 'walker' AS series_id, t, {q6('5000 + 2500 * sin(2 * pi() * t / 7) + 1500 * sin(2 * pi() * t / 90)', 'value', 6)} FROM range(1, 862) g(t)")
-on_series("gen_walk", "s2", lambda s: generators.random_walk(s.sparkSession, 500, (200, 300)).select("series_id", "t", r6("value")),
-          f"SELECT 'walk' AS series_id, t, {q6('sum(((t * 7919 % 1009) / 1009.0 - 0.5) * CASE WHEN t > 200 AND t <= 300 THEN 2 ELSE 1 END) OVER (ORDER BY t)', 'value')} FROM range(1, 501) g(t)")
-
-
-@query(
-    "gen_panel",
-    f"""WITH r AS (SELECT u, t, 50 + 20 * sin(2 * pi() * t / 25 + u) AS w FROM range(20) a(u), range(1, 101) b(t))
-    SELECT 'u' || u AS "user", t, {q6("greatest(0, least(100, w + ((u * 37 + t * 61) % 101 - 50) * 0.4))", "pleasure")}, {q6("greatest(0, least(100, w + ((u * 53 + t * 29) % 101 - 50) * 0.4))", "arousal")} FROM r""",
-)
-def gen_panel(spark, sf_dir):
-    """A generated panel of users."""
-    return generators.panel(spark).select("user", "t", r6("pleasure"), r6("arousal"))
-
-
-@query("catalogue")
-def catalogue_query(spark, sf_dir):
-    """Every public function with its family."""
-    return catalogue.catalogue(spark)
-
-
 on_series(
     "validate_series", "s4", lambda s: validate.series_report(s),
     """WITH s AS ({s}) SELECT series_id, count(*) AS n, count(*) FILTER (WHERE value IS NULL) AS n_missing, CAST(0 AS BIGINT) AS n_infinite, coalesce(min(value) = max(value), true) AS constant,

@@ -65,6 +65,27 @@ on_series(
     GLOBAL + GRID + MF + f""" SELECT series_id, {q6("arg_min(h, abs(q - 2))", "hurst", 7)}, {q6("max(alpha) - min(alpha)", "mf_width", 7)},
     CASE WHEN max(alpha) - min(alpha) < 0.1 THEN 'monofractal' WHEN max(alpha) - min(alpha) < 0.3 THEN 'weak_multifractal' WHEN max(alpha) - min(alpha) < 0.5 THEN 'moderate_multifractal' ELSE 'strong_multifractal' END AS mf_category FROM d GROUP BY 1""",
 )
+# Windows with scales and q of their own: four scales from 5 to 12.
+SCALED = WINDOWED.replace(str(ROLL_GRID), "[5, 7, 9, 12]")
+FILLED = """, g AS (SELECT s.series_id, t, hurst AS v FROM s LEFT JOIN h ON h.series_id = s.series_id AND h.win = t),
+    fl AS (SELECT *, last_value(v IGNORE NULLS) OVER b AS v0, last_value(CASE WHEN v IS NOT NULL THEN t END IGNORE NULLS) OVER b AS t0, first_value(v IGNORE NULLS) OVER a AS v1, first_value(CASE WHEN v IS NOT NULL THEN t END IGNORE NULLS) OVER a AS t1
+        FROM g WINDOW b AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
+FILLED_VALUE = "coalesce(v, CASE WHEN t1 > t0 THEN v0 + (v1 - v0) * (t - t0) / (t1 - t0) END, v0, v1)"
+for _m, _e in (("dfa", DFA), ("rs", RS)):
+    on_series(
+        f"hurst_windowed_{_m}", "s2", lambda s, m=_m: hurst.calculate_hurst(s, m, window=ROLL, step=10, min_scale=5, max_scale=40, n_scales=4).select("series_id", "t", r6("hurst", digits=8)),
+        SCALED.replace(f"k * {ROLL_STEP}", "k * 10") + _e + FILLED + f" SELECT series_id, t, {q6(FILLED_VALUE, 'hurst', 8)} FROM fl",
+    )
+on_series(
+    "hurst_roll_mfdfa", "s3", lambda s: hurst.rolling_exponents(s, "mfdfa", ROLL, 10, ROLL_GRID, Q_VALUES).select("series_id", "win", r6("hurst", digits=7), r6("mf_width", digits=7)),
+    WINDOWED.replace(f"k * {ROLL_STEP}", "k * 10") + MF + f" SELECT series_id, win, {q6('arg_min(h, abs(q - 2))', 'hurst', 7)}, {q6('max(alpha) - min(alpha)', 'mf_width', 7)} FROM d GROUP BY 1, 2",
+)
+on_series(
+    "hurst_compared", "s3", lambda s: hurst.compare_methods(s, ("dfa", "rs"), ROLL, 10).select("series_id", "t", r6("hurst_dfa", digits=8), r6("hurst_rs", digits=8)),
+    "WITH a AS ({a}), b AS ({b}) SELECT series_id, t, hurst_dfa, hurst_rs FROM a JOIN b USING (series_id, t)".format(**{
+        n: WINDOWED.replace(f"k * {ROLL_STEP}", "k * 10") + e + FILLED + f" SELECT series_id, t, {q6(FILLED_VALUE, f'hurst_{m}', 8)} FROM fl" for n, m, e in (("a", "dfa", DFA), ("b", "rs", RS))
+    }),
+)
 RANKS = "list_position(list_sort(list_distinct(list(code) OVER (PARTITION BY series_id))), code)"
 on_series(
     "hurst_rolling_filled", "s2", lambda s: hurst.rolling_hurst(s, "dfa", 50, 10).select("series_id", "t", r6("hurst", digits=8), "state", F.coalesce("transition", F.lit(0)).alias("transition")),
