@@ -36,7 +36,7 @@ def test_multifractal_windows_match_rows(walk):
 def test_windows_with_nulls(walk):
     s, x = walk
     holes = s.withColumn("value", F.when(~F.col("t").isin(3, 40, 41) & ~F.col("t").between(100, 130), F.col("value")))
-    got = {r.win: r.hurst for r in hurst.rolling_exponents(holes, "dfa", 50, 1, [4, 6, 9]).collect()}
+    got = {r.win: r.hurst for r in hurst.rolling_exponents(holes, "dfa", 50, 1, [4, 6, 9], known=hurst.LEAST_KNOWN).collect()}
     known = [None if i + 1 in (3, 40, 41) or 100 <= i + 1 <= 130 else v for i, v in enumerate(x)]
     for win in range(26, 126):
         rows = np.array([v for v in known[win - 26 : win + 24] if v is not None])

@@ -174,7 +174,7 @@ def ranges(x: np.ndarray, scales: list[int]) -> np.ndarray:
 
 
 LEAST_KNOWN = 0.8
-"""Of a window's rows so many are known, or it is left out."""
+"""Share of a window's rows that must be known for it to enter a rolling series."""
 Q_VALUES = [q / 2 for q in range(-10, 11)]
 
 
@@ -186,12 +186,12 @@ def window_scales(window: int, least: int = 4, most: int | None = None, count: i
     return sorted({int(np.rint(np.exp(np.log(low) + (np.log(high) - np.log(low)) * i / (k - 1)))) for i in range(k)})
 
 
-def rolling_exponents(series: DataFrame, method: str = "dfa", window: int = 50, step: int = 1, scales: list[int] | None = None, q_values: list[float] | None = None) -> DataFrame:
+def rolling_exponents(series: DataFrame, method: str = "dfa", window: int = 50, step: int = 1, scales: list[int] | None = None, q_values: list[float] | None = None, known: float = 1.0) -> DataFrame:
     """(series_id, win, hurst, r2, n_scales; mfdfa: mf_width) of ``rolling_windows``: a window is a list, not rows of its own.
 
     One sort of each series makes the lists; Arrow batches of them are analysed as
-    matrices.  Nulls leave a window shorter; windows of which less than LEAST_KNOWN is
-    known are left out, as are those of fewer than three scales.
+    matrices.  Nulls leave a window shorter; windows of which a smaller share than
+    ``known`` is known are left out, as are those of fewer than three scales.
     """
     if window < 8:
         raise ValueError("a window has 8 rows or more")
@@ -218,7 +218,7 @@ def rolling_exponents(series: DataFrame, method: str = "dfa", window: int = 50,
     by = Window.partitionBy("series_id").orderBy("t")
     rows = series.withColumns({"_x": F.collect_list("value").over(by.rowsBetween(-h, h - 1)), "_inside": F.lead("t", h).over(by).isNotNull()})
     # t numbers the rows of a series from 1.
-    full = rows.where((F.size("_x") >= max(8, LEAST_KNOWN * window)) & (F.col("t") > h) & F.col("_inside") & ((F.col("t") - h - 1) % step == 0))
+    full = rows.where((F.size("_x") >= max(8, known * 2 * h if known == 1 else known * window)) & (F.col("t") > h) & F.col("_inside") & ((F.col("t") - h - 1) % step == 0))
     out = full.select("series_id", F.col("t").alias("win"), fit("_x").alias("f")).select("series_id", "win", "f.*").where("hurst IS NOT NULL AND NOT isnan(hurst)")
     return out.withColumn("hurst", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("hurst")))) if method == "rs" else out
 
@@ -351,7 +351,7 @@ def rolling_hurst(
     """
     if method not in METHODS:
         raise ValueError(f"unknown method {method}")
-    found = rolling_exponents(series, method, window, step, window_scales(window, min_scale, max_scale, n_scales), q_values)
+    found = rolling_exponents(series, method, window, step, window_scales(window, min_scale, max_scale, n_scales), q_values, LEAST_KNOWN)
     at = found.select("series_id", F.col("win").alias("t"), F.col("hurst").alias("h"))
     filled = fill_gaps(series.select("series_id", "t").join(at, ["series_id", "t"], "left").select("series_id", "t", F.col("h").alias("value")))
     out = series.join(filled.withColumnRenamed("value", "hurst"), ["series_id", "t"]).withColumn("state", category(F.col("hurst")))
