@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import correlation
 from ..operators import discretize, proximity
 from .registry import on_series, q6, query, r6, src
 
@@ -64,6 +65,33 @@ on_series(
     "dist_kendall", "s2", lambda s: proximity.pairwise(win(s), "kendall").select("series_id", "src", "dst", r6("distance", digits=7)),
     f"{PAIRS} SELECT series_id, src, dst, {q6(tau_sql(SIZE), 'distance', 7)} FROM p",
 )
+
+
+def tested(vectors: DataFrame, method: str, kind: str) -> DataFrame:
+    """Correlation and p of all pairs of windows."""
+    a = vectors.select("series_id", F.col("window_id").alias("src"), "x")
+    b = vectors.select("series_id", F.col("window_id").alias("dst"), F.col("x").alias("y"))
+    met = a.join(b, "series_id").where("src < dst").withColumn("c", correlation.correlation_test(F.col("x"), F.col("y"), method, kind))
+    return met.select("series_id", "src", "dst", r6("c.correlation", "correlation", 7), r6("c.p_value", "p_value", 7))
+
+
+# Student's distribution with an even number of degrees of freedom is a finite sum over (1 - r r).
+STUDENT = f"1 - abs(r) * (1 + list_sum(list_transform(range(1, {SIZE // 2 - 1}), lambda k: list_product(list_transform(range(1, k + 1), lambda j: (2 * j - 1) / (2.0 * j) * (1 - r * r))))))"
+
+
+def raw_sql(x: str, y: str) -> str:
+    """The correlation of two lists."""
+    return corr_sql(x, y).removeprefix("1 - abs(").removesuffix(")")
+
+
+for _m, _kind, _shown in (("pearson", "raw", "r"), ("pearson", "absolute", "abs(r)"), ("spearman", "negative", "least(0, r)"), ("spearman", "positive", "greatest(0, r)")):
+    _ranked = PAIRS.replace("), p AS (SELECT a.series_id", f"), k AS (SELECT *, {RANKED.format(v='x')} AS r FROM w), p AS (SELECT a.series_id, a.r AS rx, b.r AS ry").replace("FROM w a JOIN w b", "FROM k a JOIN k b")
+    _r = raw_sql("x", "y") if _m == "pearson" else raw_sql("rx", "ry")
+    on_series(
+        f"cor_test_{_m}_{_kind}", "s2", lambda s, m=_m, k=_kind: tested(win(s), m, k),
+        (PAIRS if _m == "pearson" else _ranked) + f", c AS (SELECT series_id, src, dst, {_r} AS r FROM p) SELECT series_id, src, dst, {q6(_shown, 'correlation', 7)}, {q6(STUDENT, 'p_value', 7)} FROM c",
+    )
+on_series("cor_test_kendall", "s2", lambda s: tested(win(s), "kendall", "raw"))
 SHORT = 20
 
 
