@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import visibility
+from ..operators import graphs, visibility
 from .registry import on_series, q6, r6
 from .scaling_states import BANDS
 
@@ -58,3 +58,21 @@ for _name, _kind, _edges in (("vg_long", "nvg", NVG), ("vg_long_hvg", "hvg", HVG
         _name, "s2", lambda s, k=_kind: visibility.visibility_edges(s.withColumn("t", 3 * F.col("t") - 1000), k, long=True),
         _edges.replace("({s})", "(" + LONG % "{s}" + ")") + f" {EDGES}",
     )
+LINKS = ", l AS (SELECT series_id, src AS u, dst AS v FROM e UNION ALL SELECT series_id, dst, src FROM e)"
+on_series("vg_communities", "s1", lambda s: graphs.communities(visibility.visibility_edges(s)))
+on_series(
+    "vg_paths", "s1", lambda s: graphs.path_centralities(visibility.visibility_edges(s)).select("series_id", "node", "reached", *[r6(c, digits=8) for c in ("closeness", "harmonic", "betweenness")]),
+    "WITH RECURSIVE " + NVG.removeprefix("WITH ") + LINKS + f""", b(series_id, s, v, d, paths) USING KEY (series_id, s, v) AS (SELECT DISTINCT series_id, u, u, CAST(0 AS BIGINT), CAST(1 AS DOUBLE) FROM l
+        UNION SELECT b.series_id, b.s, l.v, any_value(b.d) + 1, sum(b.paths) FROM b JOIN l ON l.series_id = b.series_id AND l.u = b.v LEFT JOIN recurring.b o ON o.series_id = b.series_id AND o.s = b.s AND o.v = l.v WHERE o.v IS NULL GROUP BY 1, 2, 3),
+    t AS (SELECT x.series_id, x.v AS node, sum(x.paths * y.paths / z.paths) / 2 AS through FROM b x JOIN b y ON y.series_id = x.series_id AND y.s = x.v AND x.s <> x.v AND y.v <> x.v
+        JOIN b z ON z.series_id = x.series_id AND z.s = x.s AND z.v = y.v AND z.d = x.d + y.d GROUP BY 1, 2)
+    SELECT b.series_id, s AS node, count(*) AS reached, {q6("count(*) / sum(d)", "closeness", 8)}, {q6("sum(1 / d)", "harmonic", 8)}, {q6("coalesce(any_value(through), 0)", "betweenness", 8)}
+    FROM b LEFT JOIN t ON t.series_id = b.series_id AND t.node = b.s WHERE d > 0 GROUP BY 1, 2""",
+)
+on_series(
+    "vg_clustering", "s2", lambda s: graphs.clustering(visibility.visibility_edges(s, long=True)).select("series_id", "node", "degree", "triangles", r6("clustering")),
+    NVG + LINKS + f""", g AS (SELECT series_id, u, count(*) AS n FROM l GROUP BY 1, 2),
+    t AS (SELECT a.series_id, a.src AS x, a.dst AS y, b.dst AS z FROM e a JOIN e b ON b.series_id = a.series_id AND b.src = a.dst JOIN e c ON c.series_id = a.series_id AND c.src = a.src AND c.dst = b.dst),
+    k AS (SELECT series_id, unnest([x, y, z]) AS u FROM t), n AS (SELECT series_id, u, count(*) AS t FROM k GROUP BY 1, 2)
+    SELECT g.series_id, g.u AS node, n AS degree, coalesce(t, 0) AS triangles, {q6("CASE WHEN n > 1 THEN 2 * coalesce(t, 0) / (n * (n - 1)) END", "clustering")} FROM g LEFT JOIN n ON n.series_id = g.series_id AND n.u = g.u""",
+)
