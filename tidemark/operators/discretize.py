@@ -11,6 +11,8 @@ from collections.abc import Callable
 from functools import reduce
 from statistics import NormalDist
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -175,6 +177,85 @@ def by_kmeans(series: DataFrame, k: int) -> DataFrame:
     return _done(series.join(centres, "series_id", "left"), series, _nearest(F.col("value"), F.col("_centres")))
 
 
+EXACT_VALUES = 1 << 20
+
+
+@register("kmeans_optimal")
+def by_optimal_means(series: DataFrame, k: int) -> DataFrame:
+    """One-dimensional k-means of the least sum of squares that any k clusters have; states ascend with their centres.
+
+    In one dimension clusters are runs of the sorted distinct values, so the best cuts
+    follow from the best cuts of every beginning into one cluster less.  A worker gets the
+    values with their numbers (``EXACT_VALUES`` at most, some 100 bytes each) and gives
+    back k - 1 cuts; rows themselves are joined to these.  A series of more distinct
+    values gets the settled centres of ``kmeans``.  Of equal sums the one with the
+    smallest last cut counts, then the smallest one before.
+    """
+    points = written(series.where("value IS NOT NULL AND NOT isnan(value)").groupBy("series_id", "value").agg(F.count("*").alias("_n")), "points")
+    sizes = points.groupBy("series_id").agg(F.count("*").alias("_u"))
+    fits = points.join(sizes.where((F.col("_u") >= k) & (F.col("_u") <= EXACT_VALUES)), "series_id")
+
+    def cut(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("value")
+        ends = optimal_cuts(part["value"].to_numpy(), part["_n"].to_numpy(), k)
+        return pd.DataFrame({"series_id": part["series_id"].iloc[:1], "_tops": [part["value"].to_numpy()[ends - 1].tolist()]})
+
+    id_type = series.schema["series_id"].dataType.simpleString()
+    tops = fits.groupBy("series_id").applyInPandas(cut, f"series_id {id_type}, _tops array<double>")
+    above = F.size(F.filter("_tops", lambda b: F.col("value") > b)) + 1
+    known = F.col("value").isNotNull() & ~F.isnan("value") & F.col("_tops").isNotNull()
+    out = _done(series.join(tops, "series_id", "left"), series, F.when(known, above))
+    large = written(sizes.where(F.col("_u") > EXACT_VALUES).select("series_id"), "large")
+    if large.isEmpty():
+        return out
+    return out.join(large, "series_id", "left_anti").unionByName(by_kmeans(series.join(large, "series_id", "left_semi"), k))
+
+
+def optimal_cuts(values: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
+    """The k - 1 numbers of ascending distinct ``values`` that lie below each cut, for the least sum of squares.
+
+    The best last cut of a beginning never moves left as the beginning grows, so for all
+    beginnings together the middle one's cut halves the places to look at for the others;
+    beginnings of one depth are looked at together.
+    """
+    n = len(values)
+    x = values - values[n // 2]  # sums near zero lose fewer digits
+    c = np.concatenate([[0.0], np.cumsum(counts)])
+    s = np.concatenate([[0.0], np.cumsum(counts * x)])
+    q = np.concatenate([[0.0], np.cumsum(counts * x * x)])
+
+    def spread(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Sum of squares around the mean of values a to b - 1."""
+        return np.maximum(q[b] - q[a] - (s[b] - s[a]) ** 2 / (c[b] - c[a]), 0.0)
+
+    best = np.full(n + 1, np.inf)
+    best[1:] = spread(np.zeros(n, int), np.arange(1, n + 1))
+    froms = []
+    for clusters in range(2, k + 1):
+        new, at = np.full(n + 1, np.inf), np.zeros(n + 1, int)
+        # Spans of beginnings (lo..hi) and the cuts that their best ones lie between.
+        lo, hi, first, last = (np.array([v]) for v in (clusters, n, clusters - 1, n - 1))
+        while len(lo):
+            mid = (lo + hi) // 2
+            wide = np.minimum(last, mid - 1) - first + 1
+            start = np.concatenate([[0], np.cumsum(wide)[:-1]])
+            which = np.repeat(np.arange(len(mid)), wide)
+            cuts = np.arange(wide.sum()) - start[which] + first[which]
+            cost = best[cuts] + spread(cuts, mid[which])
+            least = np.minimum.reduceat(cost, start)
+            hit = np.flatnonzero(cost == least[which])
+            new[mid], at[mid] = least, cuts[hit[np.searchsorted(hit, start)]]
+            halves = np.stack([np.concatenate([lo, mid + 1]), np.concatenate([mid - 1, hi]), np.concatenate([first, at[mid]]), np.concatenate([at[mid], last])])
+            lo, hi, first, last = halves[:, halves[0] <= halves[1]]
+        best = new
+        froms.append(at)
+    cut, out = n, []
+    for at in reversed(froms):
+        cut = int(at[cut])
+        out.append(cut)
+    return np.array(out[::-1], dtype=int)
+
+
 def _nearest(x: Column, centres: Column) -> Column:
     between = F.zip_with(F.slice(centres, 1, F.size(centres) - 1), F.slice(centres, 2, F.size(centres) - 1), lambda a, b: (a + b) / 2)
     return F.when(x.isNotNull() & centres.isNotNull(), F.size(F.filter(between, lambda b: x > b)) + 1)

@@ -124,6 +124,17 @@ DISC = {
 for _m, (_which, _sql) in DISC.items():
     on_series({"percentile_magnitude": "disc_pct_magnitude", "adaptive_magnitude": "disc_adaptive"}.get(_m, f"disc_{_m}"), _which, lambda s, m=_m: discretize.discretize(s, m, K).where("state IS NOT NULL").select("series_id", "t", "state"), f"SELECT * FROM ({_sql}) WHERE state IS NOT NULL")
 on_series("disc_kmeans", "s1", lambda s: discretize.discretize(s, "kmeans", 3).select("series_id", "t", "state"))
+on_series(
+    "disc_kmeans_optimal", "s1", lambda s: discretize.discretize(s, "kmeans_optimal", 3).where("state IS NOT NULL").select("series_id", "t", "state"),
+    """WITH s AS ({s}), g AS (SELECT series_id, value AS x, count(*) AS n FROM s WHERE value IS NOT NULL GROUP BY 1, 2), m AS (SELECT series_id, avg(value) AS mean FROM s GROUP BY 1),
+    r AS (SELECT series_id, x, row_number() OVER w AS i, count(*) OVER (PARTITION BY series_id) AS u, CAST(sum(n) OVER w AS DOUBLE) AS c, sum(n * (x - mean)) OVER w AS s1, sum(n * (x - mean) * (x - mean)) OVER w AS s2
+        FROM g JOIN m USING (series_id) WINDOW w AS (PARTITION BY series_id ORDER BY x)),
+    e AS (SELECT series_id, c, s1, s2 FROM r WHERE i = u), p AS (SELECT a.series_id, a.x AS xa, b.x AS xb, a.i AS ia, b.i AS ib, a.s2 - a.s1 * a.s1 / a.c
+        + b.s2 - a.s2 - (b.s1 - a.s1) * (b.s1 - a.s1) / (b.c - a.c) + e.s2 - b.s2 - (e.s1 - b.s1) * (e.s1 - b.s1) / (e.c - b.c) AS cost
+        FROM r a JOIN r b ON b.series_id = a.series_id AND a.i < b.i JOIN e ON e.series_id = a.series_id WHERE b.i < b.u),
+    o AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY round(cost, 7), ib, ia) = 1)
+    SELECT series_id, t, CAST(1 + CAST(value > xa AS INT) + CAST(value > xb AS INT) AS INT) AS state FROM s JOIN o USING (series_id) WHERE value IS NOT NULL""",
+)
 on_series("disc_mixture", "s1", lambda s: discretize.discretize(s, "mixture", 3).select("series_id", "t", "state"))
 on_series("disc_hierarchical", "s1", lambda s: clustering.by_linkage(s, 3).select("series_id", "t", "state"))
 on_series("disc_dtw", "s1", lambda s: discretize.discretize(s, "dtw", 3, window=8).select("series_id", "t", "state"))
