@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import hurst, markov, proximity, warning
+from ..operators import hurst, information, markov, proximity, warning
 from ..sources import validate
 from .hurst_warnings import CATEGORY, DFA, EWS, GLOBAL, WINDOWED, rolled, stated
 from .proximity_networks import EDGES, METRIC_SQL, SPIKES, edges, lagged, spikes
@@ -61,6 +61,7 @@ on_series(
     t AS (SELECT *, sum(c) OVER (PARTITION BY series_id, p, q, u) AS cu, sum(c) OVER (PARTITION BY series_id, p, q, v) AS cv FROM c),
     i AS (SELECT series_id, p, q, sum(c / n * ln(c * n / (cu * cv))) / ln(least(p, q)) AS i FROM t GROUP BY 1, 2, 3) SELECT series_id, {q6("max(i)", "mic")} FROM i GROUP BY 1""",
 )
+on_series("mic_optimal", "s3", lambda s: information.optimal_information(*lagged(s)).select("series_id", r6("mic")))
 for _kind, _x, _y in (("grid", "i % ceil(sqrt(k)) + 1", "floor(i / ceil(sqrt(k))) + 1"), ("tree", "i % ceil(k / ceil(log2(k + 1))) + 1", "floor(i / ceil(k / ceil(log2(k + 1)))) + 1")):
     on_series(
         f"node_layout_{_kind}", "s1", lambda s, kind=_kind: markov.node_layout(banded(s), kind).select("state", r6("x"), r6("y")),
