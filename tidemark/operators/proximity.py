@@ -445,9 +445,21 @@ def van_rossum(a: DataFrame, b: DataFrame, tau: float) -> DataFrame:
     gives the filter, and of earlier ones the three before still count (exp(-60) is
     nothing in a double), so the work is in proportion to events and grid points.
     """
+    both = _signed(a, b)
+    return _filtered_distance(both, _span(both, tau), tau)
+
+
+def _signed(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.select("series_id", "at").withColumn("s", F.lit(1.0)).unionByName(b.select("series_id", "at").withColumn("s", F.lit(-1.0)))
+
+
+def _span(events: DataFrame, tau: float) -> DataFrame:
+    return events.groupBy("series_id").agg(F.min("at").alias("lo"), (F.max("at") + 5 * tau).alias("hi"))
+
+
+def _filtered_distance(both: DataFrame, ends: DataFrame, tau: float) -> DataFrame:
+    """(series_id, distance) of signed events on the grid from lo to hi; events before lo have their tails there."""
     dt, wide = tau / 10, 20
-    both = a.select("series_id", "at").withColumn("s", F.lit(1.0)).unionByName(b.select("series_id", "at").withColumn("s", F.lit(-1.0)))
-    ends = both.groupBy("series_id").agg(F.min("at").alias("lo"), (F.max("at") + 5 * tau).alias("hi"))
     grid = ends.withColumn("g", F.explode(F.sequence(F.lit(0), F.floor((F.col("hi") - F.col("lo")) / dt).cast("int"))))
     points = grid.select("series_id", "lo", (F.col("lo") + F.col("g") * dt).alias("at"), F.lit(0.0).alias("s"), F.lit(1).alias("point"))
     rows = both.join(ends.drop("hi"), "series_id").select("series_id", "lo", "at", "s", F.lit(0).alias("point")).unionByName(points)
@@ -460,3 +472,21 @@ def van_rossum(a: DataFrame, b: DataFrame, tau: float) -> DataFrame:
     seen = rows.withColumn("own", F.sum(grown).over(order)).where("point = 1").join(carried, ["series_id", "block"], "left")
     f = (F.col("own") + F.coalesce("carried", F.lit(0.0))) * F.exp(-F.col("rel"))
     return seen.groupBy("series_id").agg(F.sqrt(F.sum(f * f) * dt / tau).alias("distance"))
+
+
+def van_rossum_significance(a: DataFrame, b: DataFrame, tau: float, surrogates: int = 100, reach: float | None = None) -> DataFrame:
+    """(series_id, distance, p_value): the share of jittered copies of ``a`` that are at most as far from ``b``.
+
+    Copies are moved by up to ``reach`` (default 5 tau) and filtered on the grid of the
+    two trains themselves.
+    """
+    group = F.struct("series_id", "surrogate")
+    copies = jittered(a, 5 * tau if reach is None else reach, surrogates).select(group.alias("series_id"), "at")
+    numbers = F.broadcast(a.sparkSession.range(1, surrogates + 1).select(F.col("id").cast("int").alias("surrogate")))  # a documented number
+    spread = lambda df: df.join(numbers).select(group.alias("series_id"), *[c for c in df.columns if c != "series_id"])
+    both = _signed(a, b)
+    ends = _span(both, tau)
+    found = _filtered_distance(_signed(copies, spread(b)), spread(ends), tau).select(F.col("series_id.series_id").alias("series_id"), F.round("distance", 9).alias("copy"))
+    seen = _filtered_distance(both, ends, tau)
+    nearer = F.avg((F.col("copy") <= F.round("distance", 9)).cast("double"))
+    return found.join(seen, "series_id").groupBy("series_id").agg(F.first("distance").alias("distance"), nearer.alias("p_value"))

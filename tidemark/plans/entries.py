@@ -61,6 +61,16 @@ on_series(
     t AS (SELECT *, sum(c) OVER (PARTITION BY series_id, p, q, u) AS cu, sum(c) OVER (PARTITION BY series_id, p, q, v) AS cv FROM c),
     i AS (SELECT series_id, p, q, sum(c / n * ln(c * n / (cu * cv))) / ln(least(p, q)) AS i FROM t GROUP BY 1, 2, 3) SELECT series_id, {q6("max(i)", "mic")} FROM i GROUP BY 1""",
 )
+on_series(
+    "van_rossum_significance", "s1", lambda s: proximity.van_rossum_significance(*spikes(s), 2.0, surrogates=20).select("series_id", r6("distance", digits=7), r6("p_value")),
+    SPIKES + f""", k AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY tm) * 0.7548776662466927 AS z FROM a),
+    j AS (SELECT series_id, g, tm + ((z + g * 0.5698402909980532 - floor(z + g * 0.5698402909980532)) * 2 - 1) * 10 AS tm FROM k, range(1, 21) r(g)),
+    n AS (SELECT series_id, min(tm) AS lo, max(tm) + 10 AS hi FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1), x AS (SELECT series_id, lo + i * 0.2 AS x, i FROM n JOIN range(0, 20000) r(i) ON i <= floor((hi - lo) / 0.2)),
+    u AS (SELECT series_id, 0 AS g, tm, 1.0 AS w FROM a UNION ALL SELECT series_id, g, tm, 1.0 FROM j UNION ALL SELECT series_id, g, tm, -1.0 FROM b, range(0, 21) r(g)),
+    f AS (SELECT x.series_id, g, i, sum(w * exp(-(x - tm) / 2.0)) AS f FROM x JOIN u ON x.series_id = u.series_id AND x >= tm GROUP BY 1, 2, 3),
+    d AS (SELECT series_id, g, round(sqrt(sum(f * f) * 0.2 / 2.0), 9) AS d FROM f GROUP BY 1, 2), o AS (SELECT series_id, d AS o FROM d WHERE g = 0)
+    SELECT series_id, {q6("max(o)", "distance", 7)}, {q6("avg(CASE WHEN d <= o THEN 1.0 ELSE 0 END)", "p_value")} FROM d JOIN o USING (series_id) WHERE g > 0 GROUP BY 1""",
+)
 on_series("mic_optimal", "s3", lambda s: information.optimal_information(*lagged(s)).select("series_id", r6("mic")))
 for _kind, _x, _y in (("grid", "i % ceil(sqrt(k)) + 1", "floor(i / ceil(sqrt(k))) + 1"), ("tree", "i % ceil(k / ceil(log2(k + 1))) + 1", "floor(i / ceil(k / ceil(log2(k + 1)))) + 1")):
     on_series(

@@ -84,25 +84,33 @@ def roll_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Regimes.
-WINDOW, RATIO, BEND, Z = 11, 2.0, 0.1, "1.959963984540054"
-REGIME_BASE = f"""WITH s AS ({{s}}), p0 AS (
+# Window, variance ratio, gradient, normal quantile of a two-sided level (0.07, 0.05, 0.03) and votes, by sensitivity.
+SETTINGS = {"low": (13, 2.4, 0.13, "1.811910672952597", 3), "medium": (11, 2.0, 0.1, "1.959963984540054", 1), "high": (7, 1.6, 0.07, "2.1700903775845606", 1)}
+
+
+def regime_base(sensitivity: str) -> str:
+    """Common table expressions with every detector's raw candidates."""
+    window, ratio, bend, z, _ = SETTINGS[sensitivity]
+    return f"""WITH s AS ({{s}}), p0 AS (
     SELECT *, row_number() OVER o AS i, count(*) OVER a AS n, lag(value) OVER o AS lg, lead(value) OVER o AS ld,
         avg(value) OVER l AS m0, avg(value) OVER r AS m1, var_samp(value) OVER l AS s0, var_samp(value) OVER r AS s1, var_samp(value) OVER c AS rv,
         quantile_cont(value, 0.25) OVER a AS q1, quantile_cont(value, 0.75) OVER a AS q3
     FROM s WINDOW o AS (PARTITION BY series_id ORDER BY t), a AS (PARTITION BY series_id),
-        l AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN {WINDOW} PRECEDING AND 1 PRECEDING),
-        r AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN 1 FOLLOWING AND {WINDOW} FOLLOWING),
-        c AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN {WINDOW // 2} PRECEDING AND {WINDOW // 2} FOLLOWING)),
+        l AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN {window} PRECEDING AND 1 PRECEDING),
+        r AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN 1 FOLLOWING AND {window} FOLLOWING),
+        c AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN {window // 2} PRECEDING AND {window // 2} FOLLOWING)),
 p1 AS (SELECT *, abs(rv - lag(rv) OVER (PARTITION BY series_id ORDER BY t)) AS rd, greatest(10, CAST(floor(n * 0.1) AS BIGINT)) AS least_n,
     CASE WHEN value >= q3 THEN 3 WHEN value <= q1 THEN 1 ELSE 2 END AS label FROM p0),
 p2 AS (SELECT *, quantile_cont(rd, 0.9) OVER (PARTITION BY series_id) AS rq, lag(label) OVER (PARTITION BY series_id ORDER BY t) AS label0,
-    n >= {2 * WINDOW} AND i > {WINDOW} AND i <= n - {WINDOW} AS inside FROM p1),
-p3 AS (SELECT *, coalesce(n >= {WINDOW} AND value > lg AND value > ld, false) AS r_cumulative_peaks,
-    coalesce(inside AND sqrt((s0 + s1) / 2) > 1e-9 AND abs(m0 - m1) / (sqrt((s0 + s1) / 2) * sqrt(2.0 / {WINDOW})) > {Z}, false) AS r_changepoint,
+    n >= {2 * window} AND i > {window} AND i <= n - {window} AS inside FROM p1),
+p3 AS (SELECT *, coalesce(n >= {window} AND value > lg AND value > ld, false) AS r_cumulative_peaks,
+    coalesce(inside AND sqrt((s0 + s1) / 2) > 1e-9 AND abs(m0 - m1) / (sqrt((s0 + s1) / 2) * sqrt(2.0 / {window})) > {z}, false) AS r_changepoint,
     coalesce(label <> label0, false) AS r_threshold,
-    coalesce(inside AND s0 > 1e-9 AND s1 > 1e-9 AND greatest(s0, s1) / least(s0, s1) > {RATIO}, false) AS r_variance_shift,
-    coalesce(n >= {2 * WINDOW} AND abs(ld - 2 * value + lg) > {BEND}, false) AS r_gradient,
-    coalesce(n >= {WINDOW} AND rd > rq, false) AS r_entropy FROM p2)"""
+    coalesce(inside AND s0 > 1e-9 AND s1 > 1e-9 AND greatest(s0, s1) / least(s0, s1) > {ratio}, false) AS r_variance_shift,
+    coalesce(n >= {2 * window} AND abs(ld - 2 * value + lg) > {bend}, false) AS r_gradient,
+    coalesce(n >= {window} AND rd > rq, false) AS r_entropy FROM p2)"""
+
+
 METHODS = regime.METHODS
 
 
@@ -125,15 +133,16 @@ IDS = "1 + sum(CASE WHEN chg AND i > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY ser
 ALL_ACCEPTED = "".join(_accept(f"r_{m}", f"c_{m}", "p3" if k == 0 else f"a{k - 1}", f"a{k}") for k, m in enumerate(METHODS))
 
 
-def changes_sql(method: str) -> str:
+def changes_sql(method: str, sensitivity: str = "medium") -> str:
     """Common table expressions that end in ``found``."""
+    window, need = SETTINGS[sensitivity][0], SETTINGS[sensitivity][4]
     last = f"a{len(METHODS) - 1}"
     if method in METHODS:
         name, at, other = TYPES[method]
         kind, size, sure = f"CASE WHEN c_{method} THEN '{name}' ELSE 'none' END", MAGNITUDE[method], f"CASE WHEN c_{method} THEN {at} ELSE {other} END"
         if method in SHORT_TYPES:
             label, least = SHORT_TYPES[method]
-            kind, size, sure = (f"CASE WHEN n < {least * WINDOW} THEN {v} ELSE {e} END" for v, e in ((f"'{label}'", kind), (0, size), (0, sure)))
+            kind, size, sure = (f"CASE WHEN n < {least * window} THEN {v} ELSE {e} END" for v, e in ((f"'{label}'", kind), (0, size), (0, sure)))
         tail = f", z AS (SELECT *, c_{method} AS chg FROM {last})"
     elif method == "smart":
         used = {"gradient": "gradient", "cumulative_peaks": "peaks", "changepoint": "changepoint"}
@@ -146,8 +155,8 @@ def changes_sql(method: str) -> str:
         votes = " + ".join(f"CAST(c_{m} AS INT)" for m in METHODS)
         kind = "CASE WHEN chg THEN 'ensemble_vote_' || CAST(round(votes * 100.0 / 6) AS INT) || '%' ELSE 'none' END"
         size = sure = "votes / 6.0"
-        tail = f", y AS (SELECT *, {votes} AS votes, ({votes}) >= 1 AS fired FROM {last})" + _accept("fired", "chg", "y", "z")
-    return f"""{REGIME_BASE}{ALL_ACCEPTED}{tail}, found AS (SELECT series_id, t, value AS complexity, chg AS regime_change, CAST({IDS} AS BIGINT) AS regime_id,
+        tail = f", y AS (SELECT *, {votes} AS votes, ({votes}) >= {need} AS fired FROM {last})" + _accept("fired", "chg", "y", "z")
+    return f"""{regime_base(sensitivity)}{ALL_ACCEPTED}{tail}, found AS (SELECT series_id, t, value AS complexity, chg AS regime_change, CAST({IDS} AS BIGINT) AS regime_id,
         {kind} AS change_type, coalesce({size}, 0) AS change_magnitude, CAST({sure} AS DOUBLE) AS confidence, least_n AS min_size, i FROM z)"""
 
 
@@ -164,6 +173,11 @@ for _m in (*METHODS, "smart", "all"):
     on_series(f"regime_{SHORT.get(_m, _m)}", "s1", lambda s, m=_m: shown(regime.detect_changes(s, m)), f"{changes_sql(_m)} {FOUND_SQL}")
     if _m in SHORT_TYPES:
         on_series(f"regime_short_{SHORT.get(_m, _m)}", "s5", lambda s, m=_m: shown(regime.detect_changes(s, m)), f"{changes_sql(_m)} {FOUND_SQL}")
+for _sensitivity in ("low", "high"):
+    for _m in ("changepoint", "variance_shift", "gradient", "entropy", "smart", "all"):
+        on_series(
+            f"regime_{SHORT.get(_m, _m)}_{_sensitivity}", "s1", lambda s, m=_m, level=_sensitivity: shown(regime.detect_changes(s, m, level)), f"{changes_sql(_m, _sensitivity)} {FOUND_SQL}",
+        )
 on_series("regime_smart_orders", "s2", lambda s: shown(regime.detect_changes(s, "smart")), f"{changes_sql('smart')} {FOUND_SQL}")
 
 STABILITY = """, st AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY series_id) = 1 THEN 0.5 ELSE least(1, count(*) OVER (PARTITION BY series_id, regime_id) / (min_size * 2.0)) END AS score FROM found)"""
