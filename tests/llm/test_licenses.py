@@ -44,6 +44,15 @@ def test_scan_matches_brute_force(spark):
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score, spans) == brute(TEXTS[r.doc_id]), TEXTS[r.doc_id][:60]
 
 
+def test_many_notices_in_one_text(spark):
+    unit = "Released under the MIT License. Licensed under the Apache License, Version 2.0. gnu general public license version 3 cc by-nc 4.0 filler words here. "
+    texts = [unit * n for n in (1, 7, 150)]
+    for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        spans = [(d.first_word, d.n_words, d.label) for d in r.licenses]
+        assert spans == sorted(spans)
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score, spans) == brute(texts[r.doc_id])
+
+
 def test_specific_reading_wins():
     assert brute("This work is licensed under the GNU General Public License, version 3.")[5] == "gpl,gpl-3"
     assert brute("Licensed under CC BY-NC 4.0.")[5] == "cc-by,cc-by-nc-4.0"

@@ -357,7 +357,7 @@ def rule_table(rows: list[tuple[int, str, str, str, float]]) -> Column:
     return F.expr("array(" + ", ".join(f"named_struct('keyword', ' {k} ', 'word', '{k.split()[0]}', 'rules', array({', '.join(r)}))" for k, r in groups.items()) + ")")
 
 
-_DETECTION = "struct<start:int,end:int,priority:int,label:string,confidence:double>"
+_DETECTION = "struct<start:int,end:int,priority:int,first_word:int,n_words:int,label:string,confidence:double>"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -365,23 +365,58 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def before(items: Column, fold: Callable[[Column], Column]) -> Column:
+    """For each item the ``fold`` (a sum or a maximum) of those before it.
+
+    Items are cut into about as many blocks as each has items: a place takes the fold of
+    the blocks before its own and of the items before it there, so n items cost n ** 1.5.
+    """
+
+    def by_blocks(wide: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / wide).cast("int")), lambda b: fold(F.slice(items, b * wide + 1, wide)))
+
+        def place(earlier: Column) -> Column:
+            def one(_: Column, i: Column) -> Column:
+                b = F.floor(i / wide).cast("int")
+                return fold(F.array(F.get(earlier, b), fold(F.slice(items, b * wide + 1, i - b * wide))))
+
+            return F.transform(items, one)
+
+        return let(let(blocks, lambda all_blocks: F.transform(all_blocks, lambda _, b: fold(F.slice(all_blocks, F.lit(1), b)))), place)
+
+    return F.when(F.size(items) > 0, let(F.ceil(F.sqrt(F.size(items))).cast("int"), by_blocks)).otherwise(F.array().cast("array<int>"))
+
+
+def _sum(items: Column) -> Column:
+    return F.aggregate(items, F.lit(0), lambda a, x: a + x)
+
+
+def _largest(items: Column) -> Column:
+    return F.coalesce(F.array_max(items), F.lit(0))
+
+
 def detections(norm: Column, table: Column, words: Column) -> Column:
-    """Matches of all rules whose keyword occurs: an array of (start, end, priority, label, confidence).
+    """Matches of all rules whose keyword occurs: an array of (start, end, priority, first_word, n_words, label, confidence).
 
-    ``words`` are the first words of keywords that occur.
+    ``words`` are the first words of keywords that occur.  Places are running sums over
+    the pieces between and within a rule's matches, each of which is measured once.
     """
 
     def matches(rule: Column) -> Column:
         def intervals(found: Column) -> Column:
-            between = F.split(norm, rule["expression"], -1)
+            between = F.slice(F.split(norm, rule["expression"], -1), 1, F.size(found))
+            both = lambda measure: F.zip_with(between, found, lambda gap, hit: measure(gap) + measure(hit))
+            ends = F.zip_with(between, found, lambda gap, hit: F.struct(F.length(gap).alias("gap"), _blanks(gap).alias("gap_words"), F.length(hit).alias("hit"), _blanks(hit).alias("hit_words")))
 
-            def interval(i: Column) -> Column:
-                add = lambda a, x: a + F.length(x)
-                start = F.aggregate(F.slice(between, 1, i), F.lit(0), add) + F.aggregate(F.slice(found, 1, i - 1), F.lit(0), add)
-                end = start + F.length(F.element_at(found, i))
-                return F.struct((start + 1).alias("start"), end.alias("end"), rule["priority"].alias("priority"), rule["label"].alias("label"), rule["confidence"].alias("confidence"))
+            def interval(m: Column, at: Column) -> Column:
+                start = at["place"] + m["gap"]
+                return F.struct(
+                    (start + 1).alias("start"), (start + m["hit"]).alias("end"), rule["priority"].alias("priority"), (at["word"] + m["gap_words"]).alias("first_word"),
+                    m["hit_words"].alias("n_words"), rule["label"].alias("label"), rule["confidence"].alias("confidence"),
+                )
 
-            return F.when(F.size(found) > 0, F.transform(F.sequence(F.lit(1), F.size(found)), interval)).otherwise(F.array().cast(f"array<{_DETECTION}>"))
+            at = F.zip_with(let(both(F.length), lambda x: before(x, _sum)), let(both(_blanks), lambda x: before(x, _sum)), lambda place, word: F.struct(place.alias("place"), word.alias("word")))
+            return F.when(F.size(found) > 0, F.zip_with(ends, at, interval)).otherwise(F.array().cast(f"array<{_DETECTION}>"))
 
         return let(F.regexp_extract_all(norm, rule["expression"], F.lit(0)), intervals)
 
@@ -390,17 +425,19 @@ def detections(norm: Column, table: Column, words: Column) -> Column:
 
 
 def unsuppressed(found: Column) -> Column:
-    """Detections not contained in a longer one, nor in an equal one of better priority."""
+    """Detections not contained in a longer one, nor in an equal one of better priority, in the order of the text.
 
-    def beaten(d: Column) -> Column:
-        def by(e: Column) -> Column:
-            inside = (e["start"] <= d["start"]) & (e["end"] >= d["end"])
-            longer = e["end"] - e["start"] > d["end"] - d["start"]
-            return inside & (longer | (e["priority"] < d["priority"]))
+    In the order of start, falling end and priority, what contains a detection comes
+    before it, so that one is contained if an earlier one ends as late.
+    """
+    ordered = F.array_sort(F.transform(found, lambda d: F.struct(d["start"].alias("start"), (-d["end"]).alias("back"), d["priority"].alias("priority"), d.alias("d"))))
 
-        return F.exists(found, by)
+    def kept(rows: Column) -> Column:
+        reach = let(F.transform(rows, lambda o: -o["back"]), lambda e: before(e, _largest))
+        marked = F.zip_with(rows, reach, lambda o, r: F.struct(o["d"].alias("d"), (-o["back"] > r).alias("kept")))
+        return F.transform(F.filter(marked, lambda m: m["kept"]), lambda m: m["d"])
 
-    return F.filter(found, lambda d: ~beaten(d))
+    return let(ordered, kept)
 
 
 def base_places(norm: Column, n_words: Column) -> Column:
@@ -431,8 +468,8 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, licenses) of every row.
 
     Words are runs of ASCII letters and digits and non-ASCII characters of the text with
-    A-Z lower-cased.  ``licenses`` lists the kept detections as (first_word, n_words,
-    label, confidence); ``labels`` holds their labels and the base ones; ``score`` is the
+    A-Z lower-cased.  ``licenses`` lists the kept detections in the order of the text as
+    (first_word, n_words, label, confidence); ``labels`` holds their labels and the base ones; ``score`` is the
     largest confidence, 0.5 for base phrases alone, 0 without any.  A null or empty text
     has no words and no labels; texts of any length are read whole.  Repeated rows are
     scanned each; other columns are not read; an empty table gives an empty one.
@@ -456,10 +493,6 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
         nothing.alias("base_labels"), nothing.alias("labels"), F.lit(0.0).alias("score"), F.array().cast(kept_type).alias("licenses"),
     )
 
-    def described(norm: Column, d: Column) -> Column:
-        before = F.substring(norm, F.lit(1), d["start"])
-        return F.struct((_blanks(before) - 1).alias("first_word"), (_blanks(F.substring(norm, d["start"] + 1, d["end"] - d["start"])) + 1).alias("n_words"), d["label"].alias("label"), d["confidence"].alias("confidence"))
-
     def outcome(n_words: Column, base: Column, kept: Column) -> Column:
         own = F.transform(kept, lambda d: d["label"])
         score = F.greatest(F.coalesce(F.array_max(F.transform(kept, lambda d: d["confidence"])), F.lit(0.0)), F.when(base["n"] > 0, 0.5).otherwise(0.0))
@@ -472,7 +505,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     def read(norm: Column) -> Column:
         count = F.when(F.length(norm) == 2, F.lit(0)).otherwise(_blanks(norm) - 1).cast("long")
         words = F.array_distinct(F.regexp_extract_all(norm, F.lit(f" ({alternatives(gate)})(?= )"), F.lit(1)))
-        kept = let(let(words, lambda w: detections(norm, rule_table(rows), w)), lambda found: F.transform(unsuppressed(found), lambda d: described(norm, d)))
+        kept = let(let(words, lambda w: detections(norm, rule_table(rows), w)), lambda found: F.transform(unsuppressed(found), lambda d: F.struct(*[d[c].alias(c) for c in ("first_word", "n_words", "label", "confidence")])))
         return let(count, lambda n: let(base_places(norm, n), lambda base: let(kept, lambda k: outcome(n, base, k))))
 
     split = F.regexp_replace(ascii_lower(F.col("text")), NOT_WORD, " ")
