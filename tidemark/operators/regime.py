@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from ..sources.ranges import Whole, scope
 from ..sources.series import fill_gaps
+from ..sources.tables import written
+from .earlier import last_near
 
 METHODS = ("cumulative_peaks", "changepoint", "threshold", "variance_shift", "gradient", "entropy")
 
@@ -188,24 +190,24 @@ def _detected(within: Whole, series: DataFrame, method: str, sensitivity: str, w
     )
 
 
-def consolidate(found: DataFrame, similarity: float = 0.6) -> DataFrame:
+def consolidate(found: DataFrame, similarity: float = 0.6, within: Whole | None = None) -> DataFrame:
     """Regimes whose means are within ``similarity`` of an earlier one take its number (the last such one's).
 
-    Numbers are dense in order of appearance, changes and numbers are found anew.
+    Numbers are dense in order of appearance, changes and numbers are found anew.  No two
+    regimes are paired (see ``last_near``); a series' regimes, not its rows, meet in one sort.
     """
-    means = found.groupBy("series_id", "regime_id").agg(F.avg("complexity").alias("m"), F.min("t").alias("t0"))
-    a = means.select("series_id", F.col("regime_id").alias("i"), F.col("m").alias("mi"))
-    b = means.select("series_id", F.col("regime_id").alias("j"), F.col("m").alias("mj"))
-    middle = (F.col("mi") + F.col("mj")) / 2
-    near = (F.col("i") < F.col("j")) & (middle > 1e-9) & (F.abs(F.col("mi") - F.col("mj")) / middle < similarity)
-    to = a.join(b, "series_id").where(near).groupBy("series_id", "j").agg(F.max("i").alias("i"))
-    mapped = means.join(to.withColumnRenamed("j", "regime_id"), ["series_id", "regime_id"], "left").withColumn("to", F.coalesce("i", "regime_id"))
+    within = within or Whole()
+    keys = ["series_id", "regime_id"]
+    means = written(found.groupBy(*keys).agg(F.avg("complexity").alias("m"), F.min("t").alias("t0")), "regimes")
+    to = last_near(means.select("series_id", F.col("regime_id").alias("i"), "m"), similarity)
+    mapped = means.join(to.withColumnRenamed("i", "regime_id"), keys, "left").withColumn("to", F.coalesce("to", "regime_id"))
+    mapped = written(mapped.select(*keys, "to", "t0"), "mapped")
     firsts = mapped.groupBy("series_id", "to").agg(F.min("t0").alias("t0"))
     dense = firsts.withColumn("new_id", F.row_number().over(Window.partitionBy("series_id").orderBy("t0")).cast("long"))
-    names = mapped.select("series_id", "regime_id", "to").join(dense.select("series_id", "to", "new_id"), ["series_id", "to"])
-    out = found.join(names.select("series_id", "regime_id", "new_id"), ["series_id", "regime_id"])
-    within = Whole()
-    out = within.rows(out).withColumn("_raw", F.coalesce(F.col("new_id") != F.lag("new_id").over(within.by()), F.lit(False)))
+    names = mapped.select(*keys, "to").join(dense.select("series_id", "to", "new_id"), ["series_id", "to"])
+    out = found if "_i" in found.columns else within.rows(found)
+    out = within.brought(out, names.select(*keys, "new_id"), keys)
+    out = within.before(out, {"_was": F.col("new_id")}, "last").withColumn("_raw", F.coalesce(F.col("new_id") != F.col("_was"), F.lit(False)))
     out = _gap_filtered(within, out, {"regime_change": "_raw"}, "min_size")
     return _with_regime_ids(within, out, "regime_change", "regime_id").select(*found.columns)
 
@@ -252,14 +254,12 @@ def detect_regime(series: DataFrame, method: str = "smart", sensitivity: str = "
     """Changes, regime numbers and names, stability and patterns of every row of (series_id, t, value).
 
     Nulls are filled first (see ``fill_gaps``); a series of one row is one stable regime.
-    ``block`` cuts series into ranges of so many rows (but not to consolidate regimes).
+    ``block`` cuts series into ranges of so many rows.
     """
-    if consolidate_similar and block is not None:
-        raise ValueError("regimes of ranges cannot be consolidated")
     within = scope(block)
     found = _detected(within, fill_gaps(series, block), method, sensitivity, window, min_size)
     if consolidate_similar:
-        found = consolidate(found, similarity)
+        found = consolidate(found, similarity, within)
     found = within.own(found)
     patterns = regime_patterns(found, within).select("series_id", "regime_id", "complexity_pattern")
     out = within.totals(with_stability(found, within), {"_total": F.max("regime_id")})
