@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import quantiles
+from ..sources.ranges import numbered
 from ..sources.tables import written
 from .discretize import register
 from .proximity import components, mirrored, pairwise, windows
@@ -109,51 +110,90 @@ def _weighed(df: DataFrame, k: int) -> DataFrame:
     return df.withColumn("_s", F.aggregate("_e", F.lit(0.0), lambda a, x: a + x)).withColumn("_r", F.transform("_e", lambda x: x / F.col("_s")))
 
 
-def complete_linkage_cuts(values: np.ndarray, k: int) -> np.ndarray:
-    """The largest value of every cluster but the last, for ascending distinct values.
+def neighbour_merges(lo: np.ndarray, hi: np.ndarray, before: float | None = None, after: float | None = None) -> tuple[list[tuple[float, float, float]], list[tuple[float, float]]]:
+    """Complete linkage of neighbouring spans: merges (cost, lowest value, highest of the left part), and the spans left.
 
     In one dimension complete linkage always joins neighbours: a heap of the spans of
-    neighbouring clusters is enough.
+    neighbouring clusters is enough (ties to the left).  ``before`` and ``after`` are the
+    far ends of the spans outside.  Those can only grow, so a merge dearer than theirs
+    would be now has to wait, and with it what is dearer and next to it.
     """
-    n = len(values)
-    left, right, alive = np.arange(n) - 1, np.arange(n) + 1, np.ones(n, bool)
-    lo, hi, version = values.copy(), values.copy(), np.zeros(n, int)
-    heap = [(values[i + 1] - values[i], i, 0, 0) for i in range(n - 1)]
+    n = len(lo)
+    left, right, alive, waits = np.arange(n) - 1, np.arange(n) + 1, np.ones(n, bool), np.zeros(n, bool)
+    lo, hi, version = lo.copy(), hi.copy(), np.zeros(n, int)
+    heap = [(hi[i + 1] - lo[i], i, 0, 0) for i in range(n - 1)]
     heapq.heapify(heap)
-    clusters = n
-    while clusters > k:
-        _, i, vi, vj = heapq.heappop(heap)
+    merges = []
+    while heap:
+        cost, i, vi, vj = heapq.heappop(heap)
         j = right[i] if alive[i] else n
         if not alive[i] or j >= n or version[i] != vi or version[j] != vj:
             continue
+        first = waits[left[i]] if left[i] >= 0 else before is not None and cost >= hi[i] - before
+        last = waits[j] if right[j] < n else after is not None and cost > after - lo[j]
+        if first or last:
+            waits[i] = True
+            continue
+        merges.append((float(cost), float(lo[i]), float(hi[i])))
         hi[i], alive[j], right[i] = hi[j], False, right[j]
         version[i] += 1
-        clusters -= 1
         if right[i] < n:
             left[right[i]] = i
             heapq.heappush(heap, (hi[right[i]] - lo[i], i, version[i], version[right[i]]))
         if left[i] >= 0:
             heapq.heappush(heap, (hi[i] - lo[left[i]], left[i], version[left[i]], version[i]))
-    return hi[alive][:-1]
+    return merges, [(float(a), float(b)) for a, b in zip(lo[alive], hi[alive])]
 
 
 @register("hierarchical")
-def by_linkage(series: DataFrame, k: int) -> DataFrame:
+def by_linkage(series: DataFrame, k: int, block: int = 65_536) -> DataFrame:
     """Complete linkage of a series' distinct values, cut at ``k``; states ascend.
 
-    Only a series' distinct values meet in one task.
+    Values are dealt to tasks by blocks of neighbours.  A block merges what no span outside
+    can forestall; the spans left are numbered and dealt anew, half a block further in every
+    other round, until a series is one span.  The cheapest merge of all never waits, and
+    merges never get cheaper, so the clusters are those of one heap, cut by leaving out the
+    k - 1 dearest merges; a block hands on no more of them than that.  A series of fewer
+    than ``k`` distinct values has null states; so have null and NaN values.
     """
-
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.sort(pdf["value"].to_numpy())
-        cuts = complete_linkage_cuts(v, k) if len(v) >= k else []
-        return pd.DataFrame({"series_id": pdf["series_id"].iloc[:1], "cuts": [list(cuts) if len(v) >= k else None]})
-
-    distinct = series.where("value IS NOT NULL").select("series_id", "value").distinct()
-    cuts = distinct.groupBy("series_id").applyInPandas(cut, "series_id string, cuts array<double>")
+    if block < 4:
+        raise ValueError("a block has four spans or more")
+    shape = "series_id string, lo double, hi double, cost double"
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("lo")
+        outside = [None if pd.isna(v) else float(v) for v in (pdf["before"].iloc[0], pdf["after"].iloc[-1])]
+        merges, spans = neighbour_merges(pdf["lo"].to_numpy(float), pdf["hi"].to_numpy(float), *outside)
+        dearest = sorted(merges, key=lambda m: m[:2])[max(0, len(merges) - k + 1) :]
+        rows = [(a, b, None) for a, b in spans] + [(a, b, cost) for cost, a, b in dearest]
+        return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], **{c: pd.Series([r[n] for r in rows], dtype=float) for n, c in enumerate(("lo", "hi", "cost"))}})
+
+    known = F.col("value").isNotNull() & ~F.isnan("value")
+    distinct = series.where(known).select("series_id", F.col("value").alias("lo")).distinct()
+    spans, steps, shift = distinct.withColumn("hi", F.col("lo")), [], 0
+    enough = None
+    while True:
+        placed = numbered(spans, ["series_id"], ["lo"], "_i").withColumn("_block", F.floor((F.col("_i") - 1 + shift) / block))
+        if enough is None:
+            enough = written(placed.groupBy("series_id").agg(F.max("_i").alias("n")).where(F.col("n") >= k).select("series_id"), "sizes")
+        # The span next to a block's end is the neighbouring block's last or first one.
+        ends = placed.groupBy("series_id", "_block").agg(F.max_by("lo", "_i").alias("before"), F.min_by("hi", "_i").alias("after"))
+        onward = lambda c, by: ends.select("series_id", (F.col("_block") + by).alias("_block"), c)
+        dealt = placed.join(onward("before", 1), ["series_id", "_block"], "left").join(onward("after", -1), ["series_id", "_block"], "left")
+        step = written(dealt.groupBy("series_id", "_block").applyInPandas(merged, shape), "linkage")
+        steps.append(step.where("cost IS NOT NULL"))
+        left = step.where("cost IS NULL").select("series_id", "lo", "hi")
+        several = left.groupBy("series_id").agg(F.count("*").alias("n")).where("n > 1")
+        if several.isEmpty():
+            break
+        spans, shift = left.join(several.select("series_id"), "series_id", "left_semi"), block // 2 - shift
+    dear = F.row_number().over(Window.partitionBy("series_id").orderBy(F.desc("cost"), F.desc("lo")))
+    cut = reduce(DataFrame.unionByName, steps).withColumn("_r", dear).where(F.col("_r") < k)
+    cuts = enough.join(cut.groupBy("series_id").agg(F.sort_array(F.collect_list("hi")).alias("cuts")), "series_id", "left")
+    cuts = cuts.withColumn("cuts", F.coalesce("cuts", F.array().cast("array<double>")))
     df = series.join(cuts, "series_id", "left")
     state = F.size(F.filter("cuts", lambda c: F.col("value") > c)) + 1
-    return df.withColumn("state", F.when(F.col("value").isNotNull() & F.col("cuts").isNotNull(), state).cast("int")).select(*series.columns, "state")
+    return df.withColumn("state", F.when(known & F.col("cuts").isNotNull(), state).cast("int")).select(*series.columns, "state")
 
 
 def ward_labels(x: np.ndarray, k: int) -> np.ndarray:
