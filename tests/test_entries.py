@@ -78,7 +78,7 @@ def test_layouts(spark):
     for kind in ("circle", "grid", "tree"):
         assert len({(round(r.x, 6), round(r.y, 6)) for r in markov.node_layout(states, kind).collect()}) == 5
     with pytest.raises(ValueError):
-        markov.node_layout(states, "spring")
+        markov.node_layout(states, "spiral")
 
 
 def test_components_of_a_long_chain(spark):

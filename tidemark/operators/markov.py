@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .discretize import discretize
@@ -120,12 +120,53 @@ def change_points(states: DataFrame) -> DataFrame:
     return states.withColumn("_p", F.lag("state").over(by)).where("_p IS NOT NULL AND state <> _p").drop("_p")
 
 
+REPULSION, ATTRACTION, MOVE, SPRING_ROUNDS = 0.1, 0.01, 0.1, 50
+"""Fixed values of the spring layout: forces, the share of a force a state moves by, rounds over all states."""
+
+
+def _spring(places: DataFrame, states: DataFrame) -> DataFrame:
+    """(state, x, y) from a start on the unit circle; each round moves the states in turn.
+
+    All states push a state away with a force of REPULSION over the distance; those it
+    goes over to pull it with ATTRACTION times the distance.  Coordinates are two arrays
+    of one row (a value a state), which an aggregate moves step by step.
+    """
+    following = F.lead("state").over(Window.partitionBy("series_id").orderBy("t"))
+    index = lambda c: places.select(F.col("state").alias(c), F.col("_i").alias(f"{c}_i"))
+    moves = states.select("state", following.alias("next")).where("state <> next").distinct()
+    moves = moves.join(index("state"), "state").join(index("next"), "next").select(F.lit(None).cast(places.schema["state"].dataType).alias("state"), F.lit(None).cast("int").alias("_i"), F.struct("state_i", "next_i").alias("move"))
+    rows = moves.unionByName(places.select("state", F.col("_i").cast("int").alias("_i"), F.lit(None).cast(moves.schema["move"].dataType).alias("move")))
+    one = rows.agg(F.array_sort(F.collect_list(F.when(F.col("_i").isNotNull(), F.struct("_i", "state"))))["state"].alias("states"), F.collect_set("move").alias("moves"))
+    n = F.size("states")
+    every = F.sequence(F.lit(0), n - 1)
+    angle = lambda i: 2 * 3.141592653589793 * i / n
+    flat = F.flatten(F.transform(every, lambda i: F.transform(every, lambda j: F.when(F.exists("moves", lambda m: (m["state_i"] == i) & (m["next_i"] == j)), ATTRACTION).otherwise(0.0))))
+    one = one.where(n > 0).withColumns({"pull": flat, "start": F.struct(F.transform(every, lambda i: F.cos(angle(i))).alias("x"), F.transform(every, lambda i: F.sin(angle(i))).alias("y"))})
+
+    def moved(at: Column, step: Column) -> Column:
+        i = (step % n).cast("int")
+        far = lambda c, j: F.get(at[c], i) - F.get(at[c], j)
+        square = lambda j: far("x", j) * far("x", j) + far("y", j) * far("y", j)
+        force = lambda c: F.aggregate(every, F.lit(0.0), lambda so_far, j: so_far + F.when(square(j) > 0, far(c, j) * (REPULSION / square(j) - F.get("pull", i * n + j))).otherwise(0.0))
+        new = lambda c: F.transform(at[c], lambda v, j: F.when(j == i, v + MOVE * force(c)).otherwise(v))
+        return F.struct(new("x").alias("x"), new("y").alias("y"))
+
+    end = one.select("states", F.aggregate(F.sequence(F.lit(0), SPRING_ROUNDS * n - 1), F.col("start"), moved).alias("end"))
+    return end.select(F.explode(F.arrays_zip("states", F.col("end.x").alias("x"), F.col("end.y").alias("y"))).alias("z")).select(F.col("z.states").alias("state"), "z.x", "z.y")
+
+
 def node_layout(states: DataFrame, kind: str = "circle") -> DataFrame:
-    """A row a state with x and y (on a unit circle, a square grid or the levels of a tree), share of points and mean run length."""
+    """A row a state with x and y, share of points and mean run length.
+
+    Kinds: a unit circle, a square grid, the levels of a tree, or a spring layout of the
+    states' transitions.  States are few: they meet in one row or window.
+    """
     runs = run_lengths(states).where("state IS NOT NULL").groupBy("state").agg(F.sum("duration").alias("n"), F.avg("duration").alias("mean_run"))
     i = F.row_number().over(Window.orderBy("state")) - 1  # a row a state
     n = F.count("*").over(Window.partitionBy(F.lit(1)))
     out = runs.withColumns({"_i": i, "_k": n, "frequency": F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1)))})
+    if kind == "spring":
+        return out.join(_spring(out, states), "state").select("state", "x", "y", "frequency", "mean_run")
     angle = 2 * 3.141592653589793 * F.col("_i") / F.col("_k")
     wide = F.ceil(F.sqrt("_k"))
     row = F.ceil(F.col("_k") / F.ceil(F.log2((F.col("_k") + 1).cast("double"))))

@@ -136,7 +136,12 @@ on_series(
     SELECT series_id, t, CAST(1 + CAST(value > xa AS INT) + CAST(value > xb AS INT) AS INT) AS state FROM s JOIN o USING (series_id) WHERE value IS NOT NULL""",
 )
 on_series("disc_mixture", "s1", lambda s: discretize.discretize(s, "mixture", 3).select("series_id", "t", "state"))
-on_series("disc_hierarchical", "s1", lambda s: clustering.by_linkage(s, 3).select("series_id", "t", "state"))
+on_series(
+    "disc_hierarchical", "s1", lambda s: clustering.by_linkage(s, 3).select("series_id", "t", "state"),
+    """WITH RECURSIVE s AS ({s}), r AS (SELECT series_id, list_sort(list(DISTINCT value)) AS lo, list_sort(list(DISTINCT value)) AS hi FROM s WHERE value IS NOT NULL GROUP BY 1 HAVING count(DISTINCT value) >= 3
+        UNION ALL SELECT series_id, lo[:p] || lo[p + 2:], hi[:p - 1] || hi[p + 1:] FROM (SELECT *, list_position(g, list_min(g)) AS p FROM (SELECT *, list_transform(range(1, len(lo)), lambda i: hi[i + 1] - lo[i]) AS g FROM r WHERE len(lo) > 3)))
+    SELECT s.series_id, t, CAST(CASE WHEN value IS NOT NULL THEN 1 + CAST(value > hi[1] AS INT) + CAST(value > hi[2] AS INT) END AS INT) AS state FROM s LEFT JOIN (SELECT * FROM r WHERE len(lo) = 3) c ON c.series_id = s.series_id""",
+)
 on_series("disc_dtw", "s1", lambda s: discretize.discretize(s, "dtw", 3, window=8).select("series_id", "t", "state"))
 on_series("disc_proxy_windowed", "s1", lambda s: discretize.discretize(s, "proxy_windowed", 3, window=8, step=2).select("series_id", "t", "state"))
 on_series(
@@ -212,6 +217,16 @@ on_series(
     RUNS + f""", n AS (SELECT state, sum(duration) AS n, avg(duration) AS mean_run, row_number() OVER (ORDER BY state) - 1 AS i, count(*) OVER () AS k FROM r GROUP BY 1)
     SELECT state, {q6("cos(2 * pi() * i / k)", "x")}, {q6("sin(2 * pi() * i / k)", "y")}, {q6("n / sum(n) OVER ()", "frequency")}, {q6("mean_run", "mean_run")} FROM n""",
 )
+on_series(
+    "node_layout_spring", "s1", lambda s: markov.node_layout(banded(s), "spring").select("state", r6("x"), r6("y"), r6("frequency")),
+    BANDED.replace("WITH x", "WITH RECURSIVE x") + f""", n AS (SELECT state, count(*) AS c, row_number() OVER (ORDER BY state) - 1 AS i, count(*) OVER () AS k FROM x GROUP BY 1),
+    m AS (SELECT DISTINCT state, b FROM (SELECT state, lead(state) OVER (PARTITION BY series_id ORDER BY t) AS b FROM x) WHERE state <> b),
+    w AS (SELECT a.i, b.i AS j, CASE WHEN m.b IS NULL THEN 0 ELSE 0.01 END AS pull FROM n a JOIN n b ON a.i <> b.i LEFT JOIN m ON m.state = a.state AND m.b = b.state),
+    p AS (SELECT 0 AS step, i, k, cos(2 * pi() * i / k) AS x, sin(2 * pi() * i / k) AS y FROM n
+        UNION ALL SELECT a.step + 1, a.i, a.k, any_value(a.x) + 0.1 * coalesce(sum((a.x - b.x) * (0.1 / (pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) - pull)), 0), any_value(a.y) + 0.1 * coalesce(sum((a.y - b.y) * (0.1 / (pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) - pull)), 0)
+        FROM p a LEFT JOIN w ON w.i = a.i AND a.step % a.k = a.i LEFT JOIN p b ON b.i = w.j WHERE a.step < 50 * a.k GROUP BY a.step, a.i, a.k)
+    SELECT state, {q6("x", "x")}, {q6("y", "y")}, {q6("c / sum(c) OVER ()", "frequency")} FROM p JOIN n USING (i) WHERE step = 50 * p.k""",
+)
 on_series(
     "stna_edges", "s1", lambda s: markov.state_network(s, 4, "quantile", "user")["edges"].select("series_id", "from_state", "to_state", r6("weight")),
     f"""WITH s AS ({{s}}), q AS (SELECT series_id, {quantile_list("value", 4)} AS b FROM s GROUP BY 1), x AS (SELECT series_id, t, CASE WHEN len(list_distinct(b)) = len(b) THEN 1 + len(list_filter(b[2:4], lambda c: value > c)) END AS state FROM s JOIN q USING (series_id))"""
