@@ -7,25 +7,25 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import quantiles
 from ..sources.ranges import numbered
 from ..sources.tables import written
-from .discretize import register
+from .discretize import by_optimal_means, register
 from .proximity import components, mirrored, pairwise, windows
 
 SMALL = 50_000
 """Distinct values of a series up to which one task fits its mixture; longer series are fitted by Spark, step by step."""
 MAX_WINDOWS = 2_000
 """Windows of one series up to which one task links them (it needs their square); longer series are linked by Spark, round by round."""
-CLOSE, MOST_STEPS = 1e-8, 2_000
-"""A mixture has settled when its mean log likelihood grows by less than CLOSE a step; one that has not after MOST_STEPS stays as it is."""
+CLOSE = 1e-8
+"""A mixture has settled when its mean log likelihood grows by less than this a step; it has an upper bound, so every mixture does."""
 
 
-def mixture_step(values: np.ndarray, n: np.ndarray, m: np.ndarray, v: np.ndarray, w: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """New means, variances and weights after one step of expectation maximisation, and the old ones' mean log likelihood."""
+def mixture_step(values: np.ndarray, n: np.ndarray, m: np.ndarray, v: np.ndarray, w: np.ndarray, floor: float, equal: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """New means, variances (one for all, if ``equal``) and weights after one step of expectation maximisation, and the old ones' mean log likelihood."""
     logs = np.log(w + 1e-300) - np.log(v) / 2 - (values[:, None] - m) ** 2 / (2 * v)
     top = logs.max(axis=1, keepdims=True)
     r = np.exp(logs - top)
@@ -37,48 +37,34 @@ def mixture_step(values: np.ndarray, n: np.ndarray, m: np.ndarray, v: np.ndarray
     safe = np.where(some, s, 1)
     mean = np.where(some, (r * values[:, None]).sum(axis=0) / safe, m)
     around = np.where(some, (r * (values[:, None] - m) ** 2).sum(axis=0) / safe - (mean - m) ** 2, 0)
+    if equal:
+        around = np.full(len(m), (s * around).sum() / n.sum())
     return mean, np.maximum(around, floor), s / n.sum(), likelihood
 
 
-def mixture_fit(values: np.ndarray, n: np.ndarray, m: np.ndarray, v: np.ndarray, w: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def mixture_fit(values: np.ndarray, n: np.ndarray, m: np.ndarray, v: np.ndarray, w: np.ndarray, floor: float, equal: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The settled mixture of values with counts."""
     before = -np.inf
-    for _ in range(MOST_STEPS):
-        *new, likelihood = mixture_step(values, n, m, v, w, floor)
-        if likelihood - before < CLOSE:
-            break
+    while True:
+        *new, likelihood = mixture_step(values, n, m, v, w, floor, equal)
+        if not likelihood - before >= CLOSE:
+            return m, v, w
         m, v, w, before = *new, likelihood
-    return m, v, w
 
 
-@register("mixture")
-def by_mixture(series: DataFrame, k: int) -> DataFrame:
-    """A Gaussian mixture fitted by expectation maximisation until it settles; states ascend with the means.
-
-    A series of few distinct values is fitted in one task from its values' counts.  For
-    longer ones every step is one grouped aggregation that ends in a written table, which
-    settled series leave.
-    """
-    start = series.where("value IS NOT NULL").groupBy("series_id").agg(
-        quantiles("value", [(i + 0.5) / k for i in range(k)]).alias("m"), F.coalesce(F.var_pop("value"), F.lit(0.0)).alias("all_v"), F.count_distinct("value").alias("u")
-    )
-    spread = F.greatest(F.col("all_v") / (k * k), F.lit(1e-12))
-    first = start.where(F.col("u") >= k).select("series_id", "u", (F.col("all_v") * 1e-4 + 1e-12).alias("floor"), "m", F.transform("m", lambda _: spread).alias("v"), F.transform("m", lambda _: F.lit(1.0 / k)).alias("w"))
-    first = written(first, "mixture")
-    points = written(series.where("value IS NOT NULL").groupBy("series_id", "value").agg(F.count("*").alias("n")), "points")
+def _settled(points: DataFrame, first: DataFrame, k: int, equal: bool) -> DataFrame:
+    """(series_id, m, v, w) of the settled mixtures of (series_id, value, n) that begin as ``first`` says."""
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         one = pdf.iloc[0]
         pdf = pdf.sort_values("value")
-        m, v, w = mixture_fit(pdf["value"].to_numpy(float), pdf["n"].to_numpy(float), *(np.asarray(one[c], float) for c in "mvw"), float(one["floor"]))
+        m, v, w = mixture_fit(pdf["value"].to_numpy(float), pdf["n"].to_numpy(float), *(np.asarray(one[c], float) for c in "mvw"), float(one["floor"]), equal)
         return pd.DataFrame({"series_id": [one["series_id"]], "m": [m.tolist()], "v": [v.tolist()], "w": [w.tolist()]})
 
     shape = "series_id string, m array<double>, v array<double>, w array<double>"
     done = [points.join(first.where(F.col("u") <= SMALL), "series_id").groupBy("series_id").applyInPandas(fit, shape)]
     moving = first.where(F.col("u") > SMALL).select("series_id", "floor", "m", "v", "w", F.lit(float("-inf")).alias("before"))
-    for _ in range(MOST_STEPS):
-        if moving.isEmpty():
-            break
+    while not moving.isEmpty():
         rows = _weighed(points.join(moving, "series_id"), k)
         share = lambda j: F.get("_r", F.lit(j)) * F.col("n")
         sums = rows.groupBy("series_id").agg(
@@ -88,19 +74,60 @@ def by_mixture(series: DataFrame, k: int) -> DataFrame:
         )
         mean = [F.coalesce(F.try_divide(F.col(f"a{j}"), F.col(f"s{j}")), F.get("m", F.lit(j))) for j in range(k)]
         around = [F.coalesce(F.try_divide(F.col(f"b{j}"), F.col(f"s{j}")) - F.pow(mean[j] - F.get("m", F.lit(j)), 2), F.lit(0.0)) for j in range(k)]
-        still = F.col("l") / F.col("all") - F.col("before") < CLOSE
+        if equal:
+            around = [reduce(Column.__add__, [F.col(f"s{j}") * a for j, a in enumerate(around)]) / F.col("all")] * k
+        gain = F.col("l") / F.col("all") - F.col("before")
         step = written(sums.select(
-            "series_id", "floor", "m", "v", "w", still.alias("_still"), (F.col("l") / F.col("all")).alias("_l"), F.array(*mean).alias("_m"),
+            "series_id", "floor", "m", "v", "w", ((gain < CLOSE) | F.isnan(gain)).alias("_still"), (F.col("l") / F.col("all")).alias("_l"), F.array(*mean).alias("_m"),
             F.array(*[F.greatest(a, F.col("floor")) for a in around]).alias("_v"), F.array(*[F.col(f"s{j}") / F.col("all") for j in range(k)]).alias("_w"),
         ), "mixture")
         done.append(step.where("_still").select("series_id", "m", "v", "w"))
         moving = step.where("NOT _still").select("series_id", "floor", F.col("_m").alias("m"), F.col("_v").alias("v"), F.col("_w").alias("w"), F.col("_l").alias("before"))
-    done.append(moving.select("series_id", "m", "v", "w"))
-    fitted = reduce(DataFrame.unionByName, done)
-    placed = _weighed(series.join(fitted, "series_id", "left"), k)
+    return written(reduce(DataFrame.unionByName, done), "settled")
+
+
+def _likeliest() -> Column:
+    """The rank by mean of the likeliest component of each weighed value."""
     best = F.get("m", (F.array_position("_r", F.array_max("_r")) - 1).cast("int"))
-    rank = F.size(F.filter("m", lambda m: m < best)) + 1
-    return placed.withColumn("state", F.when(F.col("m").isNotNull() & F.col("value").isNotNull(), rank).cast("int")).select(*series.columns, "state")
+    return F.when(F.col("m").isNotNull() & F.col("value").isNotNull(), F.size(F.filter("m", lambda m: m < best)) + 1).cast("int")
+
+
+@register("mixture")
+def by_mixture(series: DataFrame, k: int) -> DataFrame:
+    """A Gaussian mixture fitted by expectation maximisation until it settles; states ascend with the means.
+
+    Components have variances of their own.  Series in which some component is nowhere
+    the likeliest are fitted anew with one variance for all; those in which that leaves
+    fewer than ``k`` states too get the clusters of ``kmeans_optimal``.  A series of fewer than
+    ``k`` distinct values has null states; so have null and NaN values.
+
+    A series of few distinct values is fitted in one task from its values' counts.  For
+    longer ones every step is one grouped aggregation that ends in a written table, which
+    settled series leave.
+    """
+    known = series.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    start = known.groupBy("series_id").agg(
+        quantiles("value", [(i + 0.5) / k for i in range(k)]).alias("m"), F.coalesce(F.var_pop("value"), F.lit(0.0)).alias("all_v"), F.count_distinct("value").alias("u")
+    )
+    spread = F.greatest(F.col("all_v") / (k * k), F.lit(1e-12))
+    first = start.where(F.col("u") >= k).select("series_id", "u", (F.col("all_v") * 1e-4 + 1e-12).alias("floor"), "m", F.transform("m", lambda _: spread).alias("v"), F.transform("m", lambda _: F.lit(1.0 / k)).alias("w"))
+    left = written(first, "mixture")
+    points = written(known.groupBy("series_id", "value").agg(F.count("*").alias("n")), "points")
+    done = []
+    for equal in (False, True):
+        fitted = _settled(points, left, k, equal)
+        met = _weighed(points.join(fitted, "series_id"), k)
+        full = written(met.groupBy("series_id").agg(F.count_distinct(_likeliest()).alias("states")).where(F.col("states") == k).select("series_id"), "full")
+        done.append(fitted.join(full, "series_id", "left_semi"))
+        left = written(left.join(full, "series_id", "left_anti"), "mixture")
+        if left.isEmpty():
+            break
+    placed = _weighed(series.join(reduce(DataFrame.unionByName, done), "series_id", "left"), k)
+    out = placed.withColumn("state", F.when(~F.isnan("value"), _likeliest())).select(*series.columns, "state")
+    if left.isEmpty():
+        return out
+    others = by_optimal_means(series.join(left.select("series_id"), "series_id", "left_semi"), k)
+    return out.join(left.select("series_id"), "series_id", "left_anti").select(*out.columns).unionByName(others.select(*out.columns))
 
 
 def _weighed(df: DataFrame, k: int) -> DataFrame:
