@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distances import metric, ranks
+from ..sources.ranges import quantile_rows
 from ..sources.tables import written
 
 SIMILARITIES = ("normalized_inverse", "inverse", "negative_exp", "max_minus", "gaussian", "reciprocal")
@@ -105,13 +106,17 @@ def point_map(series: DataFrame, vectors: DataFrame) -> DataFrame:
     return grouped.select("series_id", "t", "n_windows", F.array_join(F.transform("w", lambda x: x.cast("string")), ",").alias("window_ids"))
 
 
-def distance_summary(edges: DataFrame) -> DataFrame:
-    """One row a series: count, spread and quartiles of distances, a scale class and the method it suggests."""
-    q = F.percentile("distance", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+def distance_summary(edges: DataFrame, long: bool = False) -> DataFrame:
+    """One row a series: count, spread and quartiles of distances, a scale class and the method it suggests.
+
+    With ``long``, here and below, quantiles are rows at their places among all pairs of a
+    series in order, and no task holds a series' distances.
+    """
     out = edges.groupBy("series_id").agg(
         F.count("*").alias("n"), F.min("distance").alias("min"), F.max("distance").alias("max"), F.avg("distance").alias("mean"), F.stddev_samp("distance").alias("sd"),
-        q.alias("q"), F.sum((F.col("distance") == 0).cast("long")).alias("zeros"),
+        F.sum((F.col("distance") == 0).cast("long")).alias("zeros"),
     )
+    out = out.join(quantile_rows(edges, "distance", [0.25, 0.5, 0.75], long), "series_id", "left")
     scale = F.when(F.col("max") > 1000, "very large").when(F.col("max") > 100, "large").when(F.col("max") > 10, "medium").otherwise("small")
     advice = F.when(F.col("max") > 1000, "knn").when(F.col("max") > 100, "percentile").otherwise("threshold")
     return out.select("series_id", "n", "min", "max", "mean", "sd", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"), "zeros", (F.col("max") - F.col("min")).alias("range"), scale.alias("scale"), advice.alias("recommended"))
@@ -121,18 +126,25 @@ def _finite(c: str = "distance") -> Column:
     return F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
 
 
-def _scalars(edges: DataFrame, **aggs: Column) -> DataFrame:
-    """``edges`` with one value a series: a small aggregate joined back."""
-    usable = edges.where(_finite() & (F.col("distance") > 0))
-    return edges.join(usable.groupBy("series_id").agg(*[c.alias(n) for n, c in aggs.items()]), "series_id", "left")
+def _usable(edges: DataFrame) -> DataFrame:
+    """The pairs of finite positive distance."""
+    return edges.where(_finite() & (F.col("distance") > 0))
+
+
+def _with_quantile(edges: DataFrame, name: str, prob: float, long: bool) -> DataFrame:
+    """``edges`` with a quantile of the series' usable distances."""
+    q = quantile_rows(_usable(edges), "distance", [prob], long)
+    return edges.join(q.select("series_id", F.col("q")[0].alias(name)), "series_id", "left")
 
 
-def similarity(edges: DataFrame, method: str = "normalized_inverse", sigma: float | None = None) -> DataFrame:
+def similarity(edges: DataFrame, method: str = "normalized_inverse", sigma: float | None = None, long: bool = False) -> DataFrame:
     """``edges`` with ``similarity``; what is not finite becomes 0, sigma defaults to the median positive distance."""
     if method not in SIMILARITIES:
         raise ValueError(f"unknown method {method}")
     edges = written(edges, "pairs")  # pairs are read twice, never formed twice
-    out = _scalars(edges, _max=F.max("distance"), **({} if method != "gaussian" and method != "negative_exp" or sigma is not None else {"_sigma": F.percentile("distance", 0.5)}))
+    out = edges.join(_usable(edges).groupBy("series_id").agg(F.max("distance").alias("_max")), "series_id", "left")
+    if method in ("gaussian", "negative_exp") and sigma is None:
+        out = _with_quantile(out, "_sigma", 0.5, long)
     d, s = F.col("distance"), (F.lit(float(sigma)) if sigma is not None else F.col("_sigma"))
     value = {
         "normalized_inverse": lambda: 1 - d / F.col("_max"),
@@ -146,19 +158,21 @@ def similarity(edges: DataFrame, method: str = "normalized_inverse", sigma: floa
     return out.withColumn("similarity", F.when(_finite() & ~F.isnan(plain), plain).otherwise(0.0)).select(*edges.columns, "similarity")
 
 
-def normalize(edges: DataFrame, column: str = "similarity", method: str = "minmax", target: tuple[float, float] | None = (0.0, 1.0)) -> DataFrame:
+def normalize(edges: DataFrame, column: str = "similarity", method: str = "minmax", target: tuple[float, float] | None = (0.0, 1.0), long: bool = False) -> DataFrame:
     """``edges`` with ``normalized``: parameters come from non-zero values, zeros stay zero.
 
     minmax, max and quantile are then stretched to ``target`` by the extremes that
     include zeros and the (zero) diagonal.
     """
     x, some = F.col(column), edges.where(F.col(column) != 0)
-    q = F.percentile(column, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    p = some.groupBy("series_id").agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"), F.avg(column).alias("_m"), F.stddev_samp(column).alias("_s"), q.alias("_q"))
+    p = some.groupBy("series_id").agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"), F.avg(column).alias("_m"), F.stddev_samp(column).alias("_s"))
     out = edges.join(p, "series_id", "left")
+    if method in ("robust", "quantile"):
+        q = quantile_rows(some, column, [0.05, 0.5, 0.95], long).withColumnRenamed("q", "_q")
+        out = out.join(q, "series_id", "left")
     if method == "robust":
-        away = some.join(p.select("series_id", "_q"), "series_id").groupBy("series_id").agg((1.4826 * F.percentile(F.abs(x - F.col("_q")[1]), 0.5)).alias("_mad"))
-        out = out.join(away, "series_id", "left")
+        away = some.join(q, "series_id").withColumn("_away", F.abs(x - F.col("_q")[1]))
+        out = out.join(quantile_rows(away, "_away", [0.5], long).select("series_id", (1.4826 * F.col("q")[0]).alias("_mad")), "series_id", "left")
     over = lambda a, b: F.when(b == 0, a).otherwise(a / b)
     kinds = {
         "minmax": lambda: F.when(F.col("_hi") == F.col("_lo"), x).otherwise((x - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))),
@@ -178,18 +192,18 @@ def normalize(edges: DataFrame, column: str = "similarity", method: str = "minma
     return out.select(*edges.columns, "normalized")
 
 
-def prepare_plot(edges: DataFrame, conversion: str = "normalized_inverse", normalization: str = "minmax", threshold: str = "percentile", cut: float = 0.0) -> DataFrame:
+def prepare_plot(edges: DataFrame, conversion: str = "normalized_inverse", normalization: str = "minmax", threshold: str = "percentile", cut: float = 0.0, long: bool = False) -> DataFrame:
     """Similarities, normalised; those below a percentile (of positive ones) or an absolute cut become 0."""
-    out = normalize(similarity(edges, conversion), "similarity", normalization)
+    out = normalize(similarity(edges, conversion, long=long), "similarity", normalization, long=long)
     if threshold == "percentile":
-        least = out.where("normalized > 0").groupBy("series_id").agg(F.percentile("normalized", float(cut)).alias("_cut"))
+        least = quantile_rows(out.where("normalized > 0"), "normalized", [cut], long).select("series_id", F.col("q")[0].alias("_cut"))
         out = out.join(least, "series_id", "left")
     else:
         out = out.withColumn("_cut", F.lit(float(cut)))
     return out.withColumn("weight", F.when(F.col("normalized") >= F.col("_cut"), F.col("normalized")).otherwise(0.0)).drop("_cut")
 
 
-def build_network(edges: DataFrame, method: str = "full", k: int = 5, epsilon: float | None = None, threshold: float | None = None, percentile: float = 0.2, sigma: float | None = None, normalized: bool = False) -> DataFrame:
+def build_network(edges: DataFrame, method: str = "full", k: int = 5, epsilon: float | None = None, threshold: float | None = None, percentile: float = 0.2, sigma: float | None = None, normalized: bool = False, long: bool = False) -> DataFrame:
     """Weighted undirected edges (series_id, src, dst, weight) of a proximity network.
 
     ``full`` keeps similarities 1 - d/max above 0, ``gaussian`` the kernel; the others
@@ -209,9 +223,9 @@ def build_network(edges: DataFrame, method: str = "full", k: int = 5, epsilon: f
         big = big.withColumn("distance", F.col("distance") / F.when(F.col("_endless") == 1, 10 * F.col("_max")).otherwise(F.col("_max")))
     out = big.drop("_max", "_endless")
     if method == "percentile" or method == "threshold" and threshold is None:
-        out = _scalars(out, _q=F.percentile("distance", 0.25 if method == "threshold" else float(percentile)))
+        out = _with_quantile(out, "_q", 0.25 if method == "threshold" else percentile, long)
     elif method == "gaussian" and sigma is None:
-        out = _scalars(out, _med=F.percentile("distance", 0.5))
+        out = _with_quantile(out, "_med", 0.5, long)
     d, positive = F.col("distance"), F.col("distance") > 0
     if method == "gaussian":
         s = F.lit(float(sigma)) if sigma is not None else F.col("_med")
@@ -300,9 +314,10 @@ def indexed_network(vectors: DataFrame, method: str = "knn", k: int = 5, epsilon
     return _nearest_union(reduce(DataFrame.unionByName, parts), k)
 
 
-def recommend(edges: DataFrame) -> DataFrame:
+def recommend(edges: DataFrame, long: bool = False) -> DataFrame:
     """(series_id, method, alternative, value) by the largest distance: k, percentile or quartile threshold."""
-    s = edges.where(_finite() & (F.col("distance") > 0)).groupBy("series_id").agg(F.max("distance").alias("m"), F.percentile("distance", 0.25).alias("q"))
+    some = _usable(edges)
+    s = some.groupBy("series_id").agg(F.max("distance").alias("m")).join(quantile_rows(some, "distance", [0.25], long).select("series_id", F.col("q")[0].alias("q")), "series_id")
     m = F.col("m")
     return s.select("series_id", F.lit("full").alias("method"), F.when(m > 1000, "knn").when(m > 100, "percentile").otherwise("threshold").alias("alternative"), F.when(m > 1000, 5.0).when(m > 100, 0.2).otherwise(F.col("q")).alias("value"))
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import quantiles
+from ..functions.stats import FUZZ_DIGITS
+from ..sources.ranges import quantile_rows
 from ..sources.series import fill_gaps
 
 METHODS = ("none", "center", "standardize", "minmax", "iqr", "robust", "quantile")
@@ -26,23 +27,26 @@ def handle_missing(series: DataFrame, action: str = "omit") -> DataFrame:
     return series.join(stats, "series_id").withColumn("value", F.coalesce("value", "_fill")).select(*series.columns)
 
 
-def scaling_parameters(series: DataFrame, method: str = "standardize", quantile_range: tuple[float, float] = (0.05, 0.95), robust_center: bool = False, center_value: float | None = None) -> DataFrame:
+def scaling_parameters(series: DataFrame, method: str = "standardize", quantile_range: tuple[float, float] = (0.05, 0.95), robust_center: bool = False, center_value: float | None = None, long: bool = False) -> DataFrame:
     """(series_id, center, scale, divisor) and the original statistics of every series.
 
     ``scale`` is what is stored for the inverse; ``divisor`` what values are divided by:
-    1 where a spread is zero (robust scaling first tries the interquartile range).
+    1 where a spread is zero (robust scaling first tries the interquartile range).  With
+    ``long`` no task holds a series' values.
     """
     if method not in METHODS:
         raise ValueError(f"unknown method {method}")
     lo, hi = quantile_range
     stats = series.groupBy("series_id").agg(
         F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("min"), F.max("value").alias("max"),
-        quantiles("value", [0.25, 0.5, 0.75, lo, hi]).alias("q"),
     )
+    q = quantile_rows(series, "value", [0.25, 0.5, 0.75, lo, hi], long).withColumn("q", F.transform("q", lambda v: F.round(v, FUZZ_DIGITS)))
+    stats = stats.join(q, "series_id", "left")
     stats = stats.select("series_id", "mean", F.col("q")[1].alias("median"), "sd", "min", "max", (F.col("q")[2] - F.col("q")[0]).alias("iqr"), F.col("q")[0].alias("q25"), F.col("q")[2].alias("q75"), F.col("q")[3].alias("q_low"), F.col("q")[4].alias("q_high"))
     if method == "robust":
-        away = series.join(stats.select("series_id", "median"), "series_id").groupBy("series_id").agg((MAD * F.percentile(F.abs(F.col("value") - F.col("median")), 0.5)).alias("mad"))
-        stats = stats.join(away, "series_id")
+        away = series.join(stats.select("series_id", "median"), "series_id").withColumn("_away", F.abs(F.col("value") - F.col("median")))
+        away = quantile_rows(away, "_away", [0.5], long).select("series_id", (MAD * F.col("q")[0]).alias("mad"))
+        stats = stats.join(away, "series_id", "left")
     middle = F.col("median") if robust_center else F.col("mean")
     keep = lambda spread: F.when(spread == 0, 1.0).otherwise(spread)
     if method == "none":

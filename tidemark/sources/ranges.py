@@ -77,6 +77,13 @@ def group_quantiles(df: DataFrame, value: str, probs: list[float], keys: list[st
     return one.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_which", q.alias("q"))))["q"].alias("q"))
 
 
+def quantile_rows(df: DataFrame, value: str, probs: list[float], long: bool = False, keys: list[str] = SERIES) -> DataFrame:
+    """(keys, q) as ``group_quantiles`` gives; unless ``long``, a group's distinct values meet in one task."""
+    if long:
+        return group_quantiles(df, value, probs, keys)
+    return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(float(p)) for p in probs])).alias("q"))
+
+
 class Whole:
     """A series is one window partition."""
 
