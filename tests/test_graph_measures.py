@@ -118,3 +118,21 @@ def test_no_edges(spark):
     assert graphs.communities(none).isEmpty() and graphs.path_centralities(none).isEmpty() and graphs.clustering(none).isEmpty()
     with pytest.raises(ValueError):
         graphs.path_centralities(none, 0)
+
+
+def _rows(df):
+    return sorted(df.collect())
+
+
+def test_small_graphs_are_searched_within_few_stages(given, monkeypatch):
+    _, edges = given
+    monkeypatch.setattr(graphs, "_from_sources", None)  # the levels of joins, which took a job each for all graphs
+    assert not graphs.path_centralities(edges).isEmpty()
+
+
+def test_large_graphs_have_the_same_centralities(given, monkeypatch):
+    _, edges = given
+    one = _rows(graphs.path_centralities(edges))
+    monkeypatch.setattr(graphs, "SMALL_NODES", 7)  # the larger graphs go level by level
+    for a, b in zip(one, _rows(graphs.path_centralities(edges)), strict=True):
+        assert tuple(a)[:3] == tuple(b)[:3] and tuple(a)[3:] == pytest.approx(tuple(b)[3:])

@@ -9,12 +9,16 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import written
 
 GAIN_DIGITS = 12
+SMALL_NODES = 512
+"""Nodes of a graph up to which one task searches it (it needs their square); larger graphs are searched by Spark, level by level."""
 
 
 def _links(edges: DataFrame) -> DataFrame:
@@ -24,6 +28,14 @@ def _links(edges: DataFrame) -> DataFrame:
     return both.groupBy("series_id", F.col("e.u").alias("u"), F.col("e.v").alias("v")).agg(F.sum("weight").cast("double").alias("w"))
 
 
+def _by_size(links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Links of the graphs that one task may hold, and of all larger ones, if there are any."""
+    sizes = written(links.select("series_id", "u").distinct().groupBy("series_id").agg(F.count("*").alias("n")), "sizes")
+    part = lambda which: links.join(sizes.where(which), "series_id", "left_semi")
+    large = F.col("n") > SMALL_NODES
+    return part(~large), None if sizes.where(large).isEmpty() else part(large)
+
+
 def communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
     """(series_id, node, community) by local moves that raise modularity, level by level; a community is its smallest node.
 
@@ -97,7 +109,8 @@ def path_centralities(edges: DataFrame, passes: int = 1) -> DataFrame:
     ``betweenness`` the sum over pairs of others of the share of their shortest paths
     that lead through the node.
 
-    Breadth first from every node: a level is one join and one grouping, and only the
+    Breadth first from every node.  A graph of up to ``SMALL_NODES`` nodes is searched in
+    one task.  For larger ones a level is one join and one grouping, and only the
     last two levels can hold a node already met.  Shares flow back level by level.  A
     row for each two nodes of a component is written; ``passes`` starts from so many
     parts of the nodes one after the other, which divides what lies on disk at a time.
@@ -105,6 +118,41 @@ def path_centralities(edges: DataFrame, passes: int = 1) -> DataFrame:
     if passes < 1:
         raise ValueError("at least one pass")
     links = written(_links(edges).select("series_id", "u", "v"), "links")
+    small, large = _by_size(links)
+    types = dict(links.dtypes)
+    shape = f"series_id {types['series_id']}, node {types['u']}, reached long, closeness double, harmonic double, betweenness double"
+    found = small.groupBy("series_id").applyInPandas(_searched, shape)
+    return found if large is None else found.unionByName(_level_by_level(large, passes))
+
+
+def _searched(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The centralities of one graph's nodes from its links (series_id, u, v); a matrix row is a source."""
+    nodes, at = np.unique(pdf["u"].to_numpy(), return_inverse=True)
+    linked = np.zeros((len(nodes), len(nodes)))
+    linked[at, np.searchsorted(nodes, pdf["v"].to_numpy())] = 1.0
+    paths, depth = np.eye(len(nodes)), np.where(np.eye(len(nodes), dtype=bool), 0, -1)
+    level, last = paths, 0
+    while True:
+        level = np.where(depth < 0, level @ linked, 0.0)
+        if not level.any():
+            break
+        last += 1
+        depth[level > 0] = last
+        paths = paths + level
+    through, back = np.zeros(len(nodes)), np.zeros_like(paths)
+    for d in range(last, 0, -1):
+        there = depth == d
+        share = np.where(there, paths * back, 0.0)
+        through += share.sum(axis=0)
+        back = np.where(there, (1 + share) / np.where(there, paths, 1.0), 0.0) @ linked
+    met = depth > 0
+    reached, far = met.sum(axis=1), np.where(met, depth, 0).sum(axis=1)
+    harmonic = np.where(met, 1 / np.where(met, depth, 1), 0.0).sum(axis=1)
+    return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "node": nodes, "reached": reached, "closeness": reached / far, "harmonic": harmonic, "betweenness": through / 2})
+
+
+def _level_by_level(links: DataFrame, passes: int) -> DataFrame:
+    """The centralities of graphs of any size."""
     nodes = links.select("series_id", "u").distinct()
     parts = [_from_sources(links, nodes.where(F.pmod(F.xxhash64("series_id", "u"), F.lit(passes)) == i)) for i in range(passes)]
     sums = reduce(DataFrame.unionByName, parts).groupBy("series_id", "node").agg(*[F.sum(c).alias(c) for c in ("reached", "far", "harmonic", "through")])
