@@ -136,3 +136,16 @@ def test_large_graphs_have_the_same_centralities(given, monkeypatch):
     monkeypatch.setattr(graphs, "SMALL_NODES", 7)  # the larger graphs go level by level
     for a, b in zip(one, _rows(graphs.path_centralities(edges)), strict=True):
         assert tuple(a)[:3] == tuple(b)[:3] and tuple(a)[3:] == pytest.approx(tuple(b)[3:])
+
+
+def test_small_graphs_make_their_rounds_without_jobs(given, monkeypatch):
+    _, edges = given
+    monkeypatch.setattr(graphs, "_settled", None)  # rounds of joins, some dozens of jobs for all graphs
+    assert not graphs.communities(edges).isEmpty()
+
+
+def test_large_graphs_have_the_same_communities(given, monkeypatch):
+    _, edges = given
+    one = _rows(graphs.communities(edges))
+    monkeypatch.setattr(graphs, "SMALL_NODES", 7)
+    assert one == _rows(graphs.communities(edges))
