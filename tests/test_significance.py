@@ -43,3 +43,23 @@ def test_significance_of_synchrony_holds_no_table_in_the_driver(trains):
         own, copies = _es(x, y, 1.0), [_es(c, y, 1.0) for c in _copies(x, 5.0, 7)]
         assert got.pop(s) == pytest.approx((own, np.mean([round(c, 12) >= round(own, 12) for c in copies])))
     assert not got
+
+
+def _far(a, b, tau, lo, hi):
+    x = lo + np.arange(np.floor((hi - lo) / (tau / 10)) + 1) * (tau / 10)
+    part = lambda at: (np.where(x[:, None] >= at, np.exp(-np.maximum(x[:, None] - at, 0) / tau), 0)).sum(1)
+    return np.sqrt(((part(a) - part(b)) ** 2).sum() / 10)
+
+
+def test_filtered_distances_make_no_row_of_a_grid_point(trains):
+    made, a, b = trains
+    found = proximity.van_rossum_significance(a, b, 2.0, surrogates=7)
+    assert "sequence" not in found.drop("p_value")._jdf.queryExecution().optimizedPlan().toString().replace("sequence(0, 7", "")
+    got = {r.series_id: (r.distance, r.p_value) for r in found.collect()}
+    own = {r.series_id: r.distance for r in proximity.van_rossum(a, b, 2.0).collect()}
+    assert set(got) == set(own) == {*made, "only_a", "only_b"}
+    for s, (x, y) in made.items():
+        both = np.concatenate([x, y])
+        far = lambda c, lo=both.min(), hi=both.max() + 10, y=y: _far(c, y, 2.0, lo, hi)
+        copies = [far(c) for c in _copies(x, 10.0, 7)]
+        assert got[s] == pytest.approx((far(x), np.mean([round(c, 9) <= round(far(x), 9) for c in copies])), abs=1e-9) and own[s] == pytest.approx(far(x), abs=1e-9)

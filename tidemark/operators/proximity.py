@@ -487,35 +487,47 @@ def van_rossum(a: DataFrame, b: DataFrame, tau: float) -> DataFrame:
 
     Time is cut into blocks of 20 tau: within one a running sum of growing exponentials
     gives the filter, and of earlier ones the three before still count (exp(-60) is
-    nothing in a double), so the work is in proportion to events and grid points.
+    nothing in a double).  Between two events the filter only decays, so its squares on the
+    grid points there are a geometric series: no grid point is a row, and the work is in
+    proportion to events.
     """
-    both = _signed(a, b)
-    return _filtered_distance(both, _span(both, tau), tau)
-
-
-def _signed(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.select("series_id", "at").withColumn("s", F.lit(1.0)).unionByName(b.select("series_id", "at").withColumn("s", F.lit(-1.0)))
+    both = _sided(a, b)
+    return _filtered_distance(both, _span(both, tau), tau, ["series_id"])
 
 
 def _span(events: DataFrame, tau: float) -> DataFrame:
     return events.groupBy("series_id").agg(F.min("at").alias("lo"), (F.max("at") + 5 * tau).alias("hi"))
 
 
-def _filtered_distance(both: DataFrame, ends: DataFrame, tau: float) -> DataFrame:
-    """(series_id, distance) of signed events on the grid from lo to hi; events before lo have their tails there."""
+def _filtered_distance(both: DataFrame, ends: DataFrame, tau: float, keys: list[str]) -> DataFrame:
+    """(keys, distance) of events (keys, at, of_a) on their series' grid from lo to hi; events before lo have their tails there."""
     dt, wide = tau / 10, 20
-    grid = ends.withColumn("g", F.explode(F.sequence(F.lit(0), F.floor((F.col("hi") - F.col("lo")) / dt).cast("int"))))
-    points = grid.select("series_id", "lo", (F.col("lo") + F.col("g") * dt).alias("at"), F.lit(0.0).alias("s"), F.lit(1).alias("point"))
-    rows = both.join(ends.drop("hi"), "series_id").select("series_id", "lo", "at", "s", F.lit(0).alias("point")).unionByName(points)
-    rows = rows.withColumn("block", F.floor((F.col("at") - F.col("lo")) / (wide * tau))).withColumn("rel", (F.col("at") - F.col("lo")) / tau - F.col("block") * wide)
-    grown = F.col("s") * F.exp("rel")
-    totals = rows.where("point = 0").groupBy("series_id", "block").agg(F.sum(grown).alias("total"))
-    later = totals.withColumn("d", F.explode(F.array(*[F.lit(d) for d in (1, 2, 3)])))
-    carried = later.groupBy("series_id", (F.col("block") + F.col("d")).alias("block")).agg(F.sum(F.col("total") * F.exp(-wide * F.col("d").cast("double"))).alias("carried"))
-    order = Window.partitionBy("series_id", "block").orderBy("at", "point").rowsBetween(Window.unboundedPreceding, 0)
-    seen = rows.withColumn("own", F.sum(grown).over(order)).where("point = 1").join(carried, ["series_id", "block"], "left")
-    f = (F.col("own") + F.coalesce("carried", F.lit(0.0))) * F.exp(-F.col("rel"))
-    return seen.groupBy("series_id").agg(F.sqrt(F.sum(f * f) * dt / tau).alias("distance"))
+    rows = both.join(ends, "series_id").withColumn("block", F.floor((F.col("at") - F.col("lo")) / (wide * tau)))
+    rows = rows.select(*keys, "lo", "hi", "block", "at", F.when(F.col("of_a"), 1.0).otherwise(-1.0).alias("s"), ((F.col("at") - F.col("lo")) / tau - F.col("block") * wide).alias("rel"))
+    totals = rows.groupBy(*keys, "lo", "hi", "block").agg(F.sum(F.col("s") * F.exp("rel")).alias("total"))
+    later = totals.withColumn("d", F.explode(F.array(*[F.lit(d) for d in (1, 2, 3)]))).withColumn("block", F.col("block") + F.col("d"))
+    carried = later.groupBy(*keys, "lo", "hi", "block").agg(F.sum(F.col("total") * F.exp(-wide * F.col("d").cast("double"))).alias("s"))
+    # What earlier blocks leave is an event at the block's start.
+    start = lambda block: F.col("lo") + block * (wide * tau)
+    rows = rows.unionByName(carried.withColumns({"at": start(F.col("block")), "rel": F.lit(0.0)}))
+    last = F.floor((F.col("hi") - F.col("lo")) / dt)
+
+    def first_point(at: Column) -> Column:
+        """The first grid point that is not before ``at``; one past the last, if all are."""
+        near = F.ceil((at - F.col("lo")) / dt)
+        point = lambda g: F.col("lo") + g * dt
+        exact = F.when(point(near - 1) >= at, near - 1).when(point(near) < at, near + 1).otherwise(near)
+        return F.greatest(F.lit(0), F.least(last + 1, exact))
+
+    order = Window.partitionBy(*keys, "block").orderBy("at")
+    seen = rows.withColumns({
+        "own": F.sum(F.col("s") * F.exp("rel")).over(order.rowsBetween(Window.unboundedPreceding, 0)),
+        "from": first_point(F.col("at")), "to": first_point(F.coalesce(F.lead("at").over(order), start(F.col("block") + 1))),
+    })
+    f = F.col("own") * F.exp(F.col("block") * wide - F.col("from") * dt / tau)
+    points, fall = F.col("to") - F.col("from"), -2 * dt / tau
+    squares = F.when(points > 0, f * f * F.expm1(points * fall) / F.expm1(F.lit(fall))).otherwise(0.0)
+    return seen.groupBy(*keys).agg(F.sqrt(F.sum(squares) * dt / tau).alias("distance"))
 
 
 def van_rossum_significance(a: DataFrame, b: DataFrame, tau: float, surrogates: int = 100, reach: float | None = None) -> DataFrame:
@@ -524,13 +536,6 @@ def van_rossum_significance(a: DataFrame, b: DataFrame, tau: float, surrogates:
     Copies are moved by up to ``reach`` (default 5 tau) and filtered on the grid of the
     two trains themselves.
     """
-    group = F.struct("series_id", "surrogate")
-    copies = jittered(a, 5 * tau if reach is None else reach, surrogates).select(group.alias("series_id"), "at")
-    numbers = F.broadcast(a.sparkSession.range(1, surrogates + 1).select(F.col("id").cast("int").alias("surrogate")))  # a documented number
-    spread = lambda df: df.join(numbers).select(group.alias("series_id"), *[c for c in df.columns if c != "series_id"])
-    both = _signed(a, b)
-    ends = _span(both, tau)
-    found = _filtered_distance(_signed(copies, spread(b)), spread(ends), tau).select(F.col("series_id.series_id").alias("series_id"), F.round("distance", 9).alias("copy"))
-    seen = _filtered_distance(both, ends, tau)
-    nearer = F.avg((F.col("copy") <= F.round("distance", 9)).cast("double"))
-    return found.join(seen, "series_id").groupBy("series_id").agg(F.first("distance").alias("distance"), nearer.alias("p_value"))
+    events = _with_copies(a, b, 5 * tau if reach is None else reach, surrogates)
+    found = _filtered_distance(events, _span(_sided(a, b), tau), tau, ["series_id", "surrogate"])
+    return _share_of_copies(found, "distance", 9, lambda copy, own: copy <= own)
