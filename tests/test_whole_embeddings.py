@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from tidemark.operators import proximity
 from tidemark.plans.queries import QUERIES
 
 
@@ -15,3 +16,16 @@ def test_pairs_of_all_labels(spark, tmp_path):
     want = {(i, j): np.linalg.norm(x[i].astype(float) - x[j]) for i in range(28) for j in range(i + 1, 28) if label[i] == label[j]}
     assert set(got) == set(want)
     assert all(got[k] == pytest.approx(v, abs=2e-7) for k, v in want.items())
+
+
+def test_blocks_give_the_rows_of_all_pairs(spark):
+    rng = np.random.default_rng(6)
+    rows = [("a" if i % 3 else "b", i, [float(v) for v in rng.normal(size=5)]) for i in range(40)]
+    rows += [("a", 50, None), ("b", 51, [1.0, None, 0.0, 0.0, 0.0]), ("b", 52, [float("nan")] * 5), ("one", 53, [0.0] * 5), (None, 54, [0.0] * 5), (None, 55, [0.0] * 5)]
+    vectors = spark.createDataFrame(rows, "series_id string, window_id long, x array<double>").repartition(3)
+    want = sorted(map(repr, proximity.pairwise(vectors).where("series_id IS NOT NULL").collect()))
+    for block in (4, 1024):
+        assert sorted(map(repr, proximity.pairwise_by_blocks(vectors, block).collect())) == want
+    uneven = spark.createDataFrame([("a", 1, [1.0]), ("a", 2, [1.0, 2.0])], "series_id string, window_id long, x array<double>")
+    with pytest.raises(Exception, match="differ in length"):
+        proximity.pairwise_by_blocks(uneven).collect()
