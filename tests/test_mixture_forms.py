@@ -66,3 +66,19 @@ def test_forms_in_turn(spark, monkeypatch, shapes, small):
         assert len({got[k, t] for t in range(len(x))}) == K
     if small:
         assert forms == {"own", "equal", "means"}
+
+
+def test_short_series_are_fitted_together(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    rows = [(f"s{i}", t + 1, float(round(x, 1))) for i in range(24) for t, x in enumerate(rng.normal(rng.integers(0, 3, 20 + 3 * i) * 8.0, 1 + i % 3))]
+    series = spark.createDataFrame(rows, "series_id string, t long, value double").coalesce(1)
+    states = lambda: {(r.series_id, r.t): r.state for r in discretize.discretize(series, "mixture", 3).collect()}
+    together = states()
+    monkeypatch.setattr(clustering, "SHORT", 0)  # each in a group of its own
+    assert together == states() and len(together) == len(rows)
+    values, n = np.array([[0.0, 1, 5, 6, 6], [0, 2, 4, 9, 11]]), np.array([[2.0, 1, 1, 3, 0], [1, 1, 1, 1, 1]])
+    start = [np.array([[1.0, 5], [2, 9]]), np.ones((2, 2)), np.full((2, 2), 0.5)]
+    both = clustering.mixture_fits(values, n, *start, np.full(2, 1e-3))
+    for i, wide in enumerate((4, 5)):
+        alone = clustering.mixture_fits(values[i : i + 1, :wide], n[i : i + 1, :wide], *(c[i : i + 1] for c in start), np.full(1, 1e-3))
+        assert all(np.allclose(a[i], b[0], rtol=0, atol=1e-9) for a, b in zip(both, alone))

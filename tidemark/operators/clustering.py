@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -18,51 +19,83 @@ from .proximity import components, mirrored, pairwise, windows
 
 SMALL = 50_000
 """Distinct values of a series up to which one task fits its mixture; longer series are fitted by Spark, step by step."""
+SHORT, CELLS = 1_000, 10_000
+"""Distinct values of a series up to which many series are fitted at once, and how many values that may be together."""
 MAX_WINDOWS = 2_000
 """Windows of one series up to which one task links them (it needs their square); longer series are linked by Spark, round by round."""
 CLOSE = 1e-8
 """A mixture has settled when its mean log likelihood grows by less than this a step; it has an upper bound, so every mixture does."""
 
 
-def mixture_step(values: np.ndarray, n: np.ndarray, m: np.ndarray, v: np.ndarray, w: np.ndarray, floor: float, equal: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """New means, variances (one for all, if ``equal``) and weights after one step of expectation maximisation, and the old ones' mean log likelihood."""
-    logs = np.log(w + 1e-300) - np.log(v) / 2 - (values[:, None] - m) ** 2 / (2 * v)
-    top = logs.max(axis=1, keepdims=True)
+def mixture_step(values: np.ndarray, n: np.ndarray, m: np.ndarray, v: np.ndarray, w: np.ndarray, floor: np.ndarray | float, equal: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """New means, variances (one for all, if ``equal``) and weights after one step of expectation maximisation, and the old ones' mean log likelihood.
+
+    For one series or, with one more dimension in front, for several.
+    """
+    of = lambda c: c[..., None, :]
+    x = values[..., None]
+    logs = of(np.log(w + 1e-300) - np.log(v) / 2) - (x - of(m)) ** 2 / of(2 * v)
+    top = logs.max(axis=-1, keepdims=True)
     r = np.exp(logs - top)
-    total = r.sum(axis=1, keepdims=True)
-    likelihood = float((n * (np.log(total[:, 0]) + top[:, 0])).sum() / n.sum())
-    r = r / total * n[:, None]
-    s = r.sum(axis=0)
+    total = r.sum(axis=-1, keepdims=True)
+    all_n = n.sum(axis=-1)
+    likelihood = (n * (np.log(total[..., 0]) + top[..., 0])).sum(axis=-1) / all_n
+    r = r / total * n[..., None]
+    s = r.sum(axis=-2)
     some = s > 0
     safe = np.where(some, s, 1)
-    mean = np.where(some, (r * values[:, None]).sum(axis=0) / safe, m)
-    around = np.where(some, (r * (values[:, None] - m) ** 2).sum(axis=0) / safe - (mean - m) ** 2, 0)
+    mean = np.where(some, (r * x).sum(axis=-2) / safe, m)
+    around = np.where(some, (r * (x - of(m)) ** 2).sum(axis=-2) / safe - (mean - m) ** 2, 0)
     if equal:
-        around = np.full(len(m), (s * around).sum() / n.sum())
-    return mean, np.maximum(around, floor), s / n.sum(), likelihood
+        around = np.broadcast_to(((s * around).sum(axis=-1) / all_n)[..., None], m.shape)
+    return mean, np.maximum(around, np.asarray(floor)[..., None]), s / all_n[..., None], likelihood
 
 
-def mixture_fit(values: np.ndarray, n: np.ndarray, m: np.ndarray, v: np.ndarray, w: np.ndarray, floor: float, equal: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The settled mixture of values with counts."""
-    before = -np.inf
+def mixture_fits(values: np.ndarray, n: np.ndarray, m: np.ndarray, v: np.ndarray, w: np.ndarray, floor: np.ndarray, equal: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The settled mixtures of several series at once, one a row; rows are filled up with values of count zero, and a settled one leaves."""
+    out = tuple(np.empty_like(c) for c in (m, v, w))
+    at, before = np.arange(len(m)), np.full(len(m), -np.inf)
     while True:
         *new, likelihood = mixture_step(values, n, m, v, w, floor, equal)
-        if not likelihood - before >= CLOSE:
-            return m, v, w
+        go = likelihood - before >= CLOSE
+        for o, c in zip(out, (m, v, w)):
+            o[at[~go]] = c[~go]
+        if not go.any():
+            return out
         m, v, w, before = *new, likelihood
+        if not go.all():
+            at, values, n, m, v, w, floor, before = (c[go] for c in (at, values, n, m, v, w, floor, before))
 
 
 def _settled(points: DataFrame, first: DataFrame, k: int, equal: bool) -> DataFrame:
     """(series_id, m, v, w) of the settled mixtures of (series_id, value, n) that begin as ``first`` says."""
 
+    def fitted(names: list[str], values: list[np.ndarray], counts: list[np.ndarray], start: list[np.ndarray], floor: np.ndarray) -> pd.DataFrame:
+        wide = max(map(len, values))
+        x = np.array([np.pad(p, (0, wide - len(p)), "edge") for p in values])
+        n = np.array([np.pad(p, (0, wide - len(p))) for p in counts])
+        m, v, w = mixture_fits(x, n, *start, floor, equal)
+        return pd.DataFrame({"series_id": names, "m": m.tolist(), "v": v.tolist(), "w": w.tolist()})
+
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        one = pdf.iloc[0]
+        one = pdf.iloc[:1]
         pdf = pdf.sort_values("value")
-        m, v, w = mixture_fit(pdf["value"].to_numpy(float), pdf["n"].to_numpy(float), *(np.asarray(one[c], float) for c in "mvw"), float(one["floor"]), equal)
-        return pd.DataFrame({"series_id": [one["series_id"]], "m": [m.tolist()], "v": [v.tolist()], "w": [w.tolist()]})
+        return fitted(one["series_id"].tolist(), [pdf["value"].to_numpy(float)], [pdf["n"].to_numpy(float)], [np.array(one[c].tolist(), float) for c in "mvw"], one["floor"].to_numpy(float))
+
+    def fit_many(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf.sort_values("u")
+            lo = 0
+            while lo < len(pdf):  # neighbours in length together, some CELLS values at a time
+                part = pdf.iloc[lo : lo + max(1, CELLS // int(pdf["u"].iloc[lo]))]
+                lo += len(part)
+                rows = [np.array([(p["value"], p["n"]) for p in rows], float) for rows in part["points"]]
+                yield fitted(part["series_id"].tolist(), [r[:, 0] for r in rows], [r[:, 1] for r in rows], [np.array(part[c].tolist(), float) for c in "mvw"], part["floor"].to_numpy(float))
 
     shape = "series_id string, m array<double>, v array<double>, w array<double>"
-    done = [points.join(first.where(F.col("u") <= SMALL), "series_id").groupBy("series_id").applyInPandas(fit, shape)]
+    short = points.join(first.where(F.col("u") <= SHORT).select("series_id"), "series_id", "left_semi").groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("value", "n"))).alias("points"))
+    done = [short.join(first, "series_id").mapInPandas(fit_many, shape)]
+    done.append(points.join(first.where((F.col("u") > SHORT) & (F.col("u") <= SMALL)), "series_id").groupBy("series_id").applyInPandas(fit, shape))
     moving = first.where(F.col("u") > SMALL).select("series_id", "floor", "m", "v", "w", F.lit(float("-inf")).alias("before"))
     while not moving.isEmpty():
         rows = _weighed(points.join(moving, "series_id"), k)
