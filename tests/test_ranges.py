@@ -65,3 +65,15 @@ def test_no_task_holds_the_series(long, spark):
 def test_empty(spark):
     none = spark.createDataFrame([], "series_id string, t long, value double")
     assert regime.detect_regime(none, block=10).count() == 0 and rolling.rolling_measures(none, block=10).count() == 0
+
+
+def test_smart_regimes_of_ranges_sort_no_values_and_leave_scans(long, monkeypatch):
+    """No quantile is taken that no detector in use compares, and rows with carried values are a scan and a small table."""
+    want = regime.detect_regime(long)
+    monkeypatch.setattr(ranges, "group_quantiles", lambda *_: pytest.fail("quantiles without use"))
+    same(regime.detect_regime(long, block=100), want)
+    within = ranges.Ranges(100)
+    carried = within.before(within.rows(long), {"_top": F.col("value")})
+    plan = carried._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SortMergeJoin" not in plan
+    same(carried.drop("_block").withColumn("_i", F.col("_i").cast("int")), ranges.Whole().before(ranges.Whole().rows(long), {"_top": F.col("value")}))

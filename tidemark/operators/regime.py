@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.ranges import Whole, scope
-from ..sources.series import fill_gaps
+from ..sources.series import filled
 from ..sources.tables import written
 from .earlier import last_near
 
@@ -61,22 +61,28 @@ def _with_regime_ids(within: Whole, df: DataFrame, flag: str, name: str) -> Data
     return df.withColumn(name, (1 + F.coalesce("_so_far", F.lit(0)) + counted).cast("long")).drop("_so_far")
 
 
-def _prepared(within: Whole, series: DataFrame, p: Parameters, min_size: int | None) -> DataFrame:
+def _prepared(within: Whole, rows: DataFrame, p: Parameters, min_size: int | None, used: tuple[str, ...]) -> DataFrame:
+    """Numbered rows with what the detectors in use compare; quantiles only for those that need them."""
     by, h = within.by(), p.window // 2
     left, right = by.rowsBetween(-p.window, -1), by.rowsBetween(1, p.window)
     x = F.col("value")
-    out = within.rows(series, p.window + 1, p.window + 1).withColumns({
+    label = lambda v: F.when(v >= F.col("_q")[1], 3).when(v <= F.col("_q")[0], 1).otherwise(2)
+    out = within.totals(rows.select(*within.part, "t", "_i", "value"), {"_n": F.count("*")})
+    if "threshold" in used:
+        out = within.quantiles(out, "_q", "value", [0.25, 0.75])
+    out = within.framed(out, p.window + 1, p.window + 1).withColumns({
         "_lag": F.lag("value").over(by), "_lead": F.lead("value").over(by),
         "_m0": F.avg(x).over(left), "_m1": F.avg(x).over(right),
         "_s0": F.var_samp(x).over(left), "_s1": F.var_samp(x).over(right),
         "_rv": F.var_samp(x).over(by.rowsBetween(-h, h)),
     })
-    out = within.own(out.withColumn("_rd", F.abs(F.col("_rv") - F.lag("_rv").over(by))))
-    out = within.totals(out, {"_n": F.count("*")})
-    out = within.quantiles(within.quantiles(out, "_q", "value", [0.25, 0.75]), "_rq", "_rd", [0.9])
+    out = within.own(out.withColumn("_rd", F.abs(F.col("_rv") - F.lag("_rv").over(by))), keep="entropy" in used)
+    if "entropy" in used:
+        out = within.quantiles(out, "_rq", "_rd", [0.9]).withColumn("_rq", F.col("_rq")[0])
+    if "threshold" in used:
+        out = out.withColumns({"_label": label(x), "_label0": F.when(F.col("_i") > 1, label(F.col("_lag")))})
     least = F.lit(min_size) if min_size is not None else F.greatest(F.lit(10), F.floor(F.col("_n") * 0.1))
-    label = lambda v: F.when(v >= F.col("_q")[1], 3).when(v <= F.col("_q")[0], 1).otherwise(2)
-    return out.withColumns({"_least": least, "_rq": F.col("_rq")[0], "_label": label(x), "_label0": F.when(F.col("_i") > 1, label(F.col("_lag")))})
+    return out.withColumn("_least", least)
 
 
 def _raw(p: Parameters) -> dict[str, Column]:
@@ -143,17 +149,18 @@ def detect_changes(series: DataFrame, method: str = "smart", sensitivity: str =
     (votes of the six).  ``min_size`` defaults to a tenth of the series, 10 at least.
     Nulls should be filled before.  ``block`` cuts series into ranges of so many rows.
     """
-    out = _detected(scope(block), series, method, sensitivity, window, min_size)
+    within = scope(block)
+    out = _detected(within, within.rows(series), method, sensitivity, window, min_size)
     return out.select("series_id", "t", "complexity", "regime_change", "regime_id", "change_type", "change_magnitude", "confidence", "min_size")
 
 
-def _detected(within: Whole, series: DataFrame, method: str, sensitivity: str, window: int, min_size: int | None) -> DataFrame:
-    """The columns of ``detect_changes``, and those that the scope's blocks are known by."""
+def _detected(within: Whole, rows: DataFrame, method: str, sensitivity: str, window: int, min_size: int | None) -> DataFrame:
+    """The columns of ``detect_changes`` for numbered rows, and those that the scope's blocks are known by."""
     p = Parameters.of(sensitivity, window)
     if method not in (*METHODS, "smart", "all"):
         raise ValueError(f"unknown method {method}")
     used = {"smart": ("gradient", "cumulative_peaks", "changepoint"), "all": METHODS}.get(method, (method,))
-    raw, out = _raw(p), _prepared(within, series, p, min_size).withColumn("_w", F.lit(p.window))
+    raw, out = _raw(p), _prepared(within, rows, p, min_size, used).withColumn("_w", F.lit(p.window))
     out = out.withColumns({f"_r_{m}": F.coalesce(raw[m], F.lit(False)) for m in used})
     out = _gap_filtered(within, out, {f"_c_{m}": f"_r_{m}" for m in used}, "_least")
     magnitude = _magnitudes()
@@ -171,19 +178,21 @@ def _detected(within: Whole, series: DataFrame, method: str, sensitivity: str, w
         votes = sum(flags[1:], flags[0])
         need = 1 if method == "smart" else max(1, math.floor(p.votes * len(used)))
         out = out.withColumn("_votes", votes).withColumn("_any", F.col("_votes") >= need)
-        out = _gap_filtered(within, out, {"_change": "_any"}, "_least")
         change = F.col("_change")
         if method == "smart":
             short = {"gradient": "gradient", "cumulative_peaks": "peaks", "changepoint": "changepoint"}
             fired = F.array_join(F.array(*[F.when(F.col(f"_c_{m}"), short[m]) for m in used]), "+")
-            mean = lambda of: sum((F.when(F.col(f"_c_{m}"), of(m)).otherwise(0.0) for m in used), F.lit(0.0)) / F.col("_votes")
-            kind = F.when(change, F.concat(F.lit("smart_"), fired)).otherwise("none")
-            size = F.when(change, mean(lambda m: magnitude[m])).otherwise(0.0)
-            sure = F.when(change, mean(lambda m: F.lit(_NAMES[m][1]))).otherwise(0.0)
+            mean = lambda of: sum((F.when(F.col(f"_c_{m}"), of(m)).otherwise(0.0) for m in used), F.lit(0.0)) / F.when(F.col("_any"), F.col("_votes"))
+            at_change = {"_kind": F.concat(F.lit("smart_"), fired), "_size": mean(lambda m: magnitude[m]), "_sure": mean(lambda m: F.lit(_NAMES[m][1]))}
+            size, sure = (F.when(change, F.col(c)).otherwise(0.0) for c in ("_size", "_sure"))
         else:
             share = F.col("_votes") / len(used)
-            kind = F.when(change, F.concat(F.lit("ensemble_vote_"), F.bround(share * 100).cast("int"), F.lit("%"))).otherwise("none")
-            size = sure = share
+            at_change = {"_kind": F.concat(F.lit("ensemble_vote_"), F.bround(share * 100).cast("int"), F.lit("%")), "_share": share}
+            size = sure = F.col("_share")
+        kind = F.when(change, F.col("_kind")).otherwise("none")
+        # What frames left is of no use any more, and need not be written with the rows.
+        out = out.select(*within.part, "t", "_i", "value", "_least", "_any", *[c.alias(k) for k, c in at_change.items()])
+        out = _gap_filtered(within, out, {"_change": "_any"}, "_least")
     return _with_regime_ids(within, out, "_change", "_id").select(
         *within.part, "t", "_i", F.col("value").alias("complexity"), F.col("_change").alias("regime_change"), F.col("_id").alias("regime_id"),
         kind.alias("change_type"), F.coalesce(size, F.lit(0.0)).alias("change_magnitude"), sure.cast("double").alias("confidence"), F.col("_least").cast("long").alias("min_size"),
@@ -216,21 +225,31 @@ def with_stability(found: DataFrame, within: Whole | None = None) -> DataFrame:
     """Adds stability_score (length over twice the least size, at most 1) and its class."""
     within = within or Whole()
     out = within.totals(within.totals(found, {"_n": F.count("*")}), {"_length": F.count("*")}, ["series_id", "regime_id"])
+    return _scored(out, F.col("min_size")).drop("_n", "_length")
+
+
+def _scored(df: DataFrame, least: Column) -> DataFrame:
+    """Adds the stability by a series' length ``_n`` and a regime's ``_length``."""
     n, length = F.col("_n"), F.col("_length")
-    score = F.when(n == 1, 0.5).otherwise(F.least(F.lit(1.0), length / (F.col("min_size") * 2)))
+    score = F.when(n == 1, 0.5).otherwise(F.least(F.lit(1.0), length / (least * 2)))
     kind = F.when((F.col("stability_score") > 0.7) | (n == 1), "Stable").when(F.col("stability_score") > 0.3, "Transitional").otherwise("Unstable")
-    return out.withColumn("stability_score", score).withColumn("regime_stability", kind).drop("_n", "_length")
+    return df.withColumn("stability_score", score).withColumn("regime_stability", kind)
 
 
 def regime_patterns(found: DataFrame, within: Whole | None = None) -> DataFrame:
     """One row a regime: its length, mean, slope and trend pattern."""
-    within = within or Whole()
+    return _patterns(found, within or Whole())
+
+
+def _patterns(found: DataFrame, within: Whole, **more: Column) -> DataFrame:
+    """``regime_patterns``, and more aggregates of the regimes' rows."""
     numbered = found if "_i" in found.columns else within.rows(found)
     keys = ["series_id", "regime_id"]
     placed = within.totals(numbered, {"_i0": F.min("_i")}, keys).withColumn("_p", (F.col("_i") - F.col("_i0") + 1).cast("double"))
     stats = placed.groupBy(*keys).agg(
         F.count("*").alias("n"), F.min("t").alias("start"), F.max("t").alias("end"), F.avg("complexity").alias("mean"),
         F.var_samp("complexity").alias("variance"), F.expr("regr_slope(complexity, _p)").alias("slope"),
+        *[c.alias(k) for k, c in more.items()],
     )
     wild = (F.col("mean") > 1e-9) & (F.col("variance") / F.col("mean") > 0.1)
     pattern = (
@@ -257,12 +276,13 @@ def detect_regime(series: DataFrame, method: str = "smart", sensitivity: str = "
     ``block`` cuts series into ranges of so many rows.
     """
     within = scope(block)
-    found = _detected(within, fill_gaps(series, block), method, sensitivity, window, min_size)
+    found = _detected(within, filled(within, within.rows(series)), method, sensitivity, window, min_size)
     if consolidate_similar:
         found = consolidate(found, similarity, within)
-    found = within.own(found)
-    patterns = regime_patterns(found, within).select("series_id", "regime_id", "complexity_pattern")
-    out = within.totals(with_stability(found, within), {"_total": F.max("regime_id")})
-    out = within.brought(out, patterns, ["series_id", "regime_id"])
-    out = out.withColumn("regime_name", regime_name(F.col("regime_id"), F.col("_total")))
-    return out.drop("_total", "_i", *within.part[1:])
+    # All but the changes belongs to regimes, of which there are fewer than rows.
+    each = _patterns(found, within, _least=F.max("min_size")).select("series_id", "regime_id", F.col("n").alias("_length"), "_least", "complexity_pattern")
+    each = _scored(within.among(each, {"_n": F.sum("_length"), "_total": F.max("regime_id")}), F.col("_least"))
+    named = each.withColumn("regime_name", regime_name(F.col("regime_id"), F.col("_total")))
+    keys = ["series_id", "regime_id"]
+    out = within.brought(found, named.select(*keys, "stability_score", "regime_stability", "complexity_pattern", "regime_name"), keys)
+    return out.drop("_i", *within.part[1:])

@@ -93,14 +93,22 @@ class Whole:
         """``series`` with its row number ``_i``, and all that frames of so many rows need."""
         return series.withColumn("_i", F.row_number().over(self.by()))
 
+    def framed(self, rows: DataFrame, before: int = 0, after: int = 0) -> DataFrame:
+        """Numbered rows with all that frames of so many rows need."""
+        return rows
+
     def by(self, *extra: str) -> WindowSpec:
         """What frames are made of."""
         return Window.partitionBy(*self.part, *extra).orderBy("t")
 
-    def own(self, df: DataFrame) -> DataFrame:
-        """The rows without those that only frames needed."""
+    def own(self, df: DataFrame, keep: bool = True) -> DataFrame:
+        """The rows without those that only frames needed; to ``keep`` them is for what is read more than once."""
         return df
 
+    def among(self, df: DataFrame, aggs: dict[str, Column], keys: list[str] = SERIES) -> DataFrame:
+        """``totals`` of a table that has no blocks, as one of regimes."""
+        return Whole.totals(self, df, aggs, keys)
+
     def totals(self, df: DataFrame, aggs: dict[str, Column], keys: list[str] = SERIES) -> DataFrame:
         """``df`` with aggregates over all rows of equal keys."""
         return df.withColumns({k: a.over(Window.partitionBy(*keys)) for k, a in aggs.items()})
@@ -130,16 +138,23 @@ class Ranges(Whole):
         self.size = size
 
     def rows(self, series: DataFrame, before: int = 0, after: int = 0) -> DataFrame:
-        out = numbered(series, SERIES, ["t"], "_i")
+        return self.framed(numbered(series, SERIES, ["t"], "_i"), before, after)
+
+    def framed(self, rows: DataFrame, before: int = 0, after: int = 0) -> DataFrame:
         at = F.col("_i") - 1
         own = F.floor(at / self.size)
         if not before and not after:
-            return out.withColumn("_block", own)
+            return rows.withColumn("_block", own)
         first, last = F.greatest(F.lit(0), F.floor((at - after) / self.size)), F.floor((at + before) / self.size)
-        return out.withColumn("_own", own).withColumn("_block", F.explode(F.sequence(first, last)))
+        return rows.withColumn("_own", own).withColumn("_block", F.explode(F.sequence(first, last)))
+
+    def own(self, df: DataFrame, keep: bool = True) -> DataFrame:
+        out = df.where("_block = _own").drop("_own") if "_own" in df.columns else df
+        return written(out, "blocks") if keep else out
 
-    def own(self, df: DataFrame) -> DataFrame:
-        return written(df.where("_block = _own").drop("_own") if "_own" in df.columns else df, "blocks")
+    def among(self, df: DataFrame, aggs: dict[str, Column], keys: list[str] = SERIES) -> DataFrame:
+        df = written(df, "table")
+        return df.join(df.groupBy(*keys).agg(*[a.alias(k) for k, a in aggs.items()]), keys)
 
     def totals(self, df: DataFrame, aggs: dict[str, Column], keys: list[str] = SERIES) -> DataFrame:
         sums = df.groupBy(*keys).agg(*[a.alias(k) for k, a in aggs.items()])
@@ -147,8 +162,9 @@ class Ranges(Whole):
 
     def brought(self, df: DataFrame, sums: DataFrame, keys: list[str] = SERIES) -> DataFrame:
         # First to each block that has such rows, then within it: no task meets all rows of a key.
+        # Written, so that its size is known and a small one is sent to the rows, not the rows to it.
         every = list(dict.fromkeys([*self.part, *keys]))
-        blocks = df.select(*every).distinct().join(sums, keys, "left")
+        blocks = written(df.select(*every).distinct().join(sums, keys, "left"), "brought")
         return df.join(blocks, every)
 
     def quantiles(self, df: DataFrame, name: str, value: str, probs: list[float]) -> DataFrame:
@@ -158,20 +174,21 @@ class Ranges(Whole):
         turn = F.desc if backwards else F.asc
         inside = Window.partitionBy(*self.part).orderBy(turn("t")).rowsBetween(Window.unboundedPreceding, -1)
         earlier = Window.partitionBy(*SERIES).orderBy(turn("_block")).rowsBetween(Window.unboundedPreceding, -1)
-        made = written(df.withColumns({f"_v_{k}": v for k, v in values.items()}), "carried")
+        # Rows are written with what is known inside their block; all that follows is a scan and one small table.
+        made = written(df.withColumns({f"_n_{k}": _AGGREGATES[how](v).over(inside) for k, v in values.items()}), "inside")
         if how == "last":  # of a block: the known value of the last row
-            known = {k: F.max(F.when(F.col(f"_v_{k}").isNotNull(), F.struct((-F.col("_i") if backwards else F.col("_i")).alias("i"), F.col(f"_v_{k}").alias("v"))))["v"] for k in values}
+            known = {k: F.max(F.when(v.isNotNull(), F.struct((-F.col("_i") if backwards else F.col("_i")).alias("i"), v.alias("v"))))["v"] for k, v in values.items()}
         else:
-            known = {k: _AGGREGATES[how](F.col(f"_v_{k}")) for k in values}
+            known = {k: _AGGREGATES[how](v) for k, v in values.items()}
         blocks = made.groupBy(*self.part).agg(*[a.alias(f"_b_{k}") for k, a in known.items()])
         carried = blocks.select(*self.part, *[_AGGREGATES[how](F.col(f"_b_{k}")).over(earlier).alias(f"_b_{k}") for k in values])
-        joined = made.withColumns({f"_n_{k}": _AGGREGATES[how](F.col(f"_v_{k}")).over(inside) for k in values}).join(carried, self.part)
+        joined = made.join(written(carried, "carried"), self.part)
         both = {
             "max": lambda a, b: F.greatest(a, b), "last": lambda a, b: F.coalesce(a, b),
             "sum": lambda a, b: F.when(a.isNotNull() | b.isNotNull(), F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))),
         }[how]
         out = joined.withColumns({k: both(F.col(f"_n_{k}"), F.col(f"_b_{k}")) for k in values})
-        return out.drop(*[f"{p}{k}" for k in values for p in ("_v_", "_b_", "_n_")])
+        return out.drop(*[f"{p}{k}" for k in values for p in ("_b_", "_n_")])
 
 
 _AGGREGATES = {"max": F.max, "sum": F.sum, "last": lambda c: F.last(c, ignorenulls=True)}

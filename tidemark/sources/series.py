@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from .ranges import numbered, scope
+from .ranges import Ranges, Whole, numbered, scope
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,12 +77,19 @@ def fill_gaps(series: DataFrame, block: int | None = None) -> DataFrame:
     ``block`` cuts series into ranges of so many rows, so that no task holds a series.
     """
     within = scope(block)
+    return filled(within, within.rows(series)).select(*series.columns)
+
+
+def filled(within: Whole, rows: DataFrame) -> DataFrame:
+    """``fill_gaps`` of numbered rows, which stay numbered; ranges without a null are left alone."""
+    if isinstance(within, Ranges) and rows.where("value IS NULL").isEmpty():
+        return rows
     known = {"_t{}": F.when(F.col("value").isNotNull(), F.col("t")), "_v{}": F.col("value")}
-    out = within.before(within.rows(series), {k.format(0): v for k, v in known.items()}, "last")
+    out = within.before(rows, {k.format(0): v for k, v in known.items()}, "last")
     out = within.before(out, {k.format(1): v for k, v in known.items()}, "last", backwards=True)
     share = (F.col("t") - F.col("_t0")) / (F.col("_t1") - F.col("_t0"))
     between = F.when(F.col("_t1") > F.col("_t0"), F.col("_v0") + (F.col("_v1") - F.col("_v0")) * share)
-    return out.withColumn("value", F.coalesce("value", between, "_v0", "_v1")).select(*series.columns)
+    return out.withColumn("value", F.coalesce("value", between, "_v0", "_v1")).select(*rows.columns)
 
 
 def top_series(series: DataFrame, most: int, chosen: list[str] | None = None) -> DataFrame:
