@@ -88,3 +88,17 @@ def test_windows_by_warping(spark):
     votes = [[medoids.index(near[i]) + 1 for i, a in enumerate(starts) if a <= t < a + 8] for t in range(67)]
     want = [min(sorted(set(v)), key=lambda label: -v.count(label)) for v in votes]
     assert got["x"] == want and got["y"] == [None] * 10
+
+
+@pytest.mark.parametrize(("method", "step"), [("dtw", None), ("dtw", 3)])
+def test_short_series_are_clustered_without_rows_of_windows(spark, monkeypatch, method, step):
+    rng = np.random.default_rng(5)
+    series = {f"s{i}": [None if rng.random() < 0.02 else v for v in rng.integers(0, 4, size=4 + 3 * i) + np.round(rng.random(), 2)] for i in range(16)}
+    rows = frame(spark, series).where("series_id <> 's9' OR t <> 17").selectExpr("*", "concat(series_id, t) AS name")  # one has a gap in t
+    options = {"window": 5} | ({} if step is None else {"step": step})
+    found = lambda: {r.name: (r.series_id, r.t, r.value, r.state) for r in discretize.discretize(rows, method, 3, **options).collect()}
+    monkeypatch.setattr(clustering, "FEW_WINDOWS", -100)  # all by rows
+    want = found()
+    monkeypatch.undo()
+    monkeypatch.setattr(clustering, "windows", lambda *_, **__: pytest.fail("windows as rows"))
+    assert found() == want and len(want) == sum(map(len, series.values())) - 1 and {1, 2, 3} <= {w[3] for w in want.values()}

@@ -111,7 +111,7 @@ def kendall(a: Column, b: Column) -> Column:
     return _from_correlation(F.when(~F.isnan(tau), tau), F.size(a))
 
 
-def _warped(x: np.ndarray, y: np.ndarray, diagonal: float) -> np.ndarray:
+def warped(x: np.ndarray, y: np.ndarray, diagonal: float = 1.0) -> np.ndarray:
     """Warping distances of the rows of two matrices, by columns of the cost table."""
     if not x.shape[1] or not y.shape[1]:
         return np.full(len(x), np.nan)
@@ -130,7 +130,7 @@ def _warped(x: np.ndarray, y: np.ndarray, diagonal: float) -> np.ndarray:
 @F.pandas_udf(DoubleType())
 def _warping(a: pd.Series, b: pd.Series, diagonal: pd.Series) -> pd.Series:
     weight = float(diagonal.iloc[0]) if len(diagonal) else 1.0
-    return _by_length(a, b, lambda x, y: _warped(x, y, weight), lambda n, m: n + 2 * m)
+    return _by_length(a, b, lambda x, y: warped(x, y, weight), lambda n, m: n + 2 * m)
 
 
 def dtw(a: Column, b: Column, diagonal: float = 1.0) -> Column:

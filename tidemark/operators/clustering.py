@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.distances import warped
 from ..functions.stats import quantiles
 from ..sources.ranges import numbered
 from ..sources.tables import written
@@ -24,7 +27,9 @@ SHORT, CELLS = 1_000, 10_000
 MAX_WINDOWS = 2_000
 """Windows of one series up to which one task links them (it needs their square); longer series are linked by Spark, round by round."""
 FEW_WINDOWS, WINDOW_CELLS = 64, 60_000
-"""Windows of one series up to which several series are linked at once, and how many distances that may be together."""
+"""Windows of one series up to which several series are clustered at once, and how many distances that may be together."""
+SHORT_ROWS = 512
+"""Rows of such a series at most: a worker gets some thousands of them at a time."""
 CLOSE = 1e-8
 """A mixture has settled when its mean log likelihood grows by less than this a step; it has an upper bound, so every mixture does."""
 
@@ -350,6 +355,84 @@ def _most_frequent(series: DataFrame, found: DataFrame) -> DataFrame:
     return series.join(chosen, ["series_id", "t"], "left").select(*series.columns, "state")
 
 
+def medoid_labels_of_many(x: np.ndarray, k: int) -> np.ndarray:
+    """Labels (by the medoids' places) of the windows of several series of equally many, around medoids that have settled."""
+    m, n = x.shape[:2]
+    one, two = np.triu_indices(n, 1)
+    d = np.zeros((m, n, n))
+    d[:, one, two] = d[:, two, one] = warped(x[:, one].reshape(-1, x.shape[2]), x[:, two].reshape(-1, x.shape[2])).reshape(m, -1)
+    medoid = np.zeros((m, n), bool)
+    medoid[:, [int(np.floor((n - 1) * ((j + 0.5) / k))) for j in range(k)]] = True
+    at, before, out = np.arange(m), medoid, np.empty((m, n), int)
+    while len(at):
+        near = np.where(medoid[:, None, :], d, np.inf).argmin(axis=2)
+        same = near[:, :, None] == near[:, None, :]
+        total = np.round(np.where(same, d, 0.0).sum(axis=2), 9)
+        new = np.zeros_like(medoid)
+        np.put_along_axis(new, np.where(same, total[:, None, :], np.inf).argmin(axis=2), True, axis=1)
+        still = (new == medoid).all(axis=1) | (new == before).all(axis=1)
+        out[at[still]] = np.take_along_axis(np.cumsum(medoid, axis=1), near, axis=1)[still]
+        at, d, before, medoid = at[~still], d[~still], medoid[~still], new[~still]
+    return out
+
+
+def _most_frequent_of_short(series: DataFrame, k: int, window: int, step: int, labels: Callable[[np.ndarray, int], np.ndarray]) -> DataFrame:
+    """``series``, all short, with the most frequent label of each row's windows: what ``windows``, ``labels`` and ``_most_frequent`` give.
+
+    A series is a row of arrays, so that neither windows nor votes are rows; a worker
+    labels series with equally many windows together.
+    """
+
+    def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column("rows")
+            n = np.asarray(pc.list_value_length(rows), int)
+            t, value = (rows.flatten().field(c) for c in ("t", "value"))
+            t, null = np.asarray(t), np.asarray(pc.is_null(value))
+            value = np.asarray(pc.fill_null(value.cast(pa.float64()), 0.0))
+            own, stop = np.repeat(np.arange(len(n)), n), np.repeat(np.cumsum(n), n)
+            # Full windows by their first row: on the grid, or the last one where that leaves rows over.
+            first = np.flatnonzero(np.arange(len(t)) + window <= stop)
+            end = t[first + window - 1]
+            last = (first + window == stop[first]) & (end > window) & ((end - window) % step != 0)
+            nulls = np.concatenate([[0], np.cumsum(null)])
+            full = (end - t[first] == window - 1) & (nulls[first + window] == nulls[first])
+            first = first[full & (last | (t[first] >= 1) & ((t[first] - 1) % step == 0))]
+            many = np.bincount(own[first], minlength=len(n))
+            begin, label = np.cumsum(many) - many, np.zeros(len(first), int)
+            for m in np.unique(many[many >= k]):
+                alike, chunk = np.flatnonzero(many == m), max(1, WINDOW_CELLS // int(m) ** 2)
+                for lo in range(0, len(alike), chunk):
+                    which = begin[alike[lo : lo + chunk], None] + np.arange(m)
+                    label[which] = labels(value[first[which][:, :, None] + np.arange(window)], k)
+            votes = np.zeros((len(t), k), np.int32)
+            first, label = first[label > 0], label[label > 0]
+            for i in range(window):
+                votes[first + i, label - 1] += 1
+            found = pa.array(votes.argmax(axis=1) + 1, pa.int32(), mask=votes.max(axis=1) == 0)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, found)], [*batch.schema.names, "states"])
+
+    others = [c for c in series.columns if c not in ("series_id", "t", "value")]
+    each = series.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("t", "value", *others))).alias("rows"))
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in each.schema) + ", states array<int>"
+    one = each.mapInArrow(states, shape).select("series_id", F.explode(F.arrays_zip("rows", "states")).alias("_x"))
+    return one.select(*[F.col(c if c == "series_id" else f"_x.rows.{c}").alias(c) for c in series.columns], F.col("_x.states").alias("state"))
+
+
+def _by_length(series: DataFrame, k: int, window: int, step: int, labels: Callable[[np.ndarray, int], np.ndarray], long: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``series`` with states by ``labels`` of many short series at once, and by ``long`` where a series is not short or has an endless value."""
+    if window < 1 or step < 1:
+        raise ValueError("size and step are positive")
+    most = min(SHORT_ROWS, (FEW_WINDOWS - 2) * step + window)
+    odd = F.max(F.isnan("value") | (F.abs("value") == float("inf")))
+    rest = written(series.groupBy("series_id").agg(F.count("*").alias("n"), F.coalesce(odd, F.lit(False)).alias("odd")).where((F.col("n") > most) | F.col("odd")).select("series_id"), "rest")
+    if rest.isEmpty():
+        return _most_frequent_of_short(series, k, window, step, labels)
+    short = _most_frequent_of_short(series.join(rest, "series_id", "left_anti").select(*series.columns), k, window, step, labels)
+    return short.unionByName(long(series.join(rest, "series_id", "left_semi").select(*series.columns)))
+
+
 @register("proxy_windowed")
 def by_windows(series: DataFrame, k: int, window: int = 10, step: int = 1) -> DataFrame:
     """Windows clustered by Ward linkage; a point takes the most frequent label of its windows (ties: the smallest)."""
@@ -389,6 +472,12 @@ def by_warping(series: DataFrame, k: int, window: int = 10, step: int | None = N
     changes.  Labels ascend with the medoids' places.  Every pair of a series' windows is
     compared: choose a step that keeps them few.
     """
+    step = step or window
+    return _by_length(series, k, window, step, medoid_labels_of_many, lambda s: _by_warping_of_long(s, k, window, step))
+
+
+def _by_warping_of_long(series: DataFrame, k: int, window: int, step: int) -> DataFrame:
+    """``by_warping`` with windows, their distances and their medoids as rows."""
     full = written(windows(series, window, step, tail=True).where(~F.exists("x", lambda v: v.isNull())), "windows")
     numbered = full.select("series_id", "window_id", F.row_number().over(Window.partitionBy("series_id").orderBy("window_id")).alias("i"), F.count("*").over(Window.partitionBy("series_id")).alias("n")).where(F.col("n") >= k)
     gaps = written(pairwise(full.select("series_id", "window_id", "x"), "dtw"), "gaps")
