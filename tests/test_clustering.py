@@ -90,7 +90,7 @@ def test_windows_by_warping(spark):
     assert got["x"] == want and got["y"] == [None] * 10
 
 
-@pytest.mark.parametrize(("method", "step"), [("dtw", None), ("dtw", 3)])
+@pytest.mark.parametrize(("method", "step"), [("dtw", None), ("dtw", 3), ("proxy_windowed", 2)])
 def test_short_series_are_clustered_without_rows_of_windows(spark, monkeypatch, method, step):
     rng = np.random.default_rng(5)
     series = {f"s{i}": [None if rng.random() < 0.02 else v for v in rng.integers(0, 4, size=4 + 3 * i) + np.round(rng.random(), 2)] for i in range(16)}

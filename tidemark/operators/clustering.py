@@ -436,29 +436,22 @@ def _by_length(series: DataFrame, k: int, window: int, step: int, labels: Callab
 @register("proxy_windowed")
 def by_windows(series: DataFrame, k: int, window: int = 10, step: int = 1) -> DataFrame:
     """Windows clustered by Ward linkage; a point takes the most frequent label of its windows (ties: the smallest)."""
+    return _by_length(series, k, window, step, ward_labels_of_many, lambda s: _by_windows_of_long(s, k, window, step))
+
+
+def _by_windows_of_long(series: DataFrame, k: int, window: int, step: int) -> DataFrame:
+    """``by_windows`` with windows and their labels as rows."""
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("window_id")
         labels = ward_labels(np.array(pdf["x"].tolist(), float), k) if len(pdf) >= k else [None] * len(pdf)
         return pd.DataFrame({"series_id": pdf["series_id"], "window_id": pdf["window_id"], "label": pd.array(labels, "Int32")})
 
-    def cluster_many(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for n, same in pdf.groupby(pdf["ids"].map(len)):
-                step = max(1, WINDOW_CELLS // n**2)
-                for part in (same.iloc[lo : lo + step] for lo in range(0, len(same), step)):
-                    labels = ward_labels_of_many(np.array(part["x"].tolist(), float).reshape(len(part), n, window), k) if n >= k else np.full((len(part), n), np.nan)
-                    yield pd.DataFrame({"series_id": np.repeat(part["series_id"].to_numpy(), n), "window_id": np.concatenate(part["ids"].tolist()), "label": pd.array(labels.ravel(), "Int32")})
-
     full = written(windows(series, window, step, tail=True).where(~F.exists("x", lambda v: v.isNull()) & (F.size("x") == window)), "windows")
     sizes = written(full.groupBy("series_id").agg(F.count("*").alias("n")), "sizes")
     one = full.select("series_id", "window_id", "x")
-    few = F.col("n") <= FEW_WINDOWS
-    each = one.join(sizes.where(few), "series_id", "left_semi").groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("window_id", "x"))).alias("w"))
-    many = each.select("series_id", F.col("w.window_id").alias("ids"), F.flatten("w.x").alias("x")).mapInPandas(cluster_many, "series_id string, window_id long, label int")
-    small = one.join(sizes.where(~few & (F.col("n") <= MAX_WINDOWS)), "series_id", "left_semi").groupBy("series_id").applyInPandas(cluster, "series_id string, window_id long, label int")
+    small = one.join(sizes.where(F.col("n") <= MAX_WINDOWS), "series_id", "left_semi").groupBy("series_id").applyInPandas(cluster, "series_id string, window_id long, label int")
     large = one.join(sizes.where((F.col("n") > MAX_WINDOWS) & (F.col("n") >= k)), "series_id", "left_semi")
-    small = many.unionByName(small)
     found = small if large.isEmpty() else small.unionByName(ward_rounds(large, k))
     return _most_frequent(series, full.drop("x").join(found, ["series_id", "window_id"]))
 
