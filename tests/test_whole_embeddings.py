@@ -2,9 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import proximity
 from tidemark.plans.queries import QUERIES
+from tidemark.plans.registry import r6, r6_of_many
 
 
 def test_pairs_of_all_labels(spark, tmp_path):
@@ -29,3 +31,38 @@ def test_blocks_give_the_rows_of_all_pairs(spark):
     uneven = spark.createDataFrame([("a", 1, [1.0]), ("a", 2, [1.0, 2.0])], "series_id string, window_id long, x array<double>")
     with pytest.raises(Exception, match="differ in length"):
         proximity.pairwise_by_blocks(uneven).collect()
+
+
+def test_vectors_of_one_label_meet_in_many_tasks_without_copies_on_disk(spark, tmp_path):
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    rng = np.random.default_rng(8)
+    rows = [("a", i, [float(v) for v in rng.normal(size=64)]) for i in range(256)]
+    vectors = spark.createDataFrame(rows, "series_id string, window_id long, x array<double>")
+    assert proximity.pairwise_by_blocks(vectors, 8).select(F.spark_partition_id()).distinct().count() > 16
+    vectors.write.parquet(f"{tmp_path}/vectors")
+    wrote = []
+    for block in (256, 8):
+        before = shuffled()
+        assert proximity.pairwise_by_blocks(spark.read.parquet(f"{tmp_path}/vectors"), block).count() == 256 * 255 // 2
+        wrote.append(shuffled() - before)
+    assert wrote[1] < 3 * wrote[0]
+
+
+def test_blocks_leave_out_vectors_without_an_id(spark):
+    rows = [("a", 1, [0.0]), ("a", None, [1.0]), ("a", 2, [2.0]), ("a", 2, [5.0]), ("b", None, None), ("c", 1, None), ("c", 2, None)]
+    vectors = spark.createDataFrame(rows, "series_id string, window_id long, x array<float>")
+    for block in (1, 1024):
+        got = proximity.pairwise_by_blocks(vectors, block)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, proximity.pairwise(vectors).collect()))
+        assert sorted(map(repr, proximity.pairwise_by_blocks(vectors, block, named=False).collect())) == sorted(map(repr, got.drop("series_id").collect()))
+
+
+def test_rounding_of_many_is_that_of_few(spark):
+    values = [0.0, 1e-9, 0.12345675, 2.5, 1.7667624123, 99.99999995, 3e8, 1e300, -0.25, -1.00000005, float("inf"), float("-inf"), float("nan"), None]
+    d = spark.createDataFrame([(v,) for v in values], "distance double").coalesce(1)
+    got = d.select(r6_of_many("distance", 7), r6("distance", "few", 7)).collect()
+    assert all(repr(r[0]) == repr(r[1]) for r in got)
