@@ -66,3 +66,10 @@ def test_rounding_of_many_is_that_of_few(spark):
     d = spark.createDataFrame([(v,) for v in values], "distance double").coalesce(1)
     got = d.select(r6_of_many("distance", 7), r6("distance", "few", 7)).collect()
     assert all(repr(r[0]) == repr(r[1]) for r in got)
+
+
+def test_lengths_are_compared_between_blocks(spark):
+    for x in ([1.0, 2.0], [None, 2.0], []):
+        vectors = spark.createDataFrame([("a", 1, [1.0]), ("a", 2, x), ("a", 3, None)], "series_id string, window_id long, x array<float>")
+        with pytest.raises(Exception, match="differ in length"):
+            proximity.pairwise_by_blocks(vectors, 1).collect()
